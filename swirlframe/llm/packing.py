@@ -11,6 +11,7 @@ goes by best fit, longest pieces first.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -27,7 +28,7 @@ from .shared import cut, written
 
 CAPACITY = 4096
 #: Words whose ids a Python worker keeps; it starts anew beyond that.
-KEPT_WORDS = 900_000
+KEPT_WORDS = 600_000
 
 
 #: Classes of bytes for WordTokens: 0 white space, 1 ASCII letter, 2 other ASCII, 3 apostrophe, 4 outside ASCII.
@@ -47,30 +48,37 @@ class WordTokens:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use all cores
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode_batch_fast
         self.clear()
 
     def clear(self):
-        self.known: dict[int, int] = {}
+        #: Sorted hashes of known parts, and the entry of each: where its ids begin in flat, and how many.
+        self.known, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.at, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def learn(self, hashes: list[int], words: list[str]):
-        ids = [e.ids for e in self.encode(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        base = len(self.known)
-        while self.used + len(new) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-        while base + len(ids) > len(self.at):
-            self.at, self.size = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.at, self.size))
-        self.flat[self.used : self.used + len(new)] = new
-        self.known.update(zip(hashes, range(base, base + len(hashes)), strict=True))
-        self.at[base : base + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.size[base : base + len(ids)] = sizes
-        self.used += len(new)
+        self.used = self.entries = 0
+
+    def learn(self, hashes: np.ndarray, words: list[str]):
+        for i in range(0, len(words), 4096):
+            ids = [e.ids for e in self.encode(words[i : i + 4096], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            new = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+            base = self.entries
+            while self.used + len(new) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+            while base + len(ids) > len(self.at):
+                self.at, self.size = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.at, self.size))
+            self.flat[self.used : self.used + len(new)] = new
+            self.at[base : base + len(ids)] = self.used + np.cumsum(sizes) - sizes
+            self.size[base : base + len(ids)] = sizes
+            self.used += len(new)
+            self.entries += len(ids)
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.known, hashes[order])
+        self.known = np.insert(self.known, at, hashes[order])
+        self.entry = np.insert(self.entry, at, self.entries - len(hashes) + order)
 
     def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): row d has ids[first[d]:first[d+1]]."""
@@ -95,18 +103,21 @@ class WordTokens:
         starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
         first = np.searchsorted(starts, offs)
         codes, unique = pd.factorize(X.word_hashes(data, starts, ends))
-        if len(self.known) + len(unique) > KEPT_WORDS and self.known:
+        if len(self.known) + len(unique) > KEPT_WORDS and len(self.known):
             self.clear()
-        keys = unique.tolist()
-        entry = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
-        new = np.flatnonzero(entry < 0)
+        spot = np.searchsorted(self.known, unique)
+        old = np.concatenate([self.known, np.zeros(1, np.uint64)])[spot] == unique
+        old &= spot < len(self.known)
+        entry = np.zeros(len(unique), np.int64)
+        entry[old] = self.entry[spot[old]]
+        new = np.flatnonzero(~old)
         if len(new):
             where = np.zeros(len(unique), np.int64)
             where[codes[::-1]] = np.arange(len(codes))[::-1]
             body = data.tobytes()
             at = where[new]
-            self.learn([keys[i] for i in new.tolist()], [body[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            entry[new] = np.arange(len(self.known) - len(new), len(self.known))
+            self.learn(unique[new], [body[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            entry[new] = np.arange(self.entries - len(new), self.entries)
         word = entry[codes]
         size = self.size[word]
         total = np.concatenate([[0], np.cumsum(size)])
@@ -130,7 +141,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(tokenizer)
-        for part in X.slices(batches, "_text"):
+        for part in X.slices(batches, "_text", 2 << 20):
             ids, first = tokens(part.column(1))
             n = np.diff(first) + 1
             last = np.cumsum(n) - 1
