@@ -116,9 +116,9 @@ def row_shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarr
         inner = np.arange(len(rows)) - np.repeat(np.cumsum(many[full]) - many[full], many[full])
         out[at[rows] + inner] = h[first[rows] + inner]
     for d in np.flatnonzero(~full & (count > 0)):
-        h = np.uint64(count[d]) * _C3
+        h = mix(np.array([count[d]], np.uint64))[0]
         for w in words[first[d] : first[d + 1]]:
-            h = mix(np.array([h * _C1 + w], np.uint64))[0]
+            h = mix(np.array([h], np.uint64) * _C1 + w)[0]
         out[at[d]] = h
     return out, at
 
