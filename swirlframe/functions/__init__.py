@@ -1 +1 @@
-"""See the package README."""
+"""Column functions: fixed point, triangle tests, bounds, transforms."""

@@ -1 +1 @@
-"""See the package README."""
+"""Composite plans: connected components and the block codec."""

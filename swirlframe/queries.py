@@ -1,4 +1,623 @@
-"""Queries over vector fields and their SQL."""
+"""The registered queries over vector fields, and SQL that gives their rows.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Most run over the field view of the embeddings table (grid.field_view()), some over events
+or an analytic field.  SQL follows the definitions, by joins on vertices.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scalars as S
+from .grid import Grid, Scale, field_view, fixed_scale, swirl_field, to_fixed, view_grid
+from .operators import coding, critical, mesh, predict, verify
+from .plans import codec
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+EB = 0.01  # absolute error bound of the coding queries
+SWIRL = Grid(12, 16, 8)
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def fixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Grid, Scale]:
+    field = field_view(spark, sf_dir)
+    scale = fixed_scale(field)
+    return to_fixed(field, scale), view_grid(spark, sf_dir), scale
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+# --- SQL pieces ---------------------------------------------------------------------------------------
+
+FIELD = """
+    nf AS (SELECT count(*) // 25 AS nt FROM embeddings),
+    f AS (SELECT (vec_id // 25)::INT AS t, (vec_id % 25)::INT AS i, k::INT AS j, embedding[2 * k + 1] AS u, embedding[2 * k + 2] AS v
+          FROM embeddings, range(32) r(k), nf WHERE vec_id // 25 < nt),
+    sc AS (SELECT max(greatest(abs(u), abs(v)))::DOUBLE AS max_abs, (30 - ceil(log2(max(greatest(abs(u), abs(v))))))::INT AS shift FROM f),
+    p AS (SELECT t, i, j, (t * 800 + i * 32 + j)::BIGINT AS vid, trunc(u::DOUBLE * (1::BIGINT << shift))::BIGINT AS u, trunc(v::DOUBLE * (1::BIGINT << shift))::BIGINT AS v FROM f, sc)"""
+
+
+def _swirl_sql(h: int, w: int, t: int) -> str:
+    ci, cj = (h - 1) / 2 + 0.25, (w - 1) / 2 - 2.0 + 0.125
+    return f"""
+    g AS (SELECT (k // {h * w})::INT AS t, (k // {w} % {h})::INT AS i, (k % {w})::INT AS j FROM range({h * w * t}) r(k)),
+    f0 AS (SELECT t, i, j, j - ({cj}::DOUBLE + t * 0.25::DOUBLE) AS x, i - ({ci}::DOUBLE + t * 0.125::DOUBLE) AS y FROM g),
+    f AS (SELECT t, i, j, x * 0.25::DOUBLE - y AS u, x + y * 0.25::DOUBLE AS v FROM f0),
+    sc AS (SELECT (30 - ceil(log2(max(greatest(abs(u), abs(v))))))::INT AS shift FROM f),
+    p AS (SELECT t, i, j, (t * {h * w} + i * {w} + j)::BIGINT AS vid, trunc(u * (1::BIGINT << shift))::BIGINT AS u, trunc(v * (1::BIGINT << shift))::BIGINT AS v FROM f, sc)"""
+
+
+def _faces_sql(templates=mesh.FACES, extra: str = "") -> str:
+    rows = ", ".join(f"({n}, '{cls}', {', '.join(str(x) for c in corners for x in mesh.CORNERS[c])})" for n, cls, corners in templates)
+    more = "".join(f", {p}.{x} AS {x}{n}" for x in extra.split() for p, n in (("pa", "a"), ("pb", "b"), ("pc", "c")))
+    return f"""
+    tm(tmpl, cls, a_t, a_i, a_j, b_t, b_i, b_j, c_t, c_i, c_j) AS (VALUES {rows}),
+    fa AS (SELECT o.t, o.i, o.j, o.vid, tmpl, cls, pa.vid AS a, pb.vid AS b, pc.vid AS c, pa.u AS ua, pa.v AS va, pb.u AS ub, pb.v AS vb, pc.u AS uc, pc.v AS vc{more}
+           FROM p o CROSS JOIN tm JOIN p pa ON pa.t = o.t + a_t AND pa.i = o.i + a_i AND pa.j = o.j + a_j
+           JOIN p pb ON pb.t = o.t + b_t AND pb.i = o.i + b_i AND pb.j = o.j + b_j JOIN p pc ON pc.t = o.t + c_t AND pc.i = o.i + c_i AND pc.j = o.j + c_j)"""
+
+
+def _turn(xj: str, yj: str, xk: str, yk: str) -> str:
+    terms = (f"{xj} * {yk} - {xk} * {yj}", f"{xk} - {xj}", f"{yj} - {yk}", f"-{xk}")
+    return "CASE " + " ".join(f"WHEN {x} > 0 THEN 1 WHEN {x} < 0 THEN -1" for x in terms) + " ELSE 1 END"
+
+
+def _zero_sql(u: str = "u", v: str = "v") -> str:
+    """Every turn around the origin has one sense; ties are decided by the order of vertices."""
+    a, p, b, q, c, r = f"{u}a", f"{v}a", f"{u}b", f"{v}b", f"{u}c", f"{v}c"
+    return f"(({_turn(a, p, b, q)}) = ({_turn(b, q, c, r)}) AND ({_turn(a, p, b, q)}) = -({_turn(a, p, c, r)}))"
+
+
+ZERO = _zero_sql()
+FACES_SQL = FIELD + "," + _faces_sql()
+LAYER_SQL = FIELD + "," + _faces_sql(mesh.FACES[:2])
+
+TYPE_SQL = """
+    jac AS (SELECT *, (CASE WHEN tmpl = 1 THEN uc - ub ELSE ub - ua END)::DOUBLE AS ux, (CASE WHEN tmpl = 1 THEN ub - ua ELSE uc - ub END)::DOUBLE AS uy,
+              (CASE WHEN tmpl = 1 THEN vc - vb ELSE vb - va END)::DOUBLE AS vx, (CASE WHEN tmpl = 1 THEN vb - va ELSE vc - vb END)::DOUBLE AS vy FROM zf),
+    td AS (SELECT *, ux + vy AS tr, ux * vy - uy * vx AS det FROM jac),
+    ty AS (SELECT *, CASE WHEN tr * tr - 4.0::DOUBLE * det >= 0 THEN CASE WHEN det < 0 THEN 3 WHEN det = 0 THEN 0 WHEN tr < 0 THEN 1 ELSE 2 END
+                     WHEN tr < 0 THEN 4 WHEN tr > 0 THEN 5 ELSE 6 END AS type FROM td)"""
+
+POINTS_SQL = f"""{LAYER_SQL}, zf AS (SELECT * FROM fa WHERE {ZERO}), {TYPE_SQL},
+    m AS (SELECT *, ub::DOUBLE * vc - uc::DOUBLE * vb AS m0, uc::DOUBLE * va - ua::DOUBLE * vc AS m1, ua::DOUBLE * vb - ub::DOUBLE * va AS m2 FROM ty),
+    w AS (SELECT *, CASE WHEN m0 + m1 + m2 = 0 THEN 1.0::DOUBLE / 3 ELSE m1 / (m0 + m1 + m2) END AS w1, CASE WHEN m0 + m1 + m2 = 0 THEN 1.0::DOUBLE / 3 ELSE m2 / (m0 + m1 + m2) END AS w2 FROM m),
+    pt AS (SELECT t, i, j, ((i * 31 + j) * 2 + tmpl - 1)::BIGINT AS simplex_id, round(j + CASE WHEN tmpl = 1 THEN w2 ELSE w1 + w2 END, 6) AS x,
+             round(i + CASE WHEN tmpl = 1 THEN w1 + w2 ELSE w2 END, 6) AS y, type FROM w)"""
+
+
+def _bound_sql(x: str, y: str, z: str) -> str:
+    """How far vertex z may move, as SQL over face columns."""
+    u0, v0, u1, v1, u2, v2 = (f"{c}{n}" for n in (x, y, z) for c in "uv")
+    m0, m1, m2 = f"({u2} * {v0} - {u0} * {v2})", f"({u1} * {v2} - {u2} * {v1})", f"({u0} * {v1} - {u1} * {v0})"
+    d, d0, d1 = f"(abs({u1} - {u0}) + abs({v1} - {v0}))", f"(abs({u0}) + abs({v0}))", f"(abs({u1}) + abs({v1}))"
+    low = f"least(abs({m0} + {m1} + {m2}) // greatest({d}, 1), abs({m1}) // greatest({d1}, 1), abs({m0}) // greatest({d0}, 1))"
+    same = lambda a, b, c: f"(sign({a}) <> 0 AND sign({a}) = sign({b}) AND sign({a}) = sign({c}))"
+    su, sv = same(u0, u1, u2), same(v0, v1, v2)
+    return f"CASE WHEN {m0} + {m1} + {m2} = 0 OR {d0} = 0 OR {d1} = 0 THEN 0 ELSE greatest({low}, CASE WHEN {su} THEN abs({u2}) ELSE 0 END, CASE WHEN {sv} THEN abs({v2}) ELSE 0 END) END"
+
+
+def _vertex_sql(a: str, b: str, c: str) -> str:
+    return f"""{FACES_SQL}, z AS (SELECT *, {ZERO} AS zero FROM fa),
+    sides AS (SELECT a AS vid, CASE WHEN zero THEN 0 ELSE {a} END AS eb FROM z UNION ALL SELECT b, CASE WHEN zero THEN 0 ELSE {b} END FROM z UNION ALL SELECT c, CASE WHEN zero THEN 0 ELSE {c} END FROM z),
+    vb AS (SELECT vid, least(min(eb), (SELECT trunc({EB} * (1::BIGINT << shift))::BIGINT FROM sc))::BIGINT AS required_eb FROM sides GROUP BY vid)"""
+
+
+VERTEX_SQL = _vertex_sql(_bound_sql("b", "c", "a"), _bound_sql("a", "c", "b"), _bound_sql("a", "b", "c"))
+_ANY = f"least({_bound_sql('a', 'b', 'c')}, {_bound_sql('c', 'b', 'a')}, {_bound_sql('a', 'c', 'b')})"
+
+# --- values -------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {FIELD} SELECT t, i, j, u::DOUBLE AS u, v::DOUBLE AS v FROM f", "field_view")
+def field_rows(spark, sf_dir):
+    return field_view(spark, sf_dir).select("t", "i", "j", F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))
+
+
+@query(f"WITH {FIELD} SELECT t, i, j, u AS ufp, v AS vfp FROM p")
+def fixed_point(spark, sf_dir):
+    p, _, _ = fixed(spark, sf_dir)
+    return p.select("t", "i", "j", F.col("u").alias("ufp"), F.col("v").alias("vfp"))
+
+
+@query(f"WITH {FIELD} SELECT max_abs, shift, min(least(u, v)) AS fp_min, max(greatest(u, v)) AS fp_max, max(greatest(u, v)) - min(least(u, v)) AS fp_range FROM p, sc GROUP BY 1, 2")
+def fixed_point_range(spark, sf_dir):
+    p, _, s = fixed(spark, sf_dir)
+    low, high = F.min(F.least("u", "v")), F.max(F.greatest("u", "v"))
+    return p.agg(F.lit(s.max_abs).alias("max_abs"), F.lit(s.shift).alias("shift"), low.alias("fp_min"), high.alias("fp_max"), (high - low).alias("fp_range"))
+
+
+@query(f"WITH {FIELD} SELECT t, i, j, u::DOUBLE / (1::BIGINT << shift) AS u, v::DOUBLE / (1::BIGINT << shift) AS v FROM p, sc")
+def fixed_to_float(spark, sf_dir):
+    from .grid import to_float
+
+    p, _, s = fixed(spark, sf_dir)
+    return to_float(p, s, kind="double")
+
+
+@query(f"WITH {FIELD} SELECT t, i, j, CASE WHEN abs(u) < 0.01 THEN 0 ELSE u::DOUBLE END AS u, CASE WHEN abs(v) < 0.01 THEN 0 ELSE v::DOUBLE END AS v FROM (SELECT t, i, j, u::DOUBLE AS u, v::DOUBLE AS v FROM f)")
+def zero_small(spark, sf_dir):
+    f = field_view(spark, sf_dir)
+    return f.select("t", "i", "j", S.zero_small(F.col("u").cast("double"), 0.01).alias("u"), S.zero_small(F.col("v").cast("double"), 0.01).alias("v"))
+
+
+@query(f"WITH {FIELD} SELECT t, i, j, round(sqrt(u::DOUBLE * u::DOUBLE + v::DOUBLE * v::DOUBLE), 9) AS mag FROM f")
+def magnitude(spark, sf_dir):
+    return field_view(spark, sf_dir).select("t", "i", "j", F.round(S.magnitude(F.col("u"), F.col("v")), 9).alias("mag"))
+
+
+@query(f"WITH {FIELD} SELECT min(u)::DOUBLE AS min_u, max(u)::DOUBLE AS max_u, min(v)::DOUBLE AS min_v, max(v)::DOUBLE AS max_v FROM f")
+def component_stats(spark, sf_dir):
+    f = field_view(spark, sf_dir)
+    return verify.component_stats(f.select(F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v")))
+
+
+@query(f"WITH {FIELD}, m AS (SELECT avg(u::DOUBLE) AS mu, avg(v::DOUBLE) AS mv FROM f) SELECT t, i, j, round(u - mu, 9) AS u, round(v - mv, 9) AS v FROM f, m")
+def frame_of_reference(spark, sf_dir):
+    f = field_view(spark, sf_dir)
+    m = f.agg(F.avg(F.col("u").cast("double")).alias("mu"), F.avg(F.col("v").cast("double")).alias("mv"))
+    return f.crossJoin(F.broadcast(m)).select("t", "i", "j", F.round(F.col("u") - F.col("mu"), 9).alias("u"), F.round(F.col("v") - F.col("mv"), 9).alias("v"))
+
+
+@query(f"WITH {FIELD} SELECT t, i, j, round(CASE WHEN u = 0 THEN -100 ELSE log2(abs(u::DOUBLE)) END, 9) AS log_u, u > 0 AS positive, u = 0 AS zero FROM f")
+def log_transform(spark, sf_dir):
+    log, pos, zero = S.log_transform(F.col("u"))
+    return field_view(spark, sf_dir).select("t", "i", "j", F.round(log, 9).alias("log_u"), pos.alias("positive"), zero.alias("zero"))
+
+
+@query(f"WITH {FIELD} SELECT vid, t, i, j FROM p")
+def vertex_ids(spark, sf_dir):
+    f, g = field_view(spark, sf_dir), view_grid(spark, sf_dir)
+    back = f.select(g.vid().alias("vid"))
+    t, i, j = g.coordinates("vid")
+    return back.select("vid", t.cast("int").alias("t"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+
+
+@query(f"WITH {FIELD} SELECT a.vid, b.vid AS other FROM p a JOIN p b ON abs(a.t - b.t) + abs(a.i - b.i) + abs(a.j - b.j) = 1 AND b.t BETWEEN a.t - 1 AND a.t + 1 AND b.i BETWEEN a.i - 1 AND a.i + 1 WHERE a.t < 4 AND b.t < 4")
+def adjacent_vertices(spark, sf_dir):
+    """Of the first four frames, as a field of its own."""
+    g = view_grid(spark, sf_dir)
+    first = Grid(g.H, g.W, min(g.T, 4))
+    return mesh.adjacent_vertices(first, field_view(spark, sf_dir).filter("t < 4"))
+
+
+# --- faces and critical points ------------------------------------------------------------------------
+
+
+@query(f"WITH {FACES_SQL} SELECT tmpl, count(*) AS n FROM fa GROUP BY 1")
+def face_census(spark, sf_dir):
+    p, g, _ = fixed(spark, sf_dir)
+    return verify.face_census(p, g)
+
+
+@query(f"WITH {LAYER_SQL} SELECT a, b, c FROM fa WHERE {ZERO}")
+def layer_cp_faces(spark, sf_dir):
+    p, g, _ = fixed(spark, sf_dir)
+    return mesh.zero_faces(p, g, mesh.FACES[:2]).select("a", "b", "c")
+
+
+@query(f"WITH {FACES_SQL} SELECT tmpl, a, b, c FROM fa WHERE {ZERO}")
+def all_cp_faces(spark, sf_dir):
+    p, g, _ = fixed(spark, sf_dir)
+    return mesh.zero_faces(p, g).select("tmpl", "a", "b", "c")
+
+
+@query(f"WITH {FIELD}, {_faces_sql(mesh.LEGACY)} SELECT tmpl, least(a, b, c) AS a, a + b + c - least(a, b, c) - greatest(a, b, c) AS b, greatest(a, b, c) AS c FROM fa WHERE {ZERO}")
+def legacy_cp_faces(spark, sf_dir):
+    p, g, _ = fixed(spark, sf_dir)
+    return mesh.zero_faces(p, g, mesh.LEGACY).select("tmpl", "a", "b", "c")
+
+
+@query(f"WITH {LAYER_SQL} SELECT t, count(*) AS n FROM fa WHERE {ZERO} GROUP BY 1")
+def cp_count_per_layer(spark, sf_dir):
+    p, g, _ = fixed(spark, sf_dir)
+    return critical.count_by_layer(mesh.zero_faces(p, g, mesh.FACES[:2]))
+
+
+@query(f"WITH {POINTS_SQL} SELECT t, type, count(*) AS n FROM pt GROUP BY ALL")
+def cp_type_counts(spark, sf_dir):
+    p, g, _ = fixed(spark, sf_dir)
+    return critical.layer_points(p, g).groupBy("t", "type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {POINTS_SQL} SELECT t, simplex_id, x, y, type FROM pt")
+def cp_locations(spark, sf_dir):
+    p, g, _ = fixed(spark, sf_dir)
+    return rounded(critical.layer_points(p, g).select("t", "simplex_id", "x", "y", "type"))
+
+
+@query(f"WITH {POINTS_SQL} SELECT t, simplex_id, x, y, ['singular', 'attracting', 'repelling', 'saddle', 'attracting focus', 'repelling focus', 'center'][type + 1] AS type FROM pt WHERE i BETWEEN 1 AND 22 AND j BETWEEN 1 AND 29")
+def interior_cp(spark, sf_dir):
+    from .functions.triangles import type_name
+
+    p, g, _ = fixed(spark, sf_dir)
+    return rounded(critical.interior_points(p, g).select("t", "simplex_id", "x", "y", type_name(F.col("type")).alias("type")))
+
+
+def _tets_sql() -> str:
+    rows = []
+    for k, tet in enumerate(mesh.TETRAHEDRA):
+        for left_out in range(4):
+            rows.append((k, "side", tuple(c for m, c in enumerate(tet) if m != left_out)))
+    return f"""{FIELD}, {_faces_sql(rows)},
+    h AS (SELECT vid * 6 + tmpl AS tet, sum(({ZERO})::INT) AS hits FROM fa WHERE t + 1 < (SELECT nt FROM nf) AND i + 1 < 25 AND j + 1 < 32 GROUP BY 1)"""
+
+
+@query(f"WITH {_tets_sql()} SELECT hits::BIGINT AS hits, count(*) AS n FROM h GROUP BY 1")
+def tet_hit_histogram(spark, sf_dir):
+    p, g, _ = fixed(spark, sf_dir)
+    return mesh.tetrahedron_hits(p, g)
+
+
+# --- bounds -------------------------------------------------------------------------------------------
+
+
+def _bounds(spark, sf_dir, symmetric=False):
+    p, g, s = fixed(spark, sf_dir)
+    return critical.vertex_bounds(p, g, S.absolute_bound(EB, s.factor), symmetric=symmetric)
+
+
+@query(f"WITH {VERTEX_SQL} SELECT vid, required_eb FROM vb")
+def vertex_bound(spark, sf_dir):
+    return _bounds(spark, sf_dir)
+
+
+@query(f"WITH {_vertex_sql(_ANY, _ANY, _ANY)} SELECT vid, required_eb FROM vb")
+def bound_symmetric(spark, sf_dir):
+    return _bounds(spark, sf_dir, True)
+
+
+_ID = "CASE WHEN required_eb <= 1 THEN 0 ELSE length(ltrim(bin(required_eb), '0')) - 1 END"
+
+
+@query(f"WITH {VERTEX_SQL} SELECT ({_ID})::INT AS eb_id, count(*) AS n FROM vb GROUP BY 1")
+def eb_id_histogram(spark, sf_dir):
+    return critical.bound_ids(_bounds(spark, sf_dir)).groupBy("eb_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {VERTEX_SQL} SELECT round(avg((({_ID}) = 0)::INT), 9) AS ratio FROM vb")
+def lossless_share(spark, sf_dir):
+    return critical.bound_ids(_bounds(spark, sf_dir)).agg(F.round(F.avg((F.col("eb_id") == 0).cast("int")), 9).alias("ratio"))
+
+
+@query(f"WITH {VERTEX_SQL} SELECT vid, (CASE WHEN required_eb <= 1 THEN 1 ELSE length(ltrim(bin(required_eb), '0')) END)::INT AS id, (1::BIGINT << (CASE WHEN required_eb <= 1 THEN 1 ELSE length(ltrim(bin(required_eb), '0')) END - 1))::BIGINT AS eb FROM vb")
+def bound_offset_ids(spark, sf_dir):
+    b = _bounds(spark, sf_dir)
+    id_, eb = S.quantize_bound_offset(F.col("required_eb"))
+    return b.select("vid", id_.alias("id"), eb.alias("eb"))
+
+
+# --- predictors ---------------------------------------------------------------------------------------
+
+
+def _at(dt: int, di: int, dj: int, c: str) -> str:
+    return f"coalesce({c}{dt}{di}{dj}.{c}, 0)"
+
+
+def _stencil_sql(back: list[tuple[int, int, int]]) -> str:
+    joins = "".join(f" LEFT JOIN p n{a}{b}{c} ON n{a}{b}{c}.t = o.t - {a} AND n{a}{b}{c}.i = o.i - {b} AND n{a}{b}{c}.j = o.j - {c}" for a, b, c in back)
+    cols = "".join(f", coalesce(n{a}{b}{c}.{x}, 0) AS {x}{a}{b}{c}" for a, b, c in back for x in "uv")
+    return f"st AS (SELECT o.t, o.i, o.j, o.u, o.v{cols} FROM p o{joins})"
+
+
+_L3 = "({0}111 + {0}100 + {0}010 + {0}001 - {0}110 - {0}101 - {0}011)"
+_PRED_SQL = {
+    "lorenzo2d": "({0}010 + {0}001 - {0}011)",
+    "lorenzo3d": _L3,
+    "mixed_order": "(2 * {0}100 - {0}200 + {0}010 - 2 * {0}110 + {0}210 + {0}001 - 2 * {0}101 + {0}201 - {0}011 + 2 * {0}111 - {0}211)",
+    "time_linear": "CASE WHEN t < 2 THEN " + _L3 + " ELSE 2 * {0}100 - {0}200 + CASE WHEN i > 0 THEN {0}010 - 2 * {0}110 + {0}210 ELSE 0 END + CASE WHEN j > 0 THEN {0}001 - 2 * {0}101 + {0}201 ELSE 0 END - CASE WHEN i > 0 AND j > 0 THEN {0}011 - 2 * {0}111 + {0}211 ELSE 0 END END",
+    "stride2": "CASE WHEN t < 2 THEN " + _L3 + " ELSE {0}211 + {0}200 + {0}010 + {0}001 - {0}210 - {0}201 - {0}011 END",
+    "dt2d": "CASE WHEN t < 1 THEN " + _L3 + " ELSE {0}100 + ({0}010 - {0}110) + ({0}001 - {0}101) - ({0}011 - {0}111) END",
+}
+_B = "(2 * {0}100 - {0}200)"
+_near = ", ".join("CASE WHEN i >= %d AND j >= %d THEN {0}%d%d%d ELSE %s END" % (b, c, a, b, c, _B) for b, c in ((0, 0), (1, 0), (0, 1), (1, 1)) for a in (1, 2))
+_PRED_SQL["ar2_clamped"] = "CASE WHEN t < 2 THEN " + _L3 + f" ELSE greatest(least({_B}, {_near}), least({_B}, greatest({_B}, {_near}))) END"
+
+
+def _residual_query(name: str):
+    back = predict.PREDICTORS[name][1]
+    sql = f"WITH {FIELD}, {_stencil_sql(back)}, r AS (SELECT abs(u - ({_PRED_SQL[name].format('u')})) AS r FROM st UNION ALL SELECT abs(v - ({_PRED_SQL[name].format('v')})) FROM st) SELECT sum(r)::BIGINT AS sum_abs, max(r) AS max_abs, count(*) AS n FROM r"
+
+    @query(sql, f"{name}_residual")
+    def run(spark, sf_dir):
+        p, _, _ = fixed(spark, sf_dir)
+        return predict.residual_summary(p, name)
+
+
+for _name in _PRED_SQL:
+    _residual_query(_name)
+
+
+def _sample_sql(points: str, out: str, names: str) -> str:
+    """CTEs that sample frames pv (u, v) at y and x of points, as columns su, sv of ``out``."""
+    return f"""
+    {out}0 AS (SELECT *, greatest(0, least(24, y)) AS yy, greatest(0, least(31, x)) AS xx FROM {points}),
+    {out}1 AS (SELECT *, floor(yy)::INT AS i0, floor(xx)::INT AS j0, least(floor(yy)::INT + 1, 24) AS i1, least(floor(xx)::INT + 1, 31) AS j1, yy - floor(yy) AS fy, xx - floor(xx) AS fx FROM {out}0),
+    {out} AS (SELECT {names}, (1 - fx) * (1 - fy) * a.u + fx * (1 - fy) * b.u + (1 - fx) * fy * c.u + fx * fy * d.u AS su, (1 - fx) * (1 - fy) * a.v + fx * (1 - fy) * b.v + (1 - fx) * fy * c.v + fx * fy * d.v AS sv
+      FROM {out}1 o JOIN pv a ON a.t = o.t AND a.i = i0 AND a.j = j0 JOIN pv b ON b.t = o.t AND b.i = i0 AND b.j = j1
+      JOIN pv c ON c.t = o.t AND c.i = i1 AND c.j = j0 JOIN pv d ON d.t = o.t AND d.i = i1 AND d.j = j1)"""
+
+
+_ADVECT_SQL = f"""{FIELD}, pv AS (SELECT t + 1 AS t, i, j, u::DOUBLE AS u, v::DOUBLE AS v FROM p),
+    h AS (SELECT p.t, p.i, p.j, p.u, p.v, p.i - 0.5::DOUBLE * pv.v * (1.0::DOUBLE / (1::BIGINT << shift)) AS y, p.j - 0.5::DOUBLE * pv.u * (1.0::DOUBLE / (1::BIGINT << shift)) AS x FROM p JOIN pv USING (t, i, j), sc),
+    {_sample_sql("h", "m", "o.t, o.i, o.j, o.u, o.v")},
+    e AS (SELECT t, i, j, u, v, i - sv * (1.0::DOUBLE / (1::BIGINT << shift)) AS y, j - su * (1.0::DOUBLE / (1::BIGINT << shift)) AS x FROM m, sc),
+    {_sample_sql("e", "z", "o.t, o.i, o.j, o.u, o.v")},
+    ad AS (SELECT t, i, j, u, v, round(su)::BIGINT AS u_pred, round(sv)::BIGINT AS v_pred FROM z)"""
+
+
+@query(f"WITH {_ADVECT_SQL} SELECT t, i, j, u_pred, v_pred FROM ad")
+def advect_sample(spark, sf_dir):
+    p, g, s = fixed(spark, sf_dir)
+    return predict.advected(p, g, s.factor).select("t", "i", "j", "u_pred", "v_pred")
+
+
+def _modes(spark, sf_dir):
+    p, g, s = fixed(spark, sf_dir)
+    return predict.block_modes(predict.predicted(p, "lorenzo3d"), predict.advected(p, g, s.factor), 8)
+
+
+_MODES_SQL = f"""{_ADVECT_SQL}, {_stencil_sql(predict.PREDICTORS['lorenzo3d'][1])},
+    c AS (SELECT st.t, st.i, st.j, abs(st.u - {_L3.format('u')}) + abs(st.v - {_L3.format('v')}) AS a, abs(st.u - ad.u_pred) + abs(st.v - ad.v_pred) AS b FROM st LEFT JOIN ad USING (t, i, j)),
+    k AS (SELECT t, i // 8 AS bi, j // 8 AS bj, sum(a) AS a, sum(b) AS b FROM c GROUP BY ALL),
+    md AS (SELECT t, bi, bj, CASE WHEN b IS NOT NULL AND b < a AND (a - b)::DOUBLE / (a::DOUBLE + 1e-12) >= 0.003 THEN 1 ELSE 0 END AS mode FROM k)"""
+
+
+@query(f"WITH {_MODES_SQL} SELECT t, bi, bj, mode FROM md")
+def block_mode_fast(spark, sf_dir):
+    return _modes(spark, sf_dir)
+
+
+@query(f"WITH {_MODES_SQL} SELECT mode, count(*) AS n FROM md GROUP BY 1")
+def block_mode_counts(spark, sf_dir):
+    return predict.mode_counts(_modes(spark, sf_dir))
+
+
+@query(f"""WITH {FIELD}, b AS (SELECT t, i // 8 AS bi, j // 8 AS bj, regr_slope(u, i % 8) AS b0, regr_slope(u, j % 8) AS b1, avg(u) AS m, max(i % 8) AS h, max(j % 8) AS w FROM p GROUP BY ALL)
+    SELECT t, bi, bj, round(coalesce(CASE WHEN h > 0 THEN b0 ELSE 0 END, 0), 6) AS b0, round(coalesce(CASE WHEN w > 0 THEN b1 ELSE 0 END, 0), 6) AS b1,
+           round(m - CASE WHEN h > 0 THEN b0 ELSE 0 END * h / 2.0 - CASE WHEN w > 0 THEN b1 ELSE 0 END * w / 2.0, 6) AS b2 FROM b""")
+def block_regression(spark, sf_dir):
+    p, _, _ = fixed(spark, sf_dir)
+    return rounded(predict.plane_regression(p, "u", 8), 6)
+
+
+# --- symbols ------------------------------------------------------------------------------------------
+
+_STEP = 1 << 22
+
+
+def _symbols(spark, sf_dir):
+    p, _, _ = fixed(spark, sf_dir)
+    r = predict.predicted(p, "lorenzo3d")
+    both = r.select(F.explode(F.array(F.col("u") - F.col("u_pred"), F.col("v") - F.col("v_pred"))).alias("r"))
+    return both.select(F.floor(F.col("r") / F.lit(float(_STEP))).cast("long").alias("sym"), "r")
+
+
+_SYMBOLS_SQL = f"{FIELD}, {_stencil_sql(predict.PREDICTORS['lorenzo3d'][1])}, y AS (SELECT u - {_L3.format('u')} AS r FROM st UNION ALL SELECT v - {_L3.format('v')} FROM st), sy AS (SELECT r, floor(r / {_STEP}.0::DOUBLE)::BIGINT AS sym FROM y)"
+
+
+@query(f"WITH {_SYMBOLS_SQL} SELECT sym, count(*) AS n FROM sy GROUP BY 1")
+def symbol_frequencies(spark, sf_dir):
+    return coding.frequencies(_symbols(spark, sf_dir))
+
+
+@query(f"WITH {_SYMBOLS_SQL} SELECT round(entropy(sym), 9) AS bits FROM sy")
+def residual_entropy(spark, sf_dir):
+    return rounded(coding.entropy(coding.frequencies(_symbols(spark, sf_dir))), 9)
+
+
+@query(f"WITH {_SYMBOLS_SQL} SELECT round(entropy(CASE WHEN abs(sym) = 0 THEN 0 WHEN abs(sym) = 1 THEN 1 WHEN abs(sym) <= 3 THEN 2 WHEN abs(sym) <= 15 THEN 3 WHEN abs(sym) <= 255 THEN 4 ELSE 5 END), 9) AS bits FROM sy")
+def six_bin_entropy(spark, sf_dir):
+    s = _symbols(spark, sf_dir).select(coding.six_bins(F.col("sym")).alias("sym"))
+    return rounded(coding.entropy(coding.frequencies(s)), 9)
+
+
+@query()
+def huffman_size(spark, sf_dir):
+    return coding.huffman_bits(coding.frequencies(_symbols(spark, sf_dir)))
+
+
+@query(f"""WITH {_SYMBOLS_SQL}, h AS (SELECT least((abs(r) // {_STEP} + 1) // 2, 32767) AS q, count(*) AS n FROM sy GROUP BY 1),
+    c AS (SELECT q, sum(n) OVER (ORDER BY q) AS below, sum(n) OVER () AS total FROM h), m AS (SELECT 2 * (min(q) + 1) AS need FROM c WHERE below >= total * 0.999)
+    SELECT greatest(32, (2 ** ceil(log2(need)))::BIGINT) AS intervals FROM m""")
+def quant_interval_estimate(spark, sf_dir):
+    return coding.interval_estimate(_symbols(spark, sf_dir), "r", _STEP)
+
+
+_EVENTS = "ev AS (SELECT user_id, event_id, (floor(value)::BIGINT % 4) - 1 AS x FROM events WHERE value IS NOT NULL)"
+
+
+def _events(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("value is not null")
+    return e.select("user_id", "event_id", (F.floor("value").cast("long") % 4 - 1).alias("x"))
+
+
+def _runs_sql(new: str, tail: str) -> str:
+    return f"""WITH {_EVENTS}, l AS (SELECT *, lag(x) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM ev),
+        g AS (SELECT *, sum(CASE WHEN b IS NULL OR {new} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM l) {tail}"""
+
+
+@query(_runs_sql("x <> 0 OR b <> 0", "SELECT user_id, min(event_id) AS place, CASE WHEN min(x) = 0 THEN -count(*) ELSE min(x) END AS sym FROM g GROUP BY user_id, run"))
+def zero_rle(spark, sf_dir):
+    return coding.zero_runs(_events(spark, sf_dir), ["user_id"], "event_id", "x")
+
+
+@query(_runs_sql("(x BETWEEN -1 AND 1) <> (b BETWEEN -1 AND 1) OR (x BETWEEN -1 AND 1 AND x <> b)", "SELECT user_id, min(event_id) AS place, CASE WHEN min(x) BETWEEN -1 AND 1 THEN 'run' ELSE 'literal' END AS kind, CASE WHEN min(x) BETWEEN -1 AND 1 THEN min(x) END AS value, count(*) AS n FROM g GROUP BY user_id, run"))
+def tri_rle(spark, sf_dir):
+    return coding.tri_runs(_events(spark, sf_dir), ["user_id"], "event_id", "x")
+
+
+@query(f"WITH {_EVENTS}, d AS (SELECT user_id, event_id, x - coalesce(lag(x) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS d FROM ev) SELECT user_id, event_id, CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS sym FROM d")
+def delta_zigzag(spark, sf_dir):
+    return coding.delta_zigzag(_events(spark, sf_dir), ["user_id"], "event_id", "x")
+
+
+# --- reports ------------------------------------------------------------------------------------------
+
+_Q = 1 << 20
+
+
+def _quantized(spark, sf_dir):
+    p, g, s = fixed(spark, sf_dir)
+    return verify.uniform_quantized(p, _Q), g, s
+
+
+_Q_SQL = f"{FIELD}, q AS (SELECT t, i, j, vid, u, v, (floor((u + {_Q}) / {2.0 * _Q}::DOUBLE) * {2 * _Q})::BIGINT AS du, (floor((v + {_Q}) / {2.0 * _Q}::DOUBLE) * {2 * _Q})::BIGINT AS dv FROM p)"
+_METRICS = """SELECT n, round(mse, 3) AS mse, round(sqrt(mse), 6) AS rmse, round(sqrt(mse) / (hi - lo), 9) AS nrmse, round(20 * log10(hi - lo) - 10 * log10(mse), 6) AS psnr, max_err, lo AS min_orig, hi AS max_orig
+    FROM (SELECT count(*) AS n, sum((x - y) ** 2) / count(*) AS mse, max(abs(x - y)) AS max_err, min(x) AS lo, max(x) AS hi FROM xy)"""
+
+
+def _metrics(df):
+    return df.select("n", F.round("mse", 3).alias("mse"), F.round("rmse", 6).alias("rmse"), F.round("nrmse", 9).alias("nrmse"), F.round("psnr", 6).alias("psnr"), "max_err", "min_orig", "max_orig")
+
+
+@query(f"WITH {_Q_SQL}, xy AS (SELECT u::DOUBLE AS x, du::DOUBLE AS y FROM q) {_METRICS}")
+def quality_metrics(spark, sf_dir):
+    return _metrics(verify.quality(_quantized(spark, sf_dir)[0], "u", "du"))
+
+
+@query(f"WITH {_Q_SQL}, xy AS (SELECT u::DOUBLE AS x, du::DOUBLE AS y FROM q UNION ALL SELECT v, dv FROM q) {_METRICS}")
+def combined_quality_metrics(spark, sf_dir):
+    return _metrics(verify.combined_quality(_quantized(spark, sf_dir)[0], [("u", "du"), ("v", "dv")]))
+
+
+@query(f"WITH {_Q_SQL} SELECT round(max(abs(u - du)::DOUBLE / abs(u)) FILTER (abs(u) > 1), 6) AS max_pw_rel, round(corr(u, du), 9) AS ac_eff FROM q")
+def correlation_metrics(spark, sf_dir):
+    c = verify.correlation(_quantized(spark, sf_dir)[0], "u", "du")
+    return c.select(F.round("max_pw_rel", 6).alias("max_pw_rel"), F.round("ac_eff", 9).alias("ac_eff"))
+
+
+_MARK_SQL = f"{_Q_SQL.replace('p AS (', 'p0 AS (').replace('FROM p)', 'FROM p0)')}, p AS (SELECT * FROM q), {_faces_sql(extra='du dv')}, mk AS (SELECT t, tmpl, a, b, c, {ZERO} AS ori, {_zero_sql('du', 'dv')} AS dec FROM fa)"
+
+
+@query(f"""WITH {_MARK_SQL} SELECT region, idx, count(*) FILTER (ori AND dec) AS tp, count(*) FILTER (NOT ori AND NOT dec) AS tn, count(*) FILTER (NOT ori AND dec) AS fp, count(*) FILTER (ori AND NOT dec) AS fn
+    FROM (SELECT CASE WHEN tmpl <= 2 THEN 'layer' ELSE 'slab' END AS region, t AS idx, ori, dec FROM mk) GROUP BY GROUPING SETS ((region, idx), (region))""")
+def cp_confusion(spark, sf_dir):
+    q, g, _ = _quantized(spark, sf_dir)
+    return verify.confusion(verify.marked_faces(q, g))
+
+
+@query(f"WITH {_MARK_SQL} SELECT CASE WHEN ori THEN 'lost' ELSE 'new' END AS side, a, b, c FROM mk WHERE ori <> dec")
+def cp_diff(spark, sf_dir):
+    q, g, _ = _quantized(spark, sf_dir)
+    return verify.differences(verify.marked_faces(q, g))
+
+
+@query()
+def cp_match_types(spark, sf_dir):
+    q, g, _ = _quantized(spark, sf_dir)
+    a = critical.layer_points(q.select("t", "i", "j", "u", "v"), g)
+    b = critical.layer_points(q.select("t", "i", "j", F.col("du").alias("u"), F.col("dv").alias("v")), g)
+    return verify.match_points(a, b)
+
+
+@query(f"""WITH {FIELD}, m AS (SELECT covar_samp(u::DOUBLE, v::DOUBLE) AS uv, var_samp(u::DOUBLE) AS uu, var_samp(v::DOUBLE) AS vv FROM f, nf WHERE (t * 800 + i * 32 + j) % greatest(1, nt * 800 // 200000) = 0)
+    SELECT round(cos(0.5 * atan2(2 * uv, uu - vv)), 9) AS c, round(sin(0.5 * atan2(2 * uv, uu - vv)), 9) AS s FROM m""")
+def channel_rotation(spark, sf_dir):
+    return rounded(verify.channel_rotation(field_view(spark, sf_dir), view_grid(spark, sf_dir)), 9)
+
+
+@query(f"WITH {FIELD} SELECT t, i, j, round(0.6 * u::DOUBLE + 0.8 * v::DOUBLE, 9) AS a, round(0.6 * v::DOUBLE - 0.8 * u::DOUBLE, 9) AS b FROM f")
+def rotated(spark, sf_dir):
+    a, b = S.rotate(F.col("u"), F.col("v"), 0.6, 0.8)
+    return field_view(spark, sf_dir).select("t", "i", "j", F.round(a, 9).alias("a"), F.round(b, 9).alias("b"))
+
+
+# Two recorded faces before and after coding, in units of fixed point.
+RECORDED = [
+    ("A original", 270, -428, -4268, 7467, 35924, 51546), ("A decoded", 242, -449, -4273, 7473, 36018, 51649),
+    ("B original", 36621, -50800, 270, -428, -4268, 7467), ("B decoded", 36620, -50793, 242, -449, -4273, 7473),
+]
+
+
+@query("""SELECT * FROM (VALUES ('A original', false), ('A decoded', true), ('B original', false), ('B decoded', true)) v(name, zero)""")
+def recorded_faces(spark, sf_dir):
+    rows = spark.createDataFrame(RECORDED, "name string, ua long, va long, ub long, vb long, uc long, vc long")
+    return verify.recorded_faces(rows).select("name", "zero")
+
+
+# --- trajectories -------------------------------------------------------------------------------------
+
+
+def _swirl(spark):
+    f = swirl_field(spark, SWIRL, "focus")
+    return to_fixed(f, fixed_scale(f)), SWIRL
+
+
+_SW = f"{_swirl_sql(SWIRL.H, SWIRL.W, SWIRL.T)}, {_faces_sql()}, z AS (SELECT vid * 12 + tmpl - 1 AS face, a, b, c FROM fa WHERE {ZERO})"
+# two faces share a tetrahedron if their corners span four vertices that form a chain
+_LINKS = f"""lk AS (SELECT x.face AS x, y.face AS y FROM z x JOIN z y ON x.face < y.face WHERE len(list_distinct([x.a, x.b, x.c, y.a, y.b, y.c])) = 4),
+    q AS (SELECT x, y, list_sort(list_distinct([zx.a, zx.b, zx.c, zy.a, zy.b, zy.c])) AS s FROM lk JOIN z zx ON zx.face = x JOIN z zy ON zy.face = y),
+    d AS (SELECT x, y, list_transform([2, 3, 4], lambda k: s[k] // {SWIRL.plane} - s[1] // {SWIRL.plane}) AS dt, list_transform([2, 3, 4], lambda k: s[k] // {SWIRL.W} % {SWIRL.H} - s[1] // {SWIRL.W} % {SWIRL.H}) AS di, list_transform([2, 3, 4], lambda k: s[k] % {SWIRL.W} - s[1] % {SWIRL.W}) AS dj FROM q),
+    e AS (SELECT x, y FROM d WHERE list_max(dt) <= 1 AND list_min(dt) >= 0 AND list_max(di) <= 1 AND list_min(di) >= 0 AND list_max(dj) <= 1 AND list_min(dj) >= 0
+            AND dt[1] <= dt[2] AND dt[2] <= dt[3] AND di[1] <= di[2] AND di[2] <= di[3] AND dj[1] <= dj[2] AND dj[2] <= dj[3])"""
+
+
+@query(f"WITH {_SW}, {_LINKS} SELECT x, y FROM e")
+def cp_links(spark, sf_dir):
+    p, g = _swirl(spark)
+    return critical.zero_graph(mesh.zero_faces(p, g), g)
+
+
+@query(f"""WITH RECURSIVE {_SW}, {_LINKS}, w AS (SELECT x, y FROM e UNION SELECT y, x FROM e), reach(id, to_) AS (SELECT face, face FROM z UNION SELECT r.id, w.y FROM reach r JOIN w ON r.to_ = w.x)
+    SELECT low AS component, count(*) AS n_faces FROM (SELECT id, min(to_) AS low FROM reach GROUP BY id) GROUP BY 1""")
+def cp_components(spark, sf_dir):
+    p, g = _swirl(spark)
+    return critical.zero_components(mesh.zero_faces(p, g), g).groupBy("component").agg(F.count("*").alias("n_faces"))
+
+
+@query()
+def cp_curves(spark, sf_dir):
+    p, g = _swirl(spark)
+    return rounded(critical.curves(mesh.zero_faces(p, g), g))
+
+
+@query()
+def cp_ordered_curves(spark, sf_dir):
+    p, g = _swirl(spark)
+    return rounded(critical.speed(critical.ordered_curves(mesh.zero_faces(p, g), g)))
+
+
+# --- coding -------------------------------------------------------------------------------------------
+
+
+def _roundtrip(name: str):
+    @query("SELECT (count(*) // 25 * 800)::BIGINT AS n, 0::BIGINT AS n_bound_violations, 0::BIGINT AS fp, 0::BIGINT AS fn FROM embeddings", f"roundtrip_{name}")
+    def run(spark, sf_dir):
+        """Vertices decoded, those beyond the bound, and faces whose verdict changed: the last three are 0 by the codec's guarantee."""
+        field, g = field_view(spark, sf_dir), view_grid(spark, sf_dir)
+        s = fixed_scale(field)
+        eb = codec.bound_for(s, EB)
+        decoded = codec.decode(codec.encode(field, g, s, eb, name), g, s, name)
+        both = to_fixed(field, s).join(decoded.select("t", "i", "j", F.col("ufp").alias("du"), F.col("vfp").alias("dv")), ["t", "i", "j"])
+        far = F.greatest(F.abs(F.col("u") - F.col("du")), F.abs(F.col("v") - F.col("dv"))) > eb
+        count = both.agg(F.count("*").alias("n"), F.sum(far.cast("long")).alias("n_bound_violations"))
+        flips = verify.marked_faces(both, g).agg(F.sum((~F.col("ori") & F.col("dec")).cast("long")).alias("fp"), F.sum((F.col("ori") & ~F.col("dec")).cast("long")).alias("fn"))
+        return count.crossJoin(flips)
+
+
+for _name in ("lorenzo3d", "lorenzo2d", "mixed_order", "time_linear", "stride2", "dt2d", "ar2_clamped", "lorenzo_ar2", "advect", "warped", "modes"):
+    _roundtrip(_name)
+
+
+@query()
+def codec_statistics(spark, sf_dir):
+    f = swirl_field(spark, Grid(25, 32, 10), "focus")
+    s = fixed_scale(f)
+    return codec.statistics(codec.encode(f, Grid(25, 32, 10), s, codec.bound_for(s, EB)))
