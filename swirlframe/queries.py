@@ -621,3 +621,122 @@ def codec_statistics(spark, sf_dir):
     f = swirl_field(spark, Grid(25, 32, 10), "focus")
     s = fixed_scale(f)
     return codec.statistics(codec.encode(f, Grid(25, 32, 10), s, codec.bound_for(s, EB)))
+
+
+# --- volumes ------------------------------------------------------------------------------------------
+
+_VOLUME = """
+    nf AS (SELECT count(*) // 25 AS nt FROM embeddings),
+    f AS (SELECT (vec_id // 25)::INT AS t, (vec_id % 25)::INT AS i, k::INT AS j, embedding[3 * k + 1] AS u, embedding[3 * k + 2] AS v, embedding[3 * k + 3] AS w
+          FROM embeddings, range(21) r(k), nf WHERE vec_id // 25 < nt),
+    sc AS (SELECT (19 - ceil(log2(max(greatest(abs(u), abs(v), abs(w))))))::INT AS shift FROM f),
+    p AS (SELECT t, i, j, (t * 525 + i * 21 + j)::BIGINT AS vid, trunc(u::DOUBLE * (1::BIGINT << shift))::BIGINT AS u, trunc(v::DOUBLE * (1::BIGINT << shift))::BIGINT AS v, trunc(w::DOUBLE * (1::BIGINT << shift))::BIGINT AS w FROM f, sc)"""
+
+
+def _tet_sql() -> str:
+    rows = ", ".join(f"({k}, {', '.join(str(x) for c in tet for x in mesh.CORNERS[c])})" for k, tet in enumerate(mesh.TETRAHEDRA))
+    names = ", ".join(f"{n}_{x}" for n in "abcd" for x in "tij")
+    joins = " ".join(f"JOIN p p{n} ON p{n}.t = o.t + {n}_t AND p{n}.i = o.i + {n}_i AND p{n}.j = o.j + {n}_j" for n in "abcd")
+    cols = ", ".join(f"p{n}.vid AS {n}, " + ", ".join(f"p{n}.{x} AS {x}{n}" for x in "uvw") for n in "abcd")
+    det = lambda a, b, c: f"(u{a} * (v{b} * w{c} - w{b} * v{c}) - v{a} * (u{b} * w{c} - w{b} * u{c}) + w{a} * (u{b} * v{c} - v{b} * u{c}))"
+    return f"""{_VOLUME}, tm(tet, {names}) AS (VALUES {rows}), te AS (SELECT o.t, o.i, o.j, tet, {cols} FROM p o CROSS JOIN tm {joins}),
+    mm AS (SELECT *, -{det('b', 'c', 'd')} AS m0, {det('a', 'c', 'd')} AS m1, -{det('a', 'b', 'd')} AS m2, {det('a', 'b', 'c')} AS m3 FROM te)"""
+
+
+_IN = "((m0 > 0 AND m1 > 0 AND m2 > 0 AND m3 > 0) OR (m0 < 0 AND m1 < 0 AND m2 < 0 AND m3 < 0))"
+
+
+def _volume(spark, sf_dir):
+    from .operators import volume
+
+    f, g = volume.volume_view(spark, sf_dir)
+    cols = ("u", "v", "w")
+    return to_fixed(f, fixed_scale(f, cols, volume.NBITS), cols), g
+
+
+@query(f"WITH {_tet_sql()} SELECT t, i, j, tet, a, b, c, d FROM mm WHERE {_IN}")
+def volume_cp_tetrahedra(spark, sf_dir):
+    from .operators import volume
+
+    p, g = _volume(spark, sf_dir)
+    return volume.with_zero(volume.tetrahedra(p, g)).select("t", "i", "j", "tet", "a", "b", "c", "d")
+
+
+@query()
+def volume_cp_types(spark, sf_dir):
+    from .operators import volume
+
+    p, g = _volume(spark, sf_dir)
+    return volume.volume_points(p, g).groupBy("type").agg(F.count("*").alias("n"))
+
+
+def _tet_bound_sql() -> str:
+    same = lambda x: f"CASE WHEN (u0 > 0 AND u1 > 0 AND u2 > 0 AND u3 > 0) OR (u0 < 0 AND u1 < 0 AND u2 < 0 AND u3 < 0) THEN abs(u3) ELSE 0 END".replace("u0", x + "a").replace("u1", x + "b").replace("u2", x + "c").replace("u3", x + "d")  # noqa: E731, F541
+    pair = lambda p, q: f"(abs(v{p} * w{q} - w{p} * v{q}) + abs(u{p} * w{q} - w{p} * u{q}) + abs(u{p} * v{q} - v{p} * u{q}))"
+    area = " + ".join(f"abs(({x}b - {x}a) * ({y}c - {y}a) - ({x}c - {x}a) * ({y}b - {y}a))" for x, y in ("vw", "uw", "uv"))
+    return f"""{_tet_sql()}, sd AS (SELECT *, greatest({same('u')}, {same('v')}, {same('w')}) AS same, {pair('b', 'c')} AS d0, {pair('a', 'c')} AS d1, {pair('a', 'b')} AS d2, {area} AS d3 FROM mm)
+    SELECT t, i, j, tet, CASE WHEN m0 + m1 + m2 + m3 = 0 OR (same = 0 AND (d0 = 0 OR d1 = 0 OR d2 = 0)) THEN 0 WHEN same > 0 THEN same
+      ELSE least(abs(m0 + m1 + m2 + m3) // greatest(d3, 1), abs(m0) // greatest(d0, 1), abs(m1) // greatest(d1, 1), abs(m2) // greatest(d2, 1)) END AS eb FROM sd"""
+
+
+@query(f"WITH {_tet_bound_sql()}")
+def volume_tet_bound(spark, sf_dir):
+    from .operators import volume
+
+    p, g = _volume(spark, sf_dir)
+    return volume.tetrahedra(p, g).select("t", "i", "j", "tet", volume.tetrahedron_bound().alias("eb"))
+
+
+@query(f"WITH {_tet_sql()} SELECT ((t * 525 + i * 21 + j) * 6 + tet)::BIGINT AS tid FROM mm WHERE {_IN}")
+def unstructured_cp(spark, sf_dir):
+    """The volume's tetrahedra again, as an unstructured mesh of its own tables."""
+    from .operators import volume
+
+    p, g = _volume(spark, sf_dir)
+    made = volume.tetrahedra(p, g).select((g.vid() * 6 + F.col("tet")).alias("tid"), F.posexplode(F.array(*"abcd")).alias("pos", "pid"))
+    data = p.select(g.vid().alias("pid"), "u", "v", "w")
+    return volume.with_zero(volume.unstructured(made, data)).select("tid")
+
+
+# --- streams ------------------------------------------------------------------------------------------
+
+
+def _scratch(spark) -> str:
+    import os
+    import tempfile
+    import uuid
+
+    sc = spark.sparkContext
+    there = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="swirlframe-")
+    return os.path.join(there, f"stream-{uuid.uuid4().hex}")
+
+
+def _stream(spark, sf_dir, make):
+    from .streaming import frames as fr
+
+    p, g, _ = fixed(spark, sf_dir)
+    at = _scratch(spark)
+    fr.frames(p).repartitionByRange(8, "t").write.parquet(f"{at}/in")
+    return fr.run_to_end(make(fr.read_frames(spark, f"{at}/in", 3), g), f"{at}/out", f"{at}/state")
+
+
+@query(f"WITH {LAYER_SQL} SELECT t, count(*) AS n FROM fa WHERE {ZERO} GROUP BY 1")
+def stream_layer_counts(spark, sf_dir):
+    from .streaming.frames import layer_counts
+
+    return _stream(spark, sf_dir, layer_counts).select("t", "n")
+
+
+@query(f"WITH {FIELD}, d AS (SELECT a.t, abs(a.u - coalesce(b.u, 0)) AS x, abs(a.v - coalesce(b.v, 0)) AS y FROM p a LEFT JOIN p b ON b.t = a.t - 1 AND b.i = a.i AND b.j = a.j) SELECT t, sum(x + y)::BIGINT AS sum_abs, max(greatest(x, y)) AS max_abs FROM d GROUP BY 1")
+def stream_frame_changes(spark, sf_dir):
+    from .streaming.frames import frame_changes
+
+    return _stream(spark, sf_dir, lambda s, g: frame_changes(s)).select("t", "sum_abs", "max_abs")
+
+
+@query("SELECT date_trunc('day', ts) AS day, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1")
+def events_by_day(spark, sf_dir):
+    from .streaming.frames import windowed_events
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "value")
+    return windowed_events(e).select("day", "n", F.round("total", 6).alias("total"))

@@ -1 +1 @@
-"""See the package README."""
+"""Readers and writers: raw arrays, Amira lattices, text and CSV reports, records."""

@@ -1 +1 @@
-"""See the package README."""
+"""Fields that arrive frame by frame (Structured Streaming)."""
