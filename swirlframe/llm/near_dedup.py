@@ -4,7 +4,8 @@ Several independent trees each send a document down a path of minwise tokens: a
 the documents that chose the same tokens so far.  Nodes of at most SMALL documents are
 compared exhaustively; larger ones branch on by the next token, down to DEPTH.  Of a node
 that is still larger there (a big group of near copies, as a rule), all members are compared
-with two pivots, and then only members that are not in the pivot's component with the rest.
+with two pivots, and then only members that are not in the pivot's component with all others,
+as a query set that is broadcast in blocks.
 
 A pair of similarity J meets in a tree with probability J, or J**2, ... where tokens are so
 common that nodes branch: at J = 0.8 and twelve trees 4e-9 are missed where tokens are rare,
@@ -30,6 +31,8 @@ from .shared import components, cut, only, without, written
 
 TREES, DEPTH, SMALL = 12, 4, 32
 ROW_BITS = 12  # at most so many rows (as a power of two) are handled at once; shingle hashes keep the other 52 bits
+#: Texts, and bytes of text, that are held against all members of large nodes at once.
+QUESTIONS, QUESTION_BYTES = 2_000, 8 << 20
 SKETCH = ["s0", "s1", "s2"]
 
 
@@ -191,24 +194,113 @@ def _bodies(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(only(texts, ends, "id"), "bodies")
 
 
+class Questions:
+    """Some texts, indexed by shingle, to be held against others: intersections of all with a batch in one count."""
+
+    def __init__(self, ids: list, components: list, texts: list[str], k: int, table: np.ndarray):
+        self.ids, self.components, self.k, self.table = ids, components, k, table
+        h, first = self.shingles(pa.array(texts, pa.string()))
+        self.size = np.diff(first)
+        owner = np.repeat(np.arange(len(ids)), self.size)
+        order = np.argsort(h, kind="stable")
+        self.keys, begin = np.unique(h[order], return_index=True)
+        self.begin, self.owner = np.append(begin, len(h)), owner[order]
+
+    def shingles(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        data, offs = X.flat(texts)
+        data = X.LOWER[data]
+        starts, ends, first = X.find_words(data, offs, self.table)
+        return distinct_shingles(X.word_hashes(data, starts, ends), first, self.k)
+
+    def answers(self, texts, percent: int, most: int = 2_000_000) -> Iterator[tuple[int, int, float]]:
+        """(row, question, similarity) of all pairs that reach ``percent``; at most ``most`` counts (or a row's) at a time."""
+        h, first = self.shingles(texts)
+        if not len(self.keys) or not len(h):
+            return
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        many = np.where(self.keys[at] == h, self.begin[at + 1] - self.begin[at], 0)
+        done, size = 0, np.diff(first)
+        load = X.segment_sums(many, first) + len(self.ids)
+        total = np.concatenate([[0], np.cumsum(load)])
+        while done < len(size):
+            end = max(done + 1, int(np.searchsorted(total, total[done] + most, side="right")) - 1)
+            part = slice(first[done], first[end])
+            n = many[part]
+            row = np.repeat(np.repeat(np.arange(end - done), size[done:end]), n)
+            which = self.owner[np.repeat(self.begin[at[part]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            both = np.bincount(row * len(self.ids) + which, minlength=(end - done) * len(self.ids)).reshape(end - done, -1)
+            union = size[done:end, None] + self.size[None, :] - both
+            for r, q in zip(*np.nonzero((both > 0) & (100 * both >= percent * union)), strict=True):
+                yield done + int(r), int(q), both[r, q] / union[r, q]
+            done = end
+
+
+def held_against(asked: DataFrame, all_: DataFrame, k: int, percent: int, nonspace: bool) -> DataFrame:
+    """Pairs (a, b): for each text of ``asked`` and each other component, a link from each batch of ``all_`` that has one.
+
+    Both are (id, component, body).  asked goes to the executors in blocks of bounded size, each held
+    against all rows; pairs are only ever counted, and at most one for a text and a component is given on.
+    """
+    sc, table = asked.sparkSession.sparkContext, X.NONSPACE if nonspace else X.ALNUM
+    kind = asked.schema["id"].dataType
+    as_key = (lambda x: tuple(x.asDict().values())) if isinstance(kind, T.StructType) else (lambda x: x)
+    out: list[DataFrame] = []
+
+    def close(rows: list):
+        sent = sc.broadcast(Questions([as_key(r[0]) for r in rows], [as_key(r[1]) for r in rows], [r[2] for r in rows], k, table))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q = sent.value
+            key = (lambda x: tuple(x.values())) if isinstance(kind, T.StructType) else (lambda x: x)
+            for part in _few_rows(X.slices(batches, "body")):
+                mine = [key(x) for x in part.column(1).to_pylist()]
+                best: dict = {}
+                for r, u, share in q.answers(part.column(2), percent):
+                    if mine[r] != q.components[u] and share > best.get((u, mine[r]), (0,))[0]:
+                        best[u, mine[r]] = (share, r)
+                if best:
+                    left = part.column(0).take(pa.array([r for _, r in best.values()]))
+                    ids = [q.ids[u] for u, _ in best]
+                    if isinstance(kind, T.StructType):
+                        ids = [dict(zip(kind.fieldNames(), x, strict=True)) for x in ids]
+                    yield pa.RecordBatch.from_arrays([left, pa.array(ids, left.type)], ["a", "b"])
+
+        out.append(all_.select("id", "component", "body").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])))
+
+    rows, size = [], 0
+    for r in asked.select("id", "component", "body").toLocalIterator():
+        rows.append(r)
+        size += len(r[2])
+        if size > QUESTION_BYTES or len(rows) >= QUESTIONS:
+            close(rows)
+            rows, size = [], 0
+    if rows:
+        close(rows)
+    found = reduce(DataFrame.unionByName, out)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+
+
 def link_components(texts: DataFrame, pairs: DataFrame, large: DataFrame, k: int, percent: int, nonspace: bool = True) -> tuple[DataFrame, DataFrame]:
     """(links, labels): confirmed links (a, b), and (id, component) of all linked ids.
 
-    Members of large nodes that are not in their pivot's component are compared with the whole
-    node, so no link between components of a node is missed.
+    Members of large nodes that are not in their pivot's component are held against all members of
+    large nodes, so no link between components of a node is missed.
     """
     links = cut(verified(pairs, _bodies(texts, pairs), k, percent, nonspace))
     labels = cut(components(links))
     if not large.isEmpty():
-        labelled = cut(large.join(labels, "id", "left").select(large["*"], F.coalesce("component", "id").alias("component")))
+        labelled = cut(large.select("node", "id").join(labels, "id", "left").select("node", "id", F.coalesce("component", "id").alias("component")))
         main = labelled.groupBy("node").agg(F.min(F.struct("id", "component")).alias("p")).select("node", F.col("p.component").alias("main"))
-        rest = cut(labelled.join(main, "node").filter("component <> main").drop("main"))
-        if not rest.isEmpty():
-            more = rest.alias("a").join(labelled.alias("b"), (F.col("a.node") == F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _alike(percent))
-            more = more.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
-            more = cut(more.join(pairs, ["a", "b"], "left_anti"))
+        open_ = labelled.join(main, "node").filter("component <> main")
+        asked = cut(open_.select("id", "component").distinct())
+        if not asked.isEmpty():
+            nodes = open_.select("node").distinct()
+            there = cut(labelled.join(nodes, "node", "left_semi").select("id", "component").distinct())
+            bodies = written(only(texts, there.select("id"), "id"), "members").dropDuplicates(["id"])
+            there = cut(there.join(bodies, "id"))
+            more = cut(held_against(there.join(asked.select("id"), "id", "left_semi"), there, k, percent, nonspace))
             if not more.isEmpty():
-                links = cut(links.union(verified(more, _bodies(texts, more), k, percent, nonspace)))
+                links = cut(links.union(verified(more, there.select("id", "body"), k, percent, nonspace)).distinct())
                 labels = cut(components(links))
     return links, labels
 
