@@ -6,24 +6,23 @@ occur again, anywhere later in the corpus, are removed: the lines that they cove
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_IDS, cut
+from .shared import BROADCAST_IDS, cut, fresh
 
 WINDOW = 3
 
 
-def _windows(lines: Column, window: int) -> Column:
-    """Of an array of lines: the 128-bit hashes of all windows, with their places from 0."""
-    one = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("p"), F.xxhash64(F.lit(1), x, F.lit(2)).alias("q")))
-    at = F.sequence(F.lit(0), F.size(lines) - window)
-
-    def hashed(i: Column) -> Column:
-        part = F.slice(one, i + 1, window)
-        return F.struct(i.alias("at"), F.xxhash64(F.transform(part, lambda x: x["p"])).alias("h1"), F.xxhash64(F.transform(part, lambda x: x["q"])).alias("h2"))
-
-    return F.when(F.size(lines) >= window, F.transform(at, hashed))
+def _windows(rows: DataFrame, window: int) -> DataFrame:
+    """(id, at, h1, h2) of rows (id, text): the 128-bit hash of every window of lines, and its place from 0."""
+    hashed = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("p"), F.xxhash64(F.lit(1), x, F.lit(2)).alias("q")))
+    lines = rows.select("id", hashed.alias("lines")).filter(F.size("lines") >= window)
+    many = F.size("lines") - (window - 1)
+    shifted = [F.slice("lines", k + 1, many).alias(f"l{k}") for k in range(window)]
+    names = [f"l{k}" for k in range(window)]
+    each = lines.select("id", *shifted).select("id", F.posexplode(F.arrays_zip(*names)).alias("at", "w"))
+    return each.select("id", "at", *(F.xxhash64(*(F.col(f"w.{n}.{x}") for n in names)).alias(h) for h, x in (("h1", "p"), ("h2", "q"))))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -34,9 +33,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``window`` lines and null texts or ids have no windows and are left alone.  Rows of one id and
     equal windows at the same place are one occurrence.  Extra columns are not read.
     """
-    lines = F.split(F.col(text_col), "\n", -1)
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(_windows(lines, window)).alias("w"))
-    found = rows.select("id", "w.*")
+    found = _windows(docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), window)
     seen = cut(found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("keep")).filter("n > 1").drop("n"))
     sized = F.broadcast(seen) if seen.count() <= BROADCAST_IDS // 4 else seen
     later = found.join(sized, ["h1", "h2"]).filter(F.struct("id", "at") > F.col("keep")).select("id", "at").distinct()
@@ -50,10 +47,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs without the lines of repeated_lines(); other columns, and texts without such lines, stay as they are."""
-    runs = repeated_lines(docs, id_col, text_col, window).groupBy(F.col(id_col).alias("_id")).agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
+    key, name = fresh(docs, "_id"), fresh(docs, "_runs")
+    runs = repeated_lines(docs, id_col, text_col, window).groupBy(F.col(id_col).alias(key)).agg(F.collect_list(F.struct("first", "last")).alias(name))
     runs = cut(runs)  # a document has fewer runs than lines
     sized = F.broadcast(runs) if runs.count() <= BROADCAST_IDS // 20 else runs
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.exists("_runs", lambda r: i.between(r["first"], r["last"])))
-    text = F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return docs.join(sized, F.col(id_col) == F.col("_id"), "left").withColumn(text_col, text).select(docs.columns)
+    kept = F.filter(lines, lambda _, i: ~F.exists(name, lambda r: i.between(r["first"], r["last"])))
+    text = F.when(F.col(name).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    return docs.join(sized, F.col(id_col) == F.col(key), "left").withColumn(text_col, text).select(docs.columns)

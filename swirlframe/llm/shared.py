@@ -60,6 +60,14 @@ def only(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, key, "left_semi").select(docs.columns)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) for every id of edges (a, b): the smallest id that can be reached.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import arrowtext as X
 from .near_dedup import SKETCH, link_components, node_pairs, signatures
-from .shared import BROADCAST_IDS, cut, without, written
+from .shared import BROADCAST_IDS, cut, fresh, without, written
 
 BANDS, ROWS, LEAST = 14, 2, 40
 
@@ -50,9 +50,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """docs without the removed paragraphs of repeated_passages(); other columns, and other texts, stay as they are."""
-    gone = repeated_passages(docs, id_col, text_col, least).filter("removed").groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("para").alias("_gone"))
+    key, name = fresh(docs, "_id"), fresh(docs, "_gone")
+    gone = repeated_passages(docs, id_col, text_col, least).filter("removed").groupBy(F.col(id_col).alias(key)).agg(F.collect_set("para").alias(name))
     gone = cut(gone)  # a document's list is no longer than its lines
     sized = F.broadcast(gone) if gone.count() <= BROADCAST_IDS // 20 else gone
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains("_gone", i.cast("long")))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return docs.join(sized, F.col(id_col) == F.col("_id"), "left").withColumn(text_col, text).select(docs.columns)
+    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains(name, i.cast("long")))
+    text = F.when(F.col(name).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    return docs.join(sized, F.col(id_col) == F.col(key), "left").withColumn(text_col, text).select(docs.columns)
