@@ -30,7 +30,7 @@ BLOCK_BYTES, SHARD_BYTES = 8 << 20, 6 << 20
 def suffix_array(seq: np.ndarray, pos: np.ndarray, depth: int) -> np.ndarray:
     """``pos`` in the order of the first ``depth`` symbols (or more) of seq from there; seq must end in ``depth`` zeros.
 
-    Prefix doubling by packed ranks; after the first round only tied suffixes are sorted again.
+    Symbols are positive; a 0 ends a document, and what is beyond it does not count in the order.  Prefix doubling by packed ranks; after the first round only tied suffixes are sorted again.
     """
     g, bits = (3, 21) if len(seq) < 1 << 21 and seq.max(initial=0) < 1 << 21 else (2, 31)
     rank, have, sa = seq.astype(np.int64), 1, pos

@@ -9,17 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_IDS, cut, without
+from .shared import cut, sized, without
 
 #: Characters of the prefix that the second step hashes.
 PREFIX = 64
 
 
-def _sized(keys: DataFrame) -> DataFrame:
-    """A broadcast hint where the keys are few enough; else Spark shuffles."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_IDS // 4 else keys
-
-
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, digest: bool = False) -> DataFrame:
     """One row per row of docs: id_col, keep_id (largest id of the rows with this text), group_size, kept.
 
@@ -31,16 +26,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).withColumn("len", F.octet_length("body"))
     # 1. length: only lengths that rows share go on
     lengths = cut(rows.groupBy("len").agg(F.count("*").alias("n")).filter("n > 1").select("len", F.lit(True).alias("go")))
-    heads = rows.join(_sized(lengths), "len", "left").withColumn("head", F.when(F.col("go"), F.xxhash64(F.substring("body", 1, prefix)))).drop("go")
+    heads = rows.join(sized(lengths), "len", "left").withColumn("head", F.when(F.col("go"), F.xxhash64(F.substring("body", 1, prefix)))).drop("go")
     # 2. hash of the prefix, within a length
     shared = cut(heads.filter("head is not null").groupBy("len", "head").agg(F.count("*").alias("n")).filter("n > 1").select("len", "head", F.lit(True).alias("go")))
     # 3. the whole content, of surviving rows only
-    left = heads.join(_sized(shared), ["len", "head"], "left")
+    left = heads.join(sized(shared), ["len", "head"], "left")
     more = [F.sha2("body", 256).alias("text_sha256")] if digest else []
     left = cut(left.select("id", F.when(F.col("go"), F.unhex(F.sha2("body", 256))).alias("sha"), *more))
     hashed = left.filter("sha is not null")
     groups = cut(hashed.groupBy("sha").agg(F.count("*").alias("group_size"), F.max("id").alias("keep_id")).filter("group_size > 1"))
-    joined = hashed.join(_sized(groups), "sha", "left").withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")))
+    joined = hashed.join(sized(groups), "sha", "left").withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")))
     alone = left.filter("sha is null").withColumns({"group_size": F.lit(1).cast("long"), "keep_id": F.col("id")})
     both = joined.unionByName(alone)
     return both.select(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_IDS, cut, fresh
+from .shared import cut, fresh, sized
 
 WINDOW = 3
 
@@ -35,8 +35,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     found = _windows(docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), window)
     seen = cut(found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("keep")).filter("n > 1").drop("n"))
-    sized = F.broadcast(seen) if seen.count() <= BROADCAST_IDS // 4 else seen
-    later = found.join(sized, ["h1", "h2"]).filter(F.struct("id", "at") > F.col("keep")).select("id", "at").distinct()
+    later = found.join(sized(seen), ["h1", "h2"]).filter(F.struct("id", "at") > F.col("keep")).select("id", "at").distinct()
     before = Window.partitionBy("id").orderBy("at")
     # a run ends where the next covered window starts beyond the lines covered so far
     marked = later.withColumn("new", F.coalesce(F.col("at") > F.lag("at").over(before) + window, F.lit(True)).cast("int"))
@@ -50,8 +49,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key, name = fresh(docs, "_id"), fresh(docs, "_runs")
     runs = repeated_lines(docs, id_col, text_col, window).groupBy(F.col(id_col).alias(key)).agg(F.collect_list(F.struct("first", "last")).alias(name))
     runs = cut(runs)  # a document has fewer runs than lines
-    sized = F.broadcast(runs) if runs.count() <= BROADCAST_IDS // 20 else runs
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.filter(lines, lambda _, i: ~F.exists(name, lambda r: i.between(r["first"], r["last"])))
     text = F.when(F.col(name).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return docs.join(sized, F.col(id_col) == F.col(key), "left").withColumn(text_col, text).select(docs.columns)
+    return docs.join(sized(runs, weight=F.size(name)), F.col(id_col) == F.col(key), "left").withColumn(text_col, text).select(docs.columns)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrowtext as X
-from .shared import components, cut, only, without, written
+from .shared import components, cut, only, sized, without, written
 
 TREES, DEPTH, SMALL = 12, 4, 32
 ROW_BITS = 12  # at most so many rows (as a power of two) are handled at once; shingle hashes keep the other 52 bits
@@ -146,7 +146,7 @@ def node_pairs(members: DataFrame, about: DataFrame, depth: int, percent: int, s
     large = cut(rows.select(*kept).withColumnRenamed(key, "node"))
     one = F.struct("id", "n", *SKETCH)
     pivots = large.groupBy("node").agg(F.min(one).alias("low"), F.max(one).alias("high"))
-    pivots = pivots.select("node", F.explode(F.array("low", "high")).alias("p")).select("node", "p.*")
+    pivots = sized(cut(pivots.select("node", F.explode(F.array("low", "high")).alias("p")).select("node", "p.*")))
     found.append(large.alias("a").join(pivots.alias("b"), (F.col("a.node") == F.col("b.node")) & (F.col("a.id") != F.col("b.id")) & _alike(percent)).select(*pair))
     return cut(reduce(DataFrame.unionByName, found).distinct()), large
 
@@ -291,6 +291,7 @@ def link_components(texts: DataFrame, pairs: DataFrame, large: DataFrame, k: int
     if not large.isEmpty():
         labelled = cut(large.select("node", "id").join(labels, "id", "left").select("node", "id", F.coalesce("component", "id").alias("component")))
         main = labelled.groupBy("node").agg(F.min(F.struct("id", "component")).alias("p")).select("node", F.col("p.component").alias("main"))
+        main = sized(cut(main))
         open_ = labelled.join(main, "node").filter("component <> main")
         asked = cut(open_.select("id", "component").distinct())
         if not asked.isEmpty():

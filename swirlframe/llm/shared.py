@@ -68,6 +68,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def sized(keys: DataFrame, most: int = BROADCAST_IDS // 4, weight: Column | None = None) -> DataFrame:
+    """keys with a broadcast hint if they are at most ``most`` narrow rows (or elements, by weight; some 50 MB as a hash table); else as they are, to be shuffled."""
+    n = keys.count() if weight is None else keys.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(keys) if n <= most else keys
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) for every id of edges (a, b): the smallest id that can be reached.
 

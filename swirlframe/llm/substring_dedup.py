@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import arrowtext as X
 from .near_dedup import SKETCH, link_components, node_pairs, signatures
-from .shared import BROADCAST_IDS, cut, fresh, without, written
+from .shared import cut, fresh, sized, without, written
 
 BANDS, ROWS, LEAST = 14, 2, 40
 
@@ -32,8 +32,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = written(signatures(lines, k, X.NONSPACE, BANDS, ROWS, least, last=True).filter("n > 0"), "passages")
     classes = cut(found.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("_many")))
     shared = classes.filter("_many > 1")
-    sized = F.broadcast(shared) if shared.count() <= BROADCAST_IDS // 10 else shared
-    copies = cut(found.select("id", "n", "c1", "c2").join(sized, ["c1", "c2"]).select("id", "n", "rep"))
+    copies = cut(found.select("id", "n", "c1", "c2").join(sized(shared), ["c1", "c2"]).select("id", "n", "rep"))
     single = without(found.drop("c1", "c2"), copies.filter("id <> rep").select("id"), "id")
     members = single.select("id", F.explode("keys").alias("k1"))
     pairs, large = node_pairs(members, single.select("id", "n", *SKETCH), 1, percent)
@@ -53,7 +52,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key, name = fresh(docs, "_id"), fresh(docs, "_gone")
     gone = repeated_passages(docs, id_col, text_col, least).filter("removed").groupBy(F.col(id_col).alias(key)).agg(F.collect_set("para").alias(name))
     gone = cut(gone)  # a document's list is no longer than its lines
-    sized = F.broadcast(gone) if gone.count() <= BROADCAST_IDS // 20 else gone
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains(name, i.cast("long")))
     text = F.when(F.col(name).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return docs.join(sized, F.col(id_col) == F.col(key), "left").withColumn(text_col, text).select(docs.columns)
+    return docs.join(sized(gone, weight=F.size(name)), F.col(id_col) == F.col(key), "left").withColumn(text_col, text).select(docs.columns)
