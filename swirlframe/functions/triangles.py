@@ -94,3 +94,40 @@ def zero_bound_any(u0: Column, v0: Column, u1: Column, v1: Column, u2: Column, v
 def determinant3(u: tuple[Column, Column, Column], v: tuple[Column, Column, Column]) -> Column:
     """det of rows (u_k, v_k, 1)."""
     return u[0] * (v[1] - v[2]) - v[0] * (u[1] - u[2]) + (u[1] * v[2] - u[2] * v[1])
+
+
+def ordinal(t_a: Column, t_b: Column, t_c: Column) -> Column:
+    """Whether a face lies in one frame."""
+    return (t_a == t_b) & (t_b == t_c)
+
+
+def bilinear_zero(u: tuple[Column, Column, Column, Column], v: tuple[Column, Column, Column, Column]) -> Column:
+    """Places (x, y) in a unit cell where the bilinear field of corner values (0,0), (1,0), (0,1), (1,1) is zero: an array of up to two.
+
+    Without y, the two components give a quadratic in x; x must be in [0, 1) and so must y.
+    """
+    a = [(c[0], c[1] - c[0], c[2] - c[0], c[0] - c[1] - c[2] + c[3]) for c in (tuple(x.cast("double") for x in u), tuple(x.cast("double") for x in v))]
+    (p, q, r, s), (k, l, m, n) = a  # p + q x + r y + s x y
+    # (p + q x)(m + n x) = (k + l x)(r + s x)
+    a2, a1, a0 = q * n - l * s, p * n + q * m - k * s - l * r, p * m - k * r
+    disc = a1 * a1 - 4.0 * a2 * a0
+    root = F.sqrt(F.greatest(disc, F.lit(0.0)))
+    safe = lambda x: F.when(x == 0, F.lit(1.0)).otherwise(x)
+    one = F.when(a2 == 0, F.when(a1 != 0, -a0 / safe(a1))).when(disc >= 0, (-a1 - root) / safe(2.0 * a2))
+    two = F.when((a2 != 0) & (disc > 0), (-a1 + root) / safe(2.0 * a2))
+
+    def place(x: Column) -> Column:
+        d0, d1 = r + s * x, m + n * x
+        y = F.when(F.abs(d0) >= F.abs(d1), -(p + q * x) / safe(d0)).otherwise(-(k + l * x) / safe(d1))
+        return F.when((x >= 0) & (x < 1) & (y >= 0) & (y < 1), F.struct(x.alias("x"), y.alias("y")))
+
+    return F.array_compact(F.array(place(one), place(two)))
+
+
+def bilinear_type(u: tuple[Column, Column, Column, Column], v: tuple[Column, Column, Column, Column], x: Column, y: Column) -> Column:
+    """The type, as of zero_type(), of the bilinear field's Jacobian at (x, y)."""
+    d = [(c[1] - c[0] + (c[0] - c[1] - c[2] + c[3]) * y, c[2] - c[0] + (c[0] - c[1] - c[2] + c[3]) * x) for c in (tuple(z.cast("double") for z in u), tuple(z.cast("double") for z in v))]
+    trace, det = d[0][0] + d[1][1], d[0][0] * d[1][1] - d[0][1] * d[1][0]
+    delta = trace * trace - 4.0 * det
+    real = F.when(det < 0, 3).when(det == 0, 0).when(trace < 0, 1).otherwise(2)
+    return F.when(delta >= 0, real).when(trace < 0, 4).when(trace > 0, 5).otherwise(6)

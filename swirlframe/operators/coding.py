@@ -118,3 +118,71 @@ def interval_estimate(residuals: DataFrame, col: str, eb: int, share: float = 0.
     need = 2 * (F.col("q") + 1)
     power = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(need - 1)).cast("int"))
     return enough.select(F.greatest(power, F.lit(least).cast("long")).alias("intervals"))
+
+
+def encode_stream(symbols: list[int], table: dict[int, tuple[int, int]]) -> bytes:
+    """Symbols in codes of a table {sym: (length, code)}, highest bit first, padded with zeros; nothing for a table of one symbol."""
+    bits, n, out = 0, 0, bytearray()
+    for s in symbols:
+        length, code = table[s]
+        bits, n = bits << length | code, n + length
+        while n >= 8:
+            n -= 8
+            out.append(bits >> n & 0xFF)
+        bits &= (1 << n) - 1
+    if n:
+        out.append(bits << (8 - n) & 0xFF)
+    return bytes(out)
+
+
+def decode_stream(data: bytes, count: int, table: dict[int, tuple[int, int]]) -> list[int]:
+    """``count`` symbols of encode_stream()."""
+    if len(table) == 1:
+        return [next(iter(table))] * count
+    by_code = {v: s for s, v in table.items()}
+    out: list[int] = []
+    length = code = 0
+    for byte in data:
+        for k in range(7, -1, -1):
+            length, code = length + 1, code << 1 | (byte >> k & 1)
+            if (length, code) in by_code:
+                out.append(by_code[length, code])
+                if len(out) == count:
+                    return out
+                length = code = 0
+    if len(out) != count:
+        raise ValueError(f"{len(out)} symbols; {count} were said to be there")
+    return out
+
+
+def huffman_encode(symbols: DataFrame, part: str, order: str, col: str) -> DataFrame:
+    """(part, n, payload): each part's symbols, in order, in codes of one table for all; a part is held by one task."""
+    import pandas as pd
+
+    table = symbols.sparkSession.sparkContext.broadcast({r.sym: (r.length, r.code) for r in huffman_table(frequencies(symbols, col)).collect()})  # at most 2**17 symbols
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(order)
+        return pd.DataFrame({part: p[part].iloc[:1], "n": [len(p)], "payload": [encode_stream(p[col].tolist(), table.value)]})
+
+    kind = symbols.schema[part].dataType.simpleString()
+    return symbols.select(part, order, col).groupBy(part).applyInPandas(run, f"{part} {kind}, n long, payload binary")
+
+
+def pack_bits(values: list[int], width: int) -> bytes:
+    """Small numbers of ``width`` bits (1, 2, 4), the first in the lowest bits."""
+    out = bytearray(-(-len(values) * width // 8))
+    for k, v in enumerate(values):
+        out[k * width // 8] |= (v & ((1 << width) - 1)) << (k * width % 8)
+    return bytes(out)
+
+
+def unpack_bits(data: bytes, count: int, width: int) -> list[int]:
+    return [data[k * width // 8] >> (k * width % 8) & ((1 << width) - 1) for k in range(count)]
+
+
+def dense_interval(residuals: DataFrame, col: str, width: float) -> DataFrame:
+    """(mid, share): the interval of ``width`` that holds the most values, and how many of all."""
+    binned = residuals.groupBy(F.floor(F.col(col) / F.lit(float(width))).alias("b")).agg(F.count("*").alias("n"))
+    total = binned.agg(F.sum("n").alias("total"), F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m"))
+    return total.select(((-F.col("m.b") + 0.5) * width).alias("mid"), (F.col("m.n") / F.col("total")).alias("share"))

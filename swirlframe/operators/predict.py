@@ -192,3 +192,67 @@ def block_modes(lorenzo: DataFrame, advect: DataFrame, block: int = 32, gain: fl
 
 def mode_counts(modes: DataFrame) -> DataFrame:
     return modes.groupBy("mode").agg(F.count("*").alias("n"))
+
+
+def plane_predicted(field: DataFrame, col: str, block: int) -> DataFrame:
+    """(t, i, j, col, <col>_pred): each value and that of its block's least-squares plane, rounded."""
+    plane = plane_regression(field, col, block)
+    keyed = field.select("t", "i", "j", col, F.floor(F.col("i") / block).cast("int").alias("bi"), F.floor(F.col("j") / block).cast("int").alias("bj"))
+    value = F.col("b0") * (F.col("i") % block) + F.col("b1") * (F.col("j") % block) + F.col("b2")
+    return keyed.join(plane, ["t", "bi", "bj"]).select("t", "i", "j", col, F.round(value).cast("long").alias(f"{col}_pred"))
+
+
+def volume_regression(field: DataFrame, col: str, block: int) -> DataFrame:
+    """(bt, bi, bj, b0, b1, b2, b3): the least-squares hyperplane of each cube of vertices, by frame, row, column and a constant."""
+    local = {a: (F.col(a) % block).cast("double") for a in "tij"}
+    x = F.col(col).cast("double")
+    keys = [F.floor(F.col(a) / block).cast("int").alias(f"b{a}") for a in "tij"]
+    sums = field.groupBy(*keys).agg(F.sum(x).alias("s"), *(F.sum(x * local[a]).alias(f"s{a}") for a in "tij"), *((F.max(local[a]) + 1).alias(f"n{a}") for a in "tij"))
+    n = F.col("nt") * F.col("ni") * F.col("nj")
+
+    def slope(a: str) -> Column:
+        k = F.col(f"n{a}")
+        spread = n * (k * k - 1.0) / 12.0
+        return F.when(k > 1, (F.col(f"s{a}") - F.col("s") * (k - 1.0) / 2.0) / F.when(k > 1, spread).otherwise(1.0)).otherwise(0.0)
+
+    b = {a: slope(a) for a in "tij"}
+    constant = F.col("s") / n
+    for a in "tij":
+        constant = constant - b[a] * (F.col(f"n{a}") - 1.0) / 2.0
+    return sums.select("bt", "bi", "bj", b["t"].alias("b0"), b["i"].alias("b1"), b["j"].alias("b2"), constant.alias("b3"))
+
+
+def regression_or_lorenzo(field: DataFrame, col: str, block: int, eb: int) -> DataFrame:
+    """(t, bi, bj, mode): 1 where the plane's residuals on the block's two diagonals are smaller in sum than those of 2D Lorenzo, which get eb more each."""
+    plane = plane_predicted(field, col, block).select("t", "i", "j", F.abs(F.col(col) - F.col(f"{col}_pred")).alias("p"))
+    lorenzo = predicted(field.select("t", "i", "j", col), "lorenzo2d", (col,)).select("t", "i", "j", (F.abs(F.col(col) - F.col(f"{col}_pred")) + eb).alias("l"))
+    di, dj = F.col("i") % block, F.col("j") % block
+    both = plane.join(lorenzo, ["t", "i", "j"]).filter((di == dj) | (di + dj == block - 1))
+    per = both.groupBy("t", F.floor(F.col("i") / block).cast("int").alias("bi"), F.floor(F.col("j") / block).cast("int").alias("bj")).agg(F.sum("p").alias("p"), F.sum("l").alias("l"))
+    return per.select("t", "bi", "bj", (F.col("p") < F.col("l")).cast("int").alias("mode"))
+
+
+def entropy_modes(predictions: dict[int, DataFrame], eb: int, block: int = 32, gain: float = 0.003, capacity: int = 65536) -> DataFrame:
+    """(t, bi, bj, mode): the mode (key of predictions, rows as of predicted()) with the fewest bits a symbol in each block.
+
+    Bits are the entropy of the block's quantised residuals, and 16 for each that has no code.  A mode other
+    than the first wins only by the relative ``gain``; a block without rows of a mode can't take it.
+    """
+    div = lambda x, y: F.call_function("div", x, F.lit(y).cast("long"))
+    scored = []
+    for mode, rows in predictions.items():
+        r = rows.select("t", F.floor(F.col("i") / block).cast("int").alias("bi"), F.floor(F.col("j") / block).cast("int").alias("bj"), F.explode(F.array(F.col("u") - F.col("u_pred"), F.col("v") - F.col("v_pred"))).alias("r"))
+        steps = div(F.abs("r"), eb) + 1
+        sym = F.when(steps >= capacity, F.lit(None)).otherwise(F.when(F.col("r") < 0, -div(steps, 2)).otherwise(div(steps, 2)))
+        hist = r.groupBy("t", "bi", "bj", sym.alias("q")).agg(F.count("*").alias("n"))
+        n = F.col("n").cast("double")
+        per = hist.groupBy("t", "bi", "bj").agg(F.sum(F.when(F.col("q").isNotNull(), n)).alias("coded"), F.sum(F.when(F.col("q").isNotNull(), n * F.log2(n))).alias("s"), F.sum(n).alias("all"), F.sum(F.when(F.col("q").isNull(), n).otherwise(0.0)).alias("over"))
+        bits = F.coalesce(F.log2("coded") - F.col("s") / F.col("coded"), F.lit(0.0)) + 16.0 * F.col("over") / F.col("all")
+        scored.append(per.select("t", "bi", "bj", F.lit(mode).alias("mode"), bits.alias("bits")))
+    first = next(iter(predictions))
+    union = scored[0]
+    for s in scored[1:]:
+        union = union.unionByName(s)
+    per = union.groupBy("t", "bi", "bj").agg(F.max(F.when(F.col("mode") == first, F.col("bits"))).alias("base"), F.min(F.struct("bits", "mode")).alias("best"))
+    wins = (F.col("base") - F.col("best.bits")) / (F.col("base") + 1e-12) >= gain
+    return per.select("t", "bi", "bj", F.when(wins, F.col("best.mode")).otherwise(F.lit(first)).alias("mode"))

@@ -30,23 +30,26 @@ def _pack(ids: np.ndarray, codes: np.ndarray, raw: np.ndarray) -> bytes:
     return pa.Codec("zstd", compression_level=3).compress(head + ids.astype("<i1").tobytes() + codes.astype("<i4").tobytes() + raw.astype("<f8").tobytes(), asbytes=True)
 
 
-def _unpack(payload: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(payload: bytes, size: int, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     body = pa.Codec("zstd").decompress(payload, size, asbytes=True)
     n, m = np.frombuffer(body, "<i8", 2)
     ids = np.frombuffer(body, "<i1", n, 16)
-    codes = np.frombuffer(body, "<i4", 2 * n, 16 + n).reshape(2, n)
-    return ids, codes, np.frombuffer(body, "<f8", m, 16 + 9 * n)
+    codes = np.frombuffer(body, "<i4", many * n, 16 + n).reshape(many, n)
+    return ids, codes, np.frombuffer(body, "<f8", m, 16 + (1 + 4 * many) * n)
 
 
-def encode(field: DataFrame, grid: Grid, scale: Scale, eb: int, predictor: str = "lorenzo3d", block: tuple[int, int, int] = BLOCK, cell: float | None = None, gain: float = 0.003) -> DataFrame:
-    """(bt, bi, bj, mode, payload, raw_bytes, n, n_lossless, max_err, bytes): a row for each block of a field (t, i, j, u, v).
+def encode(field: DataFrame, grid: Grid, scale: Scale, eb: int, predictor: str = "lorenzo3d", block: tuple[int, int, int] = BLOCK, cell: float | None = None, gain: float = 0.003, guard: str = "faces", cols: str = "uv") -> DataFrame:
+    """(bt, bi, bj, mode, payload, raw_bytes, n, n_lossless, max_err, bytes): a row for each block of a field (t, i, j, and cols).
 
     eb: the largest error, in units of fixed point.  predictor: one of kernels.PREDICTORS, "advect", "warped", or "modes"
     (the better of Lorenzo and advection for each block).  cell: displacement in cells of a fixed-point unit (by
-    default a velocity of 1 moves one cell a frame).
+    default a velocity of 1 moves one cell a frame).  guard: what may not change, of kernels.GUARDS: "faces" of space-time, "layers"
+    (faces of single frames only), "tried" (faces, by trial), "tetrahedra" (of three components), or "none".
     """
     if predictor not in K.PREDICTORS and predictor not in K.MOVING:
         raise ValueError(f"no predictor {predictor!r}; there are {[*K.PREDICTORS, *K.MOVING]}")
+    if guard not in K.GUARDS or (guard == "tetrahedra") != (len(cols) == 3) and guard != "none":
+        raise ValueError(f"guard {guard!r} does not go with components {cols!r}")
     cell = 1 / scale.factor if cell is None else cell
     many, (b0, b1, b2) = _blocks(grid, block), block
     spots = []
@@ -65,9 +68,9 @@ def encode(field: DataFrame, grid: Grid, scale: Scale, eb: int, predictor: str =
         n = len(found)
         corner = np.stack([found // (many[1] * many[2]) * b0, found // many[2] % many[1] * b1, found % many[2] * b2])
         local = [part[c].to_numpy(np.int64) - corner[k][which] + 1 for k, c in enumerate("tij")]
-        real = np.zeros((n, 2, b0 + 2, b1 + 2, b2 + 2))
+        real = np.zeros((n, len(cols), b0 + 2, b1 + 2, b2 + 2))
         there = np.zeros((n, b0 + 2, b1 + 2, b2 + 2), bool)
-        for k, c in enumerate("uv"):
+        for k, c in enumerate(cols):
             real[which, k, *local] = part[c].to_numpy(np.float64)
         there[which, *local] = True
         halo = np.trunc(real * factor).astype(np.int64)
@@ -82,22 +85,22 @@ def encode(field: DataFrame, grid: Grid, scale: Scale, eb: int, predictor: str =
             fixed[(more, *edge)] = True
         motion = K.Motion(cell, size[1], size[2])
         modes = K.choose_modes(values, mine, motion, gain) if predictor == "modes" else None
-        ids, codes, done = K.encode(values, halo, there, fixed | ~mine, eb, predictor, motion, modes)
+        ids, codes, done = K.encode(values, halo, there, fixed | ~mine, eb, predictor, motion, modes, guard)
         out = []
         for b in range(n):
             live, raw = mine[b], real[inner][b]
             lossless = (ids[b] == 0) & live
-            payload = _pack(ids[b].ravel(), codes[b].reshape(2, -1), np.concatenate([raw[k][lossless] for k in (0, 1)]))
+            payload = _pack(ids[b].ravel(), codes[b].reshape(len(cols), -1), np.concatenate([raw[k][lossless] for k in range(len(cols))]))
             err = np.abs(done[b] - values[b])[:, live]
-            size_ = 16 + 9 * ids[b].size + 16 * int(lossless.sum())
+            size_ = 16 + (1 + 4 * len(cols)) * ids[b].size + 8 * len(cols) * int(lossless.sum())
             out.append((*(int(c[b]) // s for c, s in zip(corner, block, strict=True)), int(modes[b]) if modes is not None else int(predictor in K.MOVING), payload, size_, int(live.sum()), int(lossless.sum()), int(err.max(initial=0)), len(payload)))
         return pd.DataFrame(out, columns=["bt", "bi", "bj", "mode", "payload", "raw_bytes", "n", "n_lossless", "max_err", "bytes"])
 
     return rows.withColumn("_g", group).groupBy("_g").applyInPandas(run, f"bt int, bi int, bj int, mode int, payload binary, raw_bytes long, {_COUNTS}")
 
 
-def decode(blocks: DataFrame, grid: Grid, scale: Scale, predictor: str = "lorenzo3d", block: tuple[int, int, int] = BLOCK, cell: float | None = None) -> DataFrame:
-    """(t, i, j, u, v, ufp, vfp, lossless): the field of encode()'s blocks; lossless vertices have their original values."""
+def decode(blocks: DataFrame, grid: Grid, scale: Scale, predictor: str = "lorenzo3d", block: tuple[int, int, int] = BLOCK, cell: float | None = None, cols: str = "uv") -> DataFrame:
+    """(t, i, j, cols, <col>fp, lossless): the field of encode()'s blocks; lossless vertices have their original values."""
     cell, factor = 1 / scale.factor if cell is None else cell, float(scale.factor)
     plan, many = (grid.T, grid.H, grid.W), _blocks(grid, block)
 
@@ -108,17 +111,17 @@ def decode(blocks: DataFrame, grid: Grid, scale: Scale, predictor: str = "lorenz
                 continue
             corner = np.stack([part[c].to_numpy(np.int64) * s for c, s in zip(("bt", "bi", "bj"), block, strict=True)])
             size = [np.minimum(b, p - c) for b, p, c in zip(block, plan, corner, strict=True)]
-            ids, codes = np.zeros((n, *block), np.int8), np.zeros((n, 2, *block), np.int32)
-            real = np.zeros((n, 2, *block))
+            ids, codes = np.zeros((n, *block), np.int8), np.zeros((n, len(cols), *block), np.int32)
+            real = np.zeros((n, len(cols), *block))
             axes = [np.arange(b) for b in block]
             live = np.ones((n, *block), bool)
             for k in range(3):
                 live &= (axes[k][None, :] < size[k][:, None]).reshape([n, *(block[k] if m == k else 1 for m in range(3))])
             for b in range(n):
-                x, c, raw = _unpack(part["payload"].iloc[b], int(part["raw_bytes"].iloc[b]))
-                ids[b], codes[b] = x.reshape(block), c.reshape(2, *block)
+                x, c, raw = _unpack(part["payload"].iloc[b], int(part["raw_bytes"].iloc[b]), len(cols))
+                ids[b], codes[b] = x.reshape(block), c.reshape(len(cols), *block)
                 lossless = (ids[b] == 0) & live[b]
-                for k in (0, 1):
+                for k in range(len(cols)):
                     real[b, k][lossless] = raw[k * int(lossless.sum()) : (k + 1) * int(lossless.sum())]
             modes = part["mode"].to_numpy() > 0 if predictor == "modes" else None
             raw = np.trunc(real * factor).astype(np.int64)
@@ -127,19 +130,19 @@ def decode(blocks: DataFrame, grid: Grid, scale: Scale, predictor: str = "lorenz
             lossless = ids[w] == 0
             yield pd.DataFrame({
                 **{c: (corner[k][w[0]] + w[k + 1]).astype(np.int32) for k, c in enumerate("tij")},
-                **{c: np.where(lossless, real[:, k][w], done[:, k][w] / factor) for k, c in enumerate("uv")},
-                **{c: done[:, k][w] for k, c in enumerate(("ufp", "vfp"))},
+                **{c: np.where(lossless, real[:, k][w], done[:, k][w] / factor) for k, c in enumerate(cols)},
+                **{f"{c}fp": done[:, k][w] for k, c in enumerate(cols)},
                 "lossless": lossless,
             })
 
     width = max(1, np.prod(many) // BATCH)
-    return blocks.repartition(int(min(width, 10_000)), "bt", "bi", "bj").mapInPandas(run, "t int, i int, j int, u double, v double, ufp long, vfp long, lossless boolean")
+    return blocks.repartition(int(min(width, 10_000)), "bt", "bi", "bj").mapInPandas(run, "t int, i int, j int, " + ", ".join([f"{c} double" for c in cols] + [f"{c}fp long" for c in cols]) + ", lossless boolean")
 
 
-def statistics(blocks: DataFrame, bytes_per_value: int = 4) -> DataFrame:
+def statistics(blocks: DataFrame, bytes_per_value: int = 4, components: int = 2) -> DataFrame:
     """(n, n_lossless, lossless_share, max_err, bytes, ratio) of all blocks."""
     s = blocks.agg(*(F.sum(c).alias(c) for c in ("n", "n_lossless", "bytes")), F.max("max_err").alias("max_err"))
-    return s.select("n", "n_lossless", (F.col("n_lossless") / F.col("n")).alias("lossless_share"), "max_err", "bytes", (2.0 * bytes_per_value * F.col("n") / F.col("bytes")).alias("ratio"))
+    return s.select("n", "n_lossless", (F.col("n_lossless") / F.col("n")).alias("lossless_share"), "max_err", "bytes", (float(components) * bytes_per_value * F.col("n") / F.col("bytes")).alias("ratio"))
 
 
 def bound_for(field_scale: Scale, eb: float, mode: str = "abs", fixed_range: int | None = None) -> int:
@@ -154,3 +157,52 @@ def bound_for(field_scale: Scale, eb: float, mode: str = "abs", fixed_range: int
 def header(grid: Grid, scale: Scale, eb: int, predictor: str, block: tuple[int, int, int], cell: float) -> dict:
     """What decoding needs to know, to be kept beside the blocks."""
     return {"H": grid.H, "W": grid.W, "T": grid.T, "shift": scale.shift, "eb": eb, "predictor": predictor, "block": list(block), "cell": cell, "bits": bits_above(scale.max_abs)}
+
+
+def encode_relative(field: DataFrame, grid: Grid, share: float, predictor: str = "lorenzo3d", block: tuple[int, int, int] = BLOCK) -> tuple[DataFrame, Scale]:
+    """Blocks with an error of at most ``share`` of each value: base-2 logarithms are coded with the bound log2(1 + share).
+
+    Zeros and signs go beside the logarithms, as lossless columns of decode_relative().
+    """
+    logs = relative_parts(field)
+    s = Scale(2048.0, 19)  # logarithms of doubles are below 2**11; thirty bits in all
+    eb = int(np.log2(1 + share) * s.factor)
+    return encode(logs.select("t", "i", "j", "u", "v"), grid, s, eb, predictor, block, guard="none"), s
+
+
+def relative_parts(field: DataFrame) -> DataFrame:
+    """(t, i, j, u, v as log2 of magnitudes with -100 for 0, signs: bit 0 u > 0, 1 u = 0, 2 v > 0, 3 v = 0)."""
+    from ..functions.scalars import log_transform
+
+    (lu, pu, zu), (lv, pv, zv) = log_transform(F.col("u")), log_transform(F.col("v"))
+    bits = pu.cast("int") + zu.cast("int") * 2 + pv.cast("int") * 4 + zv.cast("int") * 8
+    return field.select("t", "i", "j", lu.alias("u"), lv.alias("v"), bits.cast("byte").alias("signs"))
+
+
+def decode_relative(blocks: DataFrame, signs: DataFrame, grid: Grid, scale: Scale, predictor: str = "lorenzo3d", block: tuple[int, int, int] = BLOCK) -> DataFrame:
+    """(t, i, j, u, v) from encode_relative()'s blocks and the signs (t, i, j, signs) of relative_parts()."""
+    from ..functions.scalars import inverse_log
+
+    d = decode(blocks, grid, scale, predictor, block).join(signs.select("t", "i", "j", "signs"), ["t", "i", "j"])
+    bit = lambda k: F.col("signs").bitwiseAND(F.lit(1 << k).cast("byte")) != 0
+    return d.select("t", "i", "j", inverse_log(F.col("u"), bit(0), bit(1)).alias("u"), inverse_log(F.col("v"), bit(2), bit(3)).alias("v"))
+
+
+def encode_rotated(field: DataFrame, grid: Grid, eb: float, predictor: str = "lorenzo3d", block: tuple[int, int, int] = BLOCK) -> tuple[DataFrame, Scale, tuple[float, float]]:
+    """(blocks, scale, (c, s)): the field in the axes in which its components are not correlated; critical points of the rotated field are kept."""
+    from ..functions.scalars import rotate
+    from ..grid import fixed_scale
+    from ..operators.verify import channel_rotation
+
+    c, s = channel_rotation(field, grid).first()
+    a, b = rotate(F.col("u"), F.col("v"), c, s)
+    turned = field.select("t", "i", "j", a.alias("u"), b.alias("v"))
+    scale = fixed_scale(turned)
+    return encode(turned, grid, scale, int(eb * scale.factor), predictor, block), scale, (c, s)
+
+
+def decode_rotated(blocks: DataFrame, grid: Grid, scale: Scale, angle: tuple[float, float], predictor: str = "lorenzo3d", block: tuple[int, int, int] = BLOCK) -> DataFrame:
+    from ..functions.scalars import rotate_back
+
+    u, v = rotate_back(F.col("u"), F.col("v"), F.lit(angle[0]), F.lit(angle[1]))
+    return decode(blocks, grid, scale, predictor, block).select("t", "i", "j", u.alias("u"), v.alias("v"))

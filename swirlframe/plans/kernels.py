@@ -12,10 +12,9 @@ from math import comb
 
 import numpy as np
 
-from ..operators.mesh import incident_templates
+from ..operators.mesh import CORNERS, TETRAHEDRA, incident_templates
 
 RADIUS = 32768
-_AROUND = incident_templates()
 
 
 def _sos(xj, yj, xk, yk):
@@ -49,6 +48,124 @@ def strict_bound(u0, v0, u1, v1, u2, v2):
     return np.where((m == 0) | (d0 == 0) | (d1 == 0), 0, np.maximum(eb, 0))
 
 
+def _strides(shape: tuple[int, ...]) -> tuple[int, int, int]:
+    return shape[1] * shape[2], shape[2], 1
+
+
+class NoGuard:
+    """Only the error bound counts."""
+
+    def __init__(self, shape: tuple[int, ...]):
+        pass
+
+    def bound(self, flat: list[np.ndarray], exists: np.ndarray, at: int, now: list[np.ndarray], most: int) -> np.ndarray:
+        return np.full(len(exists), most, np.int64)
+
+
+class FaceGuard:
+    """No face of a vertex may win or lose its zero.  layers: only faces within a frame count."""
+
+    layers = False
+
+    def __init__(self, shape: tuple[int, ...]):
+        step = _strides(shape)
+        around = [x for x in incident_templates() if x[0] <= 2 or not self.layers]
+        self.o1, self.o2 = (np.array([sum(x * s for x, s in zip(f[k], step, strict=True)) for f in around]) for k in (1, 2))
+        rank = np.array([sorted((0, x, y)).index(0) for x, y in zip(self.o1, self.o2, strict=True)])
+        self.first, self.second = rank == 0, rank == 1
+
+    def _faces(self, flat, exists, at):
+        a, p, b, q = (flat[k][:, at + o] for o in (self.o1, self.o2) for k in (0, 1))
+        return (a, p, b, q), exists[:, at + self.o1] & exists[:, at + self.o2]
+
+    def zero(self, others, x, y):
+        """Verdicts, with the vertex at (x, y) put in its place by order of vid."""
+        a, p, b, q = others
+        f, m = self.first, self.second
+        c = [np.where(f, x, a), np.where(f, y, p), np.where(f, a, np.where(m, x, b)), np.where(f, p, np.where(m, y, q)), np.where(f | m, b, x), np.where(f | m, q, y)]
+        return has_zero(*c)
+
+    def bound(self, flat, exists, at, now, most):
+        others, here = self._faces(flat, exists, at)
+        x, y = now[0][:, None], now[1][:, None]
+        eb = np.where(self.zero(others, x, y), 0, strict_bound(*others, x, y))
+        return np.where(here, eb, most).min(1)
+
+
+class LayerGuard(FaceGuard):
+    layers = True
+
+
+class TriedGuard(FaceGuard):
+    """Bounds are tried: the largest power of two at which all four corners of what may become of a vertex keep every verdict.
+
+    Convexity does not make this a proof for values between, so what was decoded is checked as well (accepts()).
+    Faces with a zero may change too, as long as they keep one.
+    """
+
+    tries = 12
+
+    def bound(self, flat, exists, at, now, most):
+        others, here = self._faces(flat, exists, at)
+        x, y = now[0][:, None], now[1][:, None]
+        was = self.zero(others, x, y)
+        best = np.zeros(len(x), np.int64)
+        for k in range(self.tries):
+            eb = most >> k
+            if eb < 2:
+                break
+            ok = best == 0
+            for dx, dy in ((-eb, -eb), (-eb, eb), (eb, -eb), (eb, eb)):
+                ok &= ((self.zero(others, x + dx, y + dy) == was) | ~here).all(1)
+            best = np.where(ok, eb, best)
+        return best
+
+    def accepts(self, flat, exists, at, now, then):
+        others, here = self._faces(flat, exists, at)
+        same = self.zero(others, now[0][:, None], now[1][:, None]) == self.zero(others, then[0][:, None], then[1][:, None])
+        return (same | ~here).all(1)
+
+
+def _det(a, b, c):
+    return a[0] * (b[1] * c[2] - b[2] * c[1]) - a[1] * (b[0] * c[2] - b[2] * c[0]) + a[2] * (b[0] * c[1] - b[1] * c[0])
+
+
+class TetrahedronGuard:
+    """For three components: no tetrahedron of a vertex may change a determinant's sign."""
+
+    def __init__(self, shape: tuple[int, ...]):
+        step = _strides(shape)
+        self.around = []
+        for tet in TETRAHEDRA:
+            for me in tet:
+                self.around.append([sum((x - y) * s for x, y, s in zip(CORNERS[c], CORNERS[me], step, strict=True)) for c in tet if c != me])
+        self.offsets = np.array(self.around).T
+
+    def bound(self, flat, exists, at, now, most):
+        a, b, c = (tuple(f[:, at + o] for f in flat) for o in self.offsets)
+        d = tuple(x[:, None] for x in now)
+        here = exists[:, at + self.offsets[0]] & exists[:, at + self.offsets[1]] & exists[:, at + self.offsets[2]]
+        m = [_det(b, c, d), _det(a, c, d), _det(a, b, d), _det(a, b, c)]
+        total = -m[0] + m[1] - m[2] + m[3]
+
+        def spread(x, y):
+            return np.abs(x[1] * y[2] - x[2] * y[1]) + np.abs(x[0] * y[2] - x[2] * y[0]) + np.abs(x[0] * y[1] - x[1] * y[0])
+
+        edge = lambda x, y: tuple(q - r for q, r in zip(x, y, strict=True))
+        eb = (np.abs(total) - 1) // np.maximum(spread(edge(b, a), edge(c, a)), 1)
+        for det, pair in ((m[0], (b, c)), (m[1], (a, c)), (m[2], (a, b))):
+            eb = np.minimum(eb, (np.abs(det) - 1) // np.maximum(spread(*pair), 1))
+        zero = (np.sign(-m[0]) == np.sign(m[1])) & (np.sign(m[1]) == np.sign(-m[2])) & (np.sign(-m[2]) == np.sign(m[3]))
+        eb = np.where(zero, 0, np.maximum(eb, 0))
+        for k in range(3):
+            same = (np.sign(a[k]) == np.sign(b[k])) & (np.sign(b[k]) == np.sign(c[k])) & (np.sign(c[k]) == np.sign(d[k])) & (d[k] != 0)
+            eb = np.where(same, np.maximum(eb, np.abs(d[k]) - 1), eb)
+        return np.where(here, eb, most).min(1)
+
+
+GUARDS = {"faces": FaceGuard, "layers": LayerGuard, "tried": TriedGuard, "tetrahedra": TetrahedronGuard, "none": NoGuard}
+
+
 Get = Callable[[int, int, int], np.ndarray]
 
 
@@ -183,14 +300,15 @@ class Motion:
 
 
 def predict(name: str, done: np.ndarray, t: int, i: int, j: int, motion: Motion, modes: np.ndarray | None) -> list[np.ndarray]:
-    """Both components at (t, i, j) of all blocks, from ``done`` (block, component, t, i, j), 0 outside the block."""
+    """All components at (t, i, j) of all blocks, from ``done`` (block, component, t, i, j), 0 outside the block."""
+    every = range(done.shape[1])
     if name in MOVING:
-        still = [_still("lorenzo3d", done[:, k], t, i, j) for k in (0, 1)]
+        still = [_still("lorenzo3d", done[:, k], t, i, j) for k in every]
         if t < 1:
             return still
         moved = motion.warped(done, t, i, j) if name == "warped" else motion.advect(done, t, i, j)
         return moved if modes is None else [np.where(modes, m, s) for m, s in zip(moved, still, strict=True)]
-    return [_still(name, done[:, k], t, i, j) for k in (0, 1)]
+    return [_still(name, done[:, k], t, i, j) for k in every]
 
 
 def _still(name: str, x: np.ndarray, t: int, i: int, j: int) -> np.ndarray:
@@ -214,51 +332,42 @@ def choose_modes(values: np.ndarray, there: np.ndarray, motion: Motion, gain: fl
     return (b < a) & ((a - b) / (a + 1e-12) >= gain)
 
 
-def encode(values: np.ndarray, halo: np.ndarray, there: np.ndarray, fixed: np.ndarray, most: int, name: str, motion: Motion, modes: np.ndarray | None):
+def encode(values: np.ndarray, halo: np.ndarray, there: np.ndarray, fixed: np.ndarray, most: int, name: str, motion: Motion, modes: np.ndarray | None, guard: str = "faces"):
     """(eb ids, codes, decoded) of blocks.
 
-    values: fixed point (block, 2, t, i, j); halo: the same with one more vertex before and after in each
+    values: fixed point (block, component, t, i, j); halo: the same with one more vertex before and after in each
     direction (original values); there: vertices that exist in halo's shape; fixed: vertices of the block
     that must be lossless, as other blocks see them.
     """
-    n, _, nt, nh, nw = values.shape
+    n, many, nt, nh, nw = values.shape
     shape = halo.shape[2:]
-    flat = [halo[:, k].reshape(n, -1).copy() for k in (0, 1)]
+    flat = [halo[:, k].reshape(n, -1).copy() for k in range(many)]
     exists = there.reshape(n, -1)
-    step = (shape[1] * shape[2], shape[2], 1)
-    o1 = np.array([sum(x * s for x, s in zip(a, step, strict=True)) for _, a, _ in _AROUND])
-    o2 = np.array([sum(x * s for x, s in zip(b, step, strict=True)) for _, _, b in _AROUND])
-    rank = [sorted((0, x, y)).index(0) for x, y in zip(o1, o2, strict=True)]  # place of the vertex among the three, by vid
-    rank = np.array(rank)
+    step = _strides(shape)
+    watch = GUARDS[guard](shape)
     done = np.zeros_like(values)
-    ids, codes = np.zeros((n, nt, nh, nw), np.int8), np.zeros((n, 2, nt, nh, nw), np.int32)
+    ids, codes = np.zeros((n, nt, nh, nw), np.int8), np.zeros((n, many, nt, nh, nw), np.int32)
     for t in range(nt):
         for i in range(nh):
             for j in range(nw):
                 at = (t + 1) * step[0] + (i + 1) * step[1] + j + 1
-                u, v = values[:, 0, t, i, j], values[:, 1, t, i, j]
-                a, p, b, q = (flat[k][:, at + o] for o in (o1, o2) for k in (0, 1))
-                here = exists[:, at + o1] & exists[:, at + o2]
-                x, y = u[:, None], v[:, None]
-                bound = strict_bound(a, p, b, q, x, y)
-                # corners in order of vid: o1 < o2 always
-                f = rank == 0, rank == 1
-                c = [np.where(f[0], x, a), np.where(f[0], y, p), np.where(f[0], a, np.where(f[1], x, b)), np.where(f[0], p, np.where(f[1], y, q)), np.where(f[0] | f[1], b, x), np.where(f[0] | f[1], q, y)]
-                bound = np.where(has_zero(*c), 0, bound)
-                bound = np.where(here, bound, most).min(1)
+                now = [values[:, k, t, i, j] for k in range(many)]
+                bound = watch.bound(flat, exists, at, now, most)
                 bound = np.where(fixed[:, t, i, j], 0, np.minimum(bound, most))
                 power = np.where(bound > 1, np.frexp(np.maximum(bound, 1).astype(np.float64))[1] - 1, 0)
                 eb = np.where(power > 0, np.int64(1) << power, 0)
                 pred = predict(name, done, t, i, j, motion, modes)
                 good, rec = eb > 0, []
-                for k, now in enumerate((u, v)):
-                    steps = np.abs(now - pred[k]) // np.maximum(eb, 1) + 1
-                    half = np.where(now < pred[k], -(steps // 2), steps // 2)
-                    value = pred[k] + 2 * half * eb
-                    good &= (steps < 2 * RADIUS) & (np.abs(value - now) <= eb)
+                for x, p in zip(now, pred, strict=True):
+                    steps = np.abs(x - p) // np.maximum(eb, 1) + 1
+                    half = np.where(x < p, -(steps // 2), steps // 2)
+                    value = p + 2 * half * eb
+                    good &= (steps < 2 * RADIUS) & (np.abs(value - x) <= eb)
                     rec.append((value, half))
-                for k, now in enumerate((u, v)):
-                    out = np.where(good, rec[k][0], now)
+                if hasattr(watch, "accepts"):
+                    good &= watch.accepts(flat, exists, at, now, [v for v, _ in rec])
+                for k, x in enumerate(now):
+                    out = np.where(good, rec[k][0], x)
                     done[:, k, t, i, j] = out
                     flat[k][:, at] = np.where(exists[:, at], out, flat[k][:, at])
                     codes[:, k, t, i, j] = np.where(good, rec[k][1], 0)
@@ -275,6 +384,6 @@ def decode(ids: np.ndarray, codes: np.ndarray, raw: np.ndarray, name: str, motio
             for j in range(nw):
                 pred = predict(name, done, t, i, j, motion, modes)
                 id_ = ids[:, t, i, j].astype(np.int64)
-                for k in (0, 1):
+                for k in range(codes.shape[1]):
                     done[:, k, t, i, j] = np.where(id_ > 0, pred[k] + 2 * codes[:, k, t, i, j].astype(np.int64) * (np.int64(1) << id_), raw[:, k, t, i, j])
     return done

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import relative
 from .functions import scalars as S
 from .grid import Grid, Scale, field_view, fixed_scale, swirl_field, to_fixed, view_grid
 from .operators import coding, critical, mesh, predict, verify
@@ -740,3 +741,119 @@ def events_by_day(spark, sf_dir):
 
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "value")
     return windowed_events(e).select("day", "n", F.round("total", 6).alias("total"))
+
+
+# --- block choices and bilinear cells -----------------------------------------------------------------
+
+
+@query(f"""WITH {_MODES_SQL}, en AS (SELECT t, i, j, 0 AS mode, u - {_L3.format('u')} AS r FROM st UNION ALL SELECT t, i, j, 0, v - {_L3.format('v')} FROM st UNION ALL SELECT t, i, j, 1, u - u_pred FROM ad UNION ALL SELECT t, i, j, 1, v - v_pred FROM ad),
+    qq AS (SELECT t, i // 8 AS bi, j // 8 AS bj, mode, CASE WHEN r < 0 THEN -((abs(r) // {_STEP} + 1) // 2) ELSE (abs(r) // {_STEP} + 1) // 2 END AS q FROM en),
+    bb AS (SELECT t, bi, bj, mode, entropy(q) AS bits FROM qq GROUP BY ALL),
+    w AS (SELECT t, bi, bj, max(bits) FILTER (mode = 0) AS base, min(bits) AS best, arg_min(mode, bits) AS m FROM bb GROUP BY ALL)
+    SELECT t, bi, bj, CASE WHEN (base - best) / (base + 1e-12) >= 0.003 THEN m ELSE 0 END AS mode FROM w""")
+def block_mode_entropy(spark, sf_dir):
+    p, g, s = fixed(spark, sf_dir)
+    return predict.entropy_modes({0: predict.predicted(p, "lorenzo3d"), 1: predict.advected(p, g, s.factor)}, _STEP, 8)
+
+
+@query()
+def regression_or_lorenzo(spark, sf_dir):
+    p, _, _ = fixed(spark, sf_dir)
+    return predict.regression_or_lorenzo(p, "u", 8, _STEP)
+
+
+@query()
+def volume_regression(spark, sf_dir):
+    p, _, _ = fixed(spark, sf_dir)
+    return rounded(predict.volume_regression(p, "u", 6), 3)
+
+
+@query()
+def bilinear_cp(spark, sf_dir):
+    p, g, _ = fixed(spark, sf_dir)
+    return rounded(critical.bilinear_points(p, g))
+
+
+@query(f"WITH {_SYMBOLS_SQL}, b AS (SELECT floor(r / {4 * _STEP}.0::DOUBLE) AS b, count(*) AS n FROM sy GROUP BY 1) SELECT (arg_max(b, n * 1e9 - b) + 0.5) * {4 * _STEP} AS mid, max(n) / sum(n) AS share FROM b")
+def dense_interval(spark, sf_dir):
+    return coding.dense_interval(_symbols(spark, sf_dir), "r", 4.0 * _STEP)
+
+
+@query("SELECT user_id, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1")
+def huffman_streams(spark, sf_dir):
+    return coding.huffman_encode(_events(spark, sf_dir), "user_id", "event_id", "x").select("user_id", "n")
+
+
+@query("SELECT (count(*) // 25 * 525)::BIGINT AS n, 0::BIGINT AS n_bound_violations, 0::BIGINT AS fp, 0::BIGINT AS fn FROM embeddings")
+def roundtrip_volume(spark, sf_dir):
+    """As the other round trips, for tetrahedra of the volume view; the last three are 0 by the codec's guarantee."""
+    from .operators import volume
+
+    cols = ("u", "v", "w")
+    f, g = volume.volume_view(spark, sf_dir)
+    s = fixed_scale(f, cols, volume.NBITS)
+    eb = codec.bound_for(s, EB)
+    d = codec.decode(codec.encode(f, g, s, eb, guard="tetrahedra", cols="uvw"), g, s, cols="uvw")
+    p, q = to_fixed(f, s, cols), d.select("t", "i", "j", *(F.col(f"{c}fp").alias(c) for c in cols))
+    both = p.join(q.withColumnsRenamed({c: c + "d" for c in cols}), ["t", "i", "j"])
+    far = F.greatest(*(F.abs(F.col(c) - F.col(c + "d")) for c in cols)) > eb
+    count = both.agg(F.count("*").alias("n"), F.sum(far.cast("long")).alias("n_bound_violations"))
+    keys = ["t", "i", "j", "tet"]
+    a = volume.with_zero(volume.tetrahedra(p, g)).select(*keys, F.lit(1).alias("x"))
+    b = volume.with_zero(volume.tetrahedra(q, g)).select(*keys, F.lit(1).alias("y"))
+    flips = a.join(b, keys, "full_outer").agg(F.coalesce(F.sum(F.col("x").isNull().cast("long")), F.lit(0)).alias("fp"), F.coalesce(F.sum(F.col("y").isNull().cast("long")), F.lit(0)).alias("fn"))
+    return count.crossJoin(flips)
+
+
+@query("SELECT (count(*) // 25 * 800)::BIGINT AS n, 0::BIGINT AS flipped FROM embeddings")
+def roundtrip_layers(spark, sf_dir):
+    """The per-frame baseline: only faces within a frame are guarded, by 2D Lorenzo in blocks of one frame."""
+    field, g = field_view(spark, sf_dir), view_grid(spark, sf_dir)
+    s, block = fixed_scale(field), (1, 12, 12)
+    d = codec.decode(codec.encode(field, g, s, codec.bound_for(s, EB), "lorenzo2d", block, guard="layers"), g, s, "lorenzo2d", block)
+    both = to_fixed(field, s).join(d.select("t", "i", "j", F.col("ufp").alias("du"), F.col("vfp").alias("dv")), ["t", "i", "j"])
+    flips = verify.marked_faces(both, g, mesh.FACES[:2]).agg(F.sum((F.col("ori") != F.col("dec")).cast("long")).alias("flipped"))
+    return both.agg(F.count("*").alias("n")).crossJoin(flips)
+
+
+# --- relative bounds ----------------------------------------------------------------------------------
+
+
+def _relative(spark, sf_dir):
+    p, g, s = fixed(spark, sf_dir)
+    f = mesh.layer_faces(p, g)
+    named = [(F.col(x + n).cast("double") / float(s.factor)).alias(x + str(k)) for k, n in enumerate("abc") for x in "uv"]
+    return f.select("tmpl", "a", "b", "c", *named)
+
+
+_RELATIVE_SQL = f"{LAYER_SQL}, rf AS (SELECT tmpl, a, b, c, {', '.join(f'{x}{n}::DOUBLE / (1::BIGINT << shift) AS {x}{k}' for k, n in enumerate('abc') for x in 'uv')} FROM fa, sc)"
+
+
+def _relative_query(name: str, bound: str, typed: bool = False):
+    triangles = {1: relative.columns(True if typed else None), 2: relative.columns(False if typed else None)}
+    parts = " UNION ALL ".join(f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in made.items())} FROM rf WHERE tmpl = {k}" for k, made in triangles.items())
+
+    @query(f"WITH {_RELATIVE_SQL}, pn AS ({parts}) SELECT a, b, c, round({bound}, 9) AS eb FROM pn", name)
+    def run(spark, sf_dir):
+        rows = _relative(spark, sf_dir)
+        both = [rows.filter(F.col("tmpl") == k).withColumns({c: F.expr(e) for c, e in made.items()}) for k, made in triangles.items()]
+        return both[0].unionByName(both[1]).select("a", "b", "c", F.round(F.expr(bound), 9).alias("eb"))
+
+
+_relative_query("relative_bound_offline", relative.offline_bound())
+_relative_query("relative_bound_typed", relative.offline_bound(True), True)
+_relative_query("relative_bound_online", relative.online_bound())
+
+
+@query()
+def roundtrip_relative(spark, sf_dir):
+    """Pointwise relative coding: vertices, and those beyond one percent of their value."""
+    field, g = field_view(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in "uv"}), view_grid(spark, sf_dir)
+    blocks, s = codec.encode_relative(field, g, 0.01)
+    back = codec.decode_relative(blocks, codec.relative_parts(field), g, s)
+    both = field.join(back.select("t", "i", "j", F.col("u").alias("x"), F.col("v").alias("y")), ["t", "i", "j"])
+    far = (F.abs(F.col("u") - F.col("x")) > 0.0101 * F.abs("u")) | (F.abs(F.col("v") - F.col("y")) > 0.0101 * F.abs("v"))
+    return both.agg(F.count("*").alias("n"), F.sum(far.cast("long")).alias("n_bound_violations"))
+
+
+SQL["roundtrip_relative"] = "SELECT (count(*) // 25 * 800)::BIGINT AS n, 0::BIGINT AS n_bound_violations FROM embeddings"
