@@ -85,7 +85,7 @@ def quantize_bound(eb: Column) -> tuple[Column, Column]:
 def quantize_bound_offset(eb: Column, threshold: int = 1) -> tuple[Column, Column]:
     """(id from 1, bound): as quantize_bound() in multiples of a threshold; smaller bounds become the threshold; saturates at 63."""
     top = (1 << 63) - 1
-    q = F.greatest(F.floor(eb / F.lit(threshold)).cast("long"), F.lit(1).cast("long"))
+    q = F.greatest(_div(eb, F.lit(threshold).cast("long")), F.lit(1).cast("long"))
     id_ = F.when(eb <= threshold, F.lit(1)).otherwise(F.when(bit_length(q) >= 63, 63).otherwise(bit_length(q)))
     return id_, bound_of_offset(id_, threshold) if threshold == 1 else F.when(id_ >= 63, F.lit(top)).otherwise(F.call_function("shiftleft", F.lit(threshold).cast("long"), id_ - 1))
 
