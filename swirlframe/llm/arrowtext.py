@@ -40,7 +40,7 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - (offs[0] if len(offs) else 0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of at most ``most`` bytes of text (or one row)."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -103,6 +103,30 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
+def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """As shingle_hashes(), for large k: differences of a running polynomial sum, whatever k is."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    base, inverse = _C1 | np.uint64(1), np.uint64(pow(int(_C1 | np.uint64(1)), -1, 1 << 64))
+    power = np.full(len(words), base)
+    power[0] = 1
+    back = np.full(n, inverse)
+    back[0] = 1
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * np.cumprod(power))])
+    return mix((total[k:] - total[:n]) * np.cumprod(back))
+
+
+def sliding(values: np.ndarray, k: int, best) -> np.ndarray:
+    """best (np.minimum or np.maximum) of every k consecutive values."""
+    have = 1
+    while have < k:
+        step = min(have, k - have)
+        values = best(values[: len(values) - step], values[step:])
+        have += step
+    return values
+
+
 def row_shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): each row's k-word shingles; a row of fewer words, but not none, is one shingle."""
     count = np.diff(first)

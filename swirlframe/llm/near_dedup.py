@@ -212,7 +212,7 @@ class Questions:
         starts, ends, first = X.find_words(data, offs, self.table)
         return distinct_shingles(X.word_hashes(data, starts, ends), first, self.k)
 
-    def answers(self, texts, percent: int, most: int = 2_000_000) -> Iterator[tuple[int, int, float]]:
+    def answers(self, texts, percent: int, most: int = 500_000) -> Iterator[tuple[int, int, float]]:
         """(row, question, similarity) of all pairs that reach ``percent``; at most ``most`` counts (or a row's) at a time."""
         h, first = self.shingles(texts)
         if not len(self.keys) or not len(h):

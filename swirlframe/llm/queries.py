@@ -132,7 +132,10 @@ SQL = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
-    "op10_substring_dedup": f"""
+}
+
+#: The paragraphs among the rows of op10_substring_dedup; which windows are chosen depends on hashes, so tests hold the others against brute force.
+PARAGRAPHS_SQL = f"""
         WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
         k AS (SELECT doc_id, unnest(range(0, len(ls))) AS para, unnest(ls) AS body FROM l),
         w AS (SELECT doc_id, para, {_SPACED.format("body")} AS ws FROM k),
@@ -145,5 +148,4 @@ SQL = {
         reach(id, to_) AS (SELECT a, b FROM both_ UNION SELECT r.id, x.b FROM reach r JOIN both_ x ON r.to_ = x.a),
         c AS (SELECT id, least(id, min(to_)) AS low FROM reach GROUP BY id)
         SELECT id[1] AS doc_id, id[2] AS para, n AS n_shingles, low[1] AS component_doc, low[2] AS component_para, id <> low AS removed
-        FROM c JOIN n USING (id)""",
-}
+        FROM c JOIN n USING (id)"""

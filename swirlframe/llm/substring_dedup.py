@@ -5,21 +5,33 @@ over five-word shingles are tuned for recall: at a similarity of 0.8 a pair shar
 with probability (1 - 0.8**ROWS)**BANDS = 6e-7.  Colliding paragraphs are joined, checked by
 exact Jaccard similarity of their shingles, and clustered by components.  The first paragraph of
 a component stays.
+
+A passage within longer lines has no border of its own.  For these, windows of WINDOW words are
+paragraphs too, chosen by their content (winnowing, Schleimer et al. 2003): of every REACH
+consecutive windows the one with the smallest hash.  So any run of WINDOW + REACH - 1 = 51 words that
+two documents share has a chosen window in both.  Windows match if they are equal: their
+similarity is 1 and all bands would be the same, so one 96-bit hash stands for the bands.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import arrowtext as X
 from .near_dedup import SKETCH, link_components, node_pairs, signatures
 from .shared import cut, fresh, sized, without, written
 
 BANDS, ROWS, LEAST = 14, 2, 40
+WINDOW, REACH = 38, 14
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, k: int = 5, percent: int = 80) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per paragraph that repeats: id, para (line from 0), n_shingles, component_doc, component_para, removed.
 
     Words are runs without ASCII white space, A-Z lower-cased.  component_* is the first paragraph
@@ -47,11 +59,84 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out.select(F.col("id.doc").alias(id_col), F.col("id.para").cast("long").alias("para"), F.col("n").alias("n_shingles"), F.col("component.doc").alias("component_doc"), F.col("component.para").cast("long").alias("component_para"), (F.col("id") != F.col("component")).alias("removed"))
 
 
+def chosen_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, at, h, g): places (in words from 0) and hashes of the chosen windows of all documents with an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in X.slices(batches, "_text"):
+            data, offs = X.flat(part.column(1))
+            data = X.LOWER[data]
+            starts, ends, first = X.find_words(data, offs, X.NONSPACE)
+            h = X.window_hashes(X.word_hashes(data, starts, ends), WINDOW)
+            if len(h) < 1:
+                continue
+            # the smallest of REACH windows is smallest in some REACH windows that hold it; beyond the ends nothing is smaller
+            edge = np.full(REACH - 1, ~np.uint64(0))
+            low = X.sliding(np.concatenate([edge, h, edge]), REACH, np.minimum)
+            chosen = X.sliding(low, REACH, np.maximum) == h
+            at = np.flatnonzero(chosen)
+            row = np.searchsorted(first, at, side="right") - 1
+            inside = at + WINDOW <= first[row + 1]
+            at, row = at[inside], row[inside]
+            hashes = h[at]
+            second = X.mix(X.window_hashes(X.mix(X.word_hashes(data, starts, ends) ^ X._C3), WINDOW)[at])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array((at - first[row]).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array((second >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["doc", "at", "h", "g"])
+
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("at", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("g", T.IntegerType())]))
+
+
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per run of words that chosen windows shared with another document cover: id, first_word, n_words, component_doc, removed.
+
+    component_doc is the smallest id that shares one of the run's windows; the run is removed if that is
+    another document.  Runs of 51 words or more that two documents share are always covered in part; of runs of 38 to
+    50 words only some.  Null texts and ids have none, and rows of one id are one document.
+    """
+    windows = chosen_windows(docs, id_col, text_col)
+    keys = cut(windows.groupBy("h", "g").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").select("h", "g", "low"))
+    shared = cut(windows.join(sized(keys), ["h", "g"]).select("doc", "at", "low").distinct())
+    order = Window.partitionBy("doc").orderBy("at")
+    new = F.coalesce(F.col("at") > F.lag("at").over(order) + WINDOW, F.lit(True)).cast("int")
+    runs = shared.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = runs.groupBy("doc", "_run").agg(F.min("at").cast("long").alias("first_word"), (F.max("at") + WINDOW - F.min("at")).cast("long").alias("n_words"), F.min("low").alias("component_doc"))
+    return merged.select(F.col("doc").alias(id_col), "first_word", "n_words", "component_doc", (F.col("doc") != F.col("component_doc")).alias("removed"))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+    """Both: id, kind ("paragraph" or "passage"), first (line or word, from 0), length (lines or words), component_doc, removed."""
+    lines = repeated_paragraphs(docs, id_col, text_col, least)
+    words = repeated_windows(docs, id_col, text_col)
+    one = lines.select(id_col, F.lit("paragraph").alias("kind"), F.col("para").alias("first"), F.lit(1).cast("long").alias("length"), "component_doc", "removed")
+    return one.unionByName(words.select(id_col, F.lit("passage").alias("kind"), F.col("first_word").alias("first"), F.col("n_words").alias("length"), "component_doc", "removed"))
+
+
+def _without_spans(text: str, lines: list[int], runs: list[tuple[int, int]]) -> str:
+    """The text without some lines, and without some runs of words (first, number) and what is between their words."""
+    body = text.encode()
+    starts, ends, _ = X.find_words(np.frombuffer(body, np.uint8), np.array([0, len(body)]), X.NONSPACE)
+    gone = np.zeros(len(body) + 1, bool)
+    for first, n in runs:
+        gone[starts[first] : ends[first + n - 1]] = True
+    at, kept = 0, []
+    for k, line in enumerate(body.split(b"\n")):
+        if k not in lines:
+            kept.append(np.frombuffer(line, np.uint8)[~gone[at : at + len(line)]].tobytes())
+        at += len(line) + 1
+    return b"\n".join(kept).decode()
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """docs without the removed paragraphs of repeated_passages(); other columns, and other texts, stay as they are."""
+    """docs without what repeated_passages() removes; other columns, and other texts, stay as they are."""
     key, name = fresh(docs, "_id"), fresh(docs, "_gone")
-    gone = repeated_passages(docs, id_col, text_col, least).filter("removed").groupBy(F.col(id_col).alias(key)).agg(F.collect_set("para").alias(name))
-    gone = cut(gone)  # a document's list is no longer than its lines
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains(name, i.cast("long")))
-    text = F.when(F.col(name).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return docs.join(sized(gone, weight=F.size(name)), F.col(id_col) == F.col(key), "left").withColumn(text_col, text).select(docs.columns)
+    found = repeated_passages(docs, id_col, text_col, least).filter("removed")
+    gone = cut(found.groupBy(F.col(id_col).alias(key)).agg(F.collect_set(F.struct("kind", "first", "length")).alias(name)))  # no longer than a document
+
+    @F.pandas_udf("string")
+    def shortened(text, spans):
+        import pandas as pd
+
+        return pd.Series([x if s is None or x is None else _without_spans(x, {y["first"] for y in s if y["kind"] == "paragraph"}, [(y["first"], y["length"]) for y in s if y["kind"] == "passage"]) for x, s in zip(text, spans, strict=True)])
+
+    both = docs.join(sized(gone, weight=F.size(name)), F.col(id_col) == F.col(key), "left")
+    return both.withColumn(text_col, F.when(F.col(name).isNull(), F.col(text_col)).otherwise(shortened(F.col(text_col), F.col(name)))).select(docs.columns)

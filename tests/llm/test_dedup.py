@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from swirlframe.llm import near_dedup as nd
 from swirlframe.llm.exact_dedup import exact_dedup, exact_groups
 from swirlframe.llm.line_dedup import line_dedup, repeated_lines
-from swirlframe.llm.substring_dedup import repeated_passages, substring_dedup
+from swirlframe.llm.substring_dedup import repeated_paragraphs, repeated_passages, repeated_windows, substring_dedup
 
 
 def test_exact_groups_of_odd_rows(spark):
@@ -103,7 +103,7 @@ def test_repeated_passages(spark):
     p, q, r, short = prose(rng, 60), prose(rng, 80), prose(rng, 55), prose(rng, 12)
     near_p = edited(rng, p, 0.03)
     rows = [(1, f"{short}\n{p}\n{short}"), (2, f"{q}\n{near_p}"), (3, f"{short}\n{r}"), (4, f"{p}"), (5, None), (None, p), (6, ""), (7, f"{q}\n{q}"), (9, r), (9, r)]
-    got = {(x.doc_id, x.para): (x.component_doc, x.component_para, x.removed) for x in repeated_passages(docs(spark, rows)).collect()}
+    got = {(x.doc_id, x.para): (x.component_doc, x.component_para, x.removed) for x in repeated_paragraphs(docs(spark, rows)).collect()}
     want = near({(i, k): line for i, t in dict(rows).items() if i is not None and t for k, line in enumerate(t.split("\n")) if len(line.split()) >= 40}, 5)
     sizes = {}
     for c in want.values():
@@ -111,4 +111,41 @@ def test_repeated_passages(spark):
     assert got == {x: (*c, x != c) for x, c in want.items() if sizes[c] > 1}
     d = docs(spark, rows).withColumn("_id", F.lit(1)).withColumn("_gone", F.lit(2))
     out = {x.doc_id: x.text for x in substring_dedup(d).collect()}
-    assert out[1] == rows[0][1] and out[4] == "" and out[5] is None and out[None] == p and out[7] == ""
+    assert out[1] == rows[0][1] and out[4] == "" and out[5] is None and out[None] == p
+    assert substring_dedup(d).columns == d.columns
+
+
+def _common_runs(a, b, n):
+    """Places in a of runs of n words that b has too."""
+    have = {tuple(b[k : k + n]) for k in range(len(b) - n + 1)}
+    return {k for k in range(len(a) - n + 1) if tuple(a[k : k + n]) in have}
+
+
+def test_passages_within_lines(spark):
+    rng = random.Random(12)
+    shared = [prose(rng, n).split(" ") for n in (51, 60, 120, 30, 37)]
+    texts = {}
+    for k in range(40):
+        w = prose(rng, rng.randint(5, 90)).split(" ")
+        if k % 3:
+            at = rng.randint(0, len(w))
+            w[at:at] = shared[k % 5]
+        texts[k] = " ".join(w)
+    rows = [*texts.items(), (7, texts[7]), (100, None), (None, texts[1]), (101, ""), (102, "la " * 90)]
+    got = {}
+    for r in repeated_windows(docs(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.first_word, r.n_words, r.component_doc, r.removed))
+    words = {i: t.split(" ") for i, t in texts.items()}
+    for i, w in words.items():
+        long_, short = set(), set()
+        for m, other in words.items():
+            if m != i:
+                long_ |= _common_runs(w, other, 51)
+                short |= _common_runs(w, other, 38)
+        covered = {k for first, n, _, _ in got.get(i, []) for k in range(first, first + n)}
+        assert all(covered & set(range(k, k + 51)) for k in long_)
+        assert covered <= {k + m for k in short for m in range(38)}
+    assert not {100, 101, 102, None} & set(got)
+    out = {r.doc_id: r.text for r in substring_dedup(docs(spark, rows)).collect()}
+    firsts = {i for i, runs in got.items() if not any(x[3] for x in runs)}
+    assert all(out[i] == texts[i] for i in texts if i in firsts or i not in got) and all(len(out[i]) < len(texts[i]) for i in got if i not in firsts)

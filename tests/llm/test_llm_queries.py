@@ -12,3 +12,9 @@ def test_query(spark, duck, name):
     assert rows
     if name in q.SQL:
         assert (cols, rows) == duck(q.SQL[name])
+
+
+def test_paragraphs(spark, duck):
+    from swirlframe.llm.substring_dedup import repeated_paragraphs
+
+    assert spark_rows(repeated_paragraphs(q.table(spark, SF, "documents"))) == duck(q.PARAGRAPHS_SQL)
