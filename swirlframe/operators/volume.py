@@ -148,3 +148,20 @@ def unstructured(tets: DataFrame, data: DataFrame) -> DataFrame:
     at = lambda c, k: F.max(F.when(F.col("pos") == k, F.col(c)))
     cols = [at("pid", k).alias(n) for k, n in enumerate(VERTICES)] + [at(x, k).alias(x + n) for k, n in enumerate(VERTICES) for x in "uvw"]
     return both.groupBy("tid").agg(*cols)
+
+
+def vertex_bounds(tets: DataFrame, most: int) -> DataFrame:
+    """(pid, required_eb): how far each vertex of tetrahedra (a .. d, ua .. wd) alone may move with all their determinants' signs unchanged.
+
+    At most ``most``; 0 where one of its tetrahedra holds a zero.  Of grids and unstructured meshes alike.
+    """
+    m = weights(_vectors())
+    zero = ((m[0] > 0) & (m[1] > 0) & (m[2] > 0) & (m[3] > 0)) | ((m[0] < 0) & (m[1] < 0) & (m[2] < 0) & (m[3] < 0))
+    marked = tets.withColumn("zero", zero)
+    roles = []
+    for me in VERTICES:
+        order = [n for n in VERTICES if n != me] + [me]
+        roles.append(F.struct(F.col(me).alias("pid"), "zero", *(F.col(x + old).alias(x + new) for new, old in zip(VERTICES, order, strict=True) for x in "uvw")))
+    rows = marked.select(F.explode(F.array(*roles)).alias("r")).select("r.*")
+    eb = F.when(F.col("zero"), F.lit(0).cast("long")).otherwise(tetrahedron_bound())
+    return rows.select("pid", eb.alias("eb")).groupBy("pid").agg(F.least(F.min("eb"), F.lit(most).cast("long")).alias("required_eb"))

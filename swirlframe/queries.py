@@ -190,12 +190,9 @@ def vertex_ids(spark, sf_dir):
     return back.select("vid", t.cast("int").alias("t"), i.cast("int").alias("i"), j.cast("int").alias("j"))
 
 
-@query(f"WITH {FIELD} SELECT a.vid, b.vid AS other FROM p a JOIN p b ON abs(a.t - b.t) + abs(a.i - b.i) + abs(a.j - b.j) = 1 AND b.t BETWEEN a.t - 1 AND a.t + 1 AND b.i BETWEEN a.i - 1 AND a.i + 1 WHERE a.t < 4 AND b.t < 4")
+@query(f"WITH {FIELD} SELECT a.vid, b.vid AS other FROM p a CROSS JOIN (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) o(x, y, z) JOIN p b ON b.t = a.t + x AND b.i = a.i + y AND b.j = a.j + z")
 def adjacent_vertices(spark, sf_dir):
-    """Of the first four frames, as a field of its own."""
-    g = view_grid(spark, sf_dir)
-    first = Grid(g.H, g.W, min(g.T, 4))
-    return mesh.adjacent_vertices(first, field_view(spark, sf_dir).filter("t < 4"))
+    return mesh.adjacent_vertices(view_grid(spark, sf_dir), field_view(spark, sf_dir))
 
 
 # --- faces and critical points ------------------------------------------------------------------------
@@ -556,43 +553,60 @@ def recorded_faces(spark, sf_dir):
 # --- trajectories -------------------------------------------------------------------------------------
 
 
+def _tet_sides_sql() -> str:
+    """fz (tet, face): the zero faces of each tetrahedron, of the faces fa of p."""
+    sides = [(k, [tet[m] for m in range(4) if m != left_out]) for k, tet in enumerate(mesh.TETRAHEDRA) for left_out in range(4)]
+    rows = ", ".join(f"({k}, {', '.join(str(x) for c in abc for x in mesh.CORNERS[c])})" for k, abc in sides)
+    joins = " ".join(f"JOIN p q{n} ON q{n}.t = o.t + {n}t AND q{n}.i = o.i + {n}i AND q{n}.j = o.j + {n}j" for n in "xyz")
+    return f"""z AS (SELECT vid * 12 + tmpl - 1 AS face, a, b, c FROM fa WHERE {ZERO}),
+    ts(tet, {", ".join(n + k for n in "xyz" for k in "tij")}) AS (VALUES {rows}),
+    sd AS (SELECT o.vid * 6 + tet AS tet, qx.vid AS a, qy.vid AS b, qz.vid AS c FROM p o CROSS JOIN ts {joins}
+           WHERE o.t < (SELECT max(t) FROM p) AND o.i < (SELECT max(i) FROM p) AND o.j < (SELECT max(j) FROM p)),
+    fz AS (SELECT tet, face FROM sd JOIN z USING (a, b, c)),
+    lk AS (SELECT DISTINCT x.face AS x, y.face AS y FROM fz x JOIN fz y ON x.tet = y.tet AND x.face < y.face)"""
+
+
+_COMPONENTS_SQL = """w AS (SELECT x, y FROM lk UNION ALL SELECT y, x FROM lk),
+    cc(id, component) USING KEY (id) AS (SELECT face, face FROM z
+        UNION (SELECT u.id, min(v.component) FROM recurring.cc u JOIN w ON w.x = u.id JOIN cc v ON v.id = w.y WHERE v.component < u.component GROUP BY u.id))
+    SELECT component, count(*) AS n_faces FROM cc GROUP BY 1"""
+
+
 def _swirl(spark):
     f = swirl_field(spark, SWIRL, "focus")
     return to_fixed(f, fixed_scale(f)), SWIRL
 
 
-_SW = f"{_swirl_sql(SWIRL.H, SWIRL.W, SWIRL.T)}, {_faces_sql()}, z AS (SELECT vid * 12 + tmpl - 1 AS face, a, b, c FROM fa WHERE {ZERO})"
-# two faces share a tetrahedron if their corners span four vertices that form a chain
-_LINKS = f"""lk AS (SELECT x.face AS x, y.face AS y FROM z x JOIN z y ON x.face < y.face WHERE len(list_distinct([x.a, x.b, x.c, y.a, y.b, y.c])) = 4),
-    q AS (SELECT x, y, list_sort(list_distinct([zx.a, zx.b, zx.c, zy.a, zy.b, zy.c])) AS s FROM lk JOIN z zx ON zx.face = x JOIN z zy ON zy.face = y),
-    d AS (SELECT x, y, list_transform([2, 3, 4], lambda k: s[k] // {SWIRL.plane} - s[1] // {SWIRL.plane}) AS dt, list_transform([2, 3, 4], lambda k: s[k] // {SWIRL.W} % {SWIRL.H} - s[1] // {SWIRL.W} % {SWIRL.H}) AS di, list_transform([2, 3, 4], lambda k: s[k] % {SWIRL.W} - s[1] % {SWIRL.W}) AS dj FROM q),
-    e AS (SELECT x, y FROM d WHERE list_max(dt) <= 1 AND list_min(dt) >= 0 AND list_max(di) <= 1 AND list_min(di) >= 0 AND list_max(dj) <= 1 AND list_min(dj) >= 0
-            AND dt[1] <= dt[2] AND dt[2] <= dt[3] AND di[1] <= di[2] AND di[2] <= di[3] AND dj[1] <= dj[2] AND dj[2] <= dj[3])"""
+def _zero(spark, sf_dir):
+    p, g, _ = fixed(spark, sf_dir)
+    return mesh.zero_faces(p, g), g
 
 
-@query(f"WITH {_SW}, {_LINKS} SELECT x, y FROM e")
+@query(f"WITH {FACES_SQL}, {_tet_sides_sql()} SELECT x, y FROM lk")
 def cp_links(spark, sf_dir):
-    p, g = _swirl(spark)
-    return critical.zero_graph(mesh.zero_faces(p, g), g)
+    return critical.zero_graph(*_zero(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {_SW}, {_LINKS}, w AS (SELECT x, y FROM e UNION SELECT y, x FROM e), reach(id, to_) AS (SELECT face, face FROM z UNION SELECT r.id, w.y FROM reach r JOIN w ON r.to_ = w.x)
-    SELECT low AS component, count(*) AS n_faces FROM (SELECT id, min(to_) AS low FROM reach GROUP BY id) GROUP BY 1""")
+@query(f"WITH RECURSIVE {FACES_SQL}, {_tet_sides_sql()}, {_COMPONENTS_SQL}")
 def cp_components(spark, sf_dir):
+    return critical.zero_components(*_zero(spark, sf_dir)).groupBy("component").agg(F.count("*").alias("n_faces"))
+
+
+@query(f"WITH RECURSIVE {_swirl_sql(SWIRL.H, SWIRL.W, SWIRL.T)}, {_faces_sql()}, {_tet_sides_sql()}, {_COMPONENTS_SQL}")
+def swirl_components(spark, sf_dir):
+    """Of an analytic field with one moving critical point."""
     p, g = _swirl(spark)
     return critical.zero_components(mesh.zero_faces(p, g), g).groupBy("component").agg(F.count("*").alias("n_faces"))
 
 
 @query()
 def cp_curves(spark, sf_dir):
-    p, g = _swirl(spark)
-    return rounded(critical.curves(mesh.zero_faces(p, g), g))
+    return rounded(critical.curves(*_zero(spark, sf_dir)))
 
 
 @query()
 def cp_ordered_curves(spark, sf_dir):
-    p, g = _swirl(spark)
-    return rounded(critical.speed(critical.ordered_curves(mesh.zero_faces(p, g), g)))
+    return rounded(critical.speed(critical.ordered_curves(*_zero(spark, sf_dir))))
 
 
 # --- coding -------------------------------------------------------------------------------------------
@@ -857,3 +871,29 @@ def roundtrip_relative(spark, sf_dir):
 
 
 SQL["roundtrip_relative"] = "SELECT (count(*) // 25 * 800)::BIGINT AS n, 0::BIGINT AS n_bound_violations FROM embeddings"
+
+
+def _volume_bound_sql() -> str:
+    body = _tet_bound_sql()
+    cte, final = body[: body.index("sd AS (SELECT")], body[body.index("sd AS (SELECT") :]
+    roles = []
+    for me in "abcd":
+        order = [n for n in "abcd" if n != me] + [me]
+        det = lambda *k: "(u{0} * (v{1} * w{2} - w{1} * v{2}) - v{0} * (u{1} * w{2} - w{1} * u{2}) + w{0} * (u{1} * v{2} - v{1} * u{2}))".format(*k)
+        p, q, r, s = order
+        names = ", ".join(f"{x}{old} AS {x}{new}" for new, old in zip("abcd", order, strict=True) for x in "uvw")
+        roles.append(f"SELECT {me} AS vid, {_IN} AS zero, {names}, -{det(q, r, s)} AS m0, {det(p, r, s)} AS m1, -{det(p, q, s)} AS m2, {det(p, q, r)} AS m3 FROM mm")
+    final = final.replace("FROM mm)", "FROM rl)").replace("SELECT t, i, j, tet, CASE", "SELECT vid, zero, CASE")
+    final = final.replace("\n    SELECT vid, zero, CASE", ", ebs AS (SELECT vid, zero, CASE")
+    most = f"(SELECT trunc({EB} * (1::BIGINT << shift))::BIGINT FROM sc)"
+    return f"{cte} rl AS ({' UNION ALL '.join(roles)}), {final}) SELECT vid AS pid, least(min(CASE WHEN zero THEN 0 ELSE eb END), {most})::BIGINT AS required_eb FROM ebs GROUP BY 1"
+
+
+@query(f"WITH {_volume_bound_sql()}")
+def volume_vertex_bound(spark, sf_dir):
+    from .operators import volume
+
+    f, g = volume.volume_view(spark, sf_dir)
+    cols = ("u", "v", "w")
+    s = fixed_scale(f, cols, volume.NBITS)
+    return volume.vertex_bounds(volume.tetrahedra(to_fixed(f, s, cols), g), S.absolute_bound(EB, s.factor))
