@@ -139,7 +139,7 @@ PARAGRAPHS_SQL = f"""
         WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
         k AS (SELECT doc_id, unnest(range(0, len(ls))) AS para, unnest(ls) AS body FROM l),
         w AS (SELECT doc_id, para, {_SPACED.format("body")} AS ws FROM k),
-        v AS (SELECT (doc_id, para) AS id, ws FROM w WHERE len(ws) >= 40),
+        v AS (SELECT (doc_id, para) AS id, ws FROM w WHERE len(ws) >= 50),
         s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) AS g FROM v),
         n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
         p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),

@@ -25,10 +25,11 @@ from pyspark.sql import types as T
 
 from . import arrowtext as X
 from .near_dedup import SKETCH, link_components, node_pairs, signatures
-from .shared import cut, fresh, sized, without, written
+from .shared import cut, fresh, only, sized, without, written
 
-BANDS, ROWS, LEAST = 14, 2, 40
-WINDOW, REACH = 38, 14
+BANDS, ROWS, LEAST = 14, 2, 50
+WINDOW, REACH = 26, 26
+LONG = WINDOW + REACH - 1
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, k: int = 5, percent: int = 80) -> DataFrame:
@@ -86,21 +87,55 @@ def chosen_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("at", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("g", T.IntegerType())]))
 
 
+def _long_windows(members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, start): windows of LONG words around members (doc, at) that two documents share."""
+    places = cut(members.groupBy("doc").agg(F.collect_set("at").alias("places")))  # no longer than a document
+    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = only(texts, places.select("doc"), "doc").join(places, "doc")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in X.slices(batches, "_text"):
+            data, offs = X.flat(part.column(1))
+            data = X.LOWER[data]
+            starts, ends, first = X.find_words(data, offs, X.NONSPACE)
+            words = X.word_hashes(data, starts, ends)
+            h, g = X.window_hashes(words, LONG), X.window_hashes(X.mix(words ^ X._C3), LONG)
+            row = np.repeat(np.arange(part.num_rows), [len(x) for x in part.column(2).to_pylist()])
+            at = part.column(2).flatten().to_numpy().astype(np.int64) + first[row]
+            every = (at[:, None] - np.arange(REACH)[None, :]).ravel()
+            row = np.repeat(row, REACH)
+            inside = (every >= first[row]) & (every + LONG <= first[row + 1])
+            every, keep = np.unique(every[inside], return_index=True)
+            row = row[inside][keep]
+            if len(row):
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(every - first[row]), pa.array(h[every].view(np.int64)), pa.array(g[every].view(np.int64))], ["doc", "start", "h", "g"])
+
+    made = cut(rows.select("doc", "_text", "places").mapInArrow(run, T.StructType([rows.schema["doc"], *(T.StructField(c, T.LongType()) for c in ("start", "h", "g"))])))
+    both = made.groupBy("h", "g").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").select("h", "g")
+    return made.join(both, ["h", "g"], "left_semi").select("doc", "start")
+
+
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per run of words that chosen windows shared with another document cover: id, first_word, n_words, component_doc, removed.
 
     component_doc is the smallest id that shares one of the run's windows; the run is removed if that is
-    another document.  Runs of 51 words or more that two documents share are always covered in part; of runs of 38 to
-    50 words only some.  Null texts and ids have none, and rows of one id are one document.
+    another document.  Runs of LONG = 51 words or more that two documents share are always covered in part; shorter
+    ones are not: what is covered by fewer words is kept only if it is part of LONG words that another document has too.
+    Null texts and ids have none, and rows of one id are one document.
     """
     windows = chosen_windows(docs, id_col, text_col)
     keys = cut(windows.groupBy("h", "g").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").select("h", "g", "low"))
-    shared = cut(windows.join(sized(keys), ["h", "g"]).select("doc", "at", "low").distinct())
+    shared = cut(windows.join(keys, ["h", "g"]).distinct())
     order = Window.partitionBy("doc").orderBy("at")
     new = F.coalesce(F.col("at") > F.lag("at").over(order) + WINDOW, F.lit(True)).cast("int")
-    runs = shared.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = runs.groupBy("doc", "_run").agg(F.min("at").cast("long").alias("first_word"), (F.max("at") + WINDOW - F.min("at")).cast("long").alias("n_words"), F.min("low").alias("component_doc"))
-    return merged.select(F.col("doc").alias(id_col), "first_word", "n_words", "component_doc", (F.col("doc") != F.col("component_doc")).alias("removed"))
+    runs = cut(shared.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new"))
+    merged = cut(runs.groupBy("doc", "_run").agg(F.min("at").cast("long").alias("first_word"), (F.max("at") + WINDOW - F.min("at")).cast("long").alias("n_words"), F.min("low").alias("component_doc")))
+    short = merged.filter(F.col("n_words") < LONG)
+    asked = runs.join(short.select("doc", "_run"), ["doc", "_run"], "left_semi").select("h", "g").distinct()
+    found = _long_windows(shared.join(asked, ["h", "g"], "left_semi").select("doc", "at"), docs, id_col, text_col)
+    true = short.join(found, "doc").filter((F.col("start") <= F.col("first_word")) & (F.col("start") + LONG >= F.col("first_word") + F.col("n_words"))).select("doc", "_run").distinct()
+    kept = merged.filter(F.col("n_words") >= LONG).unionByName(short.join(true, ["doc", "_run"], "left_semi"))
+    return kept.select(F.col("doc").alias(id_col), "first_word", "n_words", "component_doc", (F.col("doc") != F.col("component_doc")).alias("removed"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from swirlframe.llm import near_dedup as nd
 from swirlframe.llm.exact_dedup import exact_dedup, exact_groups
 from swirlframe.llm.line_dedup import line_dedup, repeated_lines
-from swirlframe.llm.substring_dedup import repeated_paragraphs, repeated_passages, repeated_windows, substring_dedup
+from swirlframe.llm.substring_dedup import WINDOW, repeated_paragraphs, repeated_passages, repeated_windows, substring_dedup
 
 
 def test_exact_groups_of_odd_rows(spark):
@@ -104,7 +104,7 @@ def test_repeated_passages(spark):
     near_p = edited(rng, p, 0.03)
     rows = [(1, f"{short}\n{p}\n{short}"), (2, f"{q}\n{near_p}"), (3, f"{short}\n{r}"), (4, f"{p}"), (5, None), (None, p), (6, ""), (7, f"{q}\n{q}"), (9, r), (9, r)]
     got = {(x.doc_id, x.para): (x.component_doc, x.component_para, x.removed) for x in repeated_paragraphs(docs(spark, rows)).collect()}
-    want = near({(i, k): line for i, t in dict(rows).items() if i is not None and t for k, line in enumerate(t.split("\n")) if len(line.split()) >= 40}, 5)
+    want = near({(i, k): line for i, t in dict(rows).items() if i is not None and t for k, line in enumerate(t.split("\n")) if len(line.split()) >= 50}, 5)
     sizes = {}
     for c in want.values():
         sizes[c] = sizes.get(c, 0) + 1
@@ -123,7 +123,7 @@ def _common_runs(a, b, n):
 
 def test_passages_within_lines(spark):
     rng = random.Random(12)
-    shared = [prose(rng, n).split(" ") for n in (51, 60, 120, 30, 37)]
+    shared = [prose(rng, n).split(" ") for n in (51, 60, 120, 45, 37)]
     texts = {}
     for k in range(40):
         w = prose(rng, rng.randint(5, 90)).split(" ")
@@ -141,10 +141,11 @@ def test_passages_within_lines(spark):
         for m, other in words.items():
             if m != i:
                 long_ |= _common_runs(w, other, 51)
-                short |= _common_runs(w, other, 38)
+                short |= _common_runs(w, other, WINDOW)
         covered = {k for first, n, _, _ in got.get(i, []) for k in range(first, first + n)}
         assert all(covered & set(range(k, k + 51)) for k in long_)
-        assert covered <= {k + m for k in short for m in range(38)}
+        assert covered <= {k + m for k in short for m in range(WINDOW)}
+        assert all(n >= 51 or any(k <= first and first + n <= k + 51 for k in long_) for first, n, _, _ in got.get(i, []))
     assert not {100, 101, 102, None} & set(got)
     out = {r.doc_id: r.text for r in substring_dedup(docs(spark, rows)).collect()}
     firsts = {i for i, runs in got.items() if not any(x[3] for x in runs)}
