@@ -52,6 +52,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) ->
             end = min(max(end, at + 1), batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+        del batch
+        pa.default_memory_pool().release_unused()  # else a worker keeps what its largest batch took
 
 
 def find_words(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

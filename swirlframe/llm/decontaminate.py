@@ -24,7 +24,7 @@ from . import arrowtext as X
 
 WINDOW = 13
 #: Text bytes of a benchmark block and of a shard (a longer document is a shard of its own).
-BLOCK_BYTES, SHARD_BYTES = 8 << 20, 6 << 20
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 3 << 20
 
 
 def suffix_array(seq: np.ndarray, pos: np.ndarray, depth: int) -> np.ndarray:
