@@ -60,7 +60,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id.doc").alias(id_col), F.col("id.para").cast("long").alias("para"), F.col("n").alias("n_shingles"), F.col("component.doc").alias("component_doc"), F.col("component.para").cast("long").alias("component_para"), (F.col("id") != F.col("component")).alias("removed"))
 
 
-def chosen_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def chosen_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
     """(doc, at, h, g): places (in words from 0) and hashes of the chosen windows of all documents with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,10 +71,10 @@ def chosen_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             h = X.window_hashes(X.word_hashes(data, starts, ends), WINDOW)
             if len(h) < 1:
                 continue
-            # the smallest of REACH windows is smallest in some REACH windows that hold it; beyond the ends nothing is smaller
-            edge = np.full(REACH - 1, ~np.uint64(0))
-            low = X.sliding(np.concatenate([edge, h, edge]), REACH, np.minimum)
-            chosen = X.sliding(low, REACH, np.maximum) == h
+            # the smallest of reach windows is smallest in some reach windows that hold it; beyond the ends nothing is smaller
+            edge = np.full(reach - 1, ~np.uint64(0))
+            low = X.sliding(np.concatenate([edge, h, edge]), reach, np.minimum)
+            chosen = X.sliding(low, reach, np.maximum) == h
             at = np.flatnonzero(chosen)
             row = np.searchsorted(first, at, side="right") - 1
             inside = at + WINDOW <= first[row + 1]
@@ -87,11 +87,12 @@ def chosen_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("at", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("g", T.IntegerType())]))
 
 
-def _long_windows(members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, start): windows of LONG words around members (doc, at) that two documents share."""
+def _long_windows(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, passage: int = LONG) -> DataFrame:
+    """(doc, start, low): windows of ``passage`` words around members (doc, at) that two documents share, and the first (doc, start) of each."""
     places = cut(members.groupBy("doc").agg(F.collect_set("at").alias("places")))  # no longer than a document
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = only(texts, places.select("doc"), "doc").join(places, "doc")
+    reach = passage - WINDOW + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in X.slices(batches, "_text"):
@@ -99,49 +100,94 @@ def _long_windows(members: DataFrame, docs: DataFrame, id_col: str, text_col: st
             data = X.LOWER[data]
             starts, ends, first = X.find_words(data, offs, X.NONSPACE)
             words = X.word_hashes(data, starts, ends)
-            h, g = X.window_hashes(words, LONG), X.window_hashes(X.mix(words ^ X._C3), LONG)
+            h, g = X.window_hashes(words, passage), X.window_hashes(X.mix(words ^ X._C3), passage)
             row = np.repeat(np.arange(part.num_rows), [len(x) for x in part.column(2).to_pylist()])
             at = part.column(2).flatten().to_numpy().astype(np.int64) + first[row]
-            every = (at[:, None] - np.arange(REACH)[None, :]).ravel()
-            row = np.repeat(row, REACH)
-            inside = (every >= first[row]) & (every + LONG <= first[row + 1])
+            every = (at[:, None] - np.arange(reach)[None, :]).ravel()
+            row = np.repeat(row, reach)
+            inside = (every >= first[row]) & (every + passage <= first[row + 1])
             every, keep = np.unique(every[inside], return_index=True)
             row = row[inside][keep]
             if len(row):
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(every - first[row]), pa.array(h[every].view(np.int64)), pa.array(g[every].view(np.int64))], ["doc", "start", "h", "g"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array((every - first[row]).astype(np.int32)), pa.array(h[every].view(np.int64)), pa.array((X.mix(g[every]) >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["doc", "start", "h", "g"])
+
+    made = cut(rows.select("doc", "_text", "places").mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("start", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("g", T.IntegerType())])))
+    both = made.groupBy("h", "g").agg(F.min(F.struct("doc", "start")).alias("low"), F.max("doc").alias("high")).filter("low.doc <> high").select("h", "g", "low")
+    return made.join(both, ["h", "g"]).select("doc", "start", "low")
+
+
+def _pieces(runs: list[dict]) -> list[tuple[int, int, object, bool]]:
+    """(first, n, low, removed), disjoint: the runs that others lean on stay whole, and of the others the words that no run before has."""
+    own = [(r["first"], r["end"]) for r in runs if r["own"]]
+    out = [(a, b - a, None, False) for a, b in own]
+    at, rest = 0, sorted((r["first"], -r["end"], r["low"]) for r in runs if not r["own"])
+    k = 0
+    while k < len(rest):
+        best = None  # of the runs that go on from here, the one that reaches farthest
+        while k < len(rest) and (best is None or rest[k][0] <= max(at, best[0])):
+            if -rest[k][1] > at and (best is None or -rest[k][1] > best[1]):
+                best = (max(rest[k][0], at), -rest[k][1], rest[k][2])
+            k += 1
+        if best is None:
+            break
+        first, at = best[0], best[1]
+        for a, b in own:
+            if b > first and a < at:
+                if a > first:
+                    out.append((first, a - first, best[2], True))
+                first = b
+        if first < at:
+            out.append((first, at - first, best[2], True))
+    return out
+
+
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = LONG) -> DataFrame:
+    """One row per run of words that another document has too: id, first_word, n_words, component_doc, removed.
+
+    Every run of ``passage`` words or more that two documents share is covered in part, and
+    nothing else is.  A row is one stretch of the text of component_doc, the smallest id that has it; it is
+    removed if that is another document, which keeps all of it: words that a later document leans on stay,
+    even where a smaller id has a part of them.  Rows of a document do not overlap, so a row may be what is left of a longer run.
+    Null texts and ids have none, and rows of one id are one document.
+    """
+    windows = chosen_windows(docs, id_col, text_col, passage - WINDOW + 1)
+    keys = cut(windows.groupBy("h", "g").agg(F.min(F.struct("doc", "at")).alias("low"), F.max(F.struct("doc", "at")).alias("high")).filter("low.doc <> high.doc"))
+    # held against the first document that has it, or, in that one itself, the last
+    shared = windows.join(keys, ["h", "g"]).withColumn("other", F.when(F.col("doc") == F.col("low.doc"), F.col("high")).otherwise(F.col("low")))
+    shared = shared.select("doc", "at", "h", "g", F.col("other.doc").alias("other"), (F.col("at") - F.col("other.at")).alias("shift"))
+    # _run: windows that follow each other in the other document too
+    same = Window.partitionBy("doc", "other", "shift").orderBy("at")
+    far = lambda a, b: F.coalesce(a > b + WINDOW, F.lit(True))
+    runs = shared.withColumn("_new", far(F.col("at"), F.lag("at").over(same)).cast("int"))
+    runs = runs.withColumn("_run", F.sum("_new").over(same.rowsBetween(Window.unboundedPreceding, 0)))
+    one = Window.partitionBy("doc", "other", "shift", "_run")
+    runs = cut(runs.withColumn("first", F.min("at").over(one)).withColumn("end", F.max("at").over(one) + WINDOW).select("doc", "at", "h", "g", F.least("doc", "other").alias("low"), F.when(F.col("other") < F.col("doc"), F.col("shift")).otherwise(F.lit(0)).alias("shift"), "first", "end"))
+    # whether short ones belong to more is asked of the words around them
+    asked = runs.filter(F.col("end") - F.col("first") < passage).select("h", "g").distinct()
+    found = _long_windows(runs.join(asked, ["h", "g"], "left_semi").select("doc", "at"), docs, id_col, text_col, passage)
+    found = found.select("doc", F.col("low.doc").alias("low"), F.when(F.col("doc") == F.col("low.doc"), F.lit(0)).otherwise(F.col("start") - F.col("low.start")).alias("shift"), F.col("start").alias("first"), (F.col("start") + passage).alias("end"))
+    spans = runs.filter(F.col("end") - F.col("first") >= passage).select("doc", "low", "shift", "first", "end").distinct().unionByName(found)
+    same = Window.partitionBy("doc", "low", "shift").orderBy("first")
+    new = F.coalesce(F.col("first") > F.max("end").over(same.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
+    joined = spans.withColumn("_new", new).withColumn("_run", F.sum("_new").over(same.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = joined.groupBy("doc", "low", "shift", "_run").agg(F.min("first").alias("first"), F.max("end").alias("end"))
+    lists = joined.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("first", "end", "low", (F.col("doc") == F.col("low")).alias("own")))).alias("runs"))  # no longer than a document
+    kind = lists.schema["doc"]
 
-    made = cut(rows.select("doc", "_text", "places").mapInArrow(run, T.StructType([rows.schema["doc"], *(T.StructField(c, T.LongType()) for c in ("start", "h", "g"))])))
-    both = made.groupBy("h", "g").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").select("h", "g")
-    return made.join(both, ["h", "g"], "left_semi").select("doc", "start")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            got = [(d, first, n, d if low is None else low, gone) for d, runs in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for first, n, low, gone in _pieces(runs)]
+            if got:
+                doc, first, n, low, gone = zip(*got, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(doc, part.schema[0].type), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(low, part.schema[0].type), pa.array(gone)], [id_col, "first_word", "n_words", "component_doc", "removed"])
 
+    return cut(lists.mapInArrow(run, T.StructType([T.StructField(id_col, kind.dataType), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("component_doc", kind.dataType), T.StructField("removed", T.BooleanType())])))
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per run of words that chosen windows shared with another document cover: id, first_word, n_words, component_doc, removed.
 
-    component_doc is the smallest id that shares one of the run's windows; the run is removed if that is
-    another document.  Runs of LONG = 51 words or more that two documents share are always covered in part; shorter
-    ones are not: what is covered by fewer words is kept only if it is part of LONG words that another document has too.
-    Null texts and ids have none, and rows of one id are one document.
-    """
-    windows = chosen_windows(docs, id_col, text_col)
-    keys = cut(windows.groupBy("h", "g").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").select("h", "g", "low"))
-    shared = cut(windows.join(keys, ["h", "g"]).distinct())
-    order = Window.partitionBy("doc").orderBy("at")
-    new = F.coalesce(F.col("at") > F.lag("at").over(order) + WINDOW, F.lit(True)).cast("int")
-    runs = cut(shared.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new"))
-    merged = cut(runs.groupBy("doc", "_run").agg(F.min("at").cast("long").alias("first_word"), (F.max("at") + WINDOW - F.min("at")).cast("long").alias("n_words"), F.min("low").alias("component_doc")))
-    short = merged.filter(F.col("n_words") < LONG)
-    asked = runs.join(short.select("doc", "_run"), ["doc", "_run"], "left_semi").select("h", "g").distinct()
-    found = _long_windows(shared.join(asked, ["h", "g"], "left_semi").select("doc", "at"), docs, id_col, text_col)
-    true = short.join(found, "doc").filter((F.col("start") <= F.col("first_word")) & (F.col("start") + LONG >= F.col("first_word") + F.col("n_words"))).select("doc", "_run").distinct()
-    kept = merged.filter(F.col("n_words") >= LONG).unionByName(short.join(true, ["doc", "_run"], "left_semi"))
-    return kept.select(F.col("doc").alias(id_col), "first_word", "n_words", "component_doc", (F.col("doc") != F.col("component_doc")).alias("removed"))
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, passage: int = LONG) -> DataFrame:
     """Both: id, kind ("paragraph" or "passage"), first (line or word, from 0), length (lines or words), component_doc, removed."""
     lines = repeated_paragraphs(docs, id_col, text_col, least)
-    words = repeated_windows(docs, id_col, text_col)
+    words = repeated_windows(docs, id_col, text_col, passage)
     one = lines.select(id_col, F.lit("paragraph").alias("kind"), F.col("para").alias("first"), F.lit(1).cast("long").alias("length"), "component_doc", "removed")
     return one.unionByName(words.select(id_col, F.lit("passage").alias("kind"), F.col("first_word").alias("first"), F.col("n_words").alias("length"), "component_doc", "removed"))
 
@@ -161,10 +207,10 @@ def _without_spans(text: str, lines: list[int], runs: list[tuple[int, int]]) ->
     return b"\n".join(kept).decode()
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, passage: int = LONG) -> DataFrame:
     """docs without what repeated_passages() removes; other columns, and other texts, stay as they are."""
     key, name = fresh(docs, "_id"), fresh(docs, "_gone")
-    found = repeated_passages(docs, id_col, text_col, least).filter("removed")
+    found = repeated_passages(docs, id_col, text_col, least, passage).filter("removed")
     gone = cut(found.groupBy(F.col(id_col).alias(key)).agg(F.collect_set(F.struct("kind", "first", "length")).alias(name)))  # no longer than a document
 
     @F.pandas_udf("string")

@@ -150,3 +150,30 @@ def test_passages_within_lines(spark):
     out = {r.doc_id: r.text for r in substring_dedup(docs(spark, rows)).collect()}
     firsts = {i for i, runs in got.items() if not any(x[3] for x in runs)}
     assert all(out[i] == texts[i] for i in texts if i in firsts or i not in got) and all(len(out[i]) < len(texts[i]) for i in got if i not in firsts)
+
+
+def _overlaps(seed):
+    """Texts whose passages overlap: cut-off copies, chains, passages side by side, repeats within a document."""
+    rng = random.Random(seed)
+    p = [prose(rng, 300).split(" ") for _ in range(3)]
+    own = lambda: prose(rng, rng.randint(3, 40)).split(" ")
+    texts = [own() + p[0][:80] + own(), own() + p[0][:160] + own(), own() + p[0][:160] + own(), own() + p[0][60:200] + own(), own() + p[1][:90] + p[2][:90] + own(), own() + p[2][:90] + own(), own() + p[1][:90] + p[2][:90] + own(), ["la"] * 200 + own(), own() + ["la"] * 150]
+    for _ in range(30):
+        w = own()
+        for _ in range(rng.randint(1, 3)):
+            q, a = rng.choice(p), rng.randrange(240)
+            w += q[a : a + rng.randint(20, 150)] + own() * rng.randint(0, 1)
+        texts.append(w)
+    return {k: " ".join(w) for k, w in enumerate(texts)}
+
+
+def test_removed_words_stand_elsewhere(spark):
+    texts = _overlaps(21)
+    words = {i: t.split(" ") for i, t in texts.items()}
+    left = [t.split() for t in substring_dedup(docs(spark, list(texts.items())), least=10**6).toPandas()["text"]]
+    have = {n: {tuple(w[k : k + n]) for w in left for k in range(len(w) - n + 1)} for n in range(1, WINDOW + 1)}
+    gone = [r for r in repeated_windows(docs(spark, list(texts.items()))).collect() if r.removed]
+    assert len(gone) > 20 and {1, 2} <= {r.doc_id for r in gone}
+    for r in gone:
+        run, n = words[r.doc_id][r.first_word : r.first_word + r.n_words], min(WINDOW, r.n_words)
+        assert all(tuple(run[k : k + n]) in have[n] for k in range(len(run) - n + 1))
