@@ -73,7 +73,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import repeated_passages
 
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return repeated_passages(table(spark, sf_dir, "documents"), least=40, passage=40)
 
 
 QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_suffix_decontamination, op3_line_dedup, op4_language_id, op5_best_fit_packing, op6_chat_format, op7_near_dedup, op8_license_scan, op9_exact_dedup, op10_substring_dedup)}
