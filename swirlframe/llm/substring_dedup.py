@@ -144,7 +144,7 @@ def _pieces(runs: list[dict]) -> list[tuple[int, int, object, bool]]:
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = LONG) -> DataFrame:
     """One row per run of words that another document has too: id, first_word, n_words, component_doc, removed.
 
-    Every run of ``passage`` words or more that two documents share is covered in part, and
+    Every run of ``passage`` words or more that two documents share is covered from its first word to its last, and
     nothing else is.  A row is one stretch of the text of component_doc, the smallest id that has it; it is
     removed if that is another document, which keeps all of it: words that a later document leans on stay,
     even where a smaller id has a part of them.  Rows of a document do not overlap, so a row may be what is left of a longer run.
@@ -155,15 +155,16 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # held against the first document that has it, or, in that one itself, the last
     shared = windows.join(keys, ["h", "g"]).withColumn("other", F.when(F.col("doc") == F.col("low.doc"), F.col("high")).otherwise(F.col("low")))
     shared = shared.select("doc", "at", "h", "g", F.col("other.doc").alias("other"), (F.col("at") - F.col("other.at")).alias("shift"))
-    # _run: windows that follow each other in the other document too
-    same = Window.partitionBy("doc", "other", "shift").orderBy("at")
+    # ends: nothing shared goes on before or behind; _run: windows that follow each other in the other document too
+    order, same = Window.partitionBy("doc").orderBy("at"), Window.partitionBy("doc", "other", "shift").orderBy("at")
     far = lambda a, b: F.coalesce(a > b + WINDOW, F.lit(True))
+    shared = shared.withColumn("ends", far(F.col("at"), F.lag("at").over(order)) | far(F.lead("at").over(order), F.col("at")))
     runs = shared.withColumn("_new", far(F.col("at"), F.lag("at").over(same)).cast("int"))
     runs = runs.withColumn("_run", F.sum("_new").over(same.rowsBetween(Window.unboundedPreceding, 0)))
     one = Window.partitionBy("doc", "other", "shift", "_run")
-    runs = cut(runs.withColumn("first", F.min("at").over(one)).withColumn("end", F.max("at").over(one) + WINDOW).select("doc", "at", "h", "g", F.least("doc", "other").alias("low"), F.when(F.col("other") < F.col("doc"), F.col("shift")).otherwise(F.lit(0)).alias("shift"), "first", "end"))
-    # whether short ones belong to more is asked of the words around them
-    asked = runs.filter(F.col("end") - F.col("first") < passage).select("h", "g").distinct()
+    runs = cut(runs.withColumn("first", F.min("at").over(one)).withColumn("end", F.max("at").over(one) + WINDOW).select("doc", "at", "h", "g", F.least("doc", "other").alias("low"), F.when(F.col("other") < F.col("doc"), F.col("shift")).otherwise(F.lit(0)).alias("shift"), "first", "end", "ends"))
+    # where runs begin and end, and whether short ones belong to more, is asked of the words around them
+    asked = runs.filter(F.col("ends") | (F.col("end") - F.col("first") < passage)).select("h", "g").distinct()
     found = _long_windows(runs.join(asked, ["h", "g"], "left_semi").select("doc", "at"), docs, id_col, text_col, passage)
     found = found.select("doc", F.col("low.doc").alias("low"), F.when(F.col("doc") == F.col("low.doc"), F.lit(0)).otherwise(F.col("start") - F.col("low.start")).alias("shift"), F.col("start").alias("first"), (F.col("start") + passage).alias("end"))
     spans = runs.filter(F.col("end") - F.col("first") >= passage).select("doc", "low", "shift", "first", "end").distinct().unionByName(found)

@@ -177,3 +177,16 @@ def test_removed_words_stand_elsewhere(spark):
     for r in gone:
         run, n = words[r.doc_id][r.first_word : r.first_word + r.n_words], min(WINDOW, r.n_words)
         assert all(tuple(run[k : k + n]) in have[n] for k in range(len(run) - n + 1))
+
+
+def test_passages_from_end_to_end(spark):
+    for seed, n in ((22, 51), (23, 40)):
+        texts = _overlaps(seed)
+        words = {i: t.split(" ") for i, t in texts.items()}
+        covered = {i: set() for i in texts}
+        for r in repeated_windows(docs(spark, list(texts.items())), passage=n).collect():
+            places = set(range(r.first_word, r.first_word + r.n_words))
+            assert not covered[r.doc_id] & places
+            covered[r.doc_id] |= places
+        for i, w in words.items():
+            assert covered[i] == {k + m for x, other in words.items() if x != i for k in _common_runs(w, other, n) for m in range(n)}
