@@ -633,9 +633,9 @@ for _name in ("lorenzo3d", "lorenzo2d", "mixed_order", "time_linear", "stride2",
 
 @query()
 def codec_statistics(spark, sf_dir):
-    f = swirl_field(spark, Grid(25, 32, 10), "focus")
-    s = fixed_scale(f)
-    return codec.statistics(codec.encode(f, Grid(25, 32, 10), s, codec.bound_for(s, EB)))
+    field, g = field_view(spark, sf_dir), view_grid(spark, sf_dir)
+    s = fixed_scale(field)
+    return codec.statistics(codec.encode(field, g, s, codec.bound_for(s, EB)))
 
 
 # --- volumes ------------------------------------------------------------------------------------------

@@ -22,3 +22,17 @@ def test_entry_points(spark):
     assert e.entry(spark).count() > 0
     assert set(q.QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_codec_statistics_count_the_table(spark):
+    from swirlframe.grid import Grid, fixed_scale, swirl_field, view_grid
+    from swirlframe.plans import codec
+
+    got = q.QUERIES["codec_statistics"](spark, SF).first()
+    g = view_grid(spark, SF)
+    assert got.n == g.size and 0 <= got.n_lossless <= got.n and got.bytes > 0
+    g = Grid(25, 32, 10)
+    field = swirl_field(spark, g, "focus")
+    s = fixed_scale(field)
+    analytic = codec.statistics(codec.encode(field, g, s, codec.bound_for(s, q.EB))).first()
+    assert analytic.n == g.size and analytic.max_err <= codec.bound_for(s, q.EB) and analytic.ratio > got.ratio
