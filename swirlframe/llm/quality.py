@@ -4,7 +4,8 @@ Trusted positives and unlabelled text give a linear classifier over dense shape
 whole texts, by minimising the non-negative unbiased risk (Kiryo et al. 2017)
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 with the logistic loss.  Only the fit works on a sample, of at most POSITIVES and UNLABELLED
-rows, the ones whose hashed ids are smallest; the class prior and the scores take all rows.
+rows, the ones whose hashed ids are smallest; the scores take all rows.  The unlabelled sample is of the whole
+corpus, and the class prior is estimated on it, so labels need not cover the corpus evenly.
 """
 
 from __future__ import annotations
@@ -121,13 +122,26 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return w, float(b), centre, scale
 
 
+def pool_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows, from scores of both: the least ratio of the parts above a threshold.
+
+    Above a threshold that no negative reaches the ratio is the share (best bin estimation, Garg et al. 2021).
+    """
+    at = np.quantile(positive, np.linspace(0, 0.9, 91))
+    p, u = (1 - np.searchsorted(np.sort(x), at) / len(x) for x in (positive, unlabelled))
+    slack = np.sqrt(np.log(20) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(len(unlabelled)))
+    best = int(np.argmin((u + slack) / p))
+    return min(max(float(u[best] / p[best]), 0.01), 0.99)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: id, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
-    Learns from labelled rows that are not held out (by id): rows of label 1 are trusted positives,
-    and other labelled rows enter with their labels hidden, as unlabelled text.  The prior is the share of label 1 among
-    labelled learning rows, kept within 0.01 and 0.99.  Ids with several labels take the largest; null
-    labels are none.  Null texts score as empty ones; without any positive all scores are the prior.
+    Learns from rows that are not held out (by id): rows of label 1 are trusted positives, and other rows,
+    with or without a label, are the unlabelled text.  The prior is estimated on the unlabelled sample,
+    kept within 0.01 and 0.99.  Ids with several labels take the largest; null
+    labels are none.  Null texts score as empty ones; without any positive all scores are the share
+    of label 1 among labelled learning rows.
     """
     spark = docs.sparkSession
     found = cut(shape_features(docs, id_col, text_col))
@@ -142,8 +156,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         return got.flatten().to_numpy().reshape(-1, SIZE)
 
     positive = sample(learning.filter((F.col("_label") == 1) & half), POSITIVES)
-    unlabelled = sample(learning.filter(~half), UNLABELLED)
+    pool = found.filter(F.col(id_col).isNotNull() & ~held_out(id_col)).withColumn("_at", F.xxhash64(id_col))
+    pool = pool.filter(~half)
+    # of twice as many rows as are wanted, so that one task does not read the corpus
+    share = min(1.0, 2 * UNLABELLED / max(pool.count(), 1))
+    unlabelled = sample(pool.filter(F.col("_at") <= int(share * (2**64 - 1)) - 2**63) if share < 1 else pool, UNLABELLED)
     if len(positive) and len(unlabelled):
+        w, b, centre, scale = fit_nnpu(positive, unlabelled, 0.5)
+        prior = pool_prior(*((x - centre) / scale @ w for x in (positive, unlabelled)))
         w, b, centre, scale = fit_nnpu(positive, unlabelled, prior)
     else:
         w, b, centre, scale = np.zeros(SIZE), float(np.log(prior / (1 - prior))), np.zeros(SIZE), np.ones(SIZE)

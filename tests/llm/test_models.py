@@ -114,3 +114,15 @@ def test_nnpu_finds_the_side():
 def test_features_are_finite(text):
     f = quality.features(pa.array([text, None]))
     assert f.shape == (2, quality.SIZE) and np.isfinite(f).all() and (f[1] == 0).all()
+
+
+def test_unlabelled_documents_enter(spark, monkeypatch):
+    rng = random.Random(8)
+    junk = lambda: " ".join(rng.choice(["$$$", "BUY!!!", "|||", "###", "WIN!!!"]) for _ in range(80))
+    rows = [(i, junk() if i % 2 else prose(rng, 80)) for i in range(1200)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(1200) if i % 2 == 0 and i < 600 or i % 40 == 1], "doc_id long, quality int")  # of junk, few have a label
+    seen, fit = [], quality.fit_nnpu
+    monkeypatch.setattr(quality, "fit_nnpu", lambda p, u, prior: seen.append((len(u), prior)) or fit(p, u, prior))
+    got = quality.quality_scores(docs(spark, rows), labels).collect()
+    assert seen[-1][0] > 400 and abs(seen[-1][1] - 0.5) < 0.1
+    assert sum(r.predicted == 1 - r.doc_id % 2 for r in got) >= 0.98 * len(rows)
