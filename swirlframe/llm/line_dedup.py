@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, fresh, sized
+from .shared import cut, fresh, sized, spread
 
 WINDOW = 3
 
@@ -34,8 +34,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     equal windows at the same place are one occurrence.  Extra columns are not read.
     """
     found = _windows(docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), window)
-    seen = cut(found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("keep")).filter("n > 1").drop("n"))
-    later = found.join(sized(seen), ["h1", "h2"]).filter(F.struct("id", "at") > F.col("keep")).select("id", "at").distinct()
+    seen = cut(found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("keep")).filter("n > 1"))
+    later = spread(found, seen, ["h1", "h2"], "n", ["id", "at"]).filter(F.struct("id", "at") > F.col("keep")).select("id", "at").distinct()
     before = Window.partitionBy("id").orderBy("at")
     # a run ends where the next covered window starts beyond the lines covered so far
     marked = later.withColumn("new", F.coalesce(F.col("at") > F.lag("at").over(before) + window, F.lit(True)).cast("int"))

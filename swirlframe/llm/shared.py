@@ -1,41 +1,19 @@
-"""Helpers that the operators share: the shared folder, row filters, components."""
+"""Helpers that the operators share: row filters, joins that spread hot keys, held-out rows."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most ids that are broadcast at once (8 bytes each, about 50 MB as a hash table); beyond it a shuffle join is used.
-BROADCAST_IDS = 1_000_000
-
+from ..plans.checkpoints import cut, removed, scratch, shared_dir, written
+from ..plans.components import connected as components
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set, as in tests."""
-    sc = spark.sparkContext
-    there = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not there:
-        there = "file://" + tempfile.mkdtemp(prefix="swirlframe-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(there)
-    return there
+__all__ = ["components", "cut", "fresh", "held_out", "only", "removed", "scratch", "shared_dir", "sized", "spread", "text_key", "without", "without_rows", "written"]
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder, so that a lost executor costs no recomputation of what led to them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """As cut(), as Parquet: later reads take only the columns that they need."""
-    spark = df.sparkSession
-    at = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+#: Most ids that are broadcast at once (8 bytes each, about 50 MB as a hash table); beyond it a shuffle join is used.
+BROADCAST_IDS = 1_000_000
+#: spread() deals the rows of a key over several tasks if it has more than FEW rows and more than one in SHARE of all.
+FEW, SHARE = 1_000, 100_000
 
 
 def held_out(doc_id: str | Column) -> Column:
@@ -44,14 +22,17 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 5, F.lit(0)) == 0
 
 
-def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs without the rows whose key is in ids (which has the one column ``key``); rows with a null key stay.
+def without(docs: DataFrame, ids: DataFrame, key: str | list[str] = "doc_id") -> DataFrame:
+    """docs without the rows whose key is in ids (which has the columns of ``key`` only); rows with a null in it stay.
 
     The ids are broadcast only if they are at most BROADCAST_IDS; else both sides are shuffled.
     """
-    ids = cut(ids.filter(F.col(key).isNotNull()).distinct())
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, key, "left_anti").select(docs.columns)
+    return _less(docs, ids.dropna(), [key] if isinstance(key, str) else key).select(docs.columns)
+
+
+def _less(rows: DataFrame, gone: DataFrame, same) -> DataFrame:
+    gone = cut(gone.distinct())
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, same, "left_anti")
 
 
 def only(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -60,6 +41,18 @@ def only(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, key, "left_semi").select(docs.columns)
 
 
+def text_key(text: str | Column) -> Column:
+    """What tells the texts of one id apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """docs without the rows that are in gone, (id, text): an id, which may be null or repeat, and what ``key`` (text_key() of docs' texts, say) is."""
+    id_, text = fresh(docs, "_gone_id"), fresh(docs, "_gone_text")
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (key == F.col(text))
+    return _less(docs, gone.toDF(id_, text), same).select(docs.columns)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     have = {c.lower() for c in df.columns}
@@ -68,33 +61,25 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def sized(keys: DataFrame, most: int = BROADCAST_IDS // 4, weight: Column | None = None) -> DataFrame:
+def sized(keys: DataFrame, most: int | None = None, weight: Column | None = None) -> DataFrame:
     """keys with a broadcast hint if they are at most ``most`` narrow rows (or elements, by weight; some 50 MB as a hash table); else as they are, to be shuffled."""
     n = keys.count() if weight is None else keys.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
-    return F.broadcast(keys) if n <= most else keys
+    return F.broadcast(keys) if n <= (BROADCAST_IDS // 4 if most is None else most) else keys
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component) for every id of edges (a, b): the smallest id that can be reached.
+def spread(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, by: list[str], how: str = "inner", most: int | None = None) -> DataFrame:
+    """rows joined (inner or left) with keyed, a row per key ``on`` that has the number ``n`` of its rows; no key meets in one task.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014), as joins and
-    aggregates with a minimum, so a hub's edges are never gathered in one place.  Each
-    round is cut at the shared folder.  Raises if it has not converged after ``rounds``.
+    A small ``keyed`` is broadcast.  Else the two are shuffled, and a key with many rows is dealt over several tasks by a hash
+    of the columns ``by``.  Such keys have more than one in SHARE of all rows, so there are at most SHARE of them:
+    that bounds what is broadcast.  keyed has to be cut, as it is read several times.
     """
-    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    nodes = e.select(F.col("a").alias("id")).union(e.select("b")).distinct()
-    before = None
-    for _ in range(rounds):
-        both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        e = cut(small.filter("a <> b").distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not converge in {rounds} rounds")
-    return nodes.join(e.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    count, total = keyed.agg(F.count("*"), F.coalesce(F.sum(n), F.lit(0))).first()
+    if count <= (BROADCAST_IDS // 4 if most is None else most):
+        return rows.join(F.broadcast(keyed), on, how)
+    limit = max(FEW, total // SHARE)
+    parts = F.ceil(F.col(n) / F.lit(limit)).cast("long")
+    hot = keyed.filter(F.col(n) > limit).select(*on, parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    many = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(parts, F.lit(1)) - 1)))
+    return dealt.join(many, [*on, "_salt"], how).drop("_salt")
