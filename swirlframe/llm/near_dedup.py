@@ -8,15 +8,14 @@ with two pivots, and then only members that are not in the pivot's component wit
 as a query set that is broadcast in blocks.
 
 A pair of similarity J meets in a tree with probability J, or J**2, ... where tokens are so
-common that nodes branch: at J = 0.8 and twelve trees 4e-9 are missed where tokens are rare,
-2e-3 if every token of the pair is very common.  Before texts are fetched, sizes and a sketch of 48
+common that nodes branch: at J = 0.8 and twenty trees 1e-14 are missed where tokens are rare,
+3e-5 if every token of the pair is very common, at any size of the corpus (DEPTH is the last branching).  Before texts are fetched, sizes and a sketch of 48
 four-bit minwise values are compared (at J = 0.8 under 1e-6 are lost).  Every link is then
 confirmed on the full sets of words.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -27,13 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrowtext as X
-from .shared import components, cut, only, sized, without, written
+from .shared import components, cut, only, sized, spread, text_key, without, without_rows, written
 
-TREES, DEPTH, SMALL = 12, 4, 32
+TREES, DEPTH, SMALL = 20, 4, 32
 ROW_BITS = 12  # at most so many rows (as a power of two) are handled at once; shingle hashes keep the other 52 bits
 #: Texts, and bytes of text, that are held against all members of large nodes at once.
 QUESTIONS, QUESTION_BYTES = 2_000, 8 << 20
 SKETCH = ["s0", "s1", "s2"]
+#: Texts that are held against one other in one task, when links are confirmed.
+PART = 500
 
 
 def _few_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,10 +92,10 @@ def _list_column(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel().view(np.int64)))
 
 
-def signatures(texts: DataFrame, k: int, table: np.ndarray, trees: int = TREES, depth: int = DEPTH, least: int = 1, last: bool = False) -> DataFrame:
-    """Of (id, body): id, n (distinct shingles; 0 for texts of fewer than ``least`` words), c1, c2 (of the words), keys
-    (of all levels of all trees; last: of each tree's last level, which makes a tree a band of ``depth`` values), sketch."""
-    names = ["id", "n", "c1", "c2", "keys", *SKETCH]
+def signatures(texts: DataFrame, k: int, table: np.ndarray, trees: int = TREES, depth: int = DEPTH, least: int = 1, last: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
+    """Of (id, body, also): id, n (distinct shingles; 0 for texts of fewer than ``least`` words), c1, c2 (of the words), keys
+    (of all levels of all trees; last: of each tree's last level, which makes a tree a band of ``depth`` values), sketch, also."""
+    names = ["id", "n", "c1", "c2", "keys", *SKETCH, *also]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _few_rows(X.slices(batches, "body")):
@@ -109,11 +110,11 @@ def signatures(texts: DataFrame, k: int, table: np.ndarray, trees: int = TREES,
             shingles, at = distinct_shingles(words, first, k)
             values = minwise(shingles, at, max(trees * depth, 48))
             c1, c2 = sequence_hashes(words, first)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), _list_column(path_keys(values, trees, depth)[:, :, depth - 1 if last else 0 :]), *map(pa.array, sketches(values))], names)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), _list_column(path_keys(values, trees, depth)[:, :, depth - 1 if last else 0 :]), *map(pa.array, sketches(values)), *part.columns[2:]], names)
 
-    rows = texts.select("id", "body")
+    rows = texts.select("id", "body", *also)
     long_ = [T.StructField(c, T.LongType()) for c in names[1:4]]
-    return rows.mapInArrow(run, T.StructType([rows.schema[0], *long_, T.StructField("keys", T.ArrayType(T.LongType())), *(T.StructField(c, T.LongType()) for c in SKETCH)]))
+    return rows.mapInArrow(run, T.StructType([rows.schema[0], *long_, T.StructField("keys", T.ArrayType(T.LongType())), *(T.StructField(c, T.LongType()) for c in SKETCH), *rows.schema[2:]]))
 
 
 def _alike(percent: int) -> Column:
@@ -136,8 +137,8 @@ def node_pairs(members: DataFrame, about: DataFrame, depth: int, percent: int, s
     found, rows = [], members
     for d in range(1, depth + 1):
         key = f"k{d}"
-        sizes = rows.groupBy(key).agg(F.count("*").alias("_size")).filter("_size > 1")
-        rows = rows.join(sizes, key)
+        sizes = cut(rows.groupBy(key).agg(F.count("*").alias("_size")).filter("_size > 1"))
+        rows = spread(rows, sizes, [key], "_size", ["id"])
         rows = cut(rows.join(about, "id") if d == 1 else rows)
         few = rows.filter(F.col("_size") <= small)
         found.append(few.alias("a").join(few.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.id") < F.col("b.id")) & _alike(percent)).select(*pair))
@@ -145,9 +146,9 @@ def node_pairs(members: DataFrame, about: DataFrame, depth: int, percent: int, s
     kept = [key, "id", "n", *SKETCH]
     large = cut(rows.select(*kept).withColumnRenamed(key, "node"))
     one = F.struct("id", "n", *SKETCH)
-    pivots = large.groupBy("node").agg(F.min(one).alias("low"), F.max(one).alias("high"))
-    pivots = sized(cut(pivots.select("node", F.explode(F.array("low", "high")).alias("p")).select("node", "p.*")))
-    found.append(large.alias("a").join(pivots.alias("b"), (F.col("a.node") == F.col("b.node")) & (F.col("a.id") != F.col("b.id")) & _alike(percent)).select(*pair))
+    pivots = cut(large.groupBy("node").agg(F.array(F.min(one), F.max(one)).alias("b"), F.count("*").alias("_n")))
+    held = spread(large, pivots, ["node"], "_n", ["id"]).select(one.alias("a"), F.explode("b").alias("b"))
+    found.append(held.filter((F.col("a.id") != F.col("b.id")) & _alike(percent)).select(*pair))
     return cut(reduce(DataFrame.unionByName, found).distinct()), large
 
 
@@ -155,38 +156,48 @@ def verified(pairs: DataFrame, bodies: DataFrame, k: int, percent: int, nonspace
     """The pairs (a, b) whose texts in bodies (id, body) have 100 * shared >= percent * all distinct k-word shingles.
 
     Compares the words themselves.  nonspace: words are runs without ASCII white space, else of
-    digits, letters and non-ASCII characters.
+    digits, letters and non-ASCII characters.  Of a pair the text that has more pairs goes first: it is sent once to each
+    task that holds it against others, at most PART of them, whose texts follow it one by one.
     """
+    table = cut(pairs)
+    ends = table.select(F.col("a").alias("id")).union(table.select("b")).groupBy("id").agg(F.count("*").alias("n"))
+    many = sized(cut(ends.filter(F.col("n") > PART)))
+    of = lambda c: many.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
+    both = table.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    swap = F.coalesce("n_b", F.lit(0)) > F.coalesce("n_a", F.lit(0))
+    head, tail = F.when(swap, F.col("b")).otherwise(F.col("a")), F.when(swap, F.col("a")).otherwise(F.col("b"))
+    parts = F.ceil(F.greatest(F.coalesce("n_a", F.lit(1)), F.coalesce("n_b", F.lit(1))) / PART).cast("long")
+    dealt = cut(both.select(head.alias("head"), F.pmod(F.xxhash64(tail), parts).alias("part"), tail.alias("tail")))
+    first = dealt.select("head", "part").distinct().join(bodies.withColumnRenamed("id", "head"), "head").select("head", "part", F.lit(None).cast(dealt.schema["tail"].dataType).alias("tail"), "body")
+    rest = dealt.join(bodies.withColumnRenamed("id", "tail"), "tail").select("head", "part", "tail", "body")
+    rows = first.unionByName(rest).repartition("head", "part").sortWithinPartitions("head", "part", F.col("tail").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
         words = (lambda t: t.split()) if nonspace else re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
-        seen: OrderedDict[str, set] = OrderedDict()
 
         def shingles(text: str) -> set:
-            if text in seen:
-                seen.move_to_end(text)
-                return seen[text]
             w = words(text.encode().lower())
-            out = set(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else {tuple(w)} if w else set()
-            seen[text] = out
-            if len(seen) > 16:
-                seen.popitem(last=False)
-            return out
+            return set(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else {tuple(w)} if w else set()
 
-        for b in batches:
+        now, sets, ended = None, [], True
+        for b in X.slices(batches, "body"):
             ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = shingles(x), shingles(y)
-                both = len(p & q)
-                ok.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    left = bodies.select(F.col("id").alias("a"), F.col("body").alias("x"))
-    right = bodies.select(F.col("id").alias("b"), F.col("body").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, T.StructType(both.schema.fields[:2])).distinct()
+            for x, part, y, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if y is None:
+                    if ended or (x, part) != now:
+                        now, sets, ended = (x, part), [], False
+                    sets.append(shingles(body))
+                    ok.append(False)
+                    continue
+                ended = True
+                q = shingles(body)
+                ok.append(any((n := len(p & q)) and 100 * n >= percent * (len(p) + len(q) - n) for p in sets))
+            yield b.select([0, 2]).filter(pa.array(ok, pa.bool_()))
+
+    found = rows.mapInArrow(run, T.StructType([rows.schema["head"], rows.schema["tail"]]))
+    return found.select(F.least("head", "tail").alias("a"), F.greatest("head", "tail").alias("b")).distinct()
 
 
 def _bodies(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -239,33 +250,31 @@ def held_against(asked: DataFrame, all_: DataFrame, k: int, percent: int, nonspa
     """Pairs (a, b): for each text of ``asked`` and each other component, a link from each batch of ``all_`` that has one.
 
     Both are (id, component, body).  asked goes to the executors in blocks of bounded size, each held
-    against all rows; pairs are only ever counted, and at most one for a text and a component is given on.
+    against all rows, one after the other; pairs are only ever counted, and at most one for a text and a component is given on.
     """
     sc, table = asked.sparkSession.sparkContext, X.NONSPACE if nonspace else X.ALNUM
     kind = asked.schema["id"].dataType
-    as_key = (lambda x: tuple(x.asDict().values())) if isinstance(kind, T.StructType) else (lambda x: x)
+    plain = (lambda x: x.asDict(True)) if isinstance(kind, T.StructType) else (lambda x: x)
     out: list[DataFrame] = []
 
     def close(rows: list):
-        sent = sc.broadcast(Questions([as_key(r[0]) for r in rows], [as_key(r[1]) for r in rows], [r[2] for r in rows], k, table))
+        sent = sc.broadcast(Questions([plain(r[0]) for r in rows], [plain(r[1]) for r in rows], [r[2] for r in rows], k, table))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q = sent.value
-            key = (lambda x: tuple(x.values())) if isinstance(kind, T.StructType) else (lambda x: x)
             for part in _few_rows(X.slices(batches, "body")):
-                mine = [key(x) for x in part.column(1).to_pylist()]
+                mine = part.column(1).to_pylist()
                 best: dict = {}
                 for r, u, share in q.answers(part.column(2), percent):
-                    if mine[r] != q.components[u] and share > best.get((u, mine[r]), (0,))[0]:
-                        best[u, mine[r]] = (share, r)
+                    if mine[r] != q.components[u] and share > best.get((u, str(mine[r])), (0,))[0]:
+                        best[u, str(mine[r])] = (share, r)
                 if best:
                     left = part.column(0).take(pa.array([r for _, r in best.values()]))
                     ids = [q.ids[u] for u, _ in best]
-                    if isinstance(kind, T.StructType):
-                        ids = [dict(zip(kind.fieldNames(), x, strict=True)) for x in ids]
                     yield pa.RecordBatch.from_arrays([left, pa.array(ids, left.type)], ["a", "b"])
 
-        out.append(all_.select("id", "component", "body").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])))
+        out.append(cut(all_.select("id", "component", "body").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))))
+        sent.destroy()
 
     rows, size = [], 0
     for r in asked.select("id", "component", "body").toLocalIterator():
@@ -306,34 +315,48 @@ def link_components(texts: DataFrame, pairs: DataFrame, large: DataFrame, k: int
     return links, labels
 
 
+def _groups(rows: DataFrame, k: int, percent: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n, component, also) of rows (id, body, also)."""
+    found = written(signatures(rows, k, X.NONSPACE, also=also), "signatures")
+    full = found.filter("n > 0 and id is not null")
+    some = full.select("id", "n", "c1", "c2", *also)
+    classes = some.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("_many")).filter("_many > 1")
+    classes = cut(classes)
+    copies = cut(spread(some.select("id", "c1", "c2"), classes, ["c1", "c2"], "_many", ["id"]).filter("id <> rep").select("id", "c1", "c2", "rep"))
+    single = without(full.drop(*also), copies.select("id", "c1", "c2"), ["id", "c1", "c2"])
+    key = [F.element_at(F.col("keys"), F.col("_t") * DEPTH + d).alias(f"k{d}") for d in range(1, DEPTH + 1)]
+    members = single.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).select("id", *key)
+    pairs, large = node_pairs(members, single.select("id", "n", *SKETCH), DEPTH, percent)
+    links, labels = link_components(rows.select("id", "body"), pairs, large, k, percent)
+    # an id that has one text of a class and another that others are compared with links the two
+    again = copies.join(single.select("id").distinct(), "id", "left_semi").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    if not again.isEmpty():
+        labels = cut(components(links.union(again)))
+    labels = labels.select("id", "component")
+    of_class = cut(classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", "_many", F.coalesce("component", "rep").alias("of_class")))
+    whole = spread(some, of_class, ["c1", "c2"], "_many", ["id"], "left").join(labels, "id", "left")
+    whole = whole.select("id", "n", F.coalesce("of_class", "component", "id").alias("component"), *also)
+    return whole.unionByName(found.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component"), *also))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (smallest id reached by links, itself included), kept.
 
     Words are runs without ASCII white space, A-Z lower-cased.  Two texts are linked if their sets
     of distinct k-word shingles (a shorter text is one shingle) overlap by ``percent`` of their union.
     Null texts and texts without words have no shingles, are linked with nothing and stay, as do rows
-    with a null id (component_id null).  Rows of one id are one document.  Equal sequences of words
+    with a null id (component_id null).  Rows of one id are one document, so the links of each of its texts count for all.  Equal sequences of words
     are handled once.  Extra columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("body"))
-    found = written(signatures(rows, k, X.NONSPACE), "signatures")
-    some = found.filter("n > 0 and id is not null").select("id", "c1", "c2")
-    classes = cut(some.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("_many")))
-    copies = some.join(classes.filter("_many > 1"), ["c1", "c2"]).filter("id <> rep").select("id")
-    single = without(found.filter("n > 0 and id is not null").drop("c1", "c2"), copies, "id")
-    key = [F.element_at(F.col("keys"), F.col("_t") * DEPTH + d).alias(f"k{d}") for d in range(1, DEPTH + 1)]
-    members = single.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).select("id", *key)
-    pairs, large = node_pairs(members, single.select("id", "n", *SKETCH), DEPTH, percent)
-    _, labels = link_components(rows, pairs, large, k, percent)
-    narrow = found.select("id", "n", "c1", "c2")
-    full = narrow.filter("n > 0 and id is not null").join(classes.drop("_many"), ["c1", "c2"]).select("id", "n", "rep")
-    full = full.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
-    rest = narrow.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
-    out = full.unionByName(rest)
+    out = _groups(docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("body")), k, percent)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near duplicates, the one with the smallest id; all columns stay."""
-    gone = near_groups(docs, id_col, text_col, k, percent).filter("not kept").select(id_col)
-    return without(docs, gone, id_col)
+    """docs with one document of each group of near duplicates, the one with the smallest id; all columns stay.
+
+    Rows go by id and text, as near_groups() says of each.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("body"), text_key(text_col).alias("_text"))
+    gone = _groups(rows, k, percent, ("_text",)).filter("id <> component").select("id", "_text")
+    return without_rows(docs, gone, id_col, text_key(text_col))
