@@ -10,7 +10,8 @@ A passage within longer lines has no border of its own.  For these, windows of W
 paragraphs too, chosen by their content (winnowing, Schleimer et al. 2003): of every REACH
 consecutive windows the one with the smallest hash.  So any run of WINDOW + REACH - 1 = 51 words that
 two documents share has a chosen window in both.  Windows match if they are equal: their
-similarity is 1 and all bands would be the same, so one 96-bit hash stands for the bands.
+similarity is 1 and all bands would be the same, so one 96-bit hash stands for the bands.  A longer
+window would be chosen more often, so WINDOW is short, and what is short in common is asked of the words around it.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from pyspark.sql import types as T
 
 from . import arrowtext as X
 from .near_dedup import SKETCH, link_components, node_pairs, signatures
-from .shared import cut, fresh, only, sized, without, written
+from .shared import cut, fresh, only, sized, spread, text_key, without, written
 
 BANDS, ROWS, LEAST = 14, 2, 50
-WINDOW, REACH = 26, 26
+WINDOW, REACH = 20, 32
 LONG = WINDOW + REACH - 1
 
 
@@ -43,20 +44,19 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lines = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n", -1)).alias("para", "body"))
     lines = lines.filter(F.length("body") >= 2 * least - 1).select(F.struct("doc", "para").alias("id"), "body")
     found = written(signatures(lines, k, X.NONSPACE, BANDS, ROWS, least, last=True).filter("n > 0"), "passages")
-    classes = cut(found.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("_many")))
-    shared = classes.filter("_many > 1")
-    copies = cut(found.select("id", "n", "c1", "c2").join(sized(shared), ["c1", "c2"]).select("id", "n", "rep"))
-    single = without(found.drop("c1", "c2"), copies.filter("id <> rep").select("id"), "id")
+    classes = cut(found.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("_many")).filter("_many > 1"))
+    copies = spread(found.select("id", "c1", "c2"), classes, ["c1", "c2"], "_many", ["id"]).filter("id <> rep").select("id", "c1", "c2")
+    single = without(found, copies, ["id", "c1", "c2"])
     members = single.select("id", F.explode("keys").alias("k1"))
     pairs, large = node_pairs(members, single.select("id", "n", *SKETCH), 1, percent)
     _, labels = link_components(lines, pairs, large, k, percent)
     # paragraphs with an equal one, and paragraphs linked with another
-    alone = labels.join(copies.select("id"), "id", "left_anti").join(found.select("id", "n"), "id").select("id", "n", "component")
-    linked = copies.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
-    out = alone.unionByName(linked).distinct()
+    of_class = cut(classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", "_many", F.coalesce("component", "rep").alias("of_class")))
+    out = spread(found.select("id", "n", "c1", "c2"), of_class, ["c1", "c2"], "_many", ["id"], "left").join(labels, "id", "left")
+    out = cut(out.select("id", "n", F.coalesce("of_class", "component").alias("component")).filter("component is not null").distinct())
     # repeated rows of one id: the same paragraph is no repeat of itself
-    sizes = out.groupBy("component").agg(F.count("*").alias("_size")).filter("_size > 1").select("component")
-    out = out.join(sizes, "component", "left_semi")
+    sizes = cut(out.groupBy("component").agg(F.count("*").alias("_size")).filter("_size > 1"))
+    out = spread(out, sizes, ["component"], "_size", ["id"])
     return out.select(F.col("id.doc").alias(id_col), F.col("id.para").cast("long").alias("para"), F.col("n").alias("n_shingles"), F.col("component.doc").alias("component_doc"), F.col("component.para").cast("long").alias("component_para"), (F.col("id") != F.col("component")).alias("removed"))
 
 
@@ -112,8 +112,8 @@ def _long_windows(members: DataFrame, docs: DataFrame, id_col: str, text_col: st
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array((every - first[row]).astype(np.int32)), pa.array(h[every].view(np.int64)), pa.array((X.mix(g[every]) >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["doc", "start", "h", "g"])
 
     made = cut(rows.select("doc", "_text", "places").mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("start", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("g", T.IntegerType())])))
-    both = made.groupBy("h", "g").agg(F.min(F.struct("doc", "start")).alias("low"), F.max("doc").alias("high")).filter("low.doc <> high").select("h", "g", "low")
-    return made.join(both, ["h", "g"]).select("doc", "start", "low")
+    both = cut(made.groupBy("h", "g").agg(F.min(F.struct("doc", "start")).alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).filter("low.doc <> high").select("h", "g", "low", "n"))
+    return spread(made, both, ["h", "g"], "n", ["doc", "start"]).select("doc", "start", "low")
 
 
 def _pieces(runs: list[dict]) -> list[tuple[int, int, object, bool]]:
@@ -150,11 +150,11 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     even where a smaller id has a part of them.  Rows of a document do not overlap, so a row may be what is left of a longer run.
     Null texts and ids have none, and rows of one id are one document.
     """
-    windows = chosen_windows(docs, id_col, text_col, passage - WINDOW + 1)
-    keys = cut(windows.groupBy("h", "g").agg(F.min(F.struct("doc", "at")).alias("low"), F.max(F.struct("doc", "at")).alias("high")).filter("low.doc <> high.doc"))
+    windows = written(chosen_windows(docs, id_col, text_col, passage - WINDOW + 1), "windows")
+    keys = cut(windows.groupBy("h", "g").agg(F.min(F.struct("doc", "at")).alias("low"), F.max(F.struct("doc", "at")).alias("high"), F.count("*").alias("n")).filter("low.doc <> high.doc"))
     # held against the first document that has it, or, in that one itself, the last
-    shared = windows.join(keys, ["h", "g"]).withColumn("other", F.when(F.col("doc") == F.col("low.doc"), F.col("high")).otherwise(F.col("low")))
-    shared = shared.select("doc", "at", "h", "g", F.col("other.doc").alias("other"), (F.col("at") - F.col("other.at")).alias("shift"))
+    shared = spread(windows, keys, ["h", "g"], "n", ["doc", "at"]).withColumn("other", F.when(F.col("doc") == F.col("low.doc"), F.col("high")).otherwise(F.col("low")))
+    shared = shared.select("doc", "at", "h", "g", "n", F.col("other.doc").alias("other"), (F.col("at") - F.col("other.at")).alias("shift"))
     # ends: nothing shared goes on before or behind; _run: windows that follow each other in the other document too
     order, same = Window.partitionBy("doc").orderBy("at"), Window.partitionBy("doc", "other", "shift").orderBy("at")
     far = lambda a, b: F.coalesce(a > b + WINDOW, F.lit(True))
@@ -162,10 +162,10 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     runs = shared.withColumn("_new", far(F.col("at"), F.lag("at").over(same)).cast("int"))
     runs = runs.withColumn("_run", F.sum("_new").over(same.rowsBetween(Window.unboundedPreceding, 0)))
     one = Window.partitionBy("doc", "other", "shift", "_run")
-    runs = cut(runs.withColumn("first", F.min("at").over(one)).withColumn("end", F.max("at").over(one) + WINDOW).select("doc", "at", "h", "g", F.least("doc", "other").alias("low"), F.when(F.col("other") < F.col("doc"), F.col("shift")).otherwise(F.lit(0)).alias("shift"), "first", "end", "ends"))
+    runs = cut(runs.withColumn("first", F.min("at").over(one)).withColumn("end", F.max("at").over(one) + WINDOW).select("doc", "at", "h", "g", "n", F.least("doc", "other").alias("low"), F.when(F.col("other") < F.col("doc"), F.col("shift")).otherwise(F.lit(0)).alias("shift"), "first", "end", "ends"))
     # where runs begin and end, and whether short ones belong to more, is asked of the words around them
-    asked = runs.filter(F.col("ends") | (F.col("end") - F.col("first") < passage)).select("h", "g").distinct()
-    found = _long_windows(runs.join(asked, ["h", "g"], "left_semi").select("doc", "at"), docs, id_col, text_col, passage)
+    asked = cut(runs.filter(F.col("ends") | (F.col("end") - F.col("first") < passage)).groupBy("h", "g").agg(F.first("n").alias("_n")))
+    found = _long_windows(spread(runs.select("doc", "at", "h", "g"), asked, ["h", "g"], "_n", ["doc", "at"]).select("doc", "at"), docs, id_col, text_col, passage)
     found = found.select("doc", F.col("low.doc").alias("low"), F.when(F.col("doc") == F.col("low.doc"), F.lit(0)).otherwise(F.col("start") - F.col("low.start")).alias("shift"), F.col("start").alias("first"), (F.col("start") + passage).alias("end"))
     spans = runs.filter(F.col("end") - F.col("first") >= passage).select("doc", "low", "shift", "first", "end").distinct().unionByName(found)
     same = Window.partitionBy("doc", "low", "shift").orderBy("first")
@@ -209,10 +209,15 @@ def _without_spans(text: str, lines: list[int], runs: list[tuple[int, int]]) ->
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, passage: int = LONG) -> DataFrame:
-    """docs without what repeated_passages() removes; other columns, and other texts, stay as they are."""
+    """docs without what repeated_passages() removes; other columns, and other texts, stay as they are.
+
+    Rows go by id and text: other texts of one id are documents of their own here.  Rows with a null id stay as they are.
+    """
     key, name = fresh(docs, "_id"), fresh(docs, "_gone")
-    found = repeated_passages(docs, id_col, text_col, least, passage).filter("removed")
-    gone = cut(found.groupBy(F.col(id_col).alias(key)).agg(F.collect_set(F.struct("kind", "first", "length")).alias(name)))  # no longer than a document
+    own = F.struct(F.col(id_col).alias("id"), text_key(text_col).alias("text"))
+    rows = docs.filter(F.col(id_col).isNotNull()).select(own.alias("doc_id"), F.col(text_col).alias("text"))
+    found = repeated_passages(rows, "doc_id", "text", least, passage).filter("removed")
+    gone = cut(found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("kind", "first", "length")).alias(name)))  # no longer than a document
 
     @F.pandas_udf("string")
     def shortened(text, spans):
@@ -220,5 +225,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         return pd.Series([x if s is None or x is None else _without_spans(x, {y["first"] for y in s if y["kind"] == "paragraph"}, [(y["first"], y["length"]) for y in s if y["kind"] == "passage"]) for x, s in zip(text, spans, strict=True)])
 
-    both = docs.join(sized(gone, weight=F.size(name)), F.col(id_col) == F.col(key), "left")
+    both = docs.join(sized(gone, weight=F.size(name)), own == F.col(key), "left")
     return both.withColumn(text_col, F.when(F.col(name).isNull(), F.col(text_col)).otherwise(shortened(F.col(text_col), F.col(name)))).select(docs.columns)
