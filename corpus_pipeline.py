@@ -55,10 +55,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, one after the other; each is written to the shared folder and read again."""
-    from swirlframe.llm.shared import written
+    """All stages over documents, one after the other; each is written to the shared folder and read again, and what the stage before wrote is deleted then."""
+    from swirlframe.llm.shared import removed, scratch
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        made, at = stage(spark, docs, sf_dir), scratch(spark, "stage-" + name.replace(" ", "-"))
+        made.write.option("compression", "zstd").parquet(at)
+        docs = spark.read.schema(made.schema).parquet(at)
+        if last:
+            removed(spark, last)
+        last = at
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-START = "start"
+#: The state before the first turn; no role is None, as a null role is the empty one.
+START = None
 
 
 @dataclass(frozen=True)
@@ -48,9 +49,10 @@ class Machine:
         self.template, self.state, self.errors = template, START, 0
 
     def step(self, role: str | None) -> bool:
+        role = role or ""
         ok = role in self.template.order.get(self.state, ())
         self.errors += not ok
-        self.state = role if role is not None else ""
+        self.state = role
         return ok
 
     def complete(self) -> bool:
@@ -64,7 +66,7 @@ def dealt(conversations: DataFrame) -> DataFrame:
 
 
 def segments(conversations: DataFrame, template: Template = Template(), most: int = 2_000) -> DataFrame:  # noqa: B008
-    """conv_id, turn, seg (0 opening with the role, 1 text, 2 closing), text, loss, valid: the formatted conversation in pieces.
+    """conv_id, place (of the turn, from 0), turn, seg (0 opening with the role, 1 text, 2 closing), text, loss, valid: the formatted conversation in pieces.
 
     Only texts of the template's loss roles carry loss.  valid tells whether the turn may follow the
     ones before it; turns out of order are formatted all the same.  Null texts are empty, a null role
@@ -72,69 +74,87 @@ def segments(conversations: DataFrame, template: Template = Template(), most: in
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["conv_id", "turn", "seg", "text", "loss", "valid"]
-        types = [None, None, pa.int32(), pa.string(), pa.bool_(), pa.bool_()]
-        now, machine, started = None, Machine(template), False
+        names = ["conv_id", "place", "turn", "seg", "text", "loss", "valid"]
+        types = [None, pa.int64(), None, pa.int32(), pa.string(), pa.bool_(), pa.bool_()]
+        now, machine, started, place = None, Machine(template), False, 0
         for batch in batches:
-            types[0], types[1] = batch.schema.field(0).type, batch.schema.field(1).type
+            types[0], types[2] = batch.schema.field(0).type, batch.schema.field(1).type
             for i in range(0, batch.num_rows, most):
                 out: list[list] = [[] for _ in names]
                 for conv, turn, role, text in zip(*(c.to_pylist() for c in batch.slice(i, most).columns), strict=True):
                     if not started or conv != now:
-                        now, machine, started = conv, Machine(template), True
+                        now, machine, started, place = conv, Machine(template), True, 0
                     ok, loss = machine.step(role), role in template.loss_roles
                     parts = [(template.opening + template.escape(role or "") + template.after_role, False), (template.escape(text), loss), (template.closing, False)]
                     for seg, (part, masked) in enumerate(parts):
-                        for column, x in zip(out, (conv, turn, seg, part, masked, ok), strict=True):
+                        for column, x in zip(out, (conv, place, turn, seg, part, masked, ok), strict=True):
                             column.append(x)
+                    place += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
     rows = dealt(conversations)
     kind = {x.name: x.dataType.simpleString() for x in rows.schema.fields}
-    return rows.mapInArrow(run, f"conv_id {kind['conv_id']}, turn {kind['turn']}, seg int, text string, loss boolean, valid boolean")
+    return rows.mapInArrow(run, f"conv_id {kind['conv_id']}, place long, turn {kind['turn']}, seg int, text string, loss boolean, valid boolean")
 
 
 class Reader:
-    """Reads formatted text back, piece by piece, into turns and loss text."""
+    """Reads formatted text back, piece by piece, into turns and loss text, and follows the roles that it reads."""
 
     def __init__(self, template: Template):
-        self.template = template
+        self.template, self.machine = template, Machine(template)
         self.turns, self.loss_chars, self.chars = 0, 0, 0
         self.all, self.masked = hashlib.sha256(), hashlib.sha256()
-        self.role = None
+        self.role: str | None = None
+        self.body: str | None = None
 
     def feed(self, text: str, loss: bool):
         t = self.template
         self.chars += len(text)
         if self.role is None:
-            assert text.startswith(t.opening) and text.endswith(t.after_role), text[:50]
+            if not (text.startswith(t.opening) and text.endswith(t.after_role)):
+                raise ValueError(f"a turn does not begin with {t.opening}: {text[:50]!r}")
             self.role = t.unescape(text[len(t.opening) : len(text) - len(t.after_role)])
-            self.body: str | None = None
+            self.machine.step(self.role)
         elif self.body is None:
-            assert t.mark not in text.replace(t.mark * 2, ""), "a control string in a text"
+            if t.mark in text.replace(t.mark * 2, ""):
+                raise ValueError("a control string in a text")
             self.body = t.unescape(text)
             if loss:
                 self.loss_chars += len(self.body)
                 self.masked.update(self.body.encode())
         else:
-            assert text == t.closing, text[:50]
+            if text != t.closing:
+                raise ValueError(f"a turn does not end with {t.closing!r}: {text[:50]!r}")
             self.turns += 1
             for x in (self.role, "\n", self.body, "\n"):
                 self.all.update(x.encode())
-            self.role = None
+            self.role = self.body = None
+
+    def close(self):
+        if self.role is not None:
+            raise ValueError("the last turn has no end")
+
+
+_READ = {"n_turns": "long", "turns_sha256": "string", "loss_chars": "long", "loss_sha256": "string", "formatted_chars": "long", "n_errors": "long", "complete": "boolean"}
 
 
 def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:  # noqa: B008
-    """A row per conversation of segments(), from its pieces alone: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """A row per conversation of segments(), from the roles, texts and loss flags of its pieces alone, whatever order they are in:
+    conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_errors (turns whose role may not follow the one
+    before), complete (no errors, and the last role may end a conversation).
+
+    Raises for pieces that the template cannot have made.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        names = ["conv_id", *_READ]
+        arrow = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
         now, reader, kind = None, None, None
 
         def row(conv, r):
-            values = [conv, r.turns, r.all.hexdigest(), r.loss_chars, r.masked.hexdigest(), r.chars]
-            types = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            return [pa.array([v], t) for v, t in zip(values, types, strict=True)]
+            r.close()
+            values = [conv, r.turns, r.all.hexdigest(), r.loss_chars, r.masked.hexdigest(), r.chars, r.machine.errors, r.machine.complete()]
+            return [pa.array([v], t) for v, t in zip(values, [kind, *(arrow[t] for t in _READ.values())], strict=True)]
 
         for batch in batches:
             kind = batch.schema.field(0).type
@@ -151,4 +171,5 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
             yield pa.RecordBatch.from_arrays(row(now, reader), names)
 
     kind = formatted.schema["conv_id"].dataType.simpleString()
-    return formatted.select("conv_id", "text", "loss").mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    rows = formatted.select("conv_id", "place", "seg", "text", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "place", "seg")
+    return rows.select("conv_id", "text", "loss").mapInArrow(run, f"conv_id {kind}, " + ", ".join(f"{k} {v}" for k, v in _READ.items()))

@@ -5,7 +5,8 @@ suffix array; every suffix (window start) of the benchmark is binary-searched in
 which gives all places of its matches, and from runs of matching windows the longest
 verbatim matches.  Nothing is shuffled: a shard knows all about its documents.
 
-The benchmark is sent in blocks of at most BLOCK_BYTES of text, each its own broadcast.
+The benchmark is sent in blocks of at most BLOCK_BYTES of text, each its own broadcast, of which a worker holds one at a time.
+Equal windows of a block are searched once; which items have them is kept apart.
 """
 
 from __future__ import annotations
@@ -86,34 +87,50 @@ def search(seq: np.ndarray, sa: np.ndarray, patterns: np.ndarray, sizes: np.ndar
 
 @dataclass
 class Block:
-    """Benchmark items: word hashes, and the windows (start among the words, size, item)."""
+    """Some benchmark items: word hashes, the distinct windows (where one begins among the words, and its size), and the
+    occurrences of window w, occurs[first[w]:first[w + 1]], as items and places in them."""
 
+    names: list
     words: np.ndarray
     start: np.ndarray
     size: np.ndarray
+    first: np.ndarray
     item: np.ndarray
     inner: np.ndarray
 
+    def occurrences(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of which, occurrence) of all occurrences of some windows."""
+        many = self.first[which + 1] - self.first[which]
+        row = np.repeat(np.arange(len(which)), many)
+        return row, np.repeat(self.first[which], many) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+
 
 def _block(items: pa.Table, window: int) -> Block:
     data, offs = X.flat(items.column("text"))
     data = X.LOWER[data]
     starts, ends, first = X.find_words(data, offs, X.ALNUM)
     words = X.word_hashes(data, starts, ends)
-    ids = items.column("item_id").to_pylist()
-    start, size, item, inner = [], [], [], []
-    for d, name in enumerate(ids):
-        n = int(first[d + 1] - first[d])
-        if n:
-            many = max(n - window + 1, 1)
-            start.append(first[d] + np.arange(many))
-            size.append(np.full(many, min(n, window)))
-            item.append(np.full(many, d))
-            inner.append(np.arange(many))
-    cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-    b = Block(words, cat(start), cat(size), cat(item), cat(inner))
-    b.names = ids
-    return b
+    n = np.diff(first)
+    many = np.where(n > 0, np.maximum(n - window + 1, 1), 0)
+    item = np.repeat(np.arange(len(n)), many)
+    inner = np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+    start, size = first[item] + inner, np.minimum(n, window)[item]
+    # equal windows are searched once: their words' codes, in columns
+    padded = np.concatenate([np.unique(words, return_inverse=True)[1] + 1, np.zeros(window, np.int64)]) if len(words) else np.zeros(window, np.int64)
+    inside = np.arange(window)[None, :] < size[:, None]
+    rows = np.where(inside, padded[start[:, None] + np.arange(window)], 0)
+    _, one, which = np.unique(rows, axis=0, return_index=True, return_inverse=True) if len(rows) else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    order = np.argsort(which.ravel(), kind="stable")
+    bounds = np.searchsorted(which.ravel()[order], np.arange(len(one) + 1))
+    return Block(items.column("item_id").to_pylist(), words, start[one], size[one], bounds, item[order], inner[order])
+
+
+def _held(blocks: list) -> Iterator[Block]:
+    """The blocks one after the other; a worker keeps a block only if there is no other."""
+    for b in blocks:
+        yield b.value
+        if len(blocks) > 1 and hasattr(b, "_value"):
+            del b._value  # read again from the executor's disk when it is needed
 
 
 def _blocks(benchmark: DataFrame, window: int) -> list:
@@ -186,14 +203,15 @@ _FLAGS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_
 def _flags(shard: Shard, blocks: list, share: int) -> dict[str, np.ndarray]:
     delta = np.zeros(len(shard.seq) + 1, np.int64)
     items: list[set] = [set() for _ in range(len(shard.first) - 1)]
-    for b in blocks:
-        block = b.value
+    for block in _held(blocks):
         which, at = shard.find(block)
         if len(which):
             np.add.at(delta, at, 1)
             np.add.at(delta, at + block.size[which], -1)
             doc = shard.doc[np.searchsorted(shard.pos, at)]
-            for d, i in np.unique(np.stack([doc, block.item[which]], 1), axis=0):
+            found = np.unique(np.stack([doc, which], 1), axis=0)  # a window's items count once for a document
+            row, of = block.occurrences(found[:, 1])
+            for d, i in np.unique(np.stack([found[row, 0], block.item[of]], 1), axis=0):
                 if block.names[i] is not None:
                     items[d].add(block.names[i])
     hit = (np.cumsum(delta)[shard.pos] > 0).astype(np.int64)
@@ -243,15 +261,15 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in X.slices(batches, "_text", SHARD_BYTES):
             shard = Shard(part.column(1), window)
-            for b in blocks:
-                block = b.value
+            for block in _held(blocks):
                 which, at = shard.find(block)
                 if not len(which):
                     continue
-                word = np.searchsorted(shard.pos, at)
-                doc, item, inner = shard.doc[word], block.item[which], block.inner[which]
+                row, of = block.occurrences(which)
+                word = np.searchsorted(shard.pos, at)[row]
+                doc, item, inner, size = shard.doc[word], block.item[of], block.inner[of], block.size[which][row]
                 order = np.lexsort((word, word - inner, item))
-                word, item, inner, size, doc = word[order], item[order], inner[order], block.size[which][order], doc[order]
+                word, item, inner, size, doc = word[order], item[order], inner[order], size[order], doc[order]
                 new = np.concatenate([[True], (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (word[1:] - inner[1:] != word[:-1] - inner[:-1]) | (word[1:] != word[:-1] + 1)])
                 head = np.flatnonzero(new)
                 run_len = np.diff(np.concatenate([head, [len(new)]]))

@@ -22,6 +22,13 @@ def op2_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the benchmark occurs: the longest verbatim matches of op2_suffix_decontamination, and their places."""
+    from .decontaminate import longest_matches
+
+    return longest_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import repeated_lines
 
@@ -31,7 +38,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify
 
-    return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,13 +83,33 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), least=40, passage=40)
 
 
-QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_suffix_decontamination, op3_line_dedup, op4_language_id, op5_best_fit_packing, op6_chat_format, op7_near_dedup, op8_license_scan, op9_exact_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_suffix_decontamination, op3_line_dedup, op4_language_id, op5_best_fit_packing, op6_chat_format, op7_near_dedup, op8_license_scan, op9_exact_dedup, op10_substring_dedup, benchmark_matches)}
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = f"list_filter(regexp_split_to_array({LOWER.format('{}')}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 _WORDS = f"regexp_extract_all({LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _MARKED = "length(replace({0}, '<', '<<'))"
 
+
+def _license_sql() -> str:
+    """Every window of the grid that holds a shingle of a template, without bands."""
+    from . import licenses as m
+
+    t = m.Templates(m.TEMPLATES)
+    rows = []
+    for name, size, have in zip(t.names, t.sizes, t.sets, strict=True):
+        wide, step = m.class_of(size)
+        listed = ", ".join(f"'{b' '.join(x).decode()}'" for x in sorted(have))
+        rows.append(f"SELECT '{name}', {wide}, {step}, {len(have)}, unnest([{listed}])")
+    return f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE text IS NOT NULL),
+        tp(license, wide, step, size, sh) AS ({' UNION ALL '.join(rows)}),
+        sh AS (SELECT doc_id, len(ws) AS n, unnest(range(0, len(ws) - 2)) AS p, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i : i + 2], ' '))) AS sh FROM d WHERE len(ws) >= 3),
+        h AS (SELECT doc_id, license, wide, size, n, sh, unnest(range(greatest((p + 3 - wide + step - 1) // step, 0), p // step + 1)) * step AS first FROM sh JOIN tp USING (sh)),
+        w AS (SELECT doc_id, license, first, least(wide, n - first) AS n_words, count(DISTINCT sh) / size AS share FROM h GROUP BY doc_id, license, first, size, wide, n)
+        SELECT doc_id, license, max(share)::DOUBLE AS containment, arg_min(first, (-share, first))::BIGINT AS first_word, arg_min(n_words, (-share, first))::BIGINT AS n_words
+        FROM w WHERE share >= {m.CONTAINED} GROUP BY doc_id, license"""
+
 SQL = {
     "op2_suffix_decontamination": f"""
         WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS ws FROM documents),
@@ -100,6 +127,17 @@ SQL = {
         SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), false) AS contaminated
         FROM d LEFT JOIN q USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "benchmark_matches": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE text IS NOT NULL),
+        i AS (SELECT item_id, {_WORDS} AS ws FROM benchmark WHERE text IS NOT NULL),
+        iw AS (SELECT item_id, least(len(ws), 13) AS n, unnest(range(0, greatest(len(ws) - 12, 1))) AS q,
+                 unnest(CASE WHEN len(ws) < 13 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 11), lambda k: array_to_string(ws[k : k + 12], ' ')) END) AS win
+               FROM i WHERE len(ws) > 0),
+        dw AS (SELECT doc_id, n, unnest(range(0, len(ws) - n + 1)) AS p,
+                 unnest(list_transform(range(1, len(ws) - n + 2), lambda k: array_to_string(ws[k : k + n - 1], ' '))) AS win
+               FROM d, (SELECT DISTINCT n FROM iw) WHERE len(ws) >= n),
+        h AS (SELECT doc_id, item_id, n, p, q, p - row_number() OVER (PARTITION BY doc_id, item_id, n, p - q ORDER BY p) AS run FROM dw JOIN iw USING (n, win))
+        SELECT doc_id, item_id::VARCHAR AS item_id, min(q)::BIGINT AS item_word, min(p)::BIGINT AS doc_word, (n + count(*) - 1)::BIGINT AS n_words FROM h GROUP BY doc_id, item_id, n, p - q, run""",
     "op3_line_dedup": """
         WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
         w AS (SELECT DISTINCT doc_id, unnest(range(0, len(ls) - 2)) AS pos,
@@ -111,12 +149,15 @@ SQL = {
         SELECT doc_id, min(pos) AS first, max(pos) + 2 AS last FROM c GROUP BY doc_id, run""",
     "op6_chat_format": f"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-                   UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'))
+                   UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
+        o AS (SELECT *, lag(role) OVER w AS was, row_number() OVER w AS k FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+        e AS (SELECT *, NOT CASE WHEN k = 1 THEN role IN ('system', 'user') WHEN was IN ('system', 'assistant') THEN role = 'user' WHEN was = 'user' THEN role = 'assistant' ELSE false END AS bad FROM o)
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-               sum(24 + {_MARKED.format('role')} + {_MARKED.format('text')})::BIGINT AS formatted_chars
-        FROM c GROUP BY conv_id""",
+               sum(24 + {_MARKED.format('role')} + {_MARKED.format('text')})::BIGINT AS formatted_chars,
+               sum(bad::BIGINT)::BIGINT AS n_errors, sum(bad::INT) = 0 AND arg_max(role, k) = 'assistant' AS complete
+        FROM e GROUP BY conv_id""",
     "op7_near_dedup": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_SPACED.format("coalesce(text, '')")} AS ws FROM documents),
         s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 1 THEN [ws[1]] ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS g FROM w WHERE len(ws) > 0),
@@ -128,6 +169,7 @@ SQL = {
         c AS (SELECT id, min(to_) AS low FROM reach GROUP BY 1)
         SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id <= coalesce(low, doc_id) AS kept
         FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = doc_id""",
+    "op8_license_scan": _license_sql(),
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -3,7 +3,9 @@ import random
 from helpers import docs, edited, near, odd_rows, prose, shingles
 from pyspark.sql import functions as F
 
+from swirlframe.llm import exact_dedup as exact
 from swirlframe.llm import near_dedup as nd
+from swirlframe.llm import shared
 from swirlframe.llm.exact_dedup import exact_dedup, exact_groups
 from swirlframe.llm.line_dedup import line_dedup, repeated_lines
 from swirlframe.llm.substring_dedup import WINDOW, repeated_paragraphs, repeated_passages, repeated_windows, substring_dedup
@@ -28,6 +30,34 @@ def test_exact_groups_of_odd_rows(spark):
     assert {r.doc_id for r in kept.collect()} >= {2, 3, 4, 6, 8, 9, 10, 11} and not {5, 7} & {r.doc_id for r in kept.collect()}
 
 
+def test_rows_go_by_id_and_text(spark):
+    rows = [(7, "x"), (7, "y"), (8, "x"), (None, "x"), (None, "q"), (None, None), (3, "")]
+    assert sorted(((r.doc_id, r.text) for r in exact_dedup(docs(spark, rows)).collect()), key=repr) == sorted([(7, "y"), (8, "x"), (None, "q"), (3, "")], key=repr)
+    rng = random.Random(4)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    rows = [(1, a), (2, a + " "), (2, b), (3, c), (3, c), (4, c), (5, b)]
+    kept = [(r.doc_id, r.text) for r in nd.near_dedup(docs(spark, rows)).collect()]
+    assert sorted(kept) == [(1, a), (3, c), (3, c)]  # 2 is one document: what it has of b links it, and 5, with 1
+    got = {r.doc_id: r.component_id for r in nd.near_groups(docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 1}
+
+
+def test_small_limits_give_the_same_rows(spark, monkeypatch):
+    """What is broadcast, dealt over tasks, compared or held in blocks does not change what comes out."""
+    rng, texts = random.Random(13), _families(5, 2)
+    rows = [*texts.items(), *((100 + k, texts[k % 7]) for k in range(60)), *((200 + k, f"a\nb\nc\nd\n{prose(rng, 20)}\n{texts[3]} {texts[60]}") for k in range(30)), (7, "other text of a known id")]
+    d = docs(spark, rows)
+
+    def all_():
+        frames = exact_groups(d, digest=True), exact_dedup(d), nd.near_groups(d, k=2), nd.near_dedup(d), repeated_lines(d), line_dedup(d), repeated_passages(d, least=20, passage=40), substring_dedup(d)
+        return [sorted(map(repr, f.collect())) for f in frames]
+
+    want = all_()
+    for module, name, value in ((shared, "BROADCAST_IDS", 8), (shared, "FEW", 2), (shared, "SHARE", 9), (nd, "PART", 3), (nd, "SMALL", 6), (nd, "QUESTIONS", 9), (exact, "BITS", 7)):
+        monkeypatch.setattr(module, name, value)
+    assert all_() == want
+
+
 def test_exact_same_prefix_and_length(spark):
     a, b = "p" * 500 + "x", "p" * 500 + "y"
     got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_groups(docs(spark, [(1, a), (2, b), (3, a)])).collect()}

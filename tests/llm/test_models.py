@@ -46,22 +46,79 @@ def test_without_learning_rows(spark):
 def test_probabilities_sum_to_one():
     rng = random.Random(2)
     texts = [prose(rng, 30, WORDS["xx"]) for _ in range(20)]
-    keys, _ = language.letter_keys(pa.array(texts))
+    keys, _, _ = language.letter_keys(pa.array(texts))
     k, n = np.unique(keys, return_counts=True)
-    m = language.KneserNey(["xx"], np.zeros(len(k), int), k, n)
-    for context in np.unique(k >> 6)[:50].tolist() + [12345]:
-        every = (np.uint32(context) << np.uint32(6)) + np.arange(64, dtype=np.uint32)
-        at = np.minimum(np.searchsorted(m.keys, every), len(m.keys) - 1)
-        logs = np.where(m.keys[at] == every, m.logs[at, 0], m.backed_off(every, 0))
-        assert abs(np.exp(logs.astype(float)).sum() - 1) < 1e-4
+    m = language.KneserNey(["xx"], np.zeros(len(k), int), k.view(np.int64), n)
+    for context in (np.unique(k >> np.uint64(16))[:30].tolist() + [12345]):
+        every = (np.uint64(context) << np.uint64(16)) + np.arange(1 << 16, dtype=np.uint64)
+        assert abs(np.exp(m.logs(every).astype(float)).sum() - 1) < 1e-4
+
+
+def _kneser_ney(grams):
+    """log P(last letter | the others) by the definition, from counts {4-gram: n}."""
+    levels = [dict(grams)]
+    while len(next(iter(levels[0]))) > 1:
+        shorter = {}
+        for g in levels[0]:
+            shorter[g[1:]] = shorter.get(g[1:], 0) + 1
+        levels.insert(0, shorter)
+
+    def p(g):
+        if not g:
+            return 2.0**-16
+        c = levels[len(g) - 1]
+        ones, twos = (sum(v == x for v in c.values()) for x in (1, 2))
+        d = min(max(ones / (ones + 2 * twos), 0.05), 0.95) if ones else 0.5
+        same = [v for h, v in c.items() if h[:-1] == g[:-1]]
+        if not same:
+            return p(g[1:])
+        return max(c.get(g, 0) - d, 0) / sum(same) + d * len(same) / sum(same) * p(g[1:])
+
+    return p
+
+
+def test_kneser_ney_by_definition():
+    rng = random.Random(5)
+    texts = {l: [prose(rng, 6, WORDS[l]) for _ in range(4)] for l in ("xx", "yy")}
+    parts = [language._count(language.letter_keys(pa.array(texts[l]))[0]) for l in ("xx", "yy")]
+    lang = np.concatenate([np.full(len(k), i) for i, (k, _) in enumerate(parts)])
+    m = language.KneserNey(["xx", "yy"], lang, np.concatenate([k for k, _ in parts]).view(np.int64), np.concatenate([n for _, n in parts]))
+    asked = np.unique(np.concatenate([parts[0][0], parts[1][0], language.letter_keys(pa.array(["bazz мир 中文 ab", "q"]))[0]]))
+    gram = lambda k: tuple(int(k) >> 16 * j & 0xFFFF for j in (3, 2, 1, 0))
+    for l in (0, 1):
+        p = _kneser_ney({gram(k): int(n) for k, n in zip(*parts[l], strict=True)})
+        assert np.allclose(np.exp(m.logs(asked)[:, l].astype(float)), [p(gram(k)) for k in asked], rtol=1e-4)
 
 
 def test_keys_by_hand():
-    keys, first = language.letter_keys(pa.array(["Ab c!", None, "", "7", "b"]))
-    assert first.tolist() == [0, 5, 5, 5, 5, 6]
-    a, b, c = 1, 2, 3
-    pack = lambda *x: sum(v << 6 * (3 - i) for i, v in enumerate(x))
-    assert keys.tolist() == [pack(0, 0, 0, a), pack(0, 0, a, b), pack(0, a, b, 0), pack(a, b, 0, c), pack(b, 0, c, 0), pack(0, 0, 0, b)]
+    keys, first, letters = language.letter_keys(pa.array(["Ab c!", None, "", "7", "b", "\u0301", "中😀𝒜"]))
+    assert first.tolist() == [0, 5, 5, 5, 5, 6, 7, 10] and letters.tolist() == [3, 0, 0, 0, 1, 0, 2]
+    pack = lambda *x: sum(ord(v) << 16 * (3 - i) if v else 0 for i, v in enumerate(x))
+    assert keys[:6].tolist() == [pack("", "", "", "a"), pack("", "", "a", "b"), pack("", "a", "b", ""), pack("a", "b", "", "c"), pack("b", "", "c", ""), pack("", "", "", "b")]
+    assert keys[7] == pack("", "", "", "中") and 0xE000 <= int(keys[9]) & 0xFFFF < 0xE000 + 6400
+
+
+def test_scripts_do_not_mix(spark):
+    rng = random.Random(3)
+    words = {"aa": ["东西", "南北", "上下"], "bb": ["大小", "多少", "天地"], "cc": ["क्या", "नाम", "है"], "dd": ["मराठी", "आहे", "काय"]}
+    rows = [(k, prose(rng, rng.randint(3, 12), words[l]), l) for k in range(200) for l in [rng.choice(list(words))]]
+    d = docs(spark, [*rows, (1000, "hello world in another script", None), (1001, "\u0301\u0301", None)])
+    got = {r.doc_id: r for r in language.identify(d).collect()}
+    assert all(got[k].lang_pred == l and not got[k].rejected for k, _, l in rows)
+    assert got[1000].rejected and got[1001].lang_pred == "und" and got[1001].rejected
+
+
+def test_rare_keys_go_where_there_are_too_many(monkeypatch):
+    k, n = np.arange(1, 101, dtype=np.int64) << 3, np.arange(1, 101)
+    monkeypatch.setattr(language, "MOST", 40)
+    m = language.KneserNey(["xx"], np.zeros(100, int), k, n)
+    assert len(m.top.keys) == 40 and np.isfinite(m.logs(k.view(np.uint64))).all()
+
+
+def test_rejected_rows_go_by_text(spark):
+    d = _corpus(spark).union(docs(spark, [(7, "中文 中文 中文 中文", None), (None, "中文 中文 中文", None), (None, "aba bab", None)]))
+    left = [(r.doc_id, r.text) for r in language.keep_identified(d).collect()]
+    assert len(left) == 241 and 7 in {i for i, _ in left} and (None, "aba bab") in left and not any("中" in t for _, t in left)
 
 
 def test_counts_take_all_rows(spark):
@@ -69,7 +126,7 @@ def test_counts_take_all_rows(spark):
     c = language.key_counts(d, ["xx", "yy"]).groupBy("lang").agg(F.sum("n").alias("n")).collect()
     want = {}
     for r in d.filter("lang in ('xx', 'yy')").collect():
-        keys, _ = language.letter_keys(pa.array([r.text]))
+        keys, _, _ = language.letter_keys(pa.array([r.text]))
         want[["xx", "yy"].index(r.lang)] = want.get(["xx", "yy"].index(r.lang), 0) + len(keys)
     assert {r.lang: r.n for r in c} == want
 
@@ -101,6 +158,23 @@ def test_quality_of_odd_rows(spark):
     assert quality.quality_scores(docs(spark, []), some).count() == 0
 
 
+def test_nnpu_risk_is_least():
+    rng = np.random.default_rng(1)
+    p, u = rng.normal(1, 1, (200, 2)), rng.normal(0, 1.5, (400, 2))
+    prior, decay = 0.3, 1e-4
+    w, b, c, s = quality.fit_nnpu(p, u, prior, steps=4000, rate=0.01, decay=decay)
+
+    def risk(w, b):  # the definition, over all rows
+        zp, zu = (p - c) / s @ w + b, (u - c) / s @ w + b
+        return prio(zp) + max(0.0, np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()) + decay / 2 * (w @ w)
+
+    def prio(zp):
+        return prior * np.logaddexp(0, -zp).mean()
+
+    best = risk(w, b)
+    assert all(risk(w + rng.normal(0, t, 2), b + rng.normal(0, t)) >= best - 1e-4 for t in (0.01, 0.1, 0.5, 2) for _ in range(100))
+
+
 def test_nnpu_finds_the_side():
     rng = np.random.default_rng(0)
     p = rng.normal(1.5, 1, (400, 3))

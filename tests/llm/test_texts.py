@@ -56,6 +56,13 @@ def test_contamination_by_brute_force(spark):
     assert got == want
     kept = decontaminate.decontaminate(d, bench)
     assert kept.columns == d.columns and kept.count() == sum(not w[-1] for w in want)
+    matches = decontaminate.longest_matches(d, bench).collect()
+    with pytest.MonkeyPatch.context() as m:  # many blocks, shards of one document
+        m.setattr(decontaminate, "BLOCK_BYTES", 50)
+        m.setattr(decontaminate, "SHARD_BYTES", 10)
+        assert len(decontaminate._blocks(bench, 13)) > 2
+        assert sorted(map(tuple, decontaminate.contamination(d, bench).collect()), key=repr) == want
+        assert sorted(map(repr, decontaminate.longest_matches(d, bench).collect())) == sorted(map(repr, matches))
     assert decontaminate.contamination(d, bench.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.contamination(d.limit(0), bench).count() == 0
 
@@ -181,6 +188,17 @@ def test_chat_round_trip(spark):
         assert (r.n_turns, r.turns_sha256) == (len(mine), hashlib.sha256(said.encode()).hexdigest())
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert r.formatted_chars == sum(24 + len((x[2] or "").replace("<", "<<")) + len((x[3] or "").replace("<", "<<")) for x in mine)
+        m = chat.Machine(chat.Template())
+        for x in mine:
+            m.step(x[2])
+        assert (r.n_errors, r.complete) == (m.errors, m.complete())
+    assert {c: (r.n_errors, r.complete) for c, r in got.items()} == {1: (0, True), 2: (2, False), 3: (2, False), None: (0, False)}
+    mixed = chat.read_back(made.orderBy("text", "seg").repartition(3))
+    assert {tuple(r) for r in mixed.collect()} == {tuple(r) for r in got.values()}
+    with pytest.raises(Exception, match="does not begin"):
+        chat.read_back(made.filter("seg > 0")).collect()
+    with pytest.raises(Exception, match="has no end"):
+        chat.read_back(made.filter("seg = 0")).collect()
     assert chat.read_back(chat.segments(c.limit(0))).count() == 0
     valid = {(r.conv_id, r.turn): r.valid for r in made.filter("seg = 1").collect()}
     assert valid[1, 0] and valid[1, 3] and not valid[2, 0]
@@ -197,11 +215,11 @@ def _best(text, sets, sizes):
     """As Templates.scan(), without bands: every window of the grid."""
     w, out = licenses.words(text or ""), {}
     for k, size in enumerate(sizes):
-        s = max(1, size // 8)
+        wide, s = licenses.class_of(size)
         for at in range(0, len(w), s):
-            share = len(licenses.shingles(w[at : at + size + s - 1]) & sets[k]) / len(sets[k])
+            share = len(licenses.shingles(w[at : at + wide]) & sets[k]) / len(sets[k])
             if share >= licenses.CONTAINED and share > out.get(k, (0,))[0]:
-                out[k] = (share, at, len(w[at : at + size + s - 1]))
+                out[k] = (share, at, len(w[at : at + wide]))
     return out
 
 
@@ -222,6 +240,18 @@ def test_licenses_by_brute_force(spark):
         licenses.Templates({"x": "two words"})
 
 
+def test_bands_retrieve_what_windows_hold():
+    """Every window that holds 0.8 of a template retrieves it, and unlike templates are not retrieved."""
+    m = licenses.Templates(licenses.TEMPLATES)
+    assert len(m.classes) > 5 and sum(len(c.members) for c in m.classes) == len(licenses.TEMPLATES)
+    for c in m.classes:
+        for t in c.members[:, 0]:
+            own = m._hashes(list(licenses.TEMPLATES.values())[t])
+            noise = np.arange(c.wide - len(own), dtype=np.uint64) * X._C1 if c.wide > len(own) else np.zeros(0, np.uint64)
+            assert [0, t] in c.retrieved(licenses.band_keys(np.concatenate([own, noise])[None, :])).tolist()
+        assert not len(c.retrieved(licenses.band_keys(np.arange(1, c.wide, dtype=np.uint64)[None, :] * X._C3)))
+
+
 def test_word_hashes_tell_words_apart():
     rng = random.Random(8)
     words = sorted({"".join(rng.choice("abcdefghé") for _ in range(rng.randint(1, 40))) for _ in range(5000)})
