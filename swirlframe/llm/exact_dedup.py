@@ -10,10 +10,10 @@ row is hashed in full for nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, fresh, spread, without_rows
+from .shared import bit_map, cut, fresh, looked_up, place, spread, without_rows
 
 #: Characters of the prefix that the second step hashes.
 PREFIX = 64
@@ -21,25 +21,6 @@ PREFIX = 64
 BITS = 24
 
 
-def _place(*key: Column) -> Column:
-    return F.pmod(F.xxhash64(*key), F.lit(1 << BITS))
-
-
-def _bit_map(keys: DataFrame) -> DataFrame:
-    """(_word, _bits): the places of all keys (rows of ``keys``) as bits of 64-bit words."""
-    at = keys.select(_place(*(F.col(c) for c in keys.columns)).alias("at"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
-    return at.groupBy(F.floor(F.col("at") / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-
-
-def _looked_up(rows: DataFrame, bits: DataFrame, place: Column, name: str) -> DataFrame:
-    """rows with a column ``name``: whether the bit of a place (null: no) is set."""
-    at, word, mask = (fresh(rows, c) for c in ("_at", "_word", "_bits"))
-    sent = F.broadcast(bits.select(F.col("_word").alias(word), F.col("_bits").alias(mask)))
-    found = rows.withColumn(at, place).withColumn(word, F.floor(F.col(at) / 64)).join(sent, word, "left")
-    return found.withColumn(name, F.coalesce(F.getbit(F.col(mask), (F.col(at) % 64).cast("int")) == 1, F.lit(False))).drop(at, word, mask)
-
-
 def refined(docs: DataFrame, text_col: str = "text", prefix: int = PREFIX) -> tuple[DataFrame, str]:
     """docs with one more column, and its name: the SHA-256 of texts that share length and prefix with another row, null for others."""
     body = F.coalesce(F.col(text_col), F.lit(""))
@@ -47,10 +28,10 @@ def refined(docs: DataFrame, text_col: str = "text", prefix: int = PREFIX) -> tu
     sha, some = fresh(docs, "_sha"), fresh(docs, "_open")
     # 1. length: only lengths that rows share go on
     lengths = docs.select(size.alias("len")).groupBy("len").agg(F.count("*").alias("n")).filter("n > 1").select("len")
-    rows = _looked_up(docs, cut(_bit_map(lengths)), _place(size), some)
+    rows = looked_up(docs, cut(bit_map(lengths, BITS)), place(BITS, size), some)
     # 2. hash of the prefix, within a length
     heads = rows.filter(F.col(some)).select(size.alias("len"), head.alias("head")).groupBy("len", "head").agg(F.count("*").alias("n")).filter("n > 1").select("len", "head")
-    rows = _looked_up(rows, cut(_bit_map(heads)), F.when(F.col(some), _place(size, head)), some)
+    rows = looked_up(rows, cut(bit_map(heads, BITS)), F.when(F.col(some), place(BITS, size, head)), some)
     # 3. the whole content, of surviving rows only
     return rows.withColumn(sha, F.when(F.col(some), F.unhex(F.sha2(body, 256)))).drop(some), sha
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.checkpoints import cut, removed, scratch, shared_dir, written
 from ..plans.components import connected as components
 
-__all__ = ["components", "cut", "fresh", "held_out", "only", "removed", "scratch", "shared_dir", "sized", "spread", "text_key", "without", "without_rows", "written"]
+__all__ = ["bit_map", "components", "cut", "fresh", "held_out", "looked_up", "only", "place", "removed", "scratch", "shared_dir", "sized", "spread", "text_key", "without", "without_rows", "written"]
 
 #: Most ids that are broadcast at once (8 bytes each, about 50 MB as a hash table); beyond it a shuffle join is used.
 BROADCAST_IDS = 1_000_000
@@ -83,3 +83,23 @@ def spread(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, by: list[st
     dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1)))).drop("_parts")
     many = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(parts, F.lit(1)) - 1)))
     return dealt.join(many, [*on, "_salt"], how).drop("_salt")
+
+
+def place(bits: int, *key: Column) -> Column:
+    """The place of a key in a map of 2**bits bits."""
+    return F.pmod(F.xxhash64(*key), F.lit(1 << bits))
+
+
+def bit_map(keys: DataFrame, bits: int) -> DataFrame:
+    """(_word, _bits): the places of all keys (rows of ``keys``) as bits of 64-bit words: at most 2**bits / 64 rows, however many keys there are."""
+    at = keys.select(place(bits, *(F.col(c) for c in keys.columns)).alias("at"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
+    return at.groupBy(F.floor(F.col("at") / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+
+
+def looked_up(rows: DataFrame, bits: DataFrame, at_: Column, name: str) -> DataFrame:
+    """rows with a column ``name``: whether the bit of a place (null: no) is set in a map, which is broadcast."""
+    at, word, mask = (fresh(rows, c) for c in ("_at", "_word", "_bits"))
+    sent = F.broadcast(bits.select(F.col("_word").alias(word), F.col("_bits").alias(mask)))
+    found = rows.withColumn(at, at_).withColumn(word, F.floor(F.col(at) / 64)).join(sent, word, "left")
+    return found.withColumn(name, F.coalesce(F.getbit(F.col(mask), (F.col(at) % 64).cast("int")) == 1, F.lit(False))).drop(at, word, mask)
