@@ -10,8 +10,8 @@ A passage within longer lines has no border of its own.  For these, windows of W
 paragraphs too, chosen by their content (winnowing, Schleimer et al. 2003): of every REACH
 consecutive windows the one with the smallest hash.  So any run of WINDOW + REACH - 1 = 51 words that
 two documents share has a chosen window in both.  Windows match if they are equal: their
-similarity is 1 and all bands would be the same, so one 96-bit hash stands for the bands.  A longer
-window would be chosen more often, so WINDOW is short, and what is short in common is asked of the words around it.
+similarity is 1 and all bands would be the same, so one 96-bit hash stands for the bands.  Of the windows only
+those go on whose bit is set in a map of 2**BITS bits of the hashes that documents share; it is broadcast.
 """
 
 from __future__ import annotations
@@ -26,11 +26,13 @@ from pyspark.sql import types as T
 
 from . import arrowtext as X
 from .near_dedup import SKETCH, link_components, node_pairs, signatures
-from .shared import cut, fresh, only, sized, spread, text_key, without, written
+from .shared import bit_map, cut, fresh, looked_up, only, place, sized, spread, text_key, without, written
 
 BANDS, ROWS, LEAST = 14, 2, 50
-WINDOW, REACH = 20, 32
+WINDOW, REACH = 26, 26
 LONG = WINDOW + REACH - 1
+#: Bits (as a power of two) of the map of shared windows: at most 2**BITS / 64 rows of 16 bytes.
+BITS = 25
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, k: int = 5, percent: int = 80) -> DataFrame:
@@ -88,8 +90,11 @@ def chosen_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _long_windows(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, passage: int = LONG) -> DataFrame:
-    """(doc, start, low): windows of ``passage`` words around members (doc, at) that two documents share, and the first (doc, start) of each."""
-    places = cut(members.groupBy("doc").agg(F.collect_set("at").alias("places")))  # no longer than a document
+    """(doc, start, low): windows of ``passage`` words around members (doc, at, left, right) that two documents share, and the first (doc, start) of each.
+
+    Of the windows of ``passage`` words that hold the member at ``at``, those that begin before at - left or end behind at + right.
+    """
+    places = cut(members.groupBy("doc").agg(F.collect_set(F.struct("at", "left", "right")).alias("places")))  # no longer than a document
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = only(texts, places.select("doc"), "doc").join(places, "doc")
     reach = passage - WINDOW + 1
@@ -101,19 +106,21 @@ def _long_windows(members: DataFrame, docs: DataFrame, id_col: str, text_col: st
             starts, ends, first = X.find_words(data, offs, X.NONSPACE)
             words = X.word_hashes(data, starts, ends)
             h, g = X.window_hashes(words, passage), X.window_hashes(X.mix(words ^ X._C3), passage)
-            row = np.repeat(np.arange(part.num_rows), [len(x) for x in part.column(2).to_pylist()])
-            at = part.column(2).flatten().to_numpy().astype(np.int64) + first[row]
-            every = (at[:, None] - np.arange(reach)[None, :]).ravel()
-            row = np.repeat(row, reach)
-            inside = (every >= first[row]) & (every + passage <= first[row + 1])
+            row = np.repeat(np.arange(part.num_rows), part.column(2).value_lengths().to_numpy())
+            at, left, right = (c.to_numpy().astype(np.int64) for c in part.column(2).flatten().flatten())
+            back = np.arange(reach)[None, :]
+            every = (at + first[row])[:, None] - back
+            beyond = (back > left[:, None]) | (back < passage - right[:, None])
+            inside = beyond & (every >= first[row][:, None]) & (every + passage <= first[row + 1][:, None])
+            row = np.broadcast_to(row[:, None], every.shape)
             every, keep = np.unique(every[inside], return_index=True)
             row = row[inside][keep]
             if len(row):
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array((every - first[row]).astype(np.int32)), pa.array(h[every].view(np.int64)), pa.array((X.mix(g[every]) >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["doc", "start", "h", "g"])
 
-    made = cut(rows.select("doc", "_text", "places").mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("start", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("g", T.IntegerType())])))
-    both = cut(made.groupBy("h", "g").agg(F.min(F.struct("doc", "start")).alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).filter("low.doc <> high").select("h", "g", "low", "n"))
-    return spread(made, both, ["h", "g"], "n", ["doc", "start"]).select("doc", "start", "low")
+    made = written(rows.select("doc", "_text", "places").mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("start", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("g", T.IntegerType())])), "long-windows")
+    both = written(made.groupBy("h", "g").agg(F.min(F.struct("doc", "start")).alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).filter("low.doc <> high").select("h", "g", "low", "n"), "long-keys")
+    return spread(made, both, ["h", "g"], "n", ["doc", "start"], most=0).select("doc", "start", "low")
 
 
 def _pieces(runs: list[dict]) -> list[tuple[int, int, object, bool]]:
@@ -150,22 +157,26 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     even where a smaller id has a part of them.  Rows of a document do not overlap, so a row may be what is left of a longer run.
     Null texts and ids have none, and rows of one id are one document.
     """
-    windows = written(chosen_windows(docs, id_col, text_col, passage - WINDOW + 1), "windows")
-    keys = cut(windows.groupBy("h", "g").agg(F.min(F.struct("doc", "at")).alias("low"), F.max(F.struct("doc", "at")).alias("high"), F.count("*").alias("n")).filter("low.doc <> high.doc"))
+    windows = chosen_windows(docs, id_col, text_col, passage - WINDOW + 1)
+    often = windows.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").select("h")
+    windows = written(looked_up(windows, cut(bit_map(often, BITS)), place(BITS, F.col("h")), "_in").filter("_in").drop("_in"), "windows")
+    keys = written(windows.groupBy("h", "g").agg(F.min(F.struct("doc", "at")).alias("low"), F.max(F.struct("doc", "at")).alias("high"), F.count("*").alias("n")).filter("low.doc <> high.doc"), "keys")
     # held against the first document that has it, or, in that one itself, the last
-    shared = spread(windows, keys, ["h", "g"], "n", ["doc", "at"]).withColumn("other", F.when(F.col("doc") == F.col("low.doc"), F.col("high")).otherwise(F.col("low")))
+    shared = spread(windows, keys, ["h", "g"], "n", ["doc", "at"], most=0).withColumn("other", F.when(F.col("doc") == F.col("low.doc"), F.col("high")).otherwise(F.col("low")))
     shared = shared.select("doc", "at", "h", "g", "n", F.col("other.doc").alias("other"), (F.col("at") - F.col("other.at")).alias("shift"))
-    # ends: nothing shared goes on before or behind; _run: windows that follow each other in the other document too
-    order, same = Window.partitionBy("doc").orderBy("at"), Window.partitionBy("doc", "other", "shift").orderBy("at")
-    far = lambda a, b: F.coalesce(a > b + WINDOW, F.lit(True))
-    shared = shared.withColumn("ends", far(F.col("at"), F.lag("at").over(order)) | far(F.lead("at").over(order), F.col("at")))
-    runs = shared.withColumn("_new", far(F.col("at"), F.lag("at").over(same)).cast("int"))
+    # _run: windows that follow each other in the other document too
+    same = Window.partitionBy("doc", "other", "shift").orderBy("at")
+    new = F.coalesce(F.col("at") > F.lag("at").over(same) + WINDOW, F.lit(True))
+    runs = shared.withColumn("_new", new.cast("int"))
     runs = runs.withColumn("_run", F.sum("_new").over(same.rowsBetween(Window.unboundedPreceding, 0)))
     one = Window.partitionBy("doc", "other", "shift", "_run")
-    runs = cut(runs.withColumn("first", F.min("at").over(one)).withColumn("end", F.max("at").over(one) + WINDOW).select("doc", "at", "h", "g", "n", F.least("doc", "other").alias("low"), F.when(F.col("other") < F.col("doc"), F.col("shift")).otherwise(F.lit(0)).alias("shift"), "first", "end", "ends"))
-    # where runs begin and end, and whether short ones belong to more, is asked of the words around them
-    asked = cut(runs.filter(F.col("ends") | (F.col("end") - F.col("first") < passage)).groupBy("h", "g").agg(F.first("n").alias("_n")))
-    found = _long_windows(spread(runs.select("doc", "at", "h", "g"), asked, ["h", "g"], "_n", ["doc", "at"]).select("doc", "at"), docs, id_col, text_col, passage)
+    runs = written(runs.withColumn("first", F.min("at").over(one)).withColumn("end", F.max("at").over(one) + WINDOW).select("doc", "at", "h", "g", "n", F.least("doc", "other").alias("low"), F.when(F.col("other") < F.col("doc"), F.col("shift")).otherwise(F.lit(0)).alias("shift"), "first", "end"), "runs")
+    # A longer window that a run does not hold is asked of the words: in all documents that have one of its chosen windows, as in
+    # any of them the run may end elsewhere.
+    left, right = F.col("at") - F.col("first"), F.col("end") - F.col("at")
+    asked = runs.filter((left < passage - WINDOW) | (right < passage)).groupBy("h", "g").agg(F.min(left).alias("left"), F.min(right).alias("right"), F.first("n").alias("_n"))
+    members = spread(runs.select("doc", "at", "h", "g"), written(asked, "asked"), ["h", "g"], "_n", ["doc", "at"], most=0)
+    found = _long_windows(members.select("doc", "at", "left", "right"), docs, id_col, text_col, passage)
     found = found.select("doc", F.col("low.doc").alias("low"), F.when(F.col("doc") == F.col("low.doc"), F.lit(0)).otherwise(F.col("start") - F.col("low.start")).alias("shift"), F.col("start").alias("first"), (F.col("start") + passage).alias("end"))
     spans = runs.filter(F.col("end") - F.col("first") >= passage).select("doc", "low", "shift", "first", "end").distinct().unionByName(found)
     same = Window.partitionBy("doc", "low", "shift").orderBy("first")
