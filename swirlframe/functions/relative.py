@@ -90,3 +90,67 @@ def online_bound() -> str:
 def log_bound(share: str) -> str:
     """The bound of base-2 logarithms that a relative bound allows."""
     return f"log2(1 + {share})"
+
+
+# --- tetrahedra: doubles u0 .. w3, vertex 3 the one that moves -------------------------------------------
+
+
+def _det_terms(x: int, y: int, z: int, sign: str = "") -> Terms:
+    """det of the vectors x, y, z as six products, those of each component of z one after the other."""
+    made = [("u", f"v{x} * w{y}", f"w{x} * v{y}"), ("v", f"w{x} * u{y}", f"u{x} * w{y}"), ("w", f"u{x} * v{y}", f"v{x} * u{y}")]
+    flip = "" if sign else "-"
+    return [t for c, a, b in made for t in (f"{sign}({c}{z} * {a})", f"{flip}({c}{z} * {b})")]
+
+
+#: The four determinants whose common sign says that the origin is within a tetrahedron; the last has no part of vertex 3.
+TETRAHEDRON = [_det_terms(1, 2, 3, "-"), _det_terms(0, 2, 3), _det_terms(0, 1, 3, "-"), _det_terms(0, 1, 2)]
+
+
+def tetrahedron_columns() -> dict[str, str]:
+    """p_k<n> and n_k<n>: the positive and negative parts of the four determinants, and m<n>, c<n>: the determinants, and the sums of
+    the magnitudes by which components of vertex 3 enter them."""
+    out = {}
+    for k, terms in enumerate(TETRAHEDRON):
+        for part, sign in (("p", ""), ("n", "-")):
+            out[f"{part}_k{k}"] = "(" + " + ".join(f"greatest({sign}({t}), CAST(0 AS DOUBLE))" for t in terms) + ")"
+        out[f"m{k}"] = total(terms)
+        out[f"c{k}"] = "(" + " + ".join(f"abs({total(terms[2 * i : 2 * i + 2])})" for i in range(3)) + ")"
+    return out
+
+
+def _two_signs(margins: list[str], inside: str) -> str:
+    """``inside`` where all determinants have one sign; else the smaller of the best margins of either sign: two that differ are enough."""
+    best = [f"greatest({', '.join(f'CASE WHEN m{k} {op} 0 THEN {m} ELSE CAST(0 AS DOUBLE) END' for k, m in enumerate(margins))})" for op in "><"]
+    same = " OR ".join("(" + " AND ".join(f"m{k} {op} 0" for k in range(4)) + ")" for op in "><")
+    return f"(CASE WHEN {same} THEN {inside} ELSE least({best[0]}, {best[1]}) END)"
+
+
+def tetrahedron_offline_bound() -> str:
+    """All four vertices may move by this share: whether there is a zero is kept."""
+    margins = [sign_margin(f"k{k}", 3) for k in range(4)]
+    return _two_signs(margins, f"least({', '.join(margins)})")
+
+
+def tetrahedron_online_bound() -> str:
+    """Only vertex 3 may move, by this share: whether there is a zero is kept.  0 where there is one."""
+    margins = [f"(CASE WHEN c{k} = 0 THEN CAST(0 AS DOUBLE) ELSE abs(m{k}) / c{k} END)" for k in range(3)]
+    return _two_signs([*margins, "CAST(1 AS DOUBLE)"], "CAST(0 AS DOUBLE)")
+
+
+# --- bilinear cells: doubles u0 .. v3, vertex 0 the one that moves ----------------------------------------
+
+
+def bilinear_online_bound() -> str:
+    """Vertex 0 may move by this share: the cell keeps on one side of a line through the origin, so it has no zero; 0 where no line is found.
+
+    Lines: the axes, and those square to the bisectors of two vertices' vectors.
+    """
+    unit = lambda c, k: f"{c}{k} / greatest(sqrt(u{k} * u{k} + v{k} * v{k}), CAST(1e-300 AS DOUBLE))"
+    lines = [("CAST(1 AS DOUBLE)", "CAST(0 AS DOUBLE)"), ("CAST(0 AS DOUBLE)", "CAST(1 AS DOUBLE)")]
+    lines += [tuple(f"({unit(c, a)} + {unit(c, b)})" for c in "uv") for a in range(4) for b in range(a)]
+    found = []
+    for x, y in lines:
+        d = [f"({x} * u{k} + {y} * v{k})" for k in range(4)]
+        one = " OR ".join("(" + " AND ".join(f"{z} {op} 0" for z in d) + ")" for op in "><")
+        found.append(f"CASE WHEN {one} THEN abs({d[0]}) / (abs({x} * u0) + abs({y} * v0)) ELSE CAST(0 AS DOUBLE) END")
+    return f"greatest({', '.join(found)})"

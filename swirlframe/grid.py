@@ -12,7 +12,7 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -67,6 +67,15 @@ def view_grid(spark: SparkSession, sf_dir: str) -> Grid:
     return Grid(VIEW_H, VIEW_W, n // VIEW_H)
 
 
+def smooth_view(spark: SparkSession, sf_dir: str, reach: int = 3) -> DataFrame:
+    """field_view() with every value the mean of those within ``reach`` along each axis: what a field of a flow is like, where the view is nearly noise."""
+    f = field_view(spark, sf_dir)
+    for axis, rest in (("j", ("t", "i")), ("i", ("t", "j")), ("t", ("i", "j"))):
+        near = Window.partitionBy(*rest).orderBy(axis).rowsBetween(-reach, reach)
+        f = f.select("t", "i", "j", *(F.avg(F.col(c).cast("double")).over(near).alias(c) for c in "uv"))
+    return f.select("t", "i", "j", *(F.col(c).cast("float").alias(c) for c in "uv"))
+
+
 @dataclass(frozen=True)
 class Scale:
     """A field's fixed-point scale: values times 2**shift, truncated."""

@@ -46,16 +46,36 @@ def vertex_bounds(field: DataFrame, grid: Grid, most: int, templates: list = FAC
 
     0 where a face of the vertex holds a zero.  Faces are summed up per cube before anything is shuffled.
     """
-    f = faces(field, grid, templates).withColumn("keep", ~has_zero(*_six()))
+    f = faces(field, grid, templates)
     last = {"a": "bca", "b": "acb", "c": "abc"}  # the vertex that moves comes last
+    bound = {me: zero_bound(*(F.col(x + n) for n in order for x in "uv")) for me, order in last.items()}
+    if symmetric:
+        bound = dict.fromkeys(last, F.least(*bound.values()))
+    none = F.lit(0).cast("long")
+    marked = f.select(*last, has_zero(*_six()).alias("zero"), *(x.alias(f"eb_{me}") for me, x in bound.items()))
+    sides = [F.struct(F.col(me).alias("vid"), F.when(F.col("zero"), none).otherwise(F.col(f"eb_{me}")).alias("eb")) for me in last]
+    per = marked.select(F.explode(F.array(*sides)).alias("s")).select("s.*")
+    return per.groupBy("vid").agg(F.least(F.min("eb"), F.lit(most).cast("long")).alias("required_eb"))
 
-    def side(me: str, order: str) -> Column:
-        return F.struct(F.col(me).alias("vid"), "keep", *(F.col(x + n).alias(x + str(k)) for k, n in enumerate(order) for x in "uv"))
 
-    sides = [side(me, order) for me, own in last.items() for order in (last.values() if symmetric else [own])]
-    eb = zero_bound(*(F.col(x) for x in ("u0", "v0", "u1", "v1", "u2", "v2")))
-    per = f.select(F.explode(F.array(*sides)).alias("s")).select("s.*").select("vid", F.when(F.col("keep"), eb).otherwise(F.lit(0).cast("long")).alias("eb"))
-    return per.groupBy("vid").agg(F.least(F.min("eb"), F.lit(most).cast("long")).alias("required_eb"))
+def relative_vertex_bounds(field: DataFrame, grid: Grid, typed: bool = False) -> DataFrame:
+    """(t, i, j, share): by how large a share all vertices may move at once with no verdict (typed: and no type) of a triangle of their frames changed.
+
+    field holds real values; the least share of the (up to) six triangles of a vertex, at most 1.
+    """
+    from ..functions import relative
+
+    f = layer_faces(field, grid)
+    named = [F.col(x + n).cast("double").alias(x + str(k)) for k, n in enumerate("abc") for x in "uv"]
+    rows = f.select("tmpl", "a", "b", "c", *named)
+    parts = []
+    for tmpl in (1, 2):
+        made = relative.columns((tmpl == 1) if typed else None)
+        one = rows.filter(F.col("tmpl") == tmpl).withColumns({c: F.expr(e) for c, e in made.items()})
+        parts.append(one.select(F.explode(F.array("a", "b", "c")).alias("vid"), F.expr(relative.offline_bound(typed)).alias("share")))
+    per = parts[0].unionByName(parts[1]).groupBy("vid").agg(F.least(F.min("share"), F.lit(1.0)).alias("share"))
+    t, i, j = (c.cast("int") for c in grid.coordinates("vid"))
+    return per.select(t.alias("t"), i.alias("i"), j.alias("j"), "share")
 
 
 def bound_ids(bounds: DataFrame) -> DataFrame:

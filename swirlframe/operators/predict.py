@@ -70,15 +70,10 @@ def dt2d(p: Back) -> Column:
 
 
 def ar2_clamped(p: Back) -> Column:
-    """Linear extrapolation in time between the smallest and largest of itself and of its neighbours in the two frames before."""
+    """Linear extrapolation in time, kept within the smallest and largest of its neighbours in the two frames before."""
     base = 2 * p(1, 0, 0) - p(2, 0, 0)
-    low = high = base
-    for b, c in ((0, 0), (1, 0), (0, 1), (1, 1)):
-        inside = (F.col("i") >= b) & (F.col("j") >= c)
-        for a in (1, 2):
-            x = F.when(inside, p(a, b, c)).otherwise(base)
-            low, high = F.least(low, x), F.greatest(high, x)
-    return F.when(F.col("t") < 2, lorenzo3d(p)).otherwise(F.greatest(low, F.least(high, base)))
+    around = [F.when((F.col("i") >= b) & (F.col("j") >= c), p(a, b, c)).otherwise(p(1, 0, 0)) for b, c in ((0, 0), (1, 0), (0, 1), (1, 1)) for a in (1, 2)]
+    return F.when(F.col("t") < 2, lorenzo3d(p)).otherwise(F.greatest(F.least(*around), F.least(F.greatest(*around), base)))
 
 
 _CUBE = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1) if a + b + c]

@@ -55,11 +55,35 @@ def tetrahedra(field: DataFrame, grid: Grid) -> DataFrame:
     return cubes.select("t", "i", "j", F.explode(F.array(*(one(k, c) for k, c in enumerate(TETRAHEDRA)))).alias("f")).select("t", "i", "j", "f.*")
 
 
+def tie_signs(p: list[tuple[Column, Column, Column]]) -> list[Column]:
+    """The signs (1 or -1) of weights(); a determinant of 0 is decided as if the origin were moved by (e, e*e, e*e*e) for a small e > 0.
+
+    det(a - q, b - q, c - q) = det(a, b, c) - q . n with n = b x c + c x a + a x b, so the first of det, -n that isn't 0 tells (for vectors
+    on one line: 1).  The sign of a side depends on its three vertices only, so two tetrahedra never both miss a zero on their side, nor both have it.
+    """
+
+    def cross(x, y):
+        return (x[1] * y[2] - x[2] * y[1], x[2] * y[0] - x[0] * y[2], x[0] * y[1] - x[1] * y[0])
+
+    a, b, c, d = p
+    out = []
+    for turn, (x, y, z) in zip((-1, 1, -1, 1), ((b, c, d), (a, c, d), (a, b, d), (a, b, c)), strict=True):
+        normal = [sum(k[1:], k[0]) for k in zip(cross(y, z), cross(z, x), cross(x, y), strict=True)]
+        s = F.lit(turn)
+        for term in [*(-n for n in reversed(normal)), det3(x, y, z)]:
+            s = F.when(term > 0, turn).when(term < 0, -turn).otherwise(s)
+        out.append(s)
+    return out
+
+
 def with_zero(tets: DataFrame) -> DataFrame:
-    """The tetrahedra that hold a zero within (not on their sides): all determinants have one sign."""
-    m = tets.withColumns({f"m{k}": w for k, w in enumerate(weights(_vectors()))})
-    same = lambda f: f(F.col("m0")) & f(F.col("m1")) & f(F.col("m2")) & f(F.col("m3"))
-    return m.filter(same(lambda x: x > 0) | same(lambda x: x < 0))
+    """The tetrahedra that hold a zero (m0 .. m3: weights()): all determinants have one sign, ties decided by tie_signs()."""
+    p = _vectors()
+    m = tets.withColumns({f"m{k}": w for k, w in enumerate(weights(p))})
+    signs = tie_signs(p)
+    strict = ((F.col("m0") > 0) & (F.col("m1") > 0) & (F.col("m2") > 0) & (F.col("m3") > 0)) | ((F.col("m0") < 0) & (F.col("m1") < 0) & (F.col("m2") < 0) & (F.col("m3") < 0))
+    tied = (F.col("m0") == 0) | (F.col("m1") == 0) | (F.col("m2") == 0) | (F.col("m3") == 0)
+    return m.filter(strict | (tied & (signs[0] == signs[1]) & (signs[1] == signs[2]) & (signs[2] == signs[3])))
 
 
 def _axes(tet: int) -> list[int]:
@@ -76,7 +100,8 @@ def volume_points(field: DataFrame, grid: Grid) -> DataFrame:
     """
     found = with_zero(tetrahedra(field, grid))
     total = F.col("m0") + F.col("m1") + F.col("m2") + F.col("m3")
-    mu = [F.col(f"m{k}").cast("double") / total.cast("double") for k in range(4)]
+    # where all determinants are 0 there is no single place: a quarter each
+    mu = [F.when(total == 0, 0.25).otherwise(F.col(f"m{k}").cast("double") / F.when(total == 0, 1.0).otherwise(total.cast("double"))) for k in range(4)]
     steps = {x: [(F.col(x + b) - F.col(x + a)).cast("double") for a, b in zip(VERTICES, VERTICES[1:], strict=False)] for x in "uvw"}
     cells: dict[str, Column] = {}
     for axis, name in ((2, "x"), (1, "y"), (0, "z")):
@@ -105,13 +130,13 @@ def volume_points(field: DataFrame, grid: Grid) -> DataFrame:
     return poly.select("t", "i", "j", "tet", "x", "y", "z", kind.alias("type"))
 
 
-def tetrahedron_bound() -> Column:
+def tetrahedron_bound(kind: str = "long") -> Column:
     """How far vertex d may move, in each component, with no determinant's sign changed, in whole units: of columns ua .. wd.
 
     If all four vertices agree in the sign of a component, d may move by its largest such magnitude.
-    0 for flat tetrahedra.
+    0 for flat tetrahedra.  kind "decimal(10,0)" is for more than NBITS bits: up to 30, as every product then has at most 38 digits.
     """
-    p = _vectors()
+    p = [tuple(x.cast(kind) for x in v) for v in _vectors()] if kind != "long" else _vectors()
     m = weights(p)
     total = m[0] + m[1] + m[2] + m[3]
     same = F.lit(0).cast("long")
@@ -123,8 +148,8 @@ def tetrahedron_bound() -> Column:
         other = F.lit(True)
         for x in c:
             other = other & (x < 0)
-        same = F.greatest(same, F.when(one | other, F.abs(c[3])).otherwise(0))
-    div = lambda x, y: F.call_function("div", F.abs(x), F.greatest(y, F.lit(1).cast("long")))
+        same = F.greatest(same, F.when(one | other, F.abs(c[3])).otherwise(0).cast("long"))
+    div = lambda x, y: F.call_function("div", F.abs(x), F.greatest(y, F.lit(1).cast(kind)))
 
     def spread(x: tuple[Column, ...], y: tuple[Column, ...]) -> Column:
         return F.abs(x[1] * y[2] - x[2] * y[1]) + F.abs(x[0] * y[2] - x[2] * y[0]) + F.abs(x[0] * y[1] - x[1] * y[0])
@@ -155,9 +180,8 @@ def vertex_bounds(tets: DataFrame, most: int) -> DataFrame:
 
     At most ``most``; 0 where one of its tetrahedra holds a zero.  Of grids and unstructured meshes alike.
     """
-    m = weights(_vectors())
-    zero = ((m[0] > 0) & (m[1] > 0) & (m[2] > 0) & (m[3] > 0)) | ((m[0] < 0) & (m[1] < 0) & (m[2] < 0) & (m[3] < 0))
-    marked = tets.withColumn("zero", zero)
+    signs = tie_signs(_vectors())
+    marked = tets.withColumn("zero", (signs[0] == signs[1]) & (signs[1] == signs[2]) & (signs[2] == signs[3]))
     roles = []
     for me in VERTICES:
         order = [n for n in VERTICES if n != me] + [me]
@@ -165,3 +189,47 @@ def vertex_bounds(tets: DataFrame, most: int) -> DataFrame:
     rows = marked.select(F.explode(F.array(*roles)).alias("r")).select("r.*")
     eb = F.when(F.col("zero"), F.lit(0).cast("long")).otherwise(tetrahedron_bound())
     return rows.select("pid", eb.alias("eb")).groupBy("pid").agg(F.least(F.min("eb"), F.lit(most).cast("long")).alias("required_eb"))
+
+
+def relative_rows(tets: DataFrame, factor: float = 1.0) -> DataFrame:
+    """tets with the columns that functions.relative needs of tetrahedra: u0 .. w3 (values over ``factor``) and tetrahedron_columns()."""
+    from ..functions import relative
+
+    named = {f"{x}{k}": F.col(x + n).cast("double") / F.lit(float(factor)) for k, n in enumerate(VERTICES) for x in "uvw"}
+    return tets.withColumns(named).withColumns({c: F.expr(e) for c, e in relative.tetrahedron_columns().items()})
+
+
+def relative_vertex_bounds(tets: DataFrame) -> DataFrame:
+    """(pid, share): by how large a share all vertices may move at once with no tetrahedron's verdict changed; of grids and unstructured meshes."""
+    from ..functions import relative
+
+    rows = relative_rows(tets).select(F.explode(F.array(*VERTICES)).alias("pid"), F.expr(relative.tetrahedron_offline_bound()).alias("share"))
+    return rows.groupBy("pid").agg(F.least(F.min("share"), F.lit(1.0)).alias("share"))
+
+
+def real_zeros(tets: DataFrame) -> DataFrame:
+    """Tetrahedra of real values whose four determinants have one sign."""
+    m = [F.col(f"m{k}") for k in range(4)]
+    return relative_rows(tets).filter(((m[0] > 0) & (m[1] > 0) & (m[2] > 0) & (m[3] > 0)) | ((m[0] < 0) & (m[1] < 0) & (m[2] < 0) & (m[3] < 0)))
+
+
+def encode_points(tets: DataFrame, data: DataFrame, share: float) -> tuple[DataFrame, Grid]:
+    """(blocks, a grid of one row): the points of an unstructured mesh, tets (tid, pos, pid) and data (pid from 0, u, v, w), in order of pid.
+
+    Every value is kept to ``share`` of itself, and to what keeps the verdicts of all tetrahedra if all vertices move at once; points
+    without a tetrahedron only to ``share``.  decode_points() undoes it.
+    """
+    from ..plans import codec
+
+    grid = Grid(1, data.count(), 1)
+    bounds = relative_vertex_bounds(unstructured(tets, data))
+    rows = data.join(bounds, "pid", "left").withColumn("share", F.coalesce("share", F.lit(1.0)))
+    rows = rows.select(F.lit(0).alias("t"), F.lit(0).alias("i"), F.col("pid").cast("int").alias("j"), "u", "v", "w", codec.relative_limit(F.col("share")).alias("limit"))
+    return codec.encode_relative(rows, grid, share, "lorenzo2d", (1, 1, 1024), cols="uvw", limit="limit")[0], grid
+
+
+def decode_points(blocks: DataFrame, grid: Grid) -> DataFrame:
+    """(pid, u, v, w) of encode_points()."""
+    from ..plans import codec
+
+    return codec.decode(blocks, grid, codec.LOG_SCALE, "lorenzo2d", (1, 1, 1024), cols="uvw", log=True, kind="double").select(F.col("j").cast("long").alias("pid"), "u", "v", "w")

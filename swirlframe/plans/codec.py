@@ -2,11 +2,16 @@
 
 Vertices on a block's far border are lossless where another block follows, so what a block sees of
 its neighbours never changes, and blocks may be coded, and decoded, in any order and place.
-Some BATCH neighbouring blocks make a group, which bounds what one task holds.
+Some neighbouring blocks make a group, which bounds what one task holds.
+
+A block's payload has the ids of its bounds, the codes of its coded vertices, and the original values of the others in the input's
+type: symbols in Huffman codes (or as differences in zigzag order), and everything through ZSTD.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,52 +20,136 @@ from pyspark.sql import functions as F
 
 from ..grid import Grid, Scale, bits_above
 from . import kernels as K
+from .streams import CODINGS, joined, split
 
+#: Most blocks of a group.
 BATCH = 128
-BLOCK = (6, 12, 12)
+#: Vertices along t, i and j that a block has about; block_of() fits it to the grid.
+BLOCK = (8, 12, 12)
+#: Logarithms of doubles are below 2**11; thirty bits in all.
+LOG_SCALE = Scale(2048.0, 19)
 _COUNTS = "n long, n_lossless long, max_err long, bytes long"
 
 
+def block_of(grid: Grid, about: tuple[int, int, int] = BLOCK) -> tuple[int, int, int]:
+    """The block size of about ``about`` vertices that divides the grid most evenly."""
+    return tuple(-(-n // max(1, round(n / b))) for n, b in zip((grid.T, grid.H, grid.W), about, strict=True))
+
+
 def _blocks(grid: Grid, block: tuple[int, int, int]) -> tuple[int, int, int]:
     return tuple(-(-n // b) for n, b in zip((grid.T, grid.H, grid.W), block, strict=True))
 
 
-def _pack(ids: np.ndarray, codes: np.ndarray, raw: np.ndarray) -> bytes:
-    head = np.array([ids.size, len(raw)], "<i8").tobytes()
-    return pa.Codec("zstd", compression_level=3).compress(head + ids.astype("<i1").tobytes() + codes.astype("<i4").tobytes() + raw.astype("<f8").tobytes(), asbytes=True)
+def _pack(ids: np.ndarray, codes: np.ndarray, raw: np.ndarray, fit: np.ndarray, signs: np.ndarray, coding: str) -> tuple[bytes, int]:
+    """(payload, its size before ZSTD) of a block; codes (component, vertex) of all vertices."""
+    write = CODINGS[coding][0]
+    body = joined(write(ids), write(codes[:, ids > 0].ravel()), raw.tobytes(), fit.astype("<f8").tobytes(), np.packbits(signs.ravel()).tobytes())
+    return pa.Codec("zstd", compression_level=3).compress(body, asbytes=True), len(body)
+
+
+def _unpack(payload: bytes, size: int, many: int, kind: str, coding: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    read = CODINGS[coding][1]
+    ids, coded, raw, fit, signs = split(pa.Codec("zstd").decompress(payload, size, asbytes=True))
+    ids = read(ids)
+    codes = np.zeros((many, len(ids)), np.int64)
+    codes[:, ids > 0] = read(coded).reshape(many, -1)
+    return ids, codes, np.frombuffer(raw, kind), np.frombuffer(fit, "<f8"), np.unpackbits(np.frombuffer(signs, np.uint8))
+
+
+class _Coder:
+    """Codes some blocks of a grid (whose last frame may not be known: then T is None)."""
+
+    def __init__(self, shape: tuple[int | None, int, int], block, factor, eb, predictor, cell, gain, guard, cols, kind, log, relax, coding):
+        self.shape, self.block, self.factor, self.eb, self.predictor, self.cell, self.gain = shape, block, float(factor), eb, predictor, cell, gain
+        self.guard, self.cols, self.kind, self.log, self.relax, self.coding = guard, cols, kind, log, relax, coding
+
+    def __call__(self, corner: np.ndarray, real: np.ndarray, there: np.ndarray, limits: np.ndarray | None = None) -> list[tuple]:
+        """Rows (bt, bi, bj, mode, payload, raw_bytes, n, n_lossless, max_err, bytes).
+
+        corner: (3, block); real: (block, component, t, i, j) with one more vertex around; there: those that exist; limits: a bound for each vertex.
+        """
+        n, many = real.shape[:2]
+        inner = (..., slice(1, -1), slice(1, -1), slice(1, -1))
+        if self.log:
+            code = np.where(real == 0, -100.0, np.log2(np.abs(np.where(real == 0, 1.0, real))))
+        else:
+            code = real
+        halo = np.trunc(code * self.factor).astype(np.int64)
+        values, mine = halo[inner].copy(), there[inner]
+        fixed = np.zeros_like(mine)
+        for k, p in enumerate(self.shape):
+            more = np.ones(n, bool) if p is None else corner[k] + self.block[k] < p
+            edge: list = [slice(None)] * 3
+            edge[k] = self.block[k] - 1
+            fixed[(more, *edge)] = True
+        size = [np.full(n, b) if p is None else np.minimum(b, p - c) for b, p, c in zip(self.block, self.shape, corner, strict=True)]
+        motion, modes, fit = K.Motion(self.cell, size[1], size[2]), None, None
+        if self.predictor == "modes":
+            modes = K.choose_modes(values, mine, motion, self.gain)
+        if self.predictor == "modes_entropy":
+            modes = K.choose_by_entropy(values, mine, fixed | ~mine, self.eb, motion, self.gain)
+        if self.predictor == "lorenzo_ar2":
+            fit = K.fit_ar2(values, mine)
+        if self.predictor == "plane":
+            fit = K.fit_plane(values, mine, self.eb)
+        reals = K.Reals(real, self.factor, self.log) if self.guard in K.RELATIVE else None
+        ids, codes, done = K.encode(values, halo, there, fixed | ~mine, self.eb, self.predictor, motion, modes, self.guard, fit, limits, self.relax, reals)
+        out = []
+        for b in range(n):
+            live, raw = mine[b], real[inner][b]
+            lossless = (ids[b] == 0) & live
+            signs = np.stack([raw > 0, raw == 0]) if self.log else np.zeros(0, bool)
+            payload, before = _pack(ids[b].ravel(), codes[b].reshape(many, -1), np.concatenate([raw[k][lossless] for k in range(many)]).astype(self.kind), fit[b] if fit is not None else np.zeros(0), signs, self.coding)
+            err = np.abs(done[b] - values[b])[:, live]
+            mode = int(modes[b]) if modes is not None else int(self.predictor in K.MOVING)
+            out.append((*(int(c[b]) // s for c, s in zip(corner, self.block, strict=True)), mode, payload, before, int(live.sum()), int(lossless.sum()), int(err.max(initial=0)), len(payload)))
+        return out
+
+
+_NAMES = ["bt", "bi", "bj", "mode", "payload", "raw_bytes", "n", "n_lossless", "max_err", "bytes"]
+CODED = f"bt int, bi int, bj int, mode int, payload binary, raw_bytes long, {_COUNTS}"
 
 
-def _unpack(payload: bytes, size: int, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    body = pa.Codec("zstd").decompress(payload, size, asbytes=True)
-    n, m = np.frombuffer(body, "<i8", 2)
-    ids = np.frombuffer(body, "<i1", n, 16)
-    codes = np.frombuffer(body, "<i4", many * n, 16 + n).reshape(many, n)
-    return ids, codes, np.frombuffer(body, "<f8", m, 16 + (1 + 4 * many) * n)
+def _checked(predictor: str, guard: str, cols: str, coding: str) -> None:
+    known = [*K.PREDICTORS, *K.MOVING, *K.FITTED]
+    if predictor not in known:
+        raise ValueError(f"no predictor {predictor!r}; there are {known}")
+    if guard not in K.GUARDS or (guard in K.SPATIAL) != (len(cols) == 3) and guard != "none":
+        raise ValueError(f"guard {guard!r} does not go with components {cols!r}")
+    if coding not in CODINGS:
+        raise ValueError(f"no coding {coding!r}; there are {[*CODINGS]}")
 
 
-def encode(field: DataFrame, grid: Grid, scale: Scale, eb: int, predictor: str = "lorenzo3d", block: tuple[int, int, int] = BLOCK, cell: float | None = None, gain: float = 0.003, guard: str = "faces", cols: str = "uv") -> DataFrame:
+def encode(field: DataFrame, grid: Grid, scale: Scale, eb: int, predictor: str = "lorenzo3d", block: tuple[int, int, int] | None = None, cell: float | None = None, gain: float = 0.003, guard: str = "faces", cols: str = "uv", log: bool = False, limit: str | None = None, relax: int = 1, coding: str = "huffman") -> DataFrame:
     """(bt, bi, bj, mode, payload, raw_bytes, n, n_lossless, max_err, bytes): a row for each block of a field (t, i, j, and cols).
 
-    eb: the largest error, in units of fixed point.  predictor: one of kernels.PREDICTORS, "advect", "warped", or "modes"
-    (the better of Lorenzo and advection for each block).  cell: displacement in cells of a fixed-point unit (by
-    default a velocity of 1 moves one cell a frame).  guard: what may not change, of kernels.GUARDS: "faces" of space-time, "layers"
-    (faces of single frames only), "tried" (faces, by trial), "tetrahedra" (of three components), or "none".
+    eb: the largest error, in units of fixed point.  predictor: one of kernels.PREDICTORS; "advect", "warped", "modes" or "modes_entropy"
+    (the better of Lorenzo and advection for each block, by the sum of residuals or by the bits that coding takes); "lorenzo_ar2" (with an AR(2)
+    of each block), or "plane" (a hyperplane or Lorenzo for each block).  block: by default block_of() the grid.  cell: displacement in cells
+    of a fixed-point unit (by default a velocity of 1 moves one cell a frame).  guard: what may not change, of kernels.GUARDS: "faces" of space-time, "layers"
+    (faces of single frames only), "symmetric" (faces, with the least bound of their vertices), "tried" (faces, by trial), "typed"
+    (faces of frames and the types of their zeros, by trial), "relative" and "bilinear" (triangles or cells of frames, of real values),
+    "tetrahedra" and "relative_tetrahedra" (of three components), or "none".  log: codes base-2 logarithms (scale: LOG_SCALE) and
+    signs; errors are then relative.  limit: a column with a bound of each vertex, in units of fixed point.  relax: steps may be so many times
+    their bound where the result holds it.  coding: of streams.CODINGS.
     """
-    if predictor not in K.PREDICTORS and predictor not in K.MOVING:
-        raise ValueError(f"no predictor {predictor!r}; there are {[*K.PREDICTORS, *K.MOVING]}")
-    if guard not in K.GUARDS or (guard == "tetrahedra") != (len(cols) == 3) and guard != "none":
-        raise ValueError(f"guard {guard!r} does not go with components {cols!r}")
+    _checked(predictor, guard, cols, coding)
+    block = block or block_of(grid)
     cell = 1 / scale.factor if cell is None else cell
     many, (b0, b1, b2) = _blocks(grid, block), block
+    kind = "<f4" if all(dict(field.dtypes)[c] == "float" for c in cols) else "<f8"
+    coder = _Coder((grid.T, grid.H, grid.W), block, scale.factor, eb, predictor, cell, gain, guard, cols, kind, log, relax, coding)
     spots = []
     for axis, (name, size) in enumerate(zip("tij", block, strict=True)):
         home = F.floor(F.col(name) / size).cast("int")
         # the last vertex of a block is halo of the next one
         last = (F.col(name) % size == size - 1) & (home + 1 < many[axis])
         spots.append(F.when(last, F.array(home, home + 1)).otherwise(F.array(home)))
-    rows = field.withColumn("_bt", F.explode(spots[0])).withColumn("_bi", F.explode(spots[1])).withColumn("_bj", F.explode(spots[2]))
-    group = F.floor(((F.col("_bt") * many[1] + F.col("_bi")) * many[2] + F.col("_bj")) / BATCH).cast("long")
-    factor, plan = float(scale.factor), (grid.T, grid.H, grid.W)
+    rows = field.select("t", "i", "j", *cols, *([F.col(limit).alias("_limit")] if limit else []))
+    rows = rows.withColumn("_bt", F.explode(spots[0])).withColumn("_bi", F.explode(spots[1])).withColumn("_bj", F.explode(spots[2]))
+    cores = field.sparkSession.sparkContext.defaultParallelism
+    batch = min(BATCH, max(4, -(-int(np.prod(many)) // (2 * cores))))
+    group = F.floor(((F.col("_bt") * many[1] + F.col("_bi")) * many[2] + F.col("_bj")) / batch).cast("long")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         keys = (part["_bt"].to_numpy(np.int64) * many[1] + part["_bi"].to_numpy(np.int64)) * many[2] + part["_bj"].to_numpy(np.int64)
@@ -73,36 +162,25 @@ def encode(field: DataFrame, grid: Grid, scale: Scale, eb: int, predictor: str =
         for k, c in enumerate(cols):
             real[which, k, *local] = part[c].to_numpy(np.float64)
         there[which, *local] = True
-        halo = np.trunc(real * factor).astype(np.int64)
-        inner = (slice(None), slice(None), slice(1, -1), slice(1, -1), slice(1, -1))
-        values, mine = halo[inner].copy(), there[inner[1:]]
-        fixed = np.zeros_like(mine)
-        size = [np.minimum(b, p - c) for b, p, c in zip(block, plan, corner, strict=True)]
-        for k in range(3):
-            more = corner[k] + block[k] < plan[k]
-            edge = [slice(None)] * 3
-            edge[k] = block[k] - 1
-            fixed[(more, *edge)] = True
-        motion = K.Motion(cell, size[1], size[2])
-        modes = K.choose_modes(values, mine, motion, gain) if predictor == "modes" else None
-        ids, codes, done = K.encode(values, halo, there, fixed | ~mine, eb, predictor, motion, modes, guard)
-        out = []
-        for b in range(n):
-            live, raw = mine[b], real[inner][b]
-            lossless = (ids[b] == 0) & live
-            payload = _pack(ids[b].ravel(), codes[b].reshape(len(cols), -1), np.concatenate([raw[k][lossless] for k in range(len(cols))]))
-            err = np.abs(done[b] - values[b])[:, live]
-            size_ = 16 + (1 + 4 * len(cols)) * ids[b].size + 8 * len(cols) * int(lossless.sum())
-            out.append((*(int(c[b]) // s for c, s in zip(corner, block, strict=True)), int(modes[b]) if modes is not None else int(predictor in K.MOVING), payload, size_, int(live.sum()), int(lossless.sum()), int(err.max(initial=0)), len(payload)))
-        return pd.DataFrame(out, columns=["bt", "bi", "bj", "mode", "payload", "raw_bytes", "n", "n_lossless", "max_err", "bytes"])
+        limits = None
+        if limit:
+            limits = np.zeros(there.shape, np.int64)
+            limits[which, *local] = part["_limit"].to_numpy(np.int64)
+            limits = limits[:, 1:-1, 1:-1, 1:-1]
+        return pd.DataFrame(coder(corner, real, there, limits), columns=_NAMES)
 
-    return rows.withColumn("_g", group).groupBy("_g").applyInPandas(run, f"bt int, bi int, bj int, mode int, payload binary, raw_bytes long, {_COUNTS}")
+    return rows.withColumn("_g", group).groupBy("_g").applyInPandas(run, CODED)
 
 
-def decode(blocks: DataFrame, grid: Grid, scale: Scale, predictor: str = "lorenzo3d", block: tuple[int, int, int] = BLOCK, cell: float | None = None, cols: str = "uv") -> DataFrame:
-    """(t, i, j, cols, <col>fp, lossless): the field of encode()'s blocks; lossless vertices have their original values."""
+def decode(blocks: DataFrame, grid: Grid, scale: Scale, predictor: str = "lorenzo3d", block: tuple[int, int, int] | None = None, cell: float | None = None, cols: str = "uv", log: bool = False, kind: str = "float", coding: str = "huffman") -> DataFrame:
+    """(t, i, j, cols as doubles, <col>fp, lossless): the field of encode()'s blocks; lossless vertices have their original values.
+
+    kind: the type of the field that was coded, float or double; the other arguments as for encode().
+    """
+    block = block or block_of(grid)
     cell, factor = 1 / scale.factor if cell is None else cell, float(scale.factor)
-    plan, many = (grid.T, grid.H, grid.W), _blocks(grid, block)
+    plan, many, comps = (grid.T, grid.H, grid.W), _blocks(grid, block), len(cols)
+    dtype = {"float": "<f4", "double": "<f8"}[kind]
 
     def run(batches):
         for part in batches:
@@ -111,31 +189,38 @@ def decode(blocks: DataFrame, grid: Grid, scale: Scale, predictor: str = "lorenz
                 continue
             corner = np.stack([part[c].to_numpy(np.int64) * s for c, s in zip(("bt", "bi", "bj"), block, strict=True)])
             size = [np.minimum(b, p - c) for b, p, c in zip(block, plan, corner, strict=True)]
-            ids, codes = np.zeros((n, *block), np.int8), np.zeros((n, len(cols), *block), np.int32)
-            real = np.zeros((n, len(cols), *block))
+            ids, codes = np.zeros((n, *block), np.int8), np.zeros((n, comps, *block), np.int32)
+            real, sign = np.zeros((n, comps, *block)), np.zeros((n, comps, *block))
             axes = [np.arange(b) for b in block]
             live = np.ones((n, *block), bool)
             for k in range(3):
                 live &= (axes[k][None, :] < size[k][:, None]).reshape([n, *(block[k] if m == k else 1 for m in range(3))])
+            fits = []
             for b in range(n):
-                x, c, raw = _unpack(part["payload"].iloc[b], int(part["raw_bytes"].iloc[b]), len(cols))
-                ids[b], codes[b] = x.reshape(block), c.reshape(len(cols), *block)
+                x, c, raw, fit, signs = _unpack(part["payload"].iloc[b], int(part["raw_bytes"].iloc[b]), comps, dtype, coding)
+                ids[b], codes[b] = x.reshape(block), c.reshape(comps, *block)
                 lossless = (ids[b] == 0) & live[b]
-                for k in range(len(cols)):
+                for k in range(comps):
                     real[b, k][lossless] = raw[k * int(lossless.sum()) : (k + 1) * int(lossless.sum())]
-            modes = part["mode"].to_numpy() > 0 if predictor == "modes" else None
-            raw = np.trunc(real * factor).astype(np.int64)
-            done = K.decode(ids, codes, raw, predictor, K.Motion(cell, size[1], size[2]), modes)
+                fits.append(fit.reshape(comps, -1))
+                if log:
+                    up, zero = signs[: 2 * real[b].size].reshape(2, *real[b].shape)
+                    sign[b] = np.where(zero > 0, 0.0, np.where(up > 0, 1.0, -1.0))
+            modes = part["mode"].to_numpy() > 0 if predictor.startswith("modes") else None
+            inside = np.where(real == 0, -100.0, np.log2(np.abs(np.where(real == 0, 1.0, real)))) if log else real
+            raw = np.trunc(inside * factor).astype(np.int64)
+            done = K.decode(ids, codes, raw, predictor, K.Motion(cell, size[1], size[2]), modes, np.stack(fits))
             w = np.nonzero(live)
             lossless = ids[w] == 0
+            value = lambda k: sign[:, k][w] * np.exp2(done[:, k][w] / factor) if log else done[:, k][w] / factor  # noqa: B023, E731
             yield pd.DataFrame({
                 **{c: (corner[k][w[0]] + w[k + 1]).astype(np.int32) for k, c in enumerate("tij")},
-                **{c: np.where(lossless, real[:, k][w], done[:, k][w] / factor) for k, c in enumerate(cols)},
+                **{c: np.where(lossless, real[:, k][w], value(k)) for k, c in enumerate(cols)},
                 **{f"{c}fp": done[:, k][w] for k, c in enumerate(cols)},
                 "lossless": lossless,
             })
 
-    width = max(1, np.prod(many) // BATCH)
+    width = max(1, np.prod(many) // 4)
     return blocks.repartition(int(min(width, 10_000)), "bt", "bi", "bj").mapInPandas(run, "t int, i int, j int, " + ", ".join([f"{c} double" for c in cols] + [f"{c}fp long" for c in cols]) + ", lossless boolean")
 
 
@@ -154,42 +239,42 @@ def bound_for(field_scale: Scale, eb: float, mode: str = "abs", fixed_range: int
     return int(eb * field_scale.factor) if mode == "abs" else int(eb * fixed_range)
 
 
-def header(grid: Grid, scale: Scale, eb: int, predictor: str, block: tuple[int, int, int], cell: float) -> dict:
-    """What decoding needs to know, to be kept beside the blocks."""
-    return {"H": grid.H, "W": grid.W, "T": grid.T, "shift": scale.shift, "eb": eb, "predictor": predictor, "block": list(block), "cell": cell, "bits": bits_above(scale.max_abs)}
+def write_blocks(blocks: DataFrame, path: str, grid: Grid, scale: Scale, **how) -> None:
+    """Blocks as Parquet, and beside them a header: what decode() needs to know (predictor, block, cell, cols, log, kind, coding)."""
+    blocks.write.mode("overwrite").parquet(f"{path}/blocks")
+    head = {"H": grid.H, "W": grid.W, "T": grid.T, "max_abs": scale.max_abs, "shift": scale.shift, "bits": bits_above(scale.max_abs), **how}
+    spark = blocks.sparkSession
+    spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
 
 
-def encode_relative(field: DataFrame, grid: Grid, share: float, predictor: str = "lorenzo3d", block: tuple[int, int, int] = BLOCK) -> tuple[DataFrame, Scale]:
-    """Blocks with an error of at most ``share`` of each value: base-2 logarithms are coded with the bound log2(1 + share).
+def read_blocks(spark, path: str) -> DataFrame:
+    """decode() of what write_blocks() wrote."""
+    head = json.loads(spark.read.text(f"{path}/header").first()[0])
+    grid, scale = Grid(head.pop("H"), head.pop("W"), head.pop("T")), Scale(head.pop("max_abs"), head.pop("shift"))
+    head.pop("bits")
+    block = head.pop("block", None)
+    return decode(spark.read.parquet(f"{path}/blocks"), grid, scale, block=tuple(block) if block else None, **head)
 
-    Zeros and signs go beside the logarithms, as lossless columns of decode_relative().
-    """
-    logs = relative_parts(field)
-    s = Scale(2048.0, 19)  # logarithms of doubles are below 2**11; thirty bits in all
-    eb = int(np.log2(1 + share) * s.factor)
-    return encode(logs.select("t", "i", "j", "u", "v"), grid, s, eb, predictor, block, guard="none"), s
 
+def relative_limit(share, scale: Scale = LOG_SCALE):
+    """A column of relative bounds as one of bounds of logarithms, in units of fixed point (one less for what is truncated)."""
+    return F.greatest(F.floor(F.log2(1 + F.least(share, F.lit(1.0)) * (1 - 1e-9)) * float(scale.factor)).cast("long") - 1, F.lit(0).cast("long"))
 
-def relative_parts(field: DataFrame) -> DataFrame:
-    """(t, i, j, u, v as log2 of magnitudes with -100 for 0, signs: bit 0 u > 0, 1 u = 0, 2 v > 0, 3 v = 0)."""
-    from ..functions.scalars import log_transform
 
-    (lu, pu, zu), (lv, pv, zv) = log_transform(F.col("u")), log_transform(F.col("v"))
-    bits = pu.cast("int") + zu.cast("int") * 2 + pv.cast("int") * 4 + zv.cast("int") * 8
-    return field.select("t", "i", "j", lu.alias("u"), lv.alias("v"), bits.cast("byte").alias("signs"))
+def encode_relative(field: DataFrame, grid: Grid, share: float, predictor: str = "lorenzo3d", block: tuple[int, int, int] | None = None, guard: str = "none", cols: str = "uv", limit: str | None = None) -> tuple[DataFrame, Scale]:
+    """(blocks, scale): errors of at most ``share`` of each value, by base-2 logarithms; decode(..., log=True) undoes it.
 
+    limit: a column with a bound (relative_limit()) of each vertex beside that.
+    """
+    eb = int(np.log2(1 + share) * LOG_SCALE.factor) - 1
+    return encode(field, grid, LOG_SCALE, eb, predictor, block, guard=guard, cols=cols, log=True, limit=limit), LOG_SCALE
 
-def decode_relative(blocks: DataFrame, signs: DataFrame, grid: Grid, scale: Scale, predictor: str = "lorenzo3d", block: tuple[int, int, int] = BLOCK) -> DataFrame:
-    """(t, i, j, u, v) from encode_relative()'s blocks and the signs (t, i, j, signs) of relative_parts()."""
-    from ..functions.scalars import inverse_log
-
-    d = decode(blocks, grid, scale, predictor, block).join(signs.select("t", "i", "j", "signs"), ["t", "i", "j"])
-    bit = lambda k: F.col("signs").bitwiseAND(F.lit(1 << k).cast("byte")) != 0
-    return d.select("t", "i", "j", inverse_log(F.col("u"), bit(0), bit(1)).alias("u"), inverse_log(F.col("v"), bit(2), bit(3)).alias("v"))
 
+def encode_rotated(field: DataFrame, grid: Grid, eb: float, predictor: str = "lorenzo3d", block: tuple[int, int, int] | None = None) -> tuple[DataFrame, Scale, tuple[float, float]]:
+    """(blocks, scale, (c, s)): the field in the axes in which its components are not correlated; critical points of the rotated field are kept.
 
-def encode_rotated(field: DataFrame, grid: Grid, eb: float, predictor: str = "lorenzo3d", block: tuple[int, int, int] = BLOCK) -> tuple[DataFrame, Scale, tuple[float, float]]:
-    """(blocks, scale, (c, s)): the field in the axes in which its components are not correlated; critical points of the rotated field are kept."""
+    Those of the field itself are to be verified after decode_rotated(); kept_after_rotation() says how many are.
+    """
     from ..functions.scalars import rotate
     from ..grid import fixed_scale
     from ..operators.verify import channel_rotation
@@ -201,8 +286,18 @@ def encode_rotated(field: DataFrame, grid: Grid, eb: float, predictor: str = "lo
     return encode(turned, grid, scale, int(eb * scale.factor), predictor, block), scale, (c, s)
 
 
-def decode_rotated(blocks: DataFrame, grid: Grid, scale: Scale, angle: tuple[float, float], predictor: str = "lorenzo3d", block: tuple[int, int, int] = BLOCK) -> DataFrame:
+def decode_rotated(blocks: DataFrame, grid: Grid, scale: Scale, angle: tuple[float, float], predictor: str = "lorenzo3d", block: tuple[int, int, int] | None = None) -> DataFrame:
     from ..functions.scalars import rotate_back
 
     u, v = rotate_back(F.col("u"), F.col("v"), F.lit(angle[0]), F.lit(angle[1]))
-    return decode(blocks, grid, scale, predictor, block).select("t", "i", "j", u.alias("u"), v.alias("v"))
+    return decode(blocks, grid, scale, predictor, block, kind="double").select("t", "i", "j", u.alias("u"), v.alias("v"))
+
+
+def kept_after_rotation(field: DataFrame, decoded: DataFrame, grid: Grid, scale: Scale) -> DataFrame:
+    """(n, lost, new): faces of the unrotated field whose verdict changed on the way through the rotated one, by rounding."""
+    from ..grid import to_fixed
+    from ..operators.verify import marked_faces
+
+    both = to_fixed(field, scale).join(to_fixed(decoded, scale).select("t", "i", "j", F.col("u").alias("du"), F.col("v").alias("dv")), ["t", "i", "j"])
+    count = lambda x: F.coalesce(F.sum(x.cast("long")), F.lit(0)).cast("long")
+    return marked_faces(both, grid).agg(F.count("*").alias("n"), count(F.col("ori") & ~F.col("dec")).alias("lost"), count(~F.col("ori") & F.col("dec")).alias("new"))

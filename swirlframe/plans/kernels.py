@@ -80,10 +80,12 @@ class FaceGuard:
 
     def zero(self, others, x, y):
         """Verdicts, with the vertex at (x, y) put in its place by order of vid."""
+        return has_zero(*self.placed(others, x, y))
+
+    def placed(self, others, x, y):
         a, p, b, q = others
         f, m = self.first, self.second
-        c = [np.where(f, x, a), np.where(f, y, p), np.where(f, a, np.where(m, x, b)), np.where(f, p, np.where(m, y, q)), np.where(f | m, b, x), np.where(f | m, q, y)]
-        return has_zero(*c)
+        return [np.where(f, x, a), np.where(f, y, p), np.where(f, a, np.where(m, x, b)), np.where(f, p, np.where(m, y, q)), np.where(f | m, b, x), np.where(f | m, q, y)]
 
     def bound(self, flat, exists, at, now, most):
         others, here = self._faces(flat, exists, at)
@@ -96,6 +98,17 @@ class LayerGuard(FaceGuard):
     layers = True
 
 
+class SymmetricGuard(FaceGuard):
+    """As FaceGuard, with the smallest bound of the three vertices of a face, whichever moves."""
+
+    def bound(self, flat, exists, at, now, most):
+        others, here = self._faces(flat, exists, at)
+        a, p, b, q = others
+        x, y = now[0][:, None], now[1][:, None]
+        least = np.minimum(np.minimum(strict_bound(a, p, b, q, x, y), strict_bound(x, y, b, q, a, p)), strict_bound(a, p, x, y, b, q))
+        return np.where(here, np.where(self.zero(others, x, y), 0, least), most).min(1)
+
+
 class TriedGuard(FaceGuard):
     """Bounds are tried: the largest power of two at which all four corners of what may become of a vertex keep every verdict.
 
@@ -126,6 +139,91 @@ class TriedGuard(FaceGuard):
         return (same | ~here).all(1)
 
 
+class TypedGuard(TriedGuard):
+    """As TriedGuard, for the faces within a frame, whose zeros must keep their types too."""
+
+    layers = True
+
+    def __init__(self, shape: tuple[int, ...]):
+        super().__init__(shape)
+        self.upper = np.array([x[0] == 1 for x in incident_templates() if x[0] <= 2])
+
+    def zero(self, others, x, y):
+        """0 without a zero, else 1 + its type (as functions.triangles.zero_type())."""
+        a, p, b, q, c, r = (z.astype(np.float64) for z in self.placed(others, x, y))
+        ux, uy = np.where(self.upper, c - b, b - a), np.where(self.upper, b - a, c - b)
+        vx, vy = np.where(self.upper, r - q, q - p), np.where(self.upper, q - p, r - q)
+        trace, det = ux + vy, ux * vy - uy * vx
+        real = np.where(det < 0, 3, np.where(det == 0, 0, np.where(trace < 0, 1, 2)))
+        kind = np.where(trace * trace - 4.0 * det >= 0, real, np.where(trace < 0, 4, np.where(trace > 0, 5, 6)))
+        return np.where(super().zero(others, x, y), 1 + kind, 0)
+
+
+def _sum_margin(moving: list, rest):
+    """How large a share the terms in ``moving`` may move by with the sign of their sum with ``rest`` kept; 0 if all are 0."""
+    size = sum(np.abs(m) for m in moving)
+    return np.where(size == 0, 0.0, np.abs(sum(moving) + rest) / np.where(size == 0, 1.0, size))
+
+
+#: Bounds of doubles are this much smaller, for what rounding may add up to.
+SAFE = 1 - 1e-9
+
+
+class RelativeGuard(LayerGuard):
+    """Of real values: the share by which a vertex may move with the verdict of no triangle of its frame changed, as a bound of
+    base-2 logarithms (``log``) or of the values."""
+
+    def __init__(self, shape: tuple[int, ...], real: np.ndarray, factor: float, log: bool):
+        super().__init__(shape)
+        self.real, self.factor, self.log = [real[:, k].reshape(len(real), -1).copy() for k in range(real.shape[1])], factor, log
+
+    def share(self, exists, at):
+        (u0, v0, u1, v1), here = self._faces(self.real, exists, at)
+        u2, v2 = (r[:, at][:, None] for r in self.real)
+        # the three determinants; the first two move with the vertex
+        m0, m1, m2 = u2 * v0 - u0 * v2, u1 * v2 - u2 * v1, u0 * v1 - u1 * v0
+        zero = ((m0 > 0) & (m1 > 0) & (m2 > 0)) | ((m0 < 0) & (m1 < 0) & (m2 < 0))
+        k0, k1 = _sum_margin([u2 * v0, -(u0 * v2)], 0.0), _sum_margin([u1 * v2, -(u2 * v1)], 0.0)
+        # without a zero two determinants differ in sign, and it is enough that these two keep theirs
+        up = np.maximum(np.maximum(np.where(m0 > 0, k0, 0), np.where(m1 > 0, k1, 0)), np.where(m2 > 0, 1.0, 0))
+        down = np.maximum(np.maximum(np.where(m0 < 0, k0, 0), np.where(m1 < 0, k1, 0)), np.where(m2 < 0, 1.0, 0))
+        return np.where(here, np.where(zero, 0.0, np.minimum(up, down)), 1.0).min(1)
+
+    def bound(self, flat, exists, at, now, most):
+        share = np.minimum(self.share(exists, at), 1.0) * SAFE
+        size = np.log2(1 + share) if self.log else share * np.minimum.reduce([np.abs(r[:, at]) for r in self.real])
+        return np.floor(size * self.factor).astype(np.int64) - 1  # fixed point is truncated
+
+    def update(self, at: int, values: list[np.ndarray]):
+        """What the vertex at ``at`` is decoded to."""
+        for r, v in zip(self.real, values, strict=True):
+            r[:, at] = v
+
+
+class BilinearGuard(RelativeGuard):
+    """As RelativeGuard, for the bilinear field of each cell: it has no zero while its four corners lie on one side of a line through
+    the origin, and a vertex may move as far as one of some such lines allows; where there is none, not at all."""
+
+    def __init__(self, shape, real, factor, log):
+        super().__init__(shape, real, factor, log)
+        step = _strides(shape)
+        cells = [((i, 0), (0, j), (i, j)) for i in (-1, 1) for j in (-1, 1)]
+        self.cells = np.array([[a * step[1] + b * step[2] for a, b in c] for c in cells])
+
+    def share(self, exists, at):
+        spots = at + self.cells
+        here = exists[:, spots].all(2)
+        u, v = ([r[:, at][:, None], *(r[:, spots[:, k]] for k in range(3))] for r in self.real)
+        unit = [(x / np.maximum(np.hypot(x, y), 1e-300), y / np.maximum(np.hypot(x, y), 1e-300)) for x, y in zip(u, v, strict=True)]
+        lines = [(1.0, 0.0), (0.0, 1.0), *((unit[a][0] + unit[b][0], unit[a][1] + unit[b][1]) for a in range(4) for b in range(a))]
+        best = np.zeros(here.shape)
+        for nx, ny in lines:
+            d = np.broadcast_arrays(*(nx * x + ny * y for x, y in zip(u, v, strict=True)))
+            one = np.logical_and.reduce([z > 0 for z in d]) | np.logical_and.reduce([z < 0 for z in d])
+            best = np.maximum(best, np.where(one, _sum_margin([nx * u[0], ny * v[0]], 0.0), 0.0))
+        return np.where(here, best, 1.0).min(1)
+
+
 def _det(a, b, c):
     return a[0] * (b[1] * c[2] - b[2] * c[1]) - a[1] * (b[0] * c[2] - b[2] * c[0]) + a[2] * (b[0] * c[1] - b[1] * c[0])
 
@@ -163,7 +261,32 @@ class TetrahedronGuard:
         return np.where(here, eb, most).min(1)
 
 
-GUARDS = {"faces": FaceGuard, "layers": LayerGuard, "tried": TriedGuard, "tetrahedra": TetrahedronGuard, "none": NoGuard}
+class RelativeTetrahedronGuard(RelativeGuard):
+    """As RelativeGuard, for three components and all tetrahedra of a vertex."""
+
+    def __init__(self, shape, real, factor, log):
+        super().__init__(shape, real, factor, log)
+        self.offsets = TetrahedronGuard(shape).offsets
+
+    def share(self, exists, at):
+        a, b, c = (tuple(r[:, at + o] for r in self.real) for o in self.offsets)
+        d = tuple(r[:, at][:, None] for r in self.real)
+        here = exists[:, at + self.offsets[0]] & exists[:, at + self.offsets[1]] & exists[:, at + self.offsets[2]]
+        terms = []  # of the determinants with d, its three components times what the others give
+        for sign, x, y in ((-1, b, c), (1, a, c), (-1, a, b)):
+            terms.append([sign * d[0] * (x[1] * y[2] - x[2] * y[1]), sign * d[1] * (x[2] * y[0] - x[0] * y[2]), sign * d[2] * (x[0] * y[1] - x[1] * y[0])])
+        m = [*map(sum, terms), _det(a, b, c)]
+        k = [*(_sum_margin(t, 0.0) for t in terms), 1.0]
+        zero = np.logical_and.reduce([x > 0 for x in m]) | np.logical_and.reduce([x < 0 for x in m])
+        up, down = (np.maximum.reduce([np.where(x * s > 0, y, 0.0) for x, y in zip(m, k, strict=True)]) for s in (1, -1))
+        return np.where(here, np.where(zero, 0.0, np.minimum(up, down)), 1.0).min(1)
+
+
+#: Guards of real values.
+RELATIVE = {"relative": RelativeGuard, "bilinear": BilinearGuard, "relative_tetrahedra": RelativeTetrahedronGuard}
+GUARDS = {"faces": FaceGuard, "layers": LayerGuard, "symmetric": SymmetricGuard, "tried": TriedGuard, "typed": TypedGuard, "tetrahedra": TetrahedronGuard, "none": NoGuard, **RELATIVE}
+#: Guards of fields of three components.
+SPATIAL = ("tetrahedra", "relative_tetrahedra")
 
 
 Get = Callable[[int, int, int], np.ndarray]
@@ -207,26 +330,12 @@ def dt2d(p: Get, t: int, i: int, j: int) -> np.ndarray:
     return p(1, 0, 0) + change(1, 0) + change(0, 1) - change(1, 1)
 
 
-def ar2_2d(p: Get, t: int, i: int, j: int) -> np.ndarray:
-    """Time extrapolation, corrected by 2D Lorenzo of its residuals where there are any."""
-    return time_linear(p, t, i, j)
-
-
 def ar2_clamped(p: Get, t: int, i: int, j: int) -> np.ndarray:
     if t < 2:
         return lorenzo3d(p, t, i, j)
     base = 2 * p(1, 0, 0) - p(2, 0, 0)
     around = [p(a, b, c) for a in (1, 2) for b, c in ((0, 0), (1, 0), (0, 1), (1, 1)) if i >= b and j >= c]
-    return np.clip(base, np.minimum(base, np.min(around, 0)), np.maximum(base, np.max(around, 0)))
-
-
-def lorenzo_ar2(p: Get, t: int, i: int, j: int, alpha: float = 0.5, beta: float = 0.25) -> np.ndarray:
-    """Lorenzo 3D plus an AR(2) of its own residuals in the two frames before."""
-    if t < 3:
-        return lorenzo3d(p, t, i, j)
-    back = lambda k: (lambda a, b, c: p(a + k, b, c))
-    r1, r2 = (p(k, 0, 0) - mixed_order(back(k), 1, 1, 1) for k in (1, 2))
-    return mixed_order(p, 1, 1, 1) + np.rint(alpha * r1 + beta * r2).astype(np.int64)
+    return np.clip(base, np.min(around, 0), np.max(around, 0))
 
 
 PREDICTORS = {
@@ -236,12 +345,70 @@ PREDICTORS = {
     "time_linear": time_linear,
     "stride2": stride2,
     "dt2d": dt2d,
-    "ar2_2d": ar2_2d,
     "ar2_clamped": ar2_clamped,
-    "lorenzo_ar2": lorenzo_ar2,
 }
 #: Predictors that follow the velocity of the last frame; they see both components.
-MOVING = ("advect", "warped", "modes")
+MOVING = ("advect", "warped", "modes", "modes_entropy")
+#: Predictors with numbers of each block that go beside its codes.
+FITTED = ("lorenzo_ar2", "plane")
+
+
+def fit_ar2(values: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """(block, component, 2): AR(2) of the Lorenzo residuals in time, by the Yule-Walker equations on original values, kept stable; multiples of 2**-12."""
+    n, many, nt, nh, nw = values.shape
+    out = np.zeros((n, many, 2))
+    for k in range(many):
+        r = np.zeros((n, nt, nh, nw))
+        for t in range(nt):
+            for i in range(nh):
+                for j in range(nw):
+                    r[:, t, i, j] = np.where(there[:, t, i, j], values[:, k, t, i, j] - _still("lorenzo3d", values[:, k], t, i, j), 0)
+        g0, g1, g2 = ((r[:, 1 + d :] * r[:, 1 : nt - d or None]).sum((1, 2, 3)) if nt > 1 + d else np.zeros(n) for d in range(3))
+        p1, p2 = (g / np.maximum(g0, 1e-300) for g in (g1, g2))
+        free = np.maximum(1 - p1 * p1, 1e-6)
+        beta = np.clip((p2 - p1 * p1) / free, -0.95, 0.95)
+        alpha = np.clip(p1 * (1 - p2) / free, -0.98 * (1 - beta), 0.98 * (1 - beta))
+        out[:, k, 0], out[:, k, 1] = alpha, beta
+    return np.rint(out * 4096) / 4096
+
+
+def fit_plane(values: np.ndarray, there: np.ndarray, eb: int) -> np.ndarray:
+    """(block, component, 5): a least-squares hyperplane (by t, i, j and a constant; multiples of 1/16), and whether it is taken.
+
+    It is where its residuals on the block's diagonals are smaller in sum than those of Lorenzo, which get eb more each.
+    """
+    n, many, *size = values.shape
+    axes = np.meshgrid(*(np.arange(s) for s in size), indexing="ij")
+    design = np.stack([*(a.ravel() for a in axes), np.ones(axes[0].size)], 1).astype(np.float64)
+    m = there.reshape(n, -1).astype(np.float64)
+    gram = np.einsum("nv,va,vb->nab", m, design, design) + 1e-9 * np.eye(4)
+    out = np.zeros((n, many, 5))
+    longest = max(size)
+    along = lambda d, s: d * (s - 1) // max(longest - 1, 1)
+    spots = sorted({(along(d, size[0]), along(d, size[1]), along(e, size[2])) for d in range(longest) for e in (d, longest - 1 - d)})
+    for k in range(many):
+        x = values[:, k].reshape(n, -1)
+        out[:, k, :4] = np.rint(np.linalg.solve(gram, ((m * x) @ design)[:, :, None])[:, :, 0] * 16) / 16
+        plane, still = np.zeros(n), np.zeros(n)
+        for t, i, j in spots:
+            here = there[:, t, i, j]
+            plane += np.where(here, np.abs(values[:, k, t, i, j] - _on_plane(out[:, k], t, i, j)), 0)
+            still += np.where(here, np.abs(values[:, k, t, i, j] - _still("lorenzo3d", values[:, k], t, i, j)) + eb, 0)
+        out[:, k, 4] = plane < still
+    return out
+
+
+def _on_plane(coefficients: np.ndarray, t: int, i: int, j: int) -> np.ndarray:
+    return np.rint(coefficients[:, 0] * t + coefficients[:, 1] * i + coefficients[:, 2] * j + coefficients[:, 3]).astype(np.int64)
+
+
+def _with_ar2(x: np.ndarray, t: int, i: int, j: int, fit: np.ndarray) -> np.ndarray:
+    """Lorenzo 3D plus an AR(2) of its own residuals in the two frames before."""
+    still = _still("lorenzo3d", x, t, i, j)
+    if t < 3:
+        return still
+    r1, r2 = (x[:, t - b, i, j] - _still("lorenzo3d", x, t - b, i, j) for b in (1, 2))
+    return still + np.rint(fit[:, 0] * r1 + fit[:, 1] * r2).astype(np.int64)
 
 
 def bilinear(plane: np.ndarray, y: np.ndarray, x: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -299,9 +466,13 @@ class Motion:
         return out
 
 
-def predict(name: str, done: np.ndarray, t: int, i: int, j: int, motion: Motion, modes: np.ndarray | None) -> list[np.ndarray]:
+def predict(name: str, done: np.ndarray, t: int, i: int, j: int, motion: Motion, modes: np.ndarray | None, fit: np.ndarray | None = None) -> list[np.ndarray]:
     """All components at (t, i, j) of all blocks, from ``done`` (block, component, t, i, j), 0 outside the block."""
     every = range(done.shape[1])
+    if name == "lorenzo_ar2":
+        return [_with_ar2(done[:, k], t, i, j, fit[:, k]) for k in every]
+    if name == "plane":
+        return [np.where(fit[:, k, 4] > 0, _on_plane(fit[:, k], t, i, j), _still("lorenzo3d", done[:, k], t, i, j)) for k in every]
     if name in MOVING:
         still = [_still("lorenzo3d", done[:, k], t, i, j) for k in every]
         if t < 1:
@@ -332,19 +503,45 @@ def choose_modes(values: np.ndarray, there: np.ndarray, motion: Motion, gain: fl
     return (b < a) & ((a - b) / (a + 1e-12) >= gain)
 
 
-def encode(values: np.ndarray, halo: np.ndarray, there: np.ndarray, fixed: np.ndarray, most: int, name: str, motion: Motion, modes: np.ndarray | None, guard: str = "faces"):
+def _entropy(codes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Bits a symbol of each block's codes, and 16 for each value without one."""
+    out = np.zeros(len(codes))
+    for b in range(len(codes)):
+        coded = ids[b] > 0
+        n = np.unique(codes[b][:, coded], return_counts=True)[1]
+        p = n / max(n.sum(), 1)
+        out[b] = -(p * np.log2(p)).sum() + 16.0 * (1 - coded.mean())
+    return out
+
+
+def choose_by_entropy(values: np.ndarray, there: np.ndarray, fixed: np.ndarray, most: int, motion: Motion, gain: float) -> np.ndarray:
+    """Per block: whether coding it with advection, at the largest bound, takes fewer bits a symbol than with Lorenzo by at least ``gain``."""
+    size = values.shape[2:]
+    halo, around = (np.zeros((*x.shape[:-3], *(n + 2 for n in size)), x.dtype) for x in (values, there))
+    inner = (..., slice(1, -1), slice(1, -1), slice(1, -1))
+    halo[inner], around[inner] = values, there
+    bits = []
+    for name in ("lorenzo3d", "advect"):
+        ids, codes, _ = encode(values, halo, around, fixed, most, name, motion, None, "none")
+        bits.append(_entropy(codes, ids))
+    a, b = bits
+    return (a - b) / (a + 1e-12) >= gain
+
+
+def encode(values: np.ndarray, halo: np.ndarray, there: np.ndarray, fixed: np.ndarray, most: int, name: str, motion: Motion, modes: np.ndarray | None, guard: str = "faces", fit: np.ndarray | None = None, limits: np.ndarray | None = None, relax: int = 1, reals: Reals | None = None):
     """(eb ids, codes, decoded) of blocks.
 
     values: fixed point (block, component, t, i, j); halo: the same with one more vertex before and after in each
     direction (original values); there: vertices that exist in halo's shape; fixed: vertices of the block
-    that must be lossless, as other blocks see them.
+    that must be lossless, as other blocks see them.  limits: a bound for each vertex, beside ``most``.  relax: steps may be so many times (a power
+    of two) as large as the bound, where what they give holds it.  reals: what guards of real values need.
     """
     n, many, nt, nh, nw = values.shape
     shape = halo.shape[2:]
     flat = [halo[:, k].reshape(n, -1).copy() for k in range(many)]
     exists = there.reshape(n, -1)
     step = _strides(shape)
-    watch = GUARDS[guard](shape)
+    watch = GUARDS[guard](shape, reals.halo, reals.factor, reals.log) if guard in RELATIVE else GUARDS[guard](shape)
     done = np.zeros_like(values)
     ids, codes = np.zeros((n, nt, nh, nw), np.int8), np.zeros((n, many, nt, nh, nw), np.int32)
     for t in range(nt):
@@ -352,37 +549,56 @@ def encode(values: np.ndarray, halo: np.ndarray, there: np.ndarray, fixed: np.nd
             for j in range(nw):
                 at = (t + 1) * step[0] + (i + 1) * step[1] + j + 1
                 now = [values[:, k, t, i, j] for k in range(many)]
-                bound = watch.bound(flat, exists, at, now, most)
-                bound = np.where(fixed[:, t, i, j], 0, np.minimum(bound, most))
+                bound = np.minimum(watch.bound(flat, exists, at, now, most), most)
+                if limits is not None:
+                    bound = np.minimum(bound, limits[:, t, i, j])
+                bound = np.where(fixed[:, t, i, j], 0, bound)
                 power = np.where(bound > 1, np.frexp(np.maximum(bound, 1).astype(np.float64))[1] - 1, 0)
-                eb = np.where(power > 0, np.int64(1) << power, 0)
-                pred = predict(name, done, t, i, j, motion, modes)
-                good, rec = eb > 0, []
-                for x, p in zip(now, pred, strict=True):
-                    steps = np.abs(x - p) // np.maximum(eb, 1) + 1
-                    half = np.where(x < p, -(steps // 2), steps // 2)
-                    value = p + 2 * half * eb
-                    good &= (steps < 2 * RADIUS) & (np.abs(value - x) <= eb)
-                    rec.append((value, half))
-                if hasattr(watch, "accepts"):
-                    good &= watch.accepts(flat, exists, at, now, [v for v, _ in rec])
-                for k, x in enumerate(now):
-                    out = np.where(good, rec[k][0], x)
-                    done[:, k, t, i, j] = out
-                    flat[k][:, at] = np.where(exists[:, at], out, flat[k][:, at])
-                    codes[:, k, t, i, j] = np.where(good, rec[k][1], 0)
-                ids[:, t, i, j] = np.where(good, power, 0)
+                pred = predict(name, done, t, i, j, motion, modes, fit)
+                id_, out, code = np.zeros(n, np.int64), list(now), [np.zeros(n, np.int64)] * many
+                for up in range(relax.bit_length()):  # the largest step that holds is taken
+                    tried = np.where(power > 0, power + up, 0)
+                    eb = np.where(tried > 0, np.int64(1) << tried, 0)
+                    good, rec = eb > 0, []
+                    for x, p in zip(now, pred, strict=True):
+                        steps = np.abs(x - p) // np.maximum(eb, 1) + 1
+                        half = np.where(x < p, -(steps // 2), steps // 2)
+                        value = p + 2 * half * eb
+                        good &= (steps < 2 * RADIUS) & (np.abs(value - x) <= (eb if relax == 1 else bound))
+                        rec.append((value, half))
+                    if hasattr(watch, "accepts"):
+                        good &= watch.accepts(flat, exists, at, now, [v for v, _ in rec])
+                    id_ = np.where(good, tried, id_)
+                    out = [np.where(good, v, o) for (v, _), o in zip(rec, out, strict=True)]
+                    code = [np.where(good, h, c) for (_, h), c in zip(rec, code, strict=True)]
+                for k in range(many):
+                    done[:, k, t, i, j] = out[k]
+                    flat[k][:, at] = np.where(exists[:, at], out[k], flat[k][:, at])
+                    codes[:, k, t, i, j] = code[k]
+                if guard in RELATIVE:
+                    watch.update(at, [np.where(id_ > 0, reals.value(k, out[k], t, i, j), watch.real[k][:, at]) for k in range(many)])
+                ids[:, t, i, j] = id_
     return ids, codes, done
 
 
-def decode(ids: np.ndarray, codes: np.ndarray, raw: np.ndarray, name: str, motion: Motion, modes: np.ndarray | None) -> np.ndarray:
+class Reals:
+    """Real values of blocks: halo (block, component, t, i, j) with one more vertex around, in logarithms (with signs) or not."""
+
+    def __init__(self, halo: np.ndarray, factor: float, log: bool):
+        self.halo, self.factor, self.log = halo, factor, log
+
+    def value(self, k: int, v: np.ndarray, t: int, i: int, j: int) -> np.ndarray:
+        return np.sign(self.halo[:, k, t + 1, i + 1, j + 1]) * np.exp2(v / self.factor) if self.log else v / self.factor
+
+
+def decode(ids: np.ndarray, codes: np.ndarray, raw: np.ndarray, name: str, motion: Motion, modes: np.ndarray | None, fit: np.ndarray | None = None) -> np.ndarray:
     """The values that encode() gave; raw holds the originals of lossless vertices (id 0)."""
     n, nt, nh, nw = ids.shape
     done = np.zeros(codes.shape, np.int64)
     for t in range(nt):
         for i in range(nh):
             for j in range(nw):
-                pred = predict(name, done, t, i, j, motion, modes)
+                pred = predict(name, done, t, i, j, motion, modes, fit)
                 id_ = ids[:, t, i, j].astype(np.int64)
                 for k in range(codes.shape[1]):
                     done[:, k, t, i, j] = np.where(id_ > 0, pred[k] + 2 * codes[:, k, t, i, j].astype(np.int64) * (np.int64(1) << id_), raw[:, k, t, i, j])

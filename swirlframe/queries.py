@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from .functions import relative
 from .functions import scalars as S
-from .grid import Grid, Scale, field_view, fixed_scale, swirl_field, to_fixed, view_grid
+from .grid import Grid, Scale, field_view, fixed_scale, smooth_view, swirl_field, to_fixed, view_grid
 from .operators import coding, critical, mesh, predict, verify
 from .plans import codec
+from .plans.checkpoints import cut, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -324,8 +325,8 @@ _PRED_SQL = {
     "dt2d": "CASE WHEN t < 1 THEN " + _L3 + " ELSE {0}100 + ({0}010 - {0}110) + ({0}001 - {0}101) - ({0}011 - {0}111) END",
 }
 _B = "(2 * {0}100 - {0}200)"
-_near = ", ".join("CASE WHEN i >= %d AND j >= %d THEN {0}%d%d%d ELSE %s END" % (b, c, a, b, c, _B) for b, c in ((0, 0), (1, 0), (0, 1), (1, 1)) for a in (1, 2))
-_PRED_SQL["ar2_clamped"] = "CASE WHEN t < 2 THEN " + _L3 + f" ELSE greatest(least({_B}, {_near}), least({_B}, greatest({_B}, {_near}))) END"
+_near = [", ".join("CASE WHEN i >= %d AND j >= %d THEN {0}%d%d%d ELSE {0}100 END" % (b, c, a, b, c) for b, c in ((0, 0), (1, 0), (0, 1), (1, 1)) for a in (1, 2))]
+_PRED_SQL["ar2_clamped"] = "CASE WHEN t < 2 THEN " + _L3 + f" ELSE greatest(least({_near[0]}), least({_B}, greatest({_near[0]}))) END"
 
 
 def _residual_query(name: str):
@@ -612,23 +613,104 @@ def cp_ordered_curves(spark, sf_dir):
 # --- coding -------------------------------------------------------------------------------------------
 
 
-def _roundtrip(name: str):
-    @query("SELECT (count(*) // 25 * 800)::BIGINT AS n, 0::BIGINT AS n_bound_violations, 0::BIGINT AS fp, 0::BIGINT AS fn FROM embeddings", f"roundtrip_{name}")
+def _count(x) -> F.Column:
+    return F.coalesce(F.sum(x.cast("long")), F.lit(0)).cast("long")
+
+
+def _beside(field, decoded, scale):
+    """(t, i, j, u, v, du, dv) in fixed point."""
+    return to_fixed(field, scale).join(decoded.select("t", "i", "j", F.col("ufp").alias("du"), F.col("vfp").alias("dv")), ["t", "i", "j"])
+
+
+def _checked(field, g, s, eb, blocks, decoded, templates=mesh.FACES):
+    """Vertices decoded, those beyond the bound, and faces whose verdict changed; and whether the blocks are smaller than the field."""
+    both = _beside(field, decoded, s)
+    far = F.greatest(F.abs(F.col("u") - F.col("du")), F.abs(F.col("v") - F.col("dv"))) > eb
+    count = both.agg(F.count("*").alias("n"), _count(far).alias("n_bound_violations"))
+    flips = verify.marked_faces(both, g, templates).agg(_count(~F.col("ori") & F.col("dec")).alias("fp"), _count(F.col("ori") & ~F.col("dec")).alias("fn"))
+    return count.crossJoin(flips).crossJoin(codec.statistics(blocks).select((F.col("ratio") > 1).alias("smaller"), (F.col("max_err") <= eb).alias("within")))
+
+
+_KEPT_SQL = "SELECT (count(*) // 25 * 800)::BIGINT AS n, 0::BIGINT AS n_bound_violations, 0::BIGINT AS fp, 0::BIGINT AS fn, {} AS smaller, true AS within FROM embeddings"
+
+
+def _roundtrip(name: str, smooth: bool = False, label: str | None = None, eb: float = EB, templates=mesh.FACES, smaller: bool = True, **how):
+    """By the codec's guarantee no vertex is beyond the bound and no verdict changes.  The field view is nearly noise, of which a third of the
+    faces hold zeros: nearly all of it is lossless, and takes as much as it did."""
+
+    @query(_KEPT_SQL.format("true") if smaller else _KEPT_SQL.format("true").replace(", true AS smaller", ""), label or f"roundtrip_{name}")
     def run(spark, sf_dir):
-        """Vertices decoded, those beyond the bound, and faces whose verdict changed: the last three are 0 by the codec's guarantee."""
-        field, g = field_view(spark, sf_dir), view_grid(spark, sf_dir)
+        field, g = (smooth_view if smooth else field_view)(spark, sf_dir), view_grid(spark, sf_dir)
         s = fixed_scale(field)
-        eb = codec.bound_for(s, EB)
-        decoded = codec.decode(codec.encode(field, g, s, eb, name), g, s, name)
-        both = to_fixed(field, s).join(decoded.select("t", "i", "j", F.col("ufp").alias("du"), F.col("vfp").alias("dv")), ["t", "i", "j"])
-        far = F.greatest(F.abs(F.col("u") - F.col("du")), F.abs(F.col("v") - F.col("dv"))) > eb
-        count = both.agg(F.count("*").alias("n"), F.sum(far.cast("long")).alias("n_bound_violations"))
-        flips = verify.marked_faces(both, g).agg(F.sum((~F.col("ori") & F.col("dec")).cast("long")).alias("fp"), F.sum((F.col("ori") & ~F.col("dec")).cast("long")).alias("fn"))
-        return count.crossJoin(flips)
+        bound = codec.bound_for(s, eb)
+        blocks = cut(codec.encode(field, g, s, bound, name, **how))
+        decoded = codec.decode(blocks, g, s, name, how.get("block"), coding=how.get("coding", "huffman"))
+        out = _checked(field, g, s, bound, blocks, decoded, templates)
+        return out if smaller else out.drop("smaller")
 
 
 for _name in ("lorenzo3d", "lorenzo2d", "mixed_order", "time_linear", "stride2", "dt2d", "ar2_clamped", "lorenzo_ar2", "advect", "warped", "modes"):
-    _roundtrip(_name)
+    _roundtrip(_name, smaller=False)
+for _name in ("lorenzo3d", "modes_entropy", "lorenzo_ar2", "plane", "mixed_order", "warped"):
+    _roundtrip(_name, True, f"smooth_{_name}", 0.002)
+_roundtrip("lorenzo3d", True, "smooth_zigzag", 0.002, coding="zigzag")
+_roundtrip("lorenzo3d", True, "smooth_symmetric", 0.002, guard="symmetric")
+_roundtrip("lorenzo2d", True, "smooth_tried", 0.002, mesh.FACES[:2], guard="tried")
+_roundtrip("lorenzo2d", True, "smooth_relaxed", 0.002, mesh.FACES[:2], guard="layers", relax=8)
+_roundtrip("lorenzo2d", True, "smooth_typed", 0.002, mesh.FACES[:2], guard="typed")
+
+
+@query("SELECT 'matched' AS class, true AS some FROM (SELECT 1)")
+def smooth_types_kept(spark, sf_dir):
+    """Critical points before and after coding with guard "typed", by simplex: none is lost, new, or of another type."""
+    field, g = smooth_view(spark, sf_dir), view_grid(spark, sf_dir)
+    s = fixed_scale(field)
+    blocks = codec.encode(field, g, s, codec.bound_for(s, 0.002), "lorenzo2d", guard="typed")
+    both = cut(_beside(field, codec.decode(blocks, g, s, "lorenzo2d"), s))
+    a = critical.layer_points(both.select("t", "i", "j", "u", "v"), g)
+    b = critical.layer_points(both.select("t", "i", "j", F.col("du").alias("u"), F.col("dv").alias("v")), g)
+    return verify.match_points(a, b).select("class", (F.col("n") > 0).alias("some"))
+
+
+def _relative_roundtrip(label: str, guard: str = "none", offline: bool = False, log: bool = True, typed: bool = False, share: float = 0.1):
+    """Real values within a tenth of themselves, and triangles of frames that win or lose a zero (of strict signs): none of either."""
+
+    @query("SELECT (count(*) // 25 * 800)::BIGINT AS n, 0::BIGINT AS n_bound_violations, 0::BIGINT AS flipped FROM embeddings", label)
+    def run(spark, sf_dir):
+        field, g = field_view(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in "uv"}), view_grid(spark, sf_dir)
+        rows, limit = field, None
+        if offline:
+            bounds = critical.relative_vertex_bounds(field, g, typed)
+            rows, limit = field.join(bounds, ["t", "i", "j"]).withColumn("limit", codec.relative_limit(F.col("share"))), "limit"
+        if log:
+            blocks, s = codec.encode_relative(rows, g, share, "lorenzo2d", guard=guard, limit=limit)
+        else:
+            s = fixed_scale(field)
+            blocks = codec.encode(rows, g, s, codec.bound_for(s, share), "lorenzo2d", guard=guard)
+        back = codec.decode(blocks, g, s, "lorenzo2d", log=log, kind="double").select("t", "i", "j", F.col("u").alias("du"), F.col("v").alias("dv"))
+        both = cut(field.join(back, ["t", "i", "j"]))
+        far = F.greatest(*(F.abs(F.col(c) - F.col("d" + c)) - (share * F.abs(c) if log else F.lit(share)) for c in "uv")) > 0
+        flips = verify.marked_faces(both, g, mesh.FACES[:2]).agg(_count(F.col("ori") != F.col("dec")).alias("flipped"))
+        return both.agg(F.count("*").alias("n"), _count(far).alias("n_bound_violations")).crossJoin(flips)
+
+
+_relative_roundtrip("relative_offline", offline=True)
+_relative_roundtrip("relative_offline_typed", offline=True, typed=True)
+_relative_roundtrip("relative_online_log", "relative")
+_relative_roundtrip("relative_online", "relative", log=False, share=0.01)
+
+
+@query("SELECT (count(*) // 25 * 800)::BIGINT AS n, 0::BIGINT AS n_bound_violations, 0::BIGINT AS flipped FROM embeddings")
+def relative_bilinear(spark, sf_dir):
+    """As the others, for zeros of the bilinear field: cells whose number of zeros or types changed."""
+    field, g = field_view(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in "uv"}), view_grid(spark, sf_dir)
+    blocks, s = codec.encode_relative(field, g, 0.1, "lorenzo2d", guard="bilinear")
+    back = cut(codec.decode(blocks, g, s, "lorenzo2d", log=True, kind="double").select("t", "i", "j", "u", "v"))
+    both = field.join(back.withColumnsRenamed({"u": "x", "v": "y"}), ["t", "i", "j"])
+    far = (F.abs(F.col("u") - F.col("x")) > 0.1 * F.abs("u")) | (F.abs(F.col("v") - F.col("y")) > 0.1 * F.abs("v"))
+    cells = lambda f, name: critical.bilinear_points(f, g).withColumn("ci", F.floor("y")).withColumn("cj", F.floor("x")).groupBy("t", "i", "j").agg(F.sort_array(F.collect_list("type")).alias(name))
+    flips = cells(field, "a").join(cells(back, "b"), ["t", "i", "j"], "full_outer").agg(_count(~F.col("a").eqNullSafe(F.col("b"))).alias("flipped"))
+    return both.agg(F.count("*").alias("n"), _count(far).alias("n_bound_violations")).crossJoin(flips)
 
 
 @query()
@@ -658,7 +740,16 @@ def _tet_sql() -> str:
     mm AS (SELECT *, -{det('b', 'c', 'd')} AS m0, {det('a', 'c', 'd')} AS m1, -{det('a', 'b', 'd')} AS m2, {det('a', 'b', 'c')} AS m3 FROM te)"""
 
 
-_IN = "((m0 > 0 AND m1 > 0 AND m2 > 0 AND m3 > 0) OR (m0 < 0 AND m1 < 0 AND m2 < 0 AND m3 < 0))"
+def _side_sql(a: str, b: str, c: str, turn: int) -> str:
+    """The sign of turn * det(a, b, c), as with the origin moved by (e, e * e, e * e * e)."""
+    cross = lambda p, q, x, y: f"({x}{p} * {y}{q} - {y}{p} * {x}{q})"
+    det = f"(u{a} * {cross(b, c, 'v', 'w')} - v{a} * {cross(b, c, 'u', 'w')} + w{a} * {cross(b, c, 'u', 'v')})"
+    normal = [f"-({' + '.join(cross(p, q, x, y) for p, q in ((b, c), (c, a), (a, b)))})" for x, y in (("v", "w"), ("w", "u"), ("u", "v"))]
+    return "CASE " + " ".join(f"WHEN {x} > 0 THEN {turn} WHEN {x} < 0 THEN {-turn}" for x in (det, *normal)) + f" ELSE {turn} END"
+
+
+_SIDES = [f"({_side_sql(*k, turn)})" for k, turn in (("bcd", -1), ("acd", 1), ("abd", -1), ("abc", 1))]
+_IN = f"({_SIDES[0]} = {_SIDES[1]} AND {_SIDES[1]} = {_SIDES[2]} AND {_SIDES[2]} = {_SIDES[3]})"
 
 
 def _volume(spark, sf_dir):
@@ -716,21 +807,11 @@ def unstructured_cp(spark, sf_dir):
 # --- streams ------------------------------------------------------------------------------------------
 
 
-def _scratch(spark) -> str:
-    import os
-    import tempfile
-    import uuid
-
-    sc = spark.sparkContext
-    there = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="swirlframe-")
-    return os.path.join(there, f"stream-{uuid.uuid4().hex}")
-
-
 def _stream(spark, sf_dir, make):
     from .streaming import frames as fr
 
     p, g, _ = fixed(spark, sf_dir)
-    at = _scratch(spark)
+    at = scratch(spark, "stream")
     fr.frames(p).repartitionByRange(8, "t").write.parquet(f"{at}/in")
     return fr.run_to_end(make(fr.read_frames(spark, f"{at}/in", 3), g), f"{at}/out", f"{at}/state")
 
@@ -749,6 +830,21 @@ def stream_frame_changes(spark, sf_dir):
     return _stream(spark, sf_dir, lambda s, g: frame_changes(s)).select("t", "sum_abs", "max_abs")
 
 
+@query(_KEPT_SQL.format("true"))
+def stream_encoder(spark, sf_dir):
+    """The codec on a stream of frames of the smoothed view, in blocks of four frames; what it gives decodes as a table's blocks do."""
+    from .streaming import encoder
+    from .streaming.frames import run_to_end
+
+    field, g = smooth_view(spark, sf_dir), view_grid(spark, sf_dir)
+    s, block, at = fixed_scale(field), codec.block_of(g, (6, 12, 12)), scratch(spark, "stream")
+    eb = codec.bound_for(s, 0.002)
+    encoder.real_frames(field).repartitionByRange(8, "t").write.parquet(f"{at}/in")
+    coded = encoder.encode_stream(encoder.read_real_frames(spark, f"{at}/in", 3), (g.H, g.W), s, eb, block, g.T)
+    blocks = run_to_end(coded, f"{at}/out", f"{at}/state")
+    return _checked(field, g, s, eb, blocks, codec.decode(blocks.drop("field"), g, s, block=block))
+
+
 @query("SELECT date_trunc('day', ts) AS day, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1")
 def events_by_day(spark, sf_dir):
     from .streaming.frames import windowed_events
@@ -823,7 +919,7 @@ def roundtrip_volume(spark, sf_dir):
 def roundtrip_layers(spark, sf_dir):
     """The per-frame baseline: only faces within a frame are guarded, by 2D Lorenzo in blocks of one frame."""
     field, g = field_view(spark, sf_dir), view_grid(spark, sf_dir)
-    s, block = fixed_scale(field), (1, 12, 12)
+    s, block = fixed_scale(field), codec.block_of(g, (1, 12, 12))
     d = codec.decode(codec.encode(field, g, s, codec.bound_for(s, EB), "lorenzo2d", block, guard="layers"), g, s, "lorenzo2d", block)
     both = to_fixed(field, s).join(d.select("t", "i", "j", F.col("ufp").alias("du"), F.col("vfp").alias("dv")), ["t", "i", "j"])
     flips = verify.marked_faces(both, g, mesh.FACES[:2]).agg(F.sum((F.col("ori") != F.col("dec")).cast("long")).alias("flipped"))
@@ -864,9 +960,9 @@ def roundtrip_relative(spark, sf_dir):
     """Pointwise relative coding: vertices, and those beyond one percent of their value."""
     field, g = field_view(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in "uv"}), view_grid(spark, sf_dir)
     blocks, s = codec.encode_relative(field, g, 0.01)
-    back = codec.decode_relative(blocks, codec.relative_parts(field), g, s)
+    back = codec.decode(blocks, g, s, log=True, kind="double")
     both = field.join(back.select("t", "i", "j", F.col("u").alias("x"), F.col("v").alias("y")), ["t", "i", "j"])
-    far = (F.abs(F.col("u") - F.col("x")) > 0.0101 * F.abs("u")) | (F.abs(F.col("v") - F.col("y")) > 0.0101 * F.abs("v"))
+    far = (F.abs(F.col("u") - F.col("x")) > 0.01 * F.abs("u")) | (F.abs(F.col("v") - F.col("y")) > 0.01 * F.abs("v"))
     return both.agg(F.count("*").alias("n"), F.sum(far.cast("long")).alias("n_bound_violations"))
 
 
@@ -897,3 +993,108 @@ def volume_vertex_bound(spark, sf_dir):
     cols = ("u", "v", "w")
     s = fixed_scale(f, cols, volume.NBITS)
     return volume.vertex_bounds(volume.tetrahedra(to_fixed(f, s, cols), g), S.absolute_bound(EB, s.factor))
+
+
+# --- relative bounds of tetrahedra and bilinear cells -----------------------------------------------------
+
+
+def _real_volume(spark, sf_dir):
+    from .operators import volume
+
+    f, g = volume.volume_view(spark, sf_dir)
+    return f.withColumns({c: F.col(c).cast("double") for c in "uvw"}), g
+
+
+def _real_tets(spark, sf_dir):
+    from .operators import volume
+
+    f, g = _real_volume(spark, sf_dir)
+    return volume.relative_rows(volume.tetrahedra(f, g))
+
+
+def _real_tet_sql() -> str:
+    names = ", ".join(f"{x}{n}::DOUBLE AS {x}{k}" for k, n in enumerate("abcd") for x in "uvw")
+    base = _tet_sql()
+    base = base[: base.index("p AS (SELECT")] + "p AS (SELECT t, i, j, (t * 525 + i * 21 + j)::BIGINT AS vid, u, v, w FROM f), " + base[base.index("tm(tet") : base.index("mm AS (")]
+    made = ", ".join(f"{e} AS {c}" for c, e in relative.tetrahedron_columns().items())
+    return f"{base} rt AS (SELECT t, i, j, tet, a, b, c, d, {names} FROM te), rk AS (SELECT *, {made} FROM rt)"
+
+
+def _tet_relative_query(name: str, bound: str):
+    @query(f"WITH {_real_tet_sql()} SELECT t, i, j, tet, round({bound}, 9) AS eb FROM rk", name)
+    def run(spark, sf_dir):
+        return _real_tets(spark, sf_dir).select("t", "i", "j", "tet", F.round(F.expr(bound), 9).alias("eb"))
+
+
+_tet_relative_query("volume_relative_offline", relative.tetrahedron_offline_bound())
+_tet_relative_query("volume_relative_online", relative.tetrahedron_online_bound())
+
+
+def _cell_sql() -> str:
+    at = [(0, 0, 0), (0, 0, 1), (0, 1, 0), (0, 1, 1)]
+    joins = " ".join(f"JOIN f n{k} ON n{k}.t = o.t AND n{k}.i = o.i + {b} AND n{k}.j = o.j + {c}" for k, (_, b, c) in enumerate(at))
+    cols = ", ".join(f"n{k}.{x}::DOUBLE AS {x}{k}" for k in range(4) for x in "uv")
+    return f"{FIELD}, ce AS (SELECT o.t, o.i, o.j, {cols} FROM f o {joins})"
+
+
+@query(f"WITH {_cell_sql()} SELECT t, i, j, round({relative.bilinear_online_bound()}, 9) AS eb FROM ce")
+def bilinear_relative_online(spark, sf_dir):
+    from .grid import neighbours
+
+    f = field_view(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in "uv"})
+    cells = neighbours(f, ["u", "v"], [(0, 0, 1), (0, 1, 0), (0, 1, 1)]).filter("u_2 is not null")
+    named = cells.select("t", "i", "j", *(F.col(x if not k else f"{x}_{k - 1}").alias(f"{x}{k}") for k in range(4) for x in "uv"))
+    return named.select("t", "i", "j", F.round(F.expr(relative.bilinear_online_bound()), 9).alias("eb"))
+
+
+@query(f"WITH {_tet_bound_sql().replace('(19 - ceil', '(28 - ceil').replace('::BIGINT AS u,', '::HUGEINT AS u,').replace('::BIGINT AS v,', '::HUGEINT AS v,').replace('::BIGINT AS w FROM', '::HUGEINT AS w FROM').replace('END AS eb', 'END::BIGINT AS eb')}")
+def volume_tet_bound_wide(spark, sf_dir):
+    """volume_tet_bound with 28 bits, in decimals."""
+    from .operators import volume
+
+    f, g = volume.volume_view(spark, sf_dir)
+    cols = ("u", "v", "w")
+    p = to_fixed(f, fixed_scale(f, cols, 28), cols)
+    return volume.tetrahedra(p, g).select("t", "i", "j", "tet", volume.tetrahedron_bound("decimal(10,0)").cast("long").alias("eb"))
+
+
+def _volume_roundtrip(label: str, offline: bool):
+    """Three real components within a tenth of themselves, and tetrahedra that win or lose a zero: none of either."""
+
+    @query("SELECT (count(*) // 25 * 525)::BIGINT AS n, 0::BIGINT AS n_bound_violations, 0::BIGINT AS flipped FROM embeddings", label)
+    def run(spark, sf_dir):
+        from .operators import volume
+
+        field, g = _real_volume(spark, sf_dir)
+        rows, limit, guard = field, None, "relative_tetrahedra"
+        if offline:
+            bounds = volume.relative_vertex_bounds(volume.tetrahedra(field, g))
+            rows = field.withColumn("pid", g.vid()).join(bounds, "pid").withColumn("limit", codec.relative_limit(F.col("share")))
+            limit, guard = "limit", "none"
+        blocks, s = codec.encode_relative(rows, g, 0.1, guard=guard, cols="uvw", limit=limit)
+        back = cut(codec.decode(blocks, g, s, cols="uvw", log=True, kind="double").select("t", "i", "j", "u", "v", "w"))
+        both = field.join(back.withColumnsRenamed({c: "d" + c for c in "uvw"}), ["t", "i", "j"])
+        far = F.greatest(*(F.abs(F.col(c) - F.col("d" + c)) - 0.1 * F.abs(c) for c in "uvw")) > 0
+        zeros = lambda f, name: volume.real_zeros(volume.tetrahedra(f, g)).select("t", "i", "j", "tet", F.lit(1).alias(name))
+        flips = zeros(field, "a").join(zeros(back, "b"), ["t", "i", "j", "tet"], "full_outer").agg(_count(F.col("a").isNull() | F.col("b").isNull()).alias("flipped"))
+        return both.agg(F.count("*").alias("n"), _count(far).alias("n_bound_violations")).crossJoin(flips)
+
+
+_volume_roundtrip("relative_volume_offline", True)
+_volume_roundtrip("relative_volume_online", False)
+
+
+@query("SELECT (count(*) // 25 * 525)::BIGINT AS n, 0::BIGINT AS n_bound_violations, 0::BIGINT AS flipped FROM embeddings")
+def relative_unstructured(spark, sf_dir):
+    """As relative_volume_offline, on the volume's tetrahedra as an unstructured mesh: points in order of their ids, each predicted by the one before."""
+    from .operators import volume
+
+    field, g = _real_volume(spark, sf_dir)
+    tets = volume.tetrahedra(field, g).select((g.vid() * 6 + F.col("tet")).alias("tid"), F.posexplode(F.array(*"abcd")).alias("pos", "pid"))
+    data = field.select(g.vid().alias("pid"), "u", "v", "w")
+    back = cut(volume.decode_points(*volume.encode_points(tets, data, 0.1)))
+    both = data.join(back.withColumnsRenamed({c: "d" + c for c in "uvw"}), "pid")
+    far = F.greatest(*(F.abs(F.col(c) - F.col("d" + c)) - 0.1 * F.abs(c) for c in "uvw")) > 0
+    zeros = lambda d, name: volume.real_zeros(volume.unstructured(tets, d)).select("tid", F.lit(1).alias(name))
+    flips = zeros(data, "a").join(zeros(back, "b"), "tid", "full_outer").agg(_count(F.col("a").isNull() | F.col("b").isNull()).alias("flipped"))
+    return both.agg(F.count("*").alias("n"), _count(far).alias("n_bound_violations")).crossJoin(flips)

@@ -49,31 +49,33 @@ def layer_counts(stream: DataFrame, grid: Grid) -> DataFrame:
     return stream.mapInPandas(run, "field string, t int, n long")
 
 
-def frame_changes(stream: DataFrame, first: int = 0) -> DataFrame:
+def frame_changes(stream: DataFrame, first: int = 0, ahead: int = 1024) -> DataFrame:
     """(field, t, sum_abs, max_abs) of the change from frame t - 1 to t, in order of t whatever the order of arrival.
 
     Frame ``first`` is compared with zeros.  A frame that was handled already is ignored.  State: the last
-    frame, and those that came before their turn.
+    frame, and those that came before their turn, by at most ``ahead`` frames: beyond that the query fails, as no frame may be lost.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        due, last_u, last_v, early = state.get if state.exists else (first, [], [], [])
-        waiting = {t: (u, v) for t, u, v in early}
+        due, last, early = state.get if state.exists else (first, b"", [])
+        waiting = dict(early)
         for p in parts:
             for t, u, v in zip(p["t"], p["u"], p["v"], strict=True):
                 if t >= due:
-                    waiting[int(t)] = (list(map(int, u)), list(map(int, v)))
+                    waiting[int(t)] = np.concatenate([np.asarray(u, "<i8"), np.asarray(v, "<i8")]).tobytes()
         out = []
         while due in waiting:
-            u, v = waiting.pop(due)
-            before = (last_u or [0] * len(u), last_v or [0] * len(v))
-            d = np.abs(np.concatenate([np.subtract(a, b, dtype=np.int64) for a, b in zip((u, v), before, strict=True)]))
+            now = waiting.pop(due)
+            x, y = (np.frombuffer(b, "<i8") for b in (now, last or bytes(len(now))))
+            d = np.abs(x - y)
             out.append((key[0], due, int(d.sum()), int(d.max(initial=0))))
-            last_u, last_v, due = u, v, due + 1
-        state.update((due, last_u, last_v, [(t, u, v) for t, (u, v) in sorted(waiting.items())]))
+            last, due = now, due + 1
+        if waiting and max(waiting) > due + ahead:
+            raise ValueError(f"frame {max(waiting)} of {key[0]} came more than {ahead} frames before its turn")
+        state.update((due, last, sorted(waiting.items())))
         yield pd.DataFrame(out, columns=["field", "t", "sum_abs", "max_abs"])
 
-    kept = "due int, u array<long>, v array<long>, early array<struct<t:int,u:array<long>,v:array<long>>>"
+    kept = "due int, last binary, early array<struct<t:int,both:binary>>"
     return stream.groupBy("field").applyInPandasWithState(run, "field string, t int, sum_abs long, max_abs long", kept, "append", GroupStateTimeout.NoTimeout)
 
 

@@ -112,3 +112,26 @@ def test_bilinear_points(spark):
     assert len(rows) == 2
     for r in rows:  # a linear field is bilinear too
         assert r.type == 5 and abs(r.x - (1.125 + 0.25 * r.t)) < 1e-6 and abs(r.y - (2.75 + 0.125 * r.t)) < 1e-6
+
+
+def test_bilinear_cells_with_two_zeros(spark):
+    """u = x - y, v = x * x-like: (x - 0.25) * (y - 0.75) + 0.0x has two zeros on the diagonal of the cell."""
+    from swirlframe.grid import neighbours  # noqa: F401
+
+    f = lambda x, y: (x - y, x * y - 0.5 * (x + y) + 0.1875)  # noqa: E731  on x = y: (x - 0.25) * (x - 0.75)
+    rows = [(0, i, j, *f(float(j), float(i))) for i in (0, 1) for j in (0, 1)]
+    field = spark.createDataFrame(rows, "t int, i int, j int, u double, v double")
+    got = sorted((round(r.x, 9), round(r.y, 9)) for r in critical.bilinear_points(field, Grid(2, 2, 1)).collect())
+    assert got == [(0.25, 0.25), (0.75, 0.75)]
+
+
+def test_zeros_on_sides_of_tetrahedra(spark):
+    """A linear field of whole numbers whose zero is a vertex, on an edge, on a side or within: one tetrahedron has it, wherever it is."""
+    from swirlframe.operators import volume
+
+    for zero in ((1, 1, 1), (2, 1, 1), (3, 1, 1), (3, 3, 1), (3, 3, 3), (3, 2, 1), (2, 2, 2)):
+        rows = [(t, i, j, 2 * j - zero[2], 2 * i - zero[1], 2 * t - zero[0]) for t in range(4) for i in range(4) for j in range(4)]
+        field = spark.createDataFrame(rows, "t int, i int, j int, u long, v long, w long")
+        assert volume.with_zero(volume.tetrahedra(field, Grid(4, 4, 4))).count() == 1, zero
+        points = volume.volume_points(field, Grid(4, 4, 4)).collect()
+        assert [(round(2 * p.z, 9), round(2 * p.y, 9), round(2 * p.x, 9)) for p in points] == [zero]

@@ -29,3 +29,28 @@ def test_stream_equals_table(spark, tmp_path):
     got = fr.run_to_end(fr.layer_counts(fr.read_frames(spark, f"{tmp_path}/in", 1), g), f"{tmp_path}/out", f"{tmp_path}/state")
     want = {r.t: r.n for r in critical.count_by_layer(mesh.zero_faces(p, g, mesh.FACES[:2])).collect()}
     assert {r.t: r.n for r in got.collect() if r.n} == want
+
+
+def test_encoder_on_a_stream(spark, tmp_path):
+    """Frames in any order, some twice: the blocks are those of the table, to the byte."""
+    import pytest
+
+    from swirlframe.plans import codec
+    from swirlframe.streaming import encoder as en
+
+    g, block = Grid(9, 10, 7), (3, 5, 4)
+    field = swirl_field(spark, g, "focus").selectExpr("t", "i", "j", "cast(u as float) u", "cast(v as float) v")
+    s = fixed_scale(field)
+    eb = codec.bound_for(s, 0.05)
+    rows = {r.t: r for r in en.real_frames(field).collect()}
+    for t in [2, 0, 0, 5, 1, 4, 6, 3]:
+        spark.createDataFrame([rows[t]], en.SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        got = fr.run_to_end(en.encode_stream(en.read_real_frames(spark, f"{tmp_path}/in"), (9, 10), s, eb, block, 7), f"{tmp_path}/out", f"{tmp_path}/state")
+    want = codec.encode(field, g, s, eb, block=block)
+    assert got.drop("field").exceptAll(want).count() == 0 and got.count() == want.count() == 3 * 2 * 3
+    table = en.encode_stream(en.real_frames(field), (9, 10), s, eb, block, 7)
+    assert table.drop("field").exceptAll(want).count() == 0
+    open_ = en.encode_stream(en.real_frames(field), (9, 10), s, eb, block)  # the end is not known
+    assert open_.select("bt").distinct().count() == 2
+    with pytest.raises(Exception, match="before its turn"):
+        en.encode_stream(en.real_frames(field.filter("t > 0")), (9, 10), s, eb, block, ahead=2).collect()
