@@ -135,3 +135,20 @@ def zigzag(x: Column) -> Column:
 
 def unzigzag(z: Column) -> Column:
     return F.when(z % 2 == 0, _div(z, F.lit(2).cast("long"))).otherwise(-_div(z + 1, F.lit(2).cast("long")))
+
+
+def mantissa(x: Column) -> Column:
+    """x over the power of two of its exponent(): a magnitude from 1 to below 2, with x's sign; null for 0."""
+    return x.cast("double") / F.pow(F.lit(2.0), exponent(x))
+
+
+def shortened(x: Column, eb: float) -> Column:
+    """x with the bits of its mantissa below an error bound dropped: a whole multiple of the largest power of two within eb, towards 0.
+
+    What codecs keep of values that no code reaches.
+    """
+    import math
+
+    step = 2.0 ** math.floor(math.log2(eb))
+    y = x.cast("double") / F.lit(step)
+    return F.when(y < 0, F.ceil(y)).otherwise(F.floor(y)).cast("double") * F.lit(step)

@@ -169,6 +169,21 @@ def huffman_encode(symbols: DataFrame, part: str, order: str, col: str) -> DataF
     return symbols.select(part, order, col).groupBy(part).applyInPandas(run, f"{part} {kind}, n long, payload binary")
 
 
+def huffman_decode(coded: DataFrame, table: DataFrame, part: str) -> DataFrame:
+    """(part, place from 0, sym): what huffman_encode() coded with a table (sym, length, code)."""
+    import pandas as pd
+
+    codes = coded.sparkSession.sparkContext.broadcast({r.sym: (r.length, r.code) for r in table.collect()})  # at most 2**17 symbols
+
+    def run(batches):
+        for b in batches:
+            for p, n, payload in zip(b[part], b["n"], b["payload"], strict=True):
+                yield pd.DataFrame({part: p, "place": range(n), "sym": decode_stream(bytes(payload), n, codes.value)})
+
+    kind = coded.schema[part].dataType.simpleString()
+    return coded.select(part, "n", "payload").mapInPandas(run, f"{part} {kind}, place long, sym long")
+
+
 def pack_bits(values: list[int], width: int) -> bytes:
     """Small numbers of ``width`` bits (1, 2, 4), the first in the lowest bits."""
     out = bytearray(-(-len(values) * width // 8))

@@ -115,3 +115,19 @@ def uniform_quantized(field: DataFrame, eb: int) -> DataFrame:
 def face_census(field: DataFrame, grid: Grid) -> DataFrame:
     """(tmpl, n): how many faces of each template there are."""
     return faces(field, grid).groupBy("tmpl").agg(F.count("*").alias("n"))
+
+
+def face_visits(grid: Grid, vertices: DataFrame) -> DataFrame:
+    """(tmpl, n, visits): how many faces the vertices (t, i, j) see around them, and how often; all faces of a grid are seen three times."""
+    from .mesh import CORNERS
+
+    seen = []
+    for number, _, corners in FACES:
+        for me in corners:
+            home = [F.col(a) - CORNERS[me][k] for k, a in enumerate("tij")]
+            far = [h + max(CORNERS[c][k] for c in corners) for k, h in enumerate(home)]
+            inside = grid.inside(*home) & grid.inside(*far)
+            seen.append(F.when(inside, F.struct(F.lit(number).alias("tmpl"), grid.vid(*home).alias("cube"))))
+    rows = vertices.select(F.explode(F.array_compact(F.array(*seen))).alias("f")).select("f.*")
+    per = rows.groupBy("tmpl", "cube").agg(F.count("*").alias("v"))
+    return per.groupBy("tmpl").agg(F.count("*").alias("n"), F.sum("v").alias("visits"))

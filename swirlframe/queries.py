@@ -889,9 +889,11 @@ def dense_interval(spark, sf_dir):
     return coding.dense_interval(_symbols(spark, sf_dir), "r", 4.0 * _STEP)
 
 
-@query("SELECT user_id, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1")
+@query(f"WITH {_EVENTS} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place, x AS sym FROM ev")
 def huffman_streams(spark, sf_dir):
-    return coding.huffman_encode(_events(spark, sf_dir), "user_id", "event_id", "x").select("user_id", "n")
+    """Each user's symbols, coded and decoded."""
+    e = _events(spark, sf_dir)
+    return coding.huffman_decode(coding.huffman_encode(e, "user_id", "event_id", "x"), coding.huffman_table(coding.frequencies(e, "x")), "user_id")
 
 
 @query("SELECT (count(*) // 25 * 525)::BIGINT AS n, 0::BIGINT AS n_bound_violations, 0::BIGINT AS fp, 0::BIGINT AS fn FROM embeddings")
@@ -1098,3 +1100,6 @@ def relative_unstructured(spark, sf_dir):
     zeros = lambda d, name: volume.real_zeros(volume.unstructured(tets, d)).select("tid", F.lit(1).alias(name))
     flips = zeros(data, "a").join(zeros(back, "b"), "tid", "full_outer").agg(_count(F.col("a").isNull() | F.col("b").isNull()).alias("flipped"))
     return both.agg(F.count("*").alias("n"), _count(far).alias("n_bound_violations")).crossJoin(flips)
+
+
+from . import source_queries  # noqa: E402, F401  registers its queries here

@@ -1,17 +1,23 @@
-"""Amira lattices: a text header, then binary, ASCII or Base64 values."""
+"""Amira lattices: a text header, then binary, ASCII or Base64 values.
+
+The header is read line by line: its first line names the kind of file and the order of bytes, a ``define`` gives the size of
+the lattice, a declaration in braces the type of its values, and the line ``# Data section follows`` ends it.
+"""
 
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..grid import Grid, packed_rows
 
-MARK = b"# data section follows"
+END = "# data section follows"
 # Types of numbers.
 TYPES = {"byte": "u1", "char": "i1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4", "double": "f8"}
 
@@ -31,40 +37,82 @@ class Lattice:
         return self.nx * self.ny * self.nz * self.components
 
 
+def _tokens(line: str) -> list[str]:
+    """The words of a line; braces, brackets, quotes and commas stand alone or fall away."""
+    for mark in "{}[]":
+        line = line.replace(mark, f" {mark} ")
+    return line.replace('"', " ").replace(",", " ").split()
+
+
 def split(body: bytes) -> tuple[str, bytes]:
-    """(header text, data): the data begin after the mark, empty lines, and a line such as @1."""
-    at = re.search(rb"^[ \t]*# data section follows[ \t]*\r?\n", body, re.I | re.M)
-    if not at:
+    """(header text, data): what follows the end mark, empty lines and a tag such as @1."""
+    at = 0
+    while at < len(body):
+        line_end = body.find(b"\n", at)
+        line_end = len(body) if line_end < 0 else line_end
+        if body[at:line_end].decode("latin-1").strip().lower() == END:
+            header, at = body[:at].decode("latin-1"), line_end + 1
+            break
+        at = line_end + 1
+    else:
         raise ValueError("no data section")
-    rest = re.match(rb"(?:\r?\n)*(?:[ \t]*@[^\n]*\n)?", body[at.end() :])
-    return body[: at.end()].decode("utf-8", "ignore"), body[at.end() + rest.end() :]
+    while body[at : at + 1] in (b"\n", b"\r"):
+        at += 1
+    tag = body[at : at + 32].split(b"\n")[0].strip()
+    if tag[:1] == b"@" and tag[1:].isdigit():
+        at = body.index(b"\n", at) + 1
+    return header, body[at:]
 
 
 def parse_header(text: str) -> Lattice:
-    size = re.search(r"define\s+Lattice\s+(\d+)\s+(\d+)\s+(\d+)", text, re.I)
-    kind = re.search(r"Lattice\s*\{\s*([A-Za-z]+)\s*(?:\[\s*(\d+)\s*\])?\s+Data\s*\}", text, re.I)
-    if not size or not kind:
-        raise ValueError("a header needs 'define Lattice nx ny nz' and 'Lattice { type[n] Data }'")
-    name = kind[1].lower()
-    if name not in TYPES:
-        raise ValueError(f"unknown type {name}")
-    token = (re.search(r"#\s*AmiraMesh\s+([A-Za-z\-]+)", text, re.I) or [None, ""])[1].upper()
-    encoding = "base64" if re.search(r'Encoding\s*"Base64"', text, re.I) else "ascii" if "ASCII" in token else "binary"
-    return Lattice(*map(int, size.groups()), name, int(kind[2] or 1), ">" if "BIG-ENDIAN" in token else "<", encoding)
+    """Raises for headers without a size or a type, or with a type that is no number."""
+    lines = [_tokens(x) for x in text.splitlines()]
+    first = next((x for x in lines if x), [])
+    marks = [x.upper() for x in first]
+    size, kind, components, encoding = None, None, 1, "binary"
+    for words in lines:
+        low = [w.lower() for w in words]
+        if low[:2] == ["define", "lattice"]:
+            size = [int(w) for w in words[2:5]]
+        elif low[:2] == ["lattice", "{"] and "}" in low:
+            # Lattice { type [ n ] name } @k
+            inside = words[2 : low.index("}")]
+            kind = inside[0].lower()
+            if "[" in inside:
+                components = int(inside[inside.index("[") + 1])
+        if "encoding" in low and low[low.index("encoding") + 1 :][:1] == ["base64"]:
+            encoding = "base64"
+    if size is None or len(size) != 3 or kind is None:
+        raise ValueError("a header needs 'define Lattice nx ny nz' and 'Lattice { type[n] name }'")
+    if kind not in TYPES:
+        raise ValueError(f"unknown type {kind}")
+    if encoding == "binary" and "ASCII" in marks:
+        encoding = "ascii"
+    order = ">" if any("BIG-ENDIAN" in m for m in marks) else "<"
+    return Lattice(*size, kind, components, order, encoding)
 
 
 def values(lattice: Lattice, data: bytes) -> np.ndarray:
-    """All values as doubles, (nz, ny, nx, components).  Data that look like Base64 are taken as such even if not marked."""
-    kind = np.dtype(lattice.order + TYPES[lattice.kind])
-    encoding = lattice.encoding
-    head = b"".join(data[:8192].split())
-    if encoding == "binary" and head and re.fullmatch(rb"[A-Za-z0-9+/=]+", head[:4096]):
-        encoding = "base64"
+    """All values as doubles, (nz, ny, nx, components).
+
+    Data that a header does not mark as Base64 are taken as such if there are more bytes than binary values need and they are
+    whole Base64: a multiple of four letters of its alphabet for exactly the values of the lattice.
+    """
+    kind, encoding = np.dtype(lattice.order + TYPES[lattice.kind]), lattice.encoding
+    need = lattice.count * kind.itemsize
+    raw = data
+    if encoding == "base64" or encoding == "binary" and len(data) > need:
+        letters = b"".join(data.split())
+        if encoding == "base64" or len(letters) == -(-need // 3) * 4:
+            try:
+                raw = base64.b64decode(letters, validate=True)
+            except ValueError:
+                if encoding == "base64":
+                    raise
     if encoding == "ascii":
         flat = np.array(data.split()[: lattice.count], dtype="f8").astype(kind.newbyteorder("="))
     else:
-        raw = base64.b64decode(b"".join(data.split())) if encoding == "base64" else data
-        flat = np.frombuffer(raw[: lattice.count * kind.itemsize], kind)
+        flat = np.frombuffer(raw[: need - need % kind.itemsize], kind, min(lattice.count, len(raw) // kind.itemsize))
     if flat.size != lattice.count:
         raise ValueError(f"{flat.size} values; the header says {lattice.count}")
     return flat.astype("f8").reshape(lattice.nz, lattice.ny, lattice.nx, lattice.components)
@@ -87,3 +135,28 @@ def read_amira(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, "path string, t int, i int, component int, values array<double>")
+
+
+def read_amira_field(spark: SparkSession, path: str) -> DataFrame:
+    """(path, t, i, j, u, v) of lattices of two components: frames along the slowest axis."""
+    rows = read_amira(spark, path)
+    at = lambda c, n: rows.filter(F.col("component") == c).select("path", "t", "i", F.col("values").alias(n))
+    both = at(0, "u").join(at(1, "v"), ["path", "t", "i"])
+    return both.select("path", "t", "i", F.posexplode(F.arrays_zip("u", "v")).alias("j", "z")).select("path", "t", "i", "j", "z.u", "z.v")
+
+
+def component(rows: DataFrame, number: int, name: str = "u") -> DataFrame:
+    """(t, i, j, name): one component of read_amira(), as raw.write_raw() takes it."""
+    return rows.filter(F.col("component") == number).select("t", "i", F.posexplode("values").alias("j", name))
+
+
+def write_amira(field: DataFrame, grid: Grid, path: str, encoding: str = "binary") -> None:
+    """A field (t, i, j, u, v) as one lattice of floats at path, a grid row at a time through the driver; encoding binary (little-endian) or ascii."""
+    from .raw import output
+
+    head = f"# AmiraMesh {'ASCII' if encoding == 'ascii' else 'BINARY-LITTLE-ENDIAN'} 2.1\n\ndefine Lattice {grid.W} {grid.H} {grid.T}\n\nLattice {{ float[2] Data }} @1\n\n# Data section follows\n@1\n"
+    with output(field.sparkSession, path) as write:
+        write(head.encode())
+        for r in packed_rows(field, ["u", "v"]).orderBy("t", "i").toLocalIterator():
+            pair = np.stack([r["u"], r["v"]], 1).astype("<f4")
+            write(pair.tobytes() if encoding == "binary" else (" ".join(map(repr, pair.ravel().astype(float).tolist())) + "\n").encode())

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,23 @@ from pyspark.sql import functions as F
 from ..grid import Grid, packed_rows
 
 
+def _file(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop, so that any store that Spark reads is reached."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+@contextmanager
+def output(spark: SparkSession, path: str) -> Iterator[Callable[[bytes], None]]:
+    """Writes bytes to a new file in any store."""
+    fs, p = _file(spark, path)
+    stream = fs.create(p, True)
+    try:
+        yield stream.write
+    finally:
+        stream.close()
+
+
 def read_rows(spark: SparkSession, path: str, grid: Grid, col: str = "u", dtype: str = "<f4") -> DataFrame:
     """(t, i, col array of doubles): one row per grid row.  The file is split at grid rows, so any size is read in parallel.
 
@@ -42,19 +60,32 @@ def read_field(spark: SparkSession, u: str, v: str, grid: Grid, dtype: str = "<f
 
 
 def read_frame(spark: SparkSession, path: str, grid: Grid, t: int, dtype: str = "<f4") -> DataFrame:
-    """One frame of a file: only the splits that hold it give rows."""
-    return read_rows(spark, path, grid, "u", dtype).filter(F.col("t") == t)
+    """(t, i, u array of doubles) of one frame: only its bytes, which are as many as a grid's plane has, are read, by the driver."""
+    size = np.dtype(dtype).itemsize
+    if not 0 <= t < grid.T:
+        raise ValueError(f"frame {t} of {grid.T}")
+    fs, p = _file(spark, path)
+    stream = fs.open(p)
+    try:
+        stream.seek(t * grid.plane * size)
+        body = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, grid.plane * size))
+    finally:
+        stream.close()
+    rows = np.frombuffer(body, dtype).astype("f8").reshape(grid.H, grid.W)
+    return spark.createDataFrame([(t, i, r.tolist()) for i, r in enumerate(rows)], "t int, i int, u array<double>")
 
 
 def write_raw(field: DataFrame, col: str, path: str, dtype: str = "<f4") -> int:
-    """One column to one local file in order of (t, i, j); returns the number of bytes.
+    """One column to one file in order of (t, i, j), in any store; returns the number of bytes.
 
     The rows come to the driver a partition at a time.  A Parquet table is the way to keep a field in Spark.
     """
-    rows, n = packed_rows(field, [col]).orderBy("t", "i"), 0
-    with open(path, "wb") as f:
-        for r in rows.toLocalIterator():
-            n += f.write(np.asarray(r[col], dtype).tobytes())
+    n = 0
+    with output(field.sparkSession, path) as write:
+        for r in packed_rows(field, [col]).orderBy("t", "i").toLocalIterator():
+            body = np.asarray(r[col], dtype).tobytes()
+            write(body)
+            n += len(body)
     return n
 
 
@@ -65,3 +96,13 @@ def frame_slice(field: DataFrame, t: int) -> DataFrame:
 def repacked(field: DataFrame) -> DataFrame:
     """(component, j, i, t, value): components apart and columns outermost."""
     return field.select("t", "i", "j", F.explode(F.array(F.struct(F.lit(0).alias("component"), F.col("u").alias("value")), F.struct(F.lit(1).alias("component"), F.col("v").alias("value")))).alias("c")).select("c.component", "j", "i", "t", "c.value")
+
+
+def write_image(field: DataFrame, grid: Grid, path: str) -> None:
+    """VTK ImageData XML of a field (t, i, j, u, v): columns, rows and frames as x, y and z, values as text, a grid row at a time through the driver."""
+    extent = f"0 {grid.W - 1} 0 {grid.H - 1} 0 {grid.T - 1}"
+    with output(field.sparkSession, path) as write:
+        write(f'<?xml version="1.0"?>\n<VTKFile type="ImageData" version="0.1" byte_order="LittleEndian">\n<ImageData WholeExtent="{extent}" Origin="0 0 0" Spacing="1 1 1">\n<Piece Extent="{extent}">\n<PointData Vectors="uv">\n<DataArray type="Float32" Name="uv" NumberOfComponents="2" format="ascii">\n'.encode())
+        for r in packed_rows(field, ["u", "v"]).orderBy("t", "i").toLocalIterator():
+            write((" ".join(f"{x:.9g} {y:.9g}" for x, y in zip(r["u"], r["v"], strict=True)) + "\n").encode())
+        write(b"</DataArray>\n</PointData>\n</Piece>\n</ImageData>\n</VTKFile>\n")

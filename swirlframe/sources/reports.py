@@ -43,15 +43,39 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def polydata(samples: DataFrame) -> str:
-    """VTK PolyData XML of ordered trajectories (component, place, x, y, t): a report of a size for viewing, made on the driver."""
-    rows = samples.orderBy("component", "place").select("component", "x", "y", "t").collect()
-    points = "\n".join(f"{r.x:.9g} {r.y:.9g} {r.t:.9g}" for r in rows)
-    ends = [k for k in range(1, len(rows) + 1) if k == len(rows) or rows[k].component != rows[k - 1].component]
-    lines = " ".join(map(str, range(len(rows))))
-    return (
-        '<?xml version="1.0"?>\n<VTKFile type="PolyData" version="0.1" byte_order="LittleEndian">\n<PolyData>\n'
-        f'<Piece NumberOfPoints="{len(rows)}" NumberOfLines="{len(ends)}">\n<Points><DataArray type="Float64" NumberOfComponents="3" format="ascii">\n{points}\n</DataArray></Points>\n'
-        f'<Lines><DataArray type="Int64" Name="connectivity" format="ascii">{lines}</DataArray><DataArray type="Int64" Name="offsets" format="ascii">{" ".join(map(str, ends))}</DataArray></Lines>\n'
-        "</Piece>\n</PolyData>\n</VTKFile>\n"
-    )
+def write_polydata(samples: DataFrame, path: str) -> None:
+    """VTK PolyData XML of ordered trajectories (component, place, x, y, t): points and lines, a partition at a time through the driver."""
+    from .raw import output
+
+    rows = samples.select("component", "place", "x", "y", "t").orderBy("component", "place")
+    sizes = samples.groupBy("component").agg(F.count("*").alias("n")).orderBy("component")
+    n_points, n_lines = samples.count(), sizes.count()
+    with output(samples.sparkSession, path) as write:
+        put = lambda *lines: write(("\n".join(lines) + "\n").encode())
+        put('<?xml version="1.0"?>', '<VTKFile type="PolyData" version="0.1" byte_order="LittleEndian">', "<PolyData>", f'<Piece NumberOfPoints="{n_points}" NumberOfLines="{n_lines}">')
+        put('<Points><DataArray type="Float64" NumberOfComponents="3" format="ascii">')
+        for r in rows.toLocalIterator():
+            put(f"{r.x:.9g} {r.y:.9g} {r.t:.9g}")
+        put("</DataArray></Points>", '<Lines><DataArray type="Int64" Name="connectivity" format="ascii">')
+        for k in range(0, n_points, 1000):
+            put(" ".join(map(str, range(k, min(k + 1000, n_points)))))
+        put("</DataArray>", '<DataArray type="Int64" Name="offsets" format="ascii">')
+        end = 0
+        for r in sizes.toLocalIterator():
+            end += r.n
+            put(str(end))
+        put("</DataArray></Lines>", "</Piece>", "</PolyData>", "</VTKFile>")
+
+
+def read_polydata(spark: SparkSession, path: str) -> DataFrame:
+    """(line, place, x, y, t) of a file of write_polydata(), which is read as a whole: a report of a size for viewing."""
+    import xml.etree.ElementTree as ET
+
+    root = ET.fromstring(spark.read.text(path, wholetext=True).first()[0])
+    arrays = {a.get("Name"): a.text.split() for a in root.iter("DataArray")}
+    points = list(map(float, arrays[None]))
+    out, first = [], 0
+    for line, end in enumerate(map(int, arrays["offsets"])):
+        out += [(line, k - first, *points[3 * int(c) : 3 * int(c) + 3]) for k, c in enumerate(arrays["connectivity"][first:end], first)]
+        first = end
+    return spark.createDataFrame(out, "line int, place int, x double, y double, t double")

@@ -5,7 +5,55 @@ from support import SF, spark_rows
 
 from swirlframe import queries as q
 
-LONG = {"roundtrip_lorenzo2d", "roundtrip_time_linear", "roundtrip_stride2", "roundtrip_dt2d", "roundtrip_ar2_clamped", "roundtrip_mixed_order"}
+#: Held against their SQL by the driver, and in a smaller form by other tests.
+LONG = {"roundtrip_lorenzo2d", "roundtrip_time_linear", "roundtrip_stride2", "roundtrip_dt2d", "roundtrip_ar2_clamped", "roundtrip_mixed_order", "roundtrip_lorenzo_ar2", "smooth_typed", "smooth_tried", "smooth_types_kept", "smooth_warped", "smooth_mixed_order", "smooth_plane", "smooth_lorenzo_ar2", "smooth_symmetric", "relative_bilinear", "relative_offline_typed"}
+
+
+def test_bilinear_guard(spark):
+    """Zeros of bilinear cells, and their types, stay as they are; most vertices are coded."""
+    from swirlframe.grid import Grid, swirl_field
+    from swirlframe.operators import critical
+    from swirlframe.plans import codec
+
+    g = Grid(9, 10, 3)
+    field = swirl_field(spark, g, "focus")
+    blocks, s = codec.encode_relative(field, g, 0.05, "lorenzo2d", (2, 9, 5), guard="bilinear")
+    assert codec.statistics(blocks).first().lossless_share < 0.6
+    back = codec.decode(blocks, g, s, "lorenzo2d", (2, 9, 5), log=True, kind="double")
+    assert back.join(field.withColumnsRenamed({"u": "x", "v": "y"}), ["t", "i", "j"]).filter("abs(u - x) > 0.05 * abs(x) or abs(v - y) > 0.05 * abs(y)").count() == 0
+    found = [sorted((r.t, r.i, r.j, r.type) for r in critical.bilinear_points(f.select("t", "i", "j", "u", "v"), g).collect()) for f in (field, back)]
+    assert found[0] == found[1] and len(found[0]) == 3
+
+
+def test_huffman_size_by_hand(spark):
+    import heapq
+
+    from swirlframe.operators import coding
+
+    counts = [r.n for r in coding.frequencies(q._symbols(spark, SF)).collect()]
+    heap, total = list(counts), 0
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        x = heapq.heappop(heap) + heapq.heappop(heap)
+        total += x
+        heapq.heappush(heap, x)
+    assert q.QUERIES["huffman_size"](spark, SF).first()[0] == total
+
+
+def test_ordered_curves(spark):
+    """Samples in order: each face follows one that it is linked with, or begins a new stretch where no neighbour is left."""
+    from swirlframe.operators import critical
+
+    zero, g = q._swirl(spark)[0], q.SWIRL
+    from swirlframe.operators import mesh
+
+    zero = mesh.zero_faces(zero, g)
+    links = {frozenset(r) for r in critical.zero_graph(zero, g).collect()}
+    rows = critical.ordered_curves(zero, g).orderBy("component", "place").collect()
+    assert sorted(r.face for r in rows) == sorted(r[0] for r in critical.zero_components(zero, g).select("face").collect())
+    assert all(frozenset((a.face, b.face)) in links for a, b in zip(rows, rows[1:], strict=False) if a.component == b.component)
+    w = critical.speed(critical.ordered_curves(zero, g)).orderBy("component", "place").collect()
+    assert all(abs(b.step - ((b.x - a.x) ** 2 + (b.y - a.y) ** 2) ** 0.5) < 1e-12 for a, b in zip(w, w[1:], strict=False) if a.component == b.component)
 
 
 @pytest.mark.parametrize("name", [n for n in q.QUERIES if n not in LONG])

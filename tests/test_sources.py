@@ -57,5 +57,66 @@ def test_reports(spark, tmp_path):
     reports.write_points(pts, f"{tmp_path}/p")
     assert reports.read_points(spark, f"{tmp_path}/p").filter("t = 1").count() == 1
     curve = spark.createDataFrame([(1, k, float(k), 0.0, 0.0) for k in range(3)] + [(2, 0, 5.0, 0.0, 0.0)], "component long, place long, x double, y double, t double")
-    xml = reports.polydata(curve)
-    assert 'NumberOfPoints="4" NumberOfLines="2"' in xml and ">3 4<" in xml
+    reports.write_polydata(curve, f"{tmp_path}/c.vtp")
+    text = (tmp_path / "c.vtp").read_text()
+    assert 'NumberOfPoints="4" NumberOfLines="2"' in text and "3\n4\n" in text
+    back = reports.read_polydata(spark, f"{tmp_path}/c.vtp").collect()
+    assert [(r.line, r.place, r.x) for r in back] == [(0, 0, 0.0), (0, 1, 1.0), (0, 2, 2.0), (1, 0, 5.0)]
+
+
+def test_amira_header_forms():
+    one = "# Avizo BINARY-LITTLE-ENDIAN 2.1\n\ndefine   Lattice 4 5 6\nParameters {\n  CoordType \"uniform\"\n}\nLattice { float Field } = @1\n"
+    assert amira.parse_header(one) == amira.Lattice(4, 5, 6, "float", 1, "<", "binary")
+    two = "# AmiraMesh 3D ASCII 2.0\nDEFINE lattice 1 2 3\nLattice {Double[3] Data} @1"
+    assert amira.parse_header(two) == amira.Lattice(1, 2, 3, "double", 3, "<", "ascii")
+    for wrong in ("define Lattice 1 2\nLattice { float Data } @1", "define Lattice 1 2 3\nLattice { text Data } @1"):
+        with pytest.raises(ValueError):
+            amira.parse_header(wrong)
+    assert amira.split(b"a\n# Data section follows\r\n\n@1\nxyz") == ("a\n", b"xyz") and amira.split(b"#  x\n# Data section follows\n@2x\n")[1] == b"@2x\n"
+
+
+@pytest.mark.parametrize("encoding", ["binary", "ascii"])
+def test_amira_field_round_trip(spark, tmp_path, encoding):
+    g = Grid(3, 5, 4)
+    field = swirl_field(spark, g)
+    amira.write_amira(field, g, f"{tmp_path}/f.am", encoding)
+    back = amira.read_amira_field(spark, f"{tmp_path}/f.am").drop("path")
+    want = field.selectExpr("t", "i", "j", "cast(cast(u as float) as double) u", "cast(cast(v as float) as double) v")
+    assert back.exceptAll(want).count() == 0 and back.count() == g.size
+
+
+def test_netcdf(spark, tmp_path):
+    from swirlframe.sources import netcdf
+
+    g = Grid(3, 5, 4)
+    field = swirl_field(spark, g).selectExpr("t", "i", "j", "case when j = 2 then null else u end as u", "v")
+    netcdf.write_netcdf(field, g, f"{tmp_path}/f.nc", 1e20)
+    back = netcdf.read_netcdf_field(spark, f"{tmp_path}/f.nc").drop("path")
+    want = field.selectExpr("t", "i", "j", "cast(coalesce(u, 0) as float) u", "cast(v as float) v")
+    assert back.exceptAll(want).count() == 0 and back.count() == g.size
+    body = (tmp_path / "f.nc").read_bytes()
+    with pytest.raises(ValueError):
+        netcdf.variable(body, "w")
+    with pytest.raises(ValueError):
+        netcdf.variable(b"\x89HDF\r\n", "u")
+    # a variable without records, by hand: one dimension of 3, 16-bit numbers
+    import struct
+
+    text = lambda s: struct.pack(">i", len(s)) + s.encode() + b"\0" * (-len(s) % 4)
+    head = b"CDF\x01" + struct.pack(">iii", 0, 10, 1) + text("x") + struct.pack(">iii", 3, 0, 0) + struct.pack(">ii", 11, 1) + text("a") + struct.pack(">iiii", 1, 0, 0, 0) + struct.pack(">ii", 3, 8)
+    assert netcdf.variable(head + struct.pack(">i", len(head) + 4) + struct.pack(">hhh", 1, -2, 3), "a").tolist() == [1, -2, 3]
+
+
+def test_image_and_frames(spark, tmp_path):
+    g = Grid(3, 5, 4)
+    field = swirl_field(spark, g)
+    raw.write_image(field, g, f"{tmp_path}/f.vti")
+    text = (tmp_path / "f.vti").read_text()
+    assert 'WholeExtent="0 4 0 2 0 3"' in text and len(text.split("ascii\">\n")[1].split("</DataArray>")[0].split()) == 2 * g.size
+    raw.write_raw(field, "u", f"{tmp_path}/u.bin", "<f8")
+    for t in (0, 3):
+        got = raw.read_frame(spark, f"{tmp_path}/u.bin", g, t, "<f8").orderBy("i").collect()
+        want = np.fromfile(f"{tmp_path}/u.bin", "<f8").reshape(4, 3, 5)[t]
+        assert [r.u for r in got] == want.tolist()
+    with pytest.raises(ValueError):
+        raw.read_frame(spark, f"{tmp_path}/u.bin", g, 4, "<f8")
