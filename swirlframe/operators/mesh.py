@@ -117,10 +117,10 @@ def split_by_template(grid: Grid) -> dict[int, int]:
     return out
 
 
-def incident_templates() -> list[tuple[int, tuple[int, int, int], tuple[int, int, int]]]:
+def incident_templates(templates: list = FACES) -> list[tuple[int, tuple[int, int, int], tuple[int, int, int]]]:
     """The 36 faces around an inner vertex, as (template, offset, offset) of the two other vertices."""
     out = []
-    for number, _, corners in FACES:
+    for number, _, corners in templates:
         for me in corners:
             rest = [tuple(x - y for x, y in zip(CORNERS[c], CORNERS[me], strict=True)) for c in corners if c != me]
             out.append((number, *rest))

@@ -141,16 +141,39 @@ def sampled(points: DataFrame, frames: DataFrame, grid: Grid, cols: tuple[str, .
 def advected(field: DataFrame, grid: Grid, factor: int, dt_dx: float = 1.0, dt_dy: float = 1.0) -> DataFrame:
     """(t, i, j, u, v, u_pred, v_pred) for t >= 1: each vertex traced back along the last frame's velocity by the midpoint rule and sampled there.
 
-    field is fixed point; a velocity of factor moves dt_dx columns a frame.
+    field is fixed point; a velocity of factor moves dt_dx columns a frame.  As a trace may lead anywhere in the last frame, a frame is a row
+    here, and each is joined with the one before: N values are shuffled, whatever the samples are.
     """
-    cx, cy = dt_dx / factor, dt_dy / factor
-    before = field.select((F.col("t") + 1).alias("t"), "i", "j", F.col("u").alias("u0"), F.col("v").alias("v0"))
-    now = field.join(before, ["t", "i", "j"])
-    half = now.withColumn("y", F.col("i") - 0.5 * F.col("v0") * cy).withColumn("x", F.col("j") - 0.5 * F.col("u0") * cx).drop("u0", "v0")
-    last = field.select((F.col("t") + 1).alias("t"), "i", "j", "u", "v")
-    mid = sampled(half, last, grid).withColumn("y", F.col("i") - F.col("v_at") * cy).withColumn("x", F.col("j") - F.col("u_at") * cx).drop("u_at", "v_at")
-    end = sampled(mid, last, grid)
-    return end.select("t", "i", "j", "u", "v", F.round("u_at").cast("long").alias("u_pred"), F.round("v_at").cast("long").alias("v_pred"))
+    import numpy as np
+    import pyarrow as pa
+
+    h, w, cx, cy = grid.H, grid.W, dt_dx / factor, dt_dy / factor
+    packed = field.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("i", "j", "u", "v"))).alias("r")).select("t", F.col("r.u").alias("u"), F.col("r.v").alias("v"))
+    last = packed.select((F.col("t") + 1).alias("t"), F.col("u").alias("u0"), F.col("v").alias("v0"))
+
+    def sampled_at(plane, y, x):
+        y, x = np.clip(y, 0.0, h - 1.0), np.clip(x, 0.0, w - 1.0)
+        i, j = np.floor(y).astype(np.int64), np.floor(x).astype(np.int64)
+        k, m, fy, fx = np.minimum(i + 1, h - 1), np.minimum(j + 1, w - 1), y - i, x - j
+        # weights and additions in the order of sampled()
+        return (1.0 - fx) * (1.0 - fy) * plane[i, j] + fx * (1.0 - fy) * plane[i, m] + (1.0 - fx) * fy * plane[k, j] + fx * fy * plane[k, m]
+
+    def run(batches):
+        rows, cols = (a.astype(np.float64) for a in np.mgrid[0:h, 0:w])
+        for b in batches:
+            for n in range(b.num_rows):
+                u, v = (b.column(c)[n].values.to_numpy().astype(np.float64).reshape(h, w) for c in ("u0", "v0"))
+                y, x = rows - 0.5 * v * cy, cols - 0.5 * u * cx
+                y, x = rows - sampled_at(v, y, x) * cy, cols - sampled_at(u, y, x) * cx
+                found = [sampled_at(p, y, x).ravel() for p in (u, v)]
+                up, vp = (pa.array((np.sign(p) * np.floor(np.abs(p) + 0.5)).astype(np.int64)) for p in found)
+                one = lambda a: pa.ListArray.from_arrays(pa.array([0, h * w], pa.int32()), a)
+                yield pa.RecordBatch.from_arrays([b.column("t").slice(n, 1), *(one(b.column(c)[n].values) for c in ("u", "v")), one(up), one(vp)], ["t", "u", "v", "u_pred", "v_pred"])
+
+    names = ["u", "v", "u_pred", "v_pred"]
+    made = packed.join(last, "t").mapInArrow(run, "t int, " + ", ".join(f"{c} array<long>" for c in names))
+    flat = made.select("t", F.posexplode(F.arrays_zip(*names)).alias("n", "z"))
+    return flat.select("t", F.floor(F.col("n") / w).cast("int").alias("i"), (F.col("n") % w).cast("int").alias("j"), *(F.col(f"z.{c}").alias(c) for c in names))
 
 
 def plane_regression(field: DataFrame, col: str, block: int) -> DataFrame:
@@ -227,9 +250,11 @@ def regression_or_lorenzo(field: DataFrame, col: str, block: int, eb: int) -> Da
     return per.select("t", "bi", "bj", (F.col("p") < F.col("l")).cast("int").alias("mode"))
 
 
-def entropy_modes(predictions: dict[int, DataFrame], eb: int, block: int = 32, gain: float = 0.003, capacity: int = 65536) -> DataFrame:
+def entropy_modes(predictions: dict[int, DataFrame], eb: int, block: int = 32, gain: float = 0.003, capacity: int = 65536, bins: bool = False) -> DataFrame:
     """(t, bi, bj, mode): the mode (key of predictions, rows as of predicted()) with the fewest bits a symbol in each block.
 
+    bins: symbols count by magnitude only, in the six classes of coding.six_bins().
+
     Bits are the entropy of the block's quantised residuals, and 16 for each that has no code.  A mode other
     than the first wins only by the relative ``gain``; a block without rows of a mode can't take it.
     """
@@ -239,6 +264,10 @@ def entropy_modes(predictions: dict[int, DataFrame], eb: int, block: int = 32, g
         r = rows.select("t", F.floor(F.col("i") / block).cast("int").alias("bi"), F.floor(F.col("j") / block).cast("int").alias("bj"), F.explode(F.array(F.col("u") - F.col("u_pred"), F.col("v") - F.col("v_pred"))).alias("r"))
         steps = div(F.abs("r"), eb) + 1
         sym = F.when(steps >= capacity, F.lit(None)).otherwise(F.when(F.col("r") < 0, -div(steps, 2)).otherwise(div(steps, 2)))
+        if bins:
+            from .coding import six_bins
+
+            sym = F.when(sym.isNotNull(), six_bins(sym))
         hist = r.groupBy("t", "bi", "bj", sym.alias("q")).agg(F.count("*").alias("n"))
         n = F.col("n").cast("double")
         per = hist.groupBy("t", "bi", "bj").agg(F.sum(F.when(F.col("q").isNotNull(), n)).alias("coded"), F.sum(F.when(F.col("q").isNotNull(), n * F.log2(n))).alias("s"), F.sum(n).alias("all"), F.sum(F.when(F.col("q").isNull(), n).otherwise(0.0)).alias("over"))

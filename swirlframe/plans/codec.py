@@ -127,9 +127,9 @@ def encode(field: DataFrame, grid: Grid, scale: Scale, eb: int, predictor: str =
     (the better of Lorenzo and advection for each block, by the sum of residuals or by the bits that coding takes); "lorenzo_ar2" (with an AR(2)
     of each block), or "plane" (a hyperplane or Lorenzo for each block).  block: by default block_of() the grid.  cell: displacement in cells
     of a fixed-point unit (by default a velocity of 1 moves one cell a frame).  guard: what may not change, of kernels.GUARDS: "faces" of space-time, "layers"
-    (faces of single frames only), "symmetric" (faces, with the least bound of their vertices), "tried" (faces, by trial), "typed"
+    (faces of single frames only), "legacy" (faces of the other triangulation), "symmetric" (faces, with the least bound of their vertices), "tried" (faces, by trial), "typed"
     (faces of frames and the types of their zeros, by trial), "relative" and "bilinear" (triangles or cells of frames, of real values),
-    "tetrahedra" and "relative_tetrahedra" (of three components), or "none".  log: codes base-2 logarithms (scale: LOG_SCALE) and
+    "tetrahedra", "tried_tetrahedra" and "relative_tetrahedra" (of three components), or "none".  log: codes base-2 logarithms (scale: LOG_SCALE) and
     signs; errors are then relative.  limit: a column with a bound of each vertex, in units of fixed point.  relax: steps may be so many times
     their bound where the result holds it.  coding: of streams.CODINGS.
     """

@@ -12,7 +12,7 @@ from math import comb
 
 import numpy as np
 
-from ..operators.mesh import CORNERS, TETRAHEDRA, incident_templates
+from ..operators.mesh import CORNERS, FACES, LEGACY, TETRAHEDRA, incident_templates
 
 RADIUS = 32768
 
@@ -65,11 +65,11 @@ class NoGuard:
 class FaceGuard:
     """No face of a vertex may win or lose its zero.  layers: only faces within a frame count."""
 
-    layers = False
+    layers, templates = False, FACES
 
     def __init__(self, shape: tuple[int, ...]):
         step = _strides(shape)
-        around = [x for x in incident_templates() if x[0] <= 2 or not self.layers]
+        around = [x for x in incident_templates(self.templates) if x[0] <= 2 or not self.layers]
         self.o1, self.o2 = (np.array([sum(x * s for x, s in zip(f[k], step, strict=True)) for f in around]) for k in (1, 2))
         rank = np.array([sorted((0, x, y)).index(0) for x, y in zip(self.o1, self.o2, strict=True)])
         self.first, self.second = rank == 0, rank == 1
@@ -98,6 +98,12 @@ class LayerGuard(FaceGuard):
     layers = True
 
 
+class LegacyGuard(FaceGuard):
+    """As FaceGuard, for the triangulation that splits sides and diagonals the other way."""
+
+    templates = LEGACY
+
+
 class SymmetricGuard(FaceGuard):
     """As FaceGuard, with the smallest bound of the three vertices of a face, whichever moves."""
 
@@ -159,6 +165,12 @@ class TypedGuard(TriedGuard):
         return np.where(super().zero(others, x, y), 1 + kind, 0)
 
 
+def _inside(a, b, c, d):
+    """Whether the four determinants of each tetrahedron have one sign."""
+    m = [-_det(b, c, d), _det(a, c, d), -_det(a, b, d), _det(a, b, c)]
+    return np.logical_and.reduce([x > 0 for x in m]) | np.logical_and.reduce([x < 0 for x in m]), np.logical_or.reduce([x == 0 for x in m])
+
+
 def _sum_margin(moving: list, rest):
     """How large a share the terms in ``moving`` may move by with the sign of their sum with ``rest`` kept; 0 if all are 0."""
     size = sum(np.abs(m) for m in moving)
@@ -261,6 +273,37 @@ class TetrahedronGuard:
         return np.where(here, eb, most).min(1)
 
 
+class TriedTetrahedronGuard(TetrahedronGuard):
+    """As TriedGuard, for tetrahedra: the bound is tried from the largest on, and what was decoded is checked.  Flat cases stay as they are."""
+
+    tries = 8
+
+    def _others(self, flat, exists, at):
+        o = self.offsets
+        return [tuple(f[:, at + x] for f in flat) for x in o], exists[:, at + o[0]] & exists[:, at + o[1]] & exists[:, at + o[2]]
+
+    def _same(self, others, here, now, then):
+        (was, flat), (is_, tied) = (_inside(*others, tuple(x[:, None] for x in v)) for v in (now, then))
+        return (((was == is_) & ~flat & ~tied) | ~here).all(1)
+
+    def bound(self, flat, exists, at, now, most):
+        others, here = self._others(flat, exists, at)
+        best = np.zeros(len(here), np.int64)
+        for k in range(self.tries):
+            eb = most >> k
+            if eb < 2:
+                break
+            ok = best == 0
+            for turn in range(8):
+                ok &= self._same(others, here, now, [x + (eb if turn >> c & 1 else -eb) for c, x in enumerate(now)])
+            best = np.where(ok, eb, best)
+        return best
+
+    def accepts(self, flat, exists, at, now, then):
+        others, here = self._others(flat, exists, at)
+        return self._same(others, here, now, then)
+
+
 class RelativeTetrahedronGuard(RelativeGuard):
     """As RelativeGuard, for three components and all tetrahedra of a vertex."""
 
@@ -284,9 +327,9 @@ class RelativeTetrahedronGuard(RelativeGuard):
 
 #: Guards of real values.
 RELATIVE = {"relative": RelativeGuard, "bilinear": BilinearGuard, "relative_tetrahedra": RelativeTetrahedronGuard}
-GUARDS = {"faces": FaceGuard, "layers": LayerGuard, "symmetric": SymmetricGuard, "tried": TriedGuard, "typed": TypedGuard, "tetrahedra": TetrahedronGuard, "none": NoGuard, **RELATIVE}
+GUARDS = {"faces": FaceGuard, "layers": LayerGuard, "legacy": LegacyGuard, "symmetric": SymmetricGuard, "tried": TriedGuard, "typed": TypedGuard, "tetrahedra": TetrahedronGuard, "tried_tetrahedra": TriedTetrahedronGuard, "none": NoGuard, **RELATIVE}
 #: Guards of fields of three components.
-SPATIAL = ("tetrahedra", "relative_tetrahedra")
+SPATIAL = ("tetrahedra", "tried_tetrahedra", "relative_tetrahedra")
 
 
 Get = Callable[[int, int, int], np.ndarray]

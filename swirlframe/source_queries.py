@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .functions import triangles
-from .grid import field_view, view_grid
+from .grid import field_view, fixed_scale, smooth_view, to_fixed, view_grid
 from .operators import critical, mesh, predict, verify
-from .plans.checkpoints import scratch
+from .plans import codec
+from .plans.checkpoints import cut, scratch
 from .queries import (
-    _COMPONENTS_SQL, _IN, _L3, _Q, EB, FACES_SQL, FIELD, LAYER_SQL, POINTS_SQL, SQL, VERTEX_SQL, ZERO, _quantized, _stencil_sql, _tet_sides_sql, _tet_sql, _zero, fixed, query, rounded,
+    _beside, _checked, _COMPONENTS_SQL, _count, _IN, _KEPT_SQL, _L3, _Q, EB, FACES_SQL, FIELD, LAYER_SQL, POINTS_SQL, SQL, VERTEX_SQL, ZERO, _quantized, _stencil_sql, _tet_sides_sql, _tet_sql, _zero, fixed, query, rounded,
 )
 from .sources import amira, netcdf, raw, reports
 
@@ -228,6 +229,74 @@ def incident_tetrahedra(spark, sf_dir):
     return found.select("pid", F.size("tids").cast("long").alias("n"), F.array_min("tids").alias("low"), F.aggregate("tids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
+# --- more of coding -----------------------------------------------------------------------------------
+
+
+def _smooth_coded(spark, sf_dir, predictor, limit=None, **how):
+    """(field, grid, scale, bound, blocks, decoded) of the smoothed view."""
+    field, g = smooth_view(spark, sf_dir), view_grid(spark, sf_dir)
+    s = fixed_scale(field)
+    eb = codec.bound_for(s, 0.002)
+    rows = field if limit is None else field.withColumn("limit", limit(g, eb))
+    blocks = cut(codec.encode(rows, g, s, eb, predictor, limit=None if limit is None else "limit", **how))
+    return field, g, s, eb, blocks, codec.decode(blocks, g, s, predictor)
+
+
+@query(_KEPT_SQL.format("true"))
+def smooth_legacy(spark, sf_dir):
+    """The guard of the other triangulation, verified on that one."""
+    field, g, s, eb, blocks, decoded = _smooth_coded(spark, sf_dir, "lorenzo3d", guard="legacy")
+    return _checked(field, g, s, eb, blocks, decoded, mesh.LEGACY)
+
+
+@query("SELECT (count(*) // 25 * 800)::BIGINT AS n, 0::BIGINT AS n_bound_violations, 0::BIGINT AS n_lossless_beyond, true AS smaller FROM embeddings")
+def plain_point_bounds(spark, sf_dir):
+    """Without a guard, in hyperplanes or Lorenzo, with a bound of each vertex: every third has half of it, every fifth none."""
+    limit = lambda g, eb: F.when(g.vid() % 5 == 0, 0).when(g.vid() % 3 == 0, eb // 2).otherwise(eb)
+    field, g, s, eb, blocks, decoded = _smooth_coded(spark, sf_dir, "plane", limit, guard="none")
+    both = _beside(field, decoded, s).withColumn("limit", limit(g, eb))
+    far = F.greatest(F.abs(F.col("u") - F.col("du")), F.abs(F.col("v") - F.col("dv")))
+    return both.agg(F.count("*").alias("n"), _count(far > F.col("limit")).alias("n_bound_violations"), _count((F.col("limit") == 0) & (far > 0)).alias("n_lossless_beyond")).crossJoin(codec.statistics(blocks).select((F.col("ratio") > 1).alias("smaller")))
+
+
+@query("SELECT (count(*) // 25 * 525)::BIGINT AS n, 0::BIGINT AS n_bound_violations, 0::BIGINT AS flipped FROM embeddings")
+def roundtrip_volume_tried(spark, sf_dir):
+    """Tetrahedra that win or lose a zero when bounds are tried: none."""
+    from .operators import volume
+
+    cols = ("u", "v", "w")
+    f, g = volume.volume_view(spark, sf_dir)
+    s = fixed_scale(f, cols, volume.NBITS)
+    eb = codec.bound_for(s, EB)
+    d = codec.decode(codec.encode(f, g, s, eb, guard="tried_tetrahedra", cols="uvw"), g, s, cols="uvw")
+    p, q = to_fixed(f, s, cols), cut(d.select("t", "i", "j", *(F.col(f"{c}fp").alias(c) for c in cols)))
+    far = F.greatest(*(F.abs(F.col(c) - F.col(c + "d")) for c in cols)) > eb
+    count = p.join(q.withColumnsRenamed({c: c + "d" for c in cols}), ["t", "i", "j"]).agg(F.count("*").alias("n"), _count(far).alias("n_bound_violations"))
+    zeros = lambda x, name: volume.with_zero(volume.tetrahedra(x, g)).select("t", "i", "j", "tet", F.lit(1).alias(name))
+    return count.crossJoin(zeros(p, "a").join(zeros(q, "b"), ["t", "i", "j", "tet"], "full_outer").agg(_count(F.col("a").isNull() | F.col("b").isNull()).alias("flipped")))
+
+
+@query("SELECT (count(*) // 25 * 800)::BIGINT AS n, 0::BIGINT AS n_bound_violations, true AS nearly_all_kept FROM embeddings")
+def roundtrip_rotated(spark, sf_dir):
+    """In decorrelated axes: errors of the field itself, and of its faces verified without rotation at most one in a hundred changed, by rounding."""
+    field, g = smooth_view(spark, sf_dir), view_grid(spark, sf_dir)
+    blocks, s, angle = codec.encode_rotated(field, g, 0.002)
+    back = cut(codec.decode_rotated(blocks, g, s, angle))
+    both = field.join(back.withColumnsRenamed({"u": "x", "v": "y"}), ["t", "i", "j"])
+    far = F.pow(F.col("u") - F.col("x"), 2) + F.pow(F.col("v") - F.col("y"), 2) > 2 * 0.00201**2
+    kept = codec.kept_after_rotation(field, back, g, fixed_scale(field)).select((F.col("lost") + F.col("new") <= 0.01 * F.col("n")).alias("nearly_all_kept"))
+    return both.agg(F.count("*").alias("n"), _count(far).alias("n_bound_violations")).crossJoin(kept)
+
+
+_BINS = "CASE WHEN abs({0}) = 0 THEN 0 WHEN abs({0}) = 1 THEN 1 WHEN abs({0}) <= 3 THEN 2 WHEN abs({0}) <= 15 THEN 3 WHEN abs({0}) <= 255 THEN 4 ELSE 5 END"
+
+
+@query(SQL["block_mode_entropy"].replace("entropy(q) AS bits", f"entropy({_BINS.format('q')}) AS bits"))
+def block_mode_bins(spark, sf_dir):
+    p, g, s = fixed(spark, sf_dir)
+    return predict.entropy_modes({0: predict.predicted(p, "lorenzo3d"), 1: predict.advected(p, g, s.factor)}, 1 << 22, 8, bins=True)
+
+
 # --- planes -------------------------------------------------------------------------------------------
 
 _PLANE_SQL = f"""{FIELD}, ps AS (SELECT t, i // 8 AS bi, j // 8 AS bj, sum(u)::DOUBLE AS s, sum(u * (i % 8))::DOUBLE AS sy, sum(u * (j % 8))::DOUBLE AS sx, max(i % 8)::DOUBLE + 1 AS h, max(j % 8)::DOUBLE + 1 AS w FROM p GROUP BY ALL),
@@ -297,13 +366,21 @@ def _volume_types_sql() -> str:
 SQL["volume_cp_types"] = f"WITH {_volume_types_sql()}"
 
 _COORDS = ", ".join(f"({x} // 800)::DOUBLE AS t{x}, ({x} % 800 // 32)::DOUBLE AS i{x}, ({x} % 32)::DOUBLE AS j{x}" for x in "abc")
+_SAMPLES_SQL = f"""m AS (SELECT vid * 12 + tmpl - 1 AS face, {_COORDS}, ub::DOUBLE * vc - uc::DOUBLE * vb AS m0, uc::DOUBLE * va - ua::DOUBLE * vc AS m1, ua::DOUBLE * vb - ub::DOUBLE * va AS m2 FROM fa WHERE {ZERO}),
+    g AS (SELECT *, m0 + m1 + m2 AS m FROM m),
+    s AS (SELECT face, {', '.join(f"CASE WHEN m = 0 THEN {x}a / 3 + {x}b / 3 + {x}c / 3 ELSE m0 / m * {x}a + m1 / m * {x}b + m2 / m * {x}c END AS {n}" for n, x in (("x", "j"), ("y", "i"), ("t", "t")))} FROM g)"""
+
+
+@query(f"WITH {FACES_SQL}, {_SAMPLES_SQL} SELECT face, round(x, 6) AS x, round(y, 6) AS y, round(t, 6) AS t FROM s")
+def cp_samples(spark, sf_dir):
+    return rounded(critical.zero_samples(*_zero(spark, sf_dir)))
+
+
 SQL["cp_curves"] = f"""WITH RECURSIVE {FACES_SQL}, {_tet_sides_sql()},
     w AS (SELECT x, y FROM lk UNION ALL SELECT y, x FROM lk),
     cc(id, component) USING KEY (id) AS (SELECT face, face FROM z
         UNION (SELECT u.id, min(v.component) FROM recurring.cc u JOIN w ON w.x = u.id JOIN cc v ON v.id = w.y WHERE v.component < u.component GROUP BY u.id)),
-    m AS (SELECT vid * 12 + tmpl - 1 AS face, {_COORDS}, ub::DOUBLE * vc - uc::DOUBLE * vb AS m0, uc::DOUBLE * va - ua::DOUBLE * vc AS m1, ua::DOUBLE * vb - ub::DOUBLE * va AS m2 FROM fa WHERE {ZERO}),
-    g AS (SELECT *, m0 + m1 + m2 AS m FROM m),
-    s AS (SELECT face, {', '.join(f"CASE WHEN m = 0 THEN {x}a / 3 + {x}b / 3 + {x}c / 3 ELSE m0 / m * {x}a + m1 / m * {x}b + m2 / m * {x}c END AS {n}" for n, x in (("x", "j"), ("y", "i"), ("t", "t")))} FROM g),
+    {_SAMPLES_SQL},
     k AS (SELECT component, face, x, y, t FROM cc JOIN s ON s.face = cc.id),
     n AS (SELECT component, count(*) AS links FROM lk JOIN cc ON cc.id = lk.x GROUP BY 1)
     SELECT component, count(*) AS n_faces, coalesce(any_value(links), 0) >= count(*) AS is_loop, round(min(t), 6) AS t_first, round(max(t), 6) AS t_last,
