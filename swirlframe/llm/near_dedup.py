@@ -138,7 +138,7 @@ def node_pairs(members: DataFrame, about: DataFrame, depth: int, percent: int, s
     for d in range(1, depth + 1):
         key = f"k{d}"
         sizes = cut(rows.groupBy(key).agg(F.count("*").alias("_size")).filter("_size > 1"))
-        rows = spread(rows, sizes, [key], "_size", ["id"])
+        rows = spread(rows, sizes, [key], "_size", ["id"], most=0)
         rows = written(rows.join(about, "id") if d == 1 else rows, "nodes")
         few = rows.filter(F.col("_size") <= small)
         found.append(few.alias("a").join(few.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.id") < F.col("b.id")) & _alike(percent)).select(*pair))

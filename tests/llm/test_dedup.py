@@ -7,6 +7,7 @@ from swirlframe.llm import exact_dedup as exact
 from swirlframe.llm import near_dedup as nd
 from swirlframe.llm import shared
 from swirlframe.llm import substring_dedup as substring
+from swirlframe.plans import skew
 from swirlframe.llm.exact_dedup import exact_dedup, exact_groups
 from swirlframe.llm.line_dedup import line_dedup, repeated_lines
 from swirlframe.llm.substring_dedup import WINDOW, repeated_paragraphs, repeated_passages, repeated_windows, substring_dedup
@@ -54,7 +55,7 @@ def test_small_limits_give_the_same_rows(spark, monkeypatch):
         return [sorted(map(repr, f.collect())) for f in frames]
 
     want = all_()
-    for module, name, value in ((shared, "BROADCAST_IDS", 8), (shared, "FEW", 2), (shared, "SHARE", 9), (nd, "PART", 3), (nd, "SMALL", 6), (nd, "QUESTIONS", 40), (exact, "BITS", 7), (substring, "BITS", 8)):
+    for module, name, value in ((shared, "BROADCAST_IDS", 8), (skew, "BROADCAST", 2), (skew, "FEW", 2), (skew, "SHARE", 9), (nd, "PART", 3), (nd, "SMALL", 6), (nd, "QUESTIONS", 40), (exact, "BITS", 7), (substring, "BITS", 8)):
         monkeypatch.setattr(module, name, value)
     assert all_() == want
 
