@@ -111,6 +111,7 @@ class Class:
 
 
 _ODD = X.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+_SALT = X.mix(_ODD)
 
 
 def band_keys(rows: np.ndarray) -> np.ndarray:
@@ -118,7 +119,7 @@ def band_keys(rows: np.ndarray) -> np.ndarray:
     out = np.zeros((len(rows), BANDS), np.uint64)
     for b in range(BANDS):
         for r in range(ROWS):
-            out[:, b] = X.mix(out[:, b] * X._C1 ^ (rows * _ODD[b * ROWS + r]).min(1))
+            out[:, b] = X.mix(out[:, b] * X._C1 ^ ((rows ^ _SALT[b * ROWS + r]) * _ODD[b * ROWS + r]).min(1))
     return out
 
 
