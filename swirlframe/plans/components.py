@@ -6,24 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .checkpoints import cut
+from .skew import spread
+
+#: Most smallest neighbours that are broadcast (two ids and a number each).
+SENT = 100_000
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) for all ids of edges (a, b): the smallest id within reach.
 
     Each round hangs larger neighbours on the smallest one, then smaller ones too (large-star and
-    small-star steps), so the number of rounds grows with the logarithm of the longest path, and
-    a hub is only ever an aggregate.  Raises if ``rounds`` do not suffice.
+    small-star steps), so the number of rounds grows with the logarithm of the longest path.  The
+    neighbours of a hub never meet in one task: their minimum is an aggregate, and spread() deals them
+    over several tasks when they learn of it.  Edges with a null are no edges.  Raises if ``rounds`` do not suffice.
     """
     e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     ids = e.select(F.col("hi").alias("id")).union(e.select("lo")).distinct()
     before = None
     for _ in range(rounds):
         both = e.union(e.select("lo", "hi"))
-        least = both.groupBy("hi").agg(F.least(F.first("hi"), F.min("lo")).alias("m"))
-        e1 = both.filter("lo > hi").join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").distinct()
-        least = e1.groupBy("hi").agg(F.min("lo").alias("m"))
-        e2 = e1.join(least, "hi").select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo"))
+        least = cut(both.groupBy("hi").agg(F.least(F.first("hi"), F.min("lo")).alias("m"), F.count("*").alias("n")))
+        e1 = spread(both.filter("lo > hi"), least, ["hi"], "n", ["lo"], most=SENT).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").distinct()
+        e1 = cut(e1)
+        least = cut(e1.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")))
+        e2 = spread(e1, least, ["hi"], "n", ["lo"], most=SENT).select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo"))
         e = cut(e2.filter("hi <> lo").distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         if now == before:
