@@ -83,7 +83,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), least=40, passage=40)
 
 
-QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_suffix_decontamination, op3_line_dedup, op4_language_id, op5_best_fit_packing, op6_chat_format, op7_near_dedup, op8_license_scan, op9_exact_dedup, op10_substring_dedup, benchmark_matches)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Merkle manifest of documents, and what its proofs say of a copy with changed n_chars."""
+    from .merkle import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_suffix_decontamination, op3_line_dedup, op4_language_id, op5_best_fit_packing, op6_chat_format, op7_near_dedup, op8_license_scan, op9_exact_dedup, op10_substring_dedup, op11_merkle_manifest, benchmark_matches)}
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = f"list_filter(regexp_split_to_array({LOWER.format('{}')}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
@@ -110,6 +117,31 @@ def _license_sql() -> str:
         SELECT doc_id, license, max(share)::DOUBLE AS containment, arg_min(first, (-share, first))::BIGINT AS first_word, arg_min(n_words, (-share, first))::BIGINT AS n_words
         FROM w WHERE share >= {m.CONTAINED} GROUP BY doc_id, license"""
 
+
+def _merkle_sql() -> str:
+    """Trees as lists, level by level; a proof is a list of siblings, each with its side."""
+    from .merkle import TAMPERED
+
+    field = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+    leaf = lambda n: "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", n, "text")) + ")"
+    # CRC-32 of the digits, bit by bit
+    step = "list_reduce(list_prepend({0}, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, x: {step.format('xor(a, x)')}), 4294967295)"
+    level = "list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], '')))"
+    return f"""
+        WITH RECURSIVE l AS (SELECT doc_id, lang, {leaf("n_chars")} AS leaf, CASE WHEN ({crc}) % {TAMPERED} = 0 THEN {leaf("(n_chars + 1)")} ELSE {leaf("n_chars")} END AS changed FROM documents),
+        k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM l),
+        t(lang, level, nodes) AS (SELECT lang, 0, list(leaf ORDER BY idx) FROM k GROUP BY lang UNION ALL SELECT lang, level + 1, {level} FROM t WHERE len(nodes) > 1),
+        s AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM t WHERE len(nodes) = 1),
+        u(level, nodes) AS (SELECT 0, list(subroot ORDER BY place) FROM s UNION ALL SELECT level + 1, {level} FROM u WHERE len(nodes) > 1),
+        q AS (SELECT lang, subroot, list(CASE WHEN (place >> level) % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(nodes[xor(place >> level, 1) + 1], '') ORDER BY level) FILTER (len(nodes) > 1) AS up FROM s, u GROUP BY lang, subroot),
+        p AS (SELECT doc_id, leaf, changed, k.lang AS lang, k.idx AS idx, list(CASE WHEN (idx >> level) % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(nodes[xor(idx >> level, 1) + 1], '') ORDER BY level) FILTER (len(nodes) > 1) AS own
+              FROM k JOIN t ON k.lang IS NOT DISTINCT FROM t.lang GROUP BY ALL),
+        r AS (SELECT doc_id, leaf, subroot, (SELECT nodes[1] FROM u WHERE len(nodes) = 1) AS root, changed, list_concat(coalesce(own, []), coalesce(up, [])) AS steps FROM p JOIN q ON p.lang IS NOT DISTINCT FROM q.lang),
+        f AS (SELECT *, list_reduce(list_prepend(changed, steps), lambda a, x: CASE WHEN len(x) = 1 THEN sha256(a) WHEN x[1] = 'L' THEN sha256(x[2:] || a) ELSE sha256(a || x[2:]) END) AS folded_root FROM r)
+        SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda x: x[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM f"""
+
+
 SQL = {
     "op2_suffix_decontamination": f"""
         WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS ws FROM documents),
@@ -174,6 +206,7 @@ SQL = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op11_merkle_manifest": _merkle_sql(),
 }
 
 #: The paragraphs among the rows of op10_substring_dedup; which windows are chosen depends on hashes, so tests hold the others against brute force.
