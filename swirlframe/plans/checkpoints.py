@@ -48,3 +48,9 @@ def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder that scratch() named, in whatever store it is."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the store that it is in, for those who do not ask Spark's settings."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
