@@ -90,7 +90,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_suffix_decontamination, op3_line_dedup, op4_language_id, op5_best_fit_packing, op6_chat_format, op7_near_dedup, op8_license_scan, op9_exact_dedup, op10_substring_dedup, op11_merkle_manifest, benchmark_matches)}
+def op12_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC records, normalised to a gzip member each, and read back by the offset index."""
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_suffix_decontamination, op3_line_dedup, op4_language_id, op5_best_fit_packing, op6_chat_format, op7_near_dedup, op8_license_scan, op9_exact_dedup, op10_substring_dedup, op11_merkle_manifest, op12_warc_normalise, benchmark_matches)}
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = f"list_filter(regexp_split_to_array({LOWER.format('{}')}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
@@ -207,6 +214,12 @@ SQL = {
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
     "op11_merkle_manifest": _merkle_sql(),
+    "op12_warc_normalise": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keep FROM pages),
+        h AS (SELECT *, sha1(body) AS hex FROM p),
+        d AS (SELECT *, list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || hex[(i // 8) * 10 + 1 : (i // 8) * 10 + 10])::BIGINT >> (35 - 5 * (i % 8))::INT) & 31)::INT + 1, 1)) AS digits FROM h)
+        SELECT page_id, strlen(body)::BIGINT AS payload_bytes, array_to_string(digits, '') AS payload_digest,
+               CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to FROM d""",
 }
 
 #: The paragraphs among the rows of op10_substring_dedup; which windows are chosen depends on hashes, so tests hold the others against brute force.

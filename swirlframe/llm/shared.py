@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.checkpoints import cut, removed, scratch, shared_dir, written
+from ..plans.checkpoints import cut, qualified, removed, scratch, shared_dir, written
 from ..plans.components import connected as components
 from ..plans.skew import spread
 
-__all__ = ["bit_map", "components", "cut", "fresh", "held_out", "looked_up", "only", "place", "removed", "scratch", "shared_dir", "sized", "spread", "text_key", "without", "without_rows", "written"]
+__all__ = ["bit_map", "components", "cut", "fresh", "held_out", "looked_up", "only", "place", "qualified", "removed", "scratch", "shared_dir", "sized", "spread", "text_key", "without", "without_rows", "written"]
 
 #: Most ids that are broadcast at once (8 bytes each, about 50 MB as a hash table); beyond it a shuffle join is used.
 BROADCAST_IDS = 1_000_000
