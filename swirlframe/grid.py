@@ -54,11 +54,16 @@ VIEW_H, VIEW_W = 25, 32
 
 def field_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(t, i, j, u, v) from the embeddings table: consecutive pairs of numbers of a vector are the vertices of a grid row."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("e"))
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(VIEW_W - 1)), lambda k: F.struct(F.element_at("e", (2 * k + 1).cast("int")).alias("u"), F.element_at("e", (2 * k + 2).cast("int")).alias("v")))
-    rows = e.select(F.floor(F.col("vec_id") / VIEW_H).cast("int").alias("t"), (F.col("vec_id") % VIEW_H).cast("int").alias("i"), F.posexplode(pairs).alias("j", "p"))
     n = view_grid(spark, sf_dir).T
-    return rows.select("t", "i", "j", "p.u", "p.v").filter(F.col("t") < n)
+    return vector_field(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), VIEW_H, VIEW_W, "vec_id", "embedding").filter(F.col("t") < n)
+
+
+def vector_field(vectors: DataFrame, height: int, width: int, id_col: str, values_col: str) -> DataFrame:
+    """(t, i, j, u, v) of a table of grid rows: vector number id has the pairs of row id mod height of frame id div height."""
+    e = vectors.select(F.col(id_col).alias("id"), F.col(values_col).alias("e"))
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.struct(F.element_at("e", (2 * k + 1).cast("int")).alias("u"), F.element_at("e", (2 * k + 2).cast("int")).alias("v")))
+    rows = e.select(F.floor(F.col("id") / height).cast("int").alias("t"), (F.col("id") % height).cast("int").alias("i"), F.posexplode(pairs).alias("j", "p"))
+    return rows.select("t", "i", "j", "p.u", "p.v")
 
 
 def view_grid(spark: SparkSession, sf_dir: str) -> Grid:

@@ -6,12 +6,82 @@ import heapq
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def frequencies(symbols: DataFrame, col: str = "sym") -> DataFrame:
     return symbols.groupBy(F.col(col).alias("sym")).agg(F.count("*").alias("n"))
 
 
+#: Groups whose counts a task of byte_pairs() holds at once (half a MB each); it hands them on when there are more.
+HELD_GROUPS = 128
+
+
+def byte_pairs(texts: DataFrame, by: str, text: str) -> DataFrame:
+    """(by, before, sym, n): how often each byte of the texts of a group follows each other one; before is -1 at the beginning of a text.
+
+    Tasks count whole Arrow batches, so at most 257 * 256 rows a group and task are shuffled.  Null and empty texts have no bytes; null is a group of its own.
+    """
+    kind = texts.schema[by]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held: dict = {}
+
+        def rows():
+            for group, counts in held.items():
+                at = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([group] * len(at), arrow), pa.array((at >> 8).astype(np.int32) - 1), pa.array((at & 255).astype(np.int32)), pa.array(counts[at])], [by, "before", "sym", "n"])
+            held.clear()
+
+        for batch in batches:
+            arrow = batch.schema.field(0).type
+            column = batch.column(1).cast(pa.large_string()).fill_null("")
+            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            if not len(column) or offsets[0] == offsets[-1]:
+                continue
+            data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.int32)
+            before = np.concatenate([[-1], data[:-1]]).astype(np.int32)
+            before[(offsets[:-1] - offsets[0])[np.diff(offsets) > 0]] = -1
+            pair = ((before + 1) << 8) | data
+            names = batch.column(0).dictionary_encode(null_encoding="encode")
+            group = np.repeat(names.indices.to_numpy(), np.diff(offsets))
+            order = np.argsort(group, kind="stable") if len(names.dictionary) > 1 else slice(None)
+            ends = np.append(0, np.cumsum(np.bincount(group, minlength=len(names.dictionary))))
+            pair = pair[order]
+            for k, name in enumerate(names.dictionary.to_pylist()):
+                if ends[k] < ends[k + 1]:
+                    if name not in held and len(held) == HELD_GROUPS:
+                        yield from rows()
+                    held[name] = held.get(name, 0) + np.bincount(pair[ends[k] : ends[k + 1]], minlength=257 << 8)
+        yield from rows()
+
+    out = T.StructType([kind, T.StructField("before", T.IntegerType()), T.StructField("sym", T.IntegerType()), T.StructField("n", T.LongType())])
+    return texts.select(by, text).mapInArrow(run, out).groupBy(by, "before", "sym").agg(F.sum("n").alias("n"))
+
+
+def pair_statistics(pairs: DataFrame, by: str) -> DataFrame:
+    """(by, n_texts, n_bytes, n_runs, n_symbols, entropy_bits, order1_bits, huffman_bits) of byte_pairs().
+
+    n_texts: those that are not empty; n_runs: stretches of one byte repeated; entropy_bits a byte alone, and order1_bits given the byte
+    before; huffman_bits: all bytes of a group with one table for it.
+    """
+
+    @F.udf("long")
+    def size(counts):
+        return sum(n * length for n, length in zip(counts, code_lengths(counts), strict=True))
+
+    plogp = lambda n, total: -n * F.log2(n / total)
+    before = Window.partitionBy(by, "before")
+    given = pairs.withColumn("_bits", plogp(F.col("n"), F.sum("n").over(before)))
+    one = given.groupBy(by, "sym").agg(F.sum("n").alias("n"), F.sum("_bits").alias("bits1"), F.coalesce(F.sum(F.when(F.col("before") == -1, F.col("n"))), F.lit(0)).alias("firsts"), F.coalesce(F.sum(F.when(F.col("before") == F.col("sym"), F.col("n"))), F.lit(0)).alias("same"))
+    one = one.withColumn("bits0", plogp(F.col("n"), F.sum("n").over(Window.partitionBy(by))))
+    whole = one.groupBy(by).agg(*(F.sum(c).alias(c) for c in ("n", "bits0", "bits1", "firsts", "same")), F.count("*").alias("n_symbols"), F.sort_array(F.collect_list("n")).alias("counts"))  # at most 256
+    return whole.select(by, F.col("firsts").alias("n_texts"), F.col("n").alias("n_bytes"), (F.col("n") - F.col("same")).alias("n_runs"), "n_symbols", (F.col("bits0") / F.col("n")).alias("entropy_bits"), (F.col("bits1") / F.col("n")).alias("order1_bits"), size("counts").alias("huffman_bits"))
+
+
 def entropy(freq: DataFrame) -> DataFrame:
     """(bits) a symbol, of a table (sym, n): 0 for an empty one."""
     total = freq.agg(F.sum("n").alias("total"))

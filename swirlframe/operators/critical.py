@@ -115,8 +115,8 @@ def zero_components(zero: DataFrame, grid: Grid, rounds: int = 60) -> DataFrame:
     return nodes.join(found.withColumnRenamed("id", "face"), "face", "left").select("face", F.coalesce("component", "face").alias("component"))
 
 
-def zero_samples(zero: DataFrame, grid: Grid) -> DataFrame:
-    """(face, x, y, t): where each zero face is crossed, in columns, rows and frames."""
+def located(zero: DataFrame, grid: Grid) -> DataFrame:
+    """zero with face (its name), and where it is crossed: x, y and at, in columns, rows and frames."""
     weights = barycentric(*_six())
     at = dict.fromkeys("tij")
     for k, axis in enumerate("tij"):
@@ -124,7 +124,12 @@ def zero_samples(zero: DataFrame, grid: Grid) -> DataFrame:
         for m, n in zip(weights, "abc", strict=True):
             total = total + m * grid.coordinates(F.col(n))[k]
         at[axis] = total
-    return zero.select((grid.vid() * 12 + F.col("tmpl") - 1).alias("face"), at["j"].alias("x"), at["i"].alias("y"), at["t"].alias("t"))
+    return zero.select("*", (grid.vid() * 12 + F.col("tmpl") - 1).alias("face"), at["j"].alias("x"), at["i"].alias("y"), at["t"].alias("at"))
+
+
+def zero_samples(zero: DataFrame, grid: Grid) -> DataFrame:
+    """(face, x, y, t): where each zero face is crossed, in columns, rows and frames."""
+    return located(zero, grid).select("face", "x", "y", F.col("at").alias("t"))
 
 
 def curves(zero: DataFrame, grid: Grid, rounds: int = 60) -> DataFrame:

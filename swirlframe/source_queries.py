@@ -365,10 +365,15 @@ def _volume_types_sql() -> str:
 
 SQL["volume_cp_types"] = f"WITH {_volume_types_sql()}"
 
-_COORDS = ", ".join(f"({x} // 800)::DOUBLE AS t{x}, ({x} % 800 // 32)::DOUBLE AS i{x}, ({x} % 32)::DOUBLE AS j{x}" for x in "abc")
-_SAMPLES_SQL = f"""m AS (SELECT vid * 12 + tmpl - 1 AS face, {_COORDS}, ub::DOUBLE * vc - uc::DOUBLE * vb AS m0, uc::DOUBLE * va - ua::DOUBLE * vc AS m1, ua::DOUBLE * vb - ub::DOUBLE * va AS m2 FROM fa WHERE {ZERO}),
+COORDS_SQL = ", ".join(f"({x} // 800)::DOUBLE AS t{x}, ({x} % 800 // 32)::DOUBLE AS i{x}, ({x} % 32)::DOUBLE AS j{x}" for x in "abc")
+def located_sql(x: str) -> str:
+    """Coordinate x (t, i or j) of a face's zero, over its weights m0, m1, m2 of sum m."""
+    return f"CASE WHEN m = 0 THEN {x}a / 3 + {x}b / 3 + {x}c / 3 ELSE m0 / m * {x}a + m1 / m * {x}b + m2 / m * {x}c END"
+
+
+_SAMPLES_SQL = f"""m AS (SELECT vid * 12 + tmpl - 1 AS face, {COORDS_SQL}, ub::DOUBLE * vc - uc::DOUBLE * vb AS m0, uc::DOUBLE * va - ua::DOUBLE * vc AS m1, ua::DOUBLE * vb - ub::DOUBLE * va AS m2 FROM fa WHERE {ZERO}),
     g AS (SELECT *, m0 + m1 + m2 AS m FROM m),
-    s AS (SELECT face, {', '.join(f"CASE WHEN m = 0 THEN {x}a / 3 + {x}b / 3 + {x}c / 3 ELSE m0 / m * {x}a + m1 / m * {x}b + m2 / m * {x}c END AS {n}" for n, x in (("x", "j"), ("y", "i"), ("t", "t")))} FROM g)"""
+    s AS (SELECT face, {located_sql("j")} AS x, {located_sql("i")} AS y, {located_sql("t")} AS t FROM g)"""
 
 
 @query(f"WITH {FACES_SQL}, {_SAMPLES_SQL} SELECT face, round(x, 6) AS x, round(y, 6) AS y, round(t, 6) AS t FROM s")
