@@ -62,8 +62,10 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id.doc").alias(id_col), F.col("id.para").cast("long").alias("para"), F.col("n").alias("n_shingles"), F.col("component.doc").alias("component_doc"), F.col("component.para").cast("long").alias("component_para"), (F.col("id") != F.col("component")).alias("removed"))
 
 
-def chosen_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
-    """(doc, at, h, g): places (in words from 0) and hashes of the chosen windows of all documents with an id."""
+def chosen_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, lines: bool = False) -> DataFrame:
+    """(doc, at, h, g): places (in words from 0) and hashes of the chosen windows of all documents with an id; ``lines`` adds line and last, the first and last line of each."""
+
+    names = ["line", "last"] if lines else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in X.slices(batches, "_text"):
@@ -83,18 +85,27 @@ def chosen_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             at, row = at[inside], row[inside]
             hashes = h[at]
             second = X.mix(X.window_hashes(X.mix(X.word_hashes(data, starts, ends) ^ X._C3), WINDOW)[at])
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array((at - first[row]).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array((second >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["doc", "at", "h", "g"])
+            more = [pa.array(_lines_of(data, offs, starts[w], row)) for w in (at, at + WINDOW - 1)] if lines else []
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array((at - first[row]).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array((second >> np.uint64(32)).astype(np.uint32).view(np.int32)), *more], ["doc", "at", "h", "g", *names])
 
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("at", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("g", T.IntegerType())]))
+    return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("at", T.IntegerType()), T.StructField("h", T.LongType()), *(T.StructField(c, T.IntegerType()) for c in ["g", *names])]))
+
 
+def _lines_of(data: np.ndarray, offs: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The lines (from 0, within their rows) of the bytes ``at``, which are in the rows ``row``."""
+    ends = np.flatnonzero(data == 10)
+    return (np.searchsorted(ends, at) - np.searchsorted(ends, offs[row])).astype(np.int32)
 
-def _long_windows(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, passage: int = LONG) -> DataFrame:
+
+def _long_windows(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, passage: int = LONG, gone: DataFrame | None = None) -> DataFrame:
     """(doc, start, low): windows of ``passage`` words around members (doc, at, left, right) that two documents share, and the first (doc, start) of each.
 
-    Of the windows of ``passage`` words that hold the member at ``at``, those that begin before at - left or end behind at + right.
+    Of the windows of ``passage`` words that hold the member at ``at``, those that begin before at - left or end behind at + right, and lie in no line that is gone.
     """
-    places = cut(members.groupBy("doc").agg(F.collect_set(F.struct("at", "left", "right")).alias("places")))  # no longer than a document
+    places = members.groupBy("doc").agg(F.collect_set(F.struct("at", "left", "right")).alias("places"))  # no longer than a document
+    without_lines = F.lit(None).cast("array<int>")
+    places = cut(places.withColumn("gone", without_lines) if gone is None else places.join(gone, "doc", "left"))
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = only(texts, places.select("doc"), "doc").join(places, "doc")
     reach = passage - WINDOW + 1
@@ -112,17 +123,29 @@ def _long_windows(members: DataFrame, docs: DataFrame, id_col: str, text_col: st
             every = (at + first[row])[:, None] - back
             beyond = (back > left[:, None]) | (back < passage - right[:, None])
             inside = beyond & (every >= first[row][:, None]) & (every + passage <= first[row + 1][:, None])
+            if part.column(3).null_count < part.num_rows:
+                inside &= _untouched(part, data, offs, starts, first, passage)[np.minimum(np.maximum(every, 0), len(starts))]
             row = np.broadcast_to(row[:, None], every.shape)
             every, keep = np.unique(every[inside], return_index=True)
             row = row[inside][keep]
             if len(row):
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array((every - first[row]).astype(np.int32)), pa.array(h[every].view(np.int64)), pa.array((X.mix(g[every]) >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["doc", "start", "h", "g"])
 
-    made = written(rows.select("doc", "_text", "places").mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("start", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("g", T.IntegerType())])), "long-windows")
+    made = written(rows.select("doc", "_text", "places", "gone").mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("start", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("g", T.IntegerType())])), "long-windows")
     both = written(made.groupBy("h", "g").agg(F.min(F.struct("doc", "start")).alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")).filter("low.doc <> high").select("h", "g", "low", "n"), "long-keys")
     return spread(made, both, ["h", "g"], "n", ["doc", "start"], most=0).select("doc", "start", "low")
 
 
+def _untouched(part: pa.RecordBatch, data: np.ndarray, offs: np.ndarray, starts: np.ndarray, first: np.ndarray, passage: int) -> np.ndarray:
+    """For each word (and the place behind the last one): whether none of the ``passage`` words from it on is in a line that is gone."""
+    row = np.repeat(np.arange(part.num_rows), np.diff(first))
+    lines = _lines_of(data, offs, starts, row).astype(np.int64)
+    listed = (1 << 32) * np.repeat(np.arange(part.num_rows), part.column(3).value_lengths().fill_null(0).to_numpy()) + part.column(3).flatten().to_numpy()
+    bad = np.isin((1 << 32) * row + lines, listed)
+    before = np.concatenate([[0], np.cumsum(bad)])
+    return before[np.minimum(np.arange(len(starts) + 1) + passage, len(starts))] == before
+
+
 def _pieces(runs: list[dict]) -> list[tuple[int, int, object, bool]]:
     """(first, n, low, removed), disjoint: the runs that others lean on stay whole, and of the others the words that no run before has."""
     own = [(r["first"], r["end"]) for r in runs if r["own"]]
@@ -148,18 +171,26 @@ def _pieces(runs: list[dict]) -> list[tuple[int, int, object, bool]]:
     return out
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = LONG) -> DataFrame:
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = LONG, gone: DataFrame | None = None) -> DataFrame:
     """One row per run of words that another document has too: id, first_word, n_words, component_doc, removed.
 
     Every run of ``passage`` words or more that two documents share is covered from its first word to its last, and
     nothing else is.  A row is one stretch of the text of component_doc, the smallest id that has it; it is
     removed if that is another document, which keeps all of it: words that a later document leans on stay,
     even where a smaller id has a part of them.  Rows of a document do not overlap, so a row may be what is left of a longer run.
-    Null texts and ids have none, and rows of one id are one document.
+    Null texts and ids have none, and rows of one id are one document.  gone (doc, gone: numbers of lines; cut) has lines whose words
+    count for nothing: no run holds one, and no document is said to keep a run by them.
     """
+    gone = None if gone is None or gone.isEmpty() else sized(gone, weight=F.size("gone"))
     windows = chosen_windows(docs, id_col, text_col, passage - WINDOW + 1)
     often = windows.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").select("h")
-    windows = written(looked_up(windows, cut(bit_map(often, BITS)), place(BITS, F.col("h")), "_in").filter("_in").drop("_in"), "windows")
+    if gone is not None:
+        windows = chosen_windows(docs, id_col, text_col, passage - WINDOW + 1, lines=True)
+    windows = looked_up(windows, cut(bit_map(often, BITS)), place(BITS, F.col("h")), "_in").filter("_in").drop("_in")
+    if gone is not None:
+        touched = F.coalesce(F.exists("gone", lambda x: x.between(F.col("line"), F.col("last"))), F.lit(False))
+        windows = windows.join(gone, "doc", "left").filter(~touched).drop("gone", "line", "last")
+    windows = written(windows, "windows")
     keys = written(windows.groupBy("h", "g").agg(F.min(F.struct("doc", "at")).alias("low"), F.max(F.struct("doc", "at")).alias("high"), F.count("*").alias("n")).filter("low.doc <> high.doc"), "keys")
     # held against the first document that has it, or, in that one itself, the last
     shared = spread(windows, keys, ["h", "g"], "n", ["doc", "at"], most=0).withColumn("other", F.when(F.col("doc") == F.col("low.doc"), F.col("high")).otherwise(F.col("low")))
@@ -176,7 +207,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     left, right = F.col("at") - F.col("first"), F.col("end") - F.col("at")
     asked = runs.filter((left < passage - WINDOW) | (right < passage)).groupBy("h", "g").agg(F.min(left).alias("left"), F.min(right).alias("right"), F.first("n").alias("_n"))
     members = spread(runs.select("doc", "at", "h", "g"), written(asked, "asked"), ["h", "g"], "_n", ["doc", "at"], most=0)
-    found = _long_windows(members.select("doc", "at", "left", "right"), docs, id_col, text_col, passage)
+    found = _long_windows(members.select("doc", "at", "left", "right"), docs, id_col, text_col, passage, gone)
     found = found.select("doc", F.col("low.doc").alias("low"), F.when(F.col("doc") == F.col("low.doc"), F.lit(0)).otherwise(F.col("start") - F.col("low.start")).alias("shift"), F.col("start").alias("first"), (F.col("start") + passage).alias("end"))
     spans = runs.filter(F.col("end") - F.col("first") >= passage).select("doc", "low", "shift", "first", "end").distinct().unionByName(found)
     same = Window.partitionBy("doc", "low", "shift").orderBy("first")
@@ -197,9 +228,15 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, passage: int = LONG) -> DataFrame:
-    """Both: id, kind ("paragraph" or "passage"), first (line or word, from 0), length (lines or words), component_doc, removed."""
-    lines = repeated_paragraphs(docs, id_col, text_col, least)
-    words = repeated_windows(docs, id_col, text_col, passage)
+    """Both: id, kind ("paragraph" or "passage"), first (line or word, from 0), length (lines or words), component_doc, removed.
+
+    Lines are decided first, and passages over what stays: words of a removed line are kept for nobody, and have no passage rows.  So any run of
+    ``passage`` words that stands in a line that stays, or across such lines, stands in some document afterwards.  Null texts and ids have no rows; rows of one id are
+    one document (equal rows are no repeats); ties go to the smallest id, then line.
+    """
+    lines = written(repeated_paragraphs(docs, id_col, text_col, least), "paragraphs")
+    gone = cut(lines.filter("removed").groupBy(F.col(id_col).alias("doc")).agg(F.sort_array(F.collect_set(F.col("para").cast("int"))).alias("gone")))  # no longer than a document
+    words = repeated_windows(docs, id_col, text_col, passage, gone)
     one = lines.select(id_col, F.lit("paragraph").alias("kind"), F.col("para").alias("first"), F.lit(1).cast("long").alias("length"), "component_doc", "removed")
     return one.unionByName(words.select(id_col, F.lit("passage").alias("kind"), F.col("first_word").alias("first"), F.col("n_words").alias("length"), "component_doc", "removed"))
 

@@ -224,3 +224,56 @@ def test_passages_from_end_to_end(spark):
             covered[r.doc_id] |= places
         for i, w in words.items():
             assert covered[i] == {k + m for x, other in words.items() if x != i for k in _common_runs(w, other, n) for m in range(n)}
+
+
+def _left(spark, rows, **how):
+    """Words of each document after substring_dedup(), the removed lines, and the removed runs (id, first, number of words)."""
+    frame = docs(spark, rows)
+    found = repeated_passages(frame, **how).filter("removed").collect()
+    lines, runs = {(r.doc_id, r.first) for r in found if r.kind == "paragraph"}, [(r.doc_id, r.first, r.length) for r in found if r.kind == "passage"]
+    return {r.doc_id: (r.text or "").split() for r in substring_dedup(frame, **how).collect()}, lines, runs
+
+
+def test_a_removed_line_keeps_nothing(spark):
+    """A line goes as a near copy, and with it words of a passage that another document has too: that one keeps them."""
+    rng = random.Random(31)
+    base, x = prose(rng, 900).split(" "), prose(rng, 60).split(" ")
+    near_line = " ".join(base[:400] + x + base[400:])
+    around = " ".join(prose(rng, 200).split(" ") + x + prose(rng, 200).split(" "))
+    for ids, many in (((1, 2, 3), 1), ((0, 1, 3), 30)):  # lines before it shift places
+        text = "\n".join(["a b c"] * (many - 1) + [near_line])
+        left, lines, _ = _left(spark, list(zip(ids, (" ".join(base), text, around), strict=True)), least=40, passage=40)
+        assert lines == {(ids[1], many - 1)}
+        assert any(w[k : k + 60] == x for w in left.values() for k in range(len(w)))
+
+
+def test_no_run_is_lost(spark):
+    """Lines and passages together, on random tables with near copies: what is removed as a passage stands elsewhere, as does every run of 40 words that lines that stay share."""
+    for seed in range(2):
+        rng = random.Random(40 + seed)
+        stock = [prose(rng, n).split(" ") for n in (45, 60, 90, 200)]
+
+        def line():
+            parts = [edited(rng, " ".join(rng.choice(stock)), rng.choice([0, 0, 0.02])) for _ in range(rng.choice([1, 1, 2]))]
+            return " ".join([prose(rng, rng.randint(1, 30)), *parts, prose(rng, rng.randint(1, 30))] if rng.random() < 0.5 else parts)
+
+        rows = [(k, "\n".join(line() for _ in range(rng.randint(1, 4)))) for k in range(25)]
+        left, lines, runs = _left(spark, rows, least=40, passage=40)
+        have = {n: {tuple(w[k : k + n]) for w in left.values() for k in range(len(w) - n + 1)} for n in range(1, 41)}
+        words = {i: t.split() for i, t in rows}
+        for i, first, n in runs:
+            run, m = words[i][first : first + n], min(n, 40)
+            assert all(tuple(run[k : k + m]) in have[m] for k in range(n - m + 1))
+        holders = {}
+        for i, text in rows:
+            stretch = []
+            for n, body in [*enumerate(text.split("\n")), (-1, None)]:
+                if body is None or (i, n) in lines:
+                    for k in range(len(stretch) - 39):
+                        holders.setdefault(tuple(stretch[k : k + 40]), set()).add(i)
+                    stretch = []
+                else:
+                    stretch += body.split()
+        shared_runs = [w for w, at in holders.items() if len(at) > 1]
+        assert all(w in have[40] for w in shared_runs)
+        assert lines and runs and len(shared_runs) > 50 and sum(map(len, left.values())) < 0.8 * sum(map(len, words.values()))
