@@ -571,13 +571,14 @@ def choose_by_entropy(values: np.ndarray, there: np.ndarray, fixed: np.ndarray,
     return (a - b) / (a + 1e-12) >= gain
 
 
-def encode(values: np.ndarray, halo: np.ndarray, there: np.ndarray, fixed: np.ndarray, most: int, name: str, motion: Motion, modes: np.ndarray | None, guard: str = "faces", fit: np.ndarray | None = None, limits: np.ndarray | None = None, relax: int = 1, reals: Reals | None = None):
+def encode(values: np.ndarray, halo: np.ndarray, there: np.ndarray, fixed: np.ndarray, most: int, name: str, motion: Motion, modes: np.ndarray | None, guard: str = "faces", fit: np.ndarray | None = None, limits: np.ndarray | None = None, relax: int = 1, reals: Reals | None = None, border: tuple[int, int, int] = (0, 0, 0)):
     """(eb ids, codes, decoded) of blocks.
 
     values: fixed point (block, component, t, i, j); halo: the same with one more vertex before and after in each
     direction (original values); there: vertices that exist in halo's shape; fixed: vertices of the block
     that must be lossless, as other blocks see them.  limits: a bound for each vertex, beside ``most``.  relax: steps may be so many times (a power
-    of two) as large as the bound, where what they give holds it.  reals: what guards of real values need.
+    of two) as large as the bound, where what they give holds it.  reals: what guards of real values need.  border: so many of the first
+    frames, rows and columns are what other blocks were decoded to: they are predicted from, and not coded.
     """
     n, many, nt, nh, nw = values.shape
     shape = halo.shape[2:]
@@ -585,11 +586,11 @@ def encode(values: np.ndarray, halo: np.ndarray, there: np.ndarray, fixed: np.nd
     exists = there.reshape(n, -1)
     step = _strides(shape)
     watch = GUARDS[guard](shape, reals.halo, reals.factor, reals.log) if guard in RELATIVE else GUARDS[guard](shape)
-    done = np.zeros_like(values)
+    done = _begun(values, border)
     ids, codes = np.zeros((n, nt, nh, nw), np.int8), np.zeros((n, many, nt, nh, nw), np.int32)
-    for t in range(nt):
-        for i in range(nh):
-            for j in range(nw):
+    for t in range(border[0], nt):
+        for i in range(border[1], nh):
+            for j in range(border[2], nw):
                 at = (t + 1) * step[0] + (i + 1) * step[1] + j + 1
                 now = [values[:, k, t, i, j] for k in range(many)]
                 bound = np.minimum(watch.bound(flat, exists, at, now, most), most)
@@ -624,6 +625,13 @@ def encode(values: np.ndarray, halo: np.ndarray, there: np.ndarray, fixed: np.nd
     return ids, codes, done
 
 
+def _begun(values: np.ndarray, border: tuple[int, int, int]) -> np.ndarray:
+    """values in the border, zeros elsewhere."""
+    done = values.copy() if any(border) else np.zeros_like(values)
+    done[(..., *(slice(b, None) for b in border))] = 0
+    return done
+
+
 class Reals:
     """Real values of blocks: halo (block, component, t, i, j) with one more vertex around, in logarithms (with signs) or not."""
 
@@ -634,13 +642,13 @@ class Reals:
         return np.sign(self.halo[:, k, t + 1, i + 1, j + 1]) * np.exp2(v / self.factor) if self.log else v / self.factor
 
 
-def decode(ids: np.ndarray, codes: np.ndarray, raw: np.ndarray, name: str, motion: Motion, modes: np.ndarray | None, fit: np.ndarray | None = None) -> np.ndarray:
-    """The values that encode() gave; raw holds the originals of lossless vertices (id 0)."""
+def decode(ids: np.ndarray, codes: np.ndarray, raw: np.ndarray, name: str, motion: Motion, modes: np.ndarray | None, fit: np.ndarray | None = None, border: tuple[int, int, int] = (0, 0, 0)) -> np.ndarray:
+    """The values that encode() gave; raw holds the originals of lossless vertices (id 0), and in the border what other blocks were decoded to."""
     n, nt, nh, nw = ids.shape
-    done = np.zeros(codes.shape, np.int64)
-    for t in range(nt):
-        for i in range(nh):
-            for j in range(nw):
+    done = _begun(raw.astype(np.int64), border)
+    for t in range(border[0], nt):
+        for i in range(border[1], nh):
+            for j in range(border[2], nw):
                 pred = predict(name, done, t, i, j, motion, modes, fit)
                 id_ = ids[:, t, i, j].astype(np.int64)
                 for k in range(codes.shape[1]):
