@@ -15,7 +15,7 @@ from .functions import relative
 from .functions import scalars as S
 from .grid import Grid, Scale, field_view, fixed_scale, smooth_view, swirl_field, to_fixed, view_grid
 from .operators import coding, critical, mesh, predict, verify
-from .plans import codec
+from .plans import codec, wavefront
 from .plans.checkpoints import cut, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -660,6 +660,25 @@ _roundtrip("lorenzo2d", True, "smooth_relaxed", 0.002, mesh.FACES[:2], guard="la
 _roundtrip("lorenzo2d", True, "smooth_typed", 0.002, mesh.FACES[:2], guard="typed")
 
 
+def _in_order(label: str, predictor: str, guard: str = "faces", templates=mesh.FACES, **how):
+    """Blocks that predict across their borders, diagonal by diagonal; fewer vertices are lossless than with blocks on their own, and it takes fewer bytes."""
+
+    @query(_KEPT_SQL.format("true").replace("true AS within", "true AS within, true AS fewer_lossless, true AS fewer_bytes"), label)
+    def run(spark, sf_dir):
+        field, g = smooth_view(spark, sf_dir), view_grid(spark, sf_dir)
+        s = fixed_scale(field)
+        bound = codec.bound_for(s, 0.002)
+        blocks = cut(wavefront.encode(field, g, s, bound, predictor, guard=guard, **how))
+        decoded = wavefront.decode(blocks, g, s, predictor)
+        alone = codec.statistics(codec.encode(field, g, s, bound, predictor, guard=guard, **how)).select(F.col("n_lossless").alias("l"), F.col("bytes").alias("b"))
+        less = codec.statistics(blocks).crossJoin(alone).select((F.col("n_lossless") < F.col("l")).alias("fewer_lossless"), (F.col("bytes") < F.col("b")).alias("fewer_bytes"))
+        return _checked(field, g, s, bound, blocks, decoded, templates).crossJoin(less)
+
+
+_in_order("wavefront_lorenzo3d", "lorenzo3d")
+_in_order("wavefront_mixed_order", "mixed_order")
+
+
 @query("SELECT 'matched' AS class, true AS some FROM (SELECT 1)")
 def smooth_types_kept(spark, sf_dir):
     """Critical points before and after coding with guard "typed", by simplex: none is lost, new, or of another type."""
