@@ -57,8 +57,8 @@ def raw_frame(spark, sf_dir):
 @query("SELECT c AS component, (count(*) // 25 * 3200)::BIGINT AS bytes FROM embeddings, (VALUES ('u'), ('v')) x(c) GROUP BY 1")
 def raw_bytes(spark, sf_dir):
     at, _, _ = _raw_files(spark, sf_dir)
-    files = spark.read.format("binaryFile").load(at).select("path", "length")
-    return files.select(F.substring_index(F.substring_index("path", "/", -1), ".", 1).alias("component"), F.col("length").alias("bytes"))
+    files = spark.read.format("binaryFile").load(f"{at}/*.bin").select("path", "length")
+    return files.groupBy(F.substring_index(F.substring_index(F.substring_index("path", "/", -2), "/", 1), ".", 1).alias("component")).agg(F.sum("length").alias("bytes"))
 
 
 @query(f"WITH {FIELD} SELECT t, i, j, u::DOUBLE AS u FROM f WHERE t = 2")

@@ -15,7 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..grid import Grid, packed_rows
+from ..grid import Grid, union_all
+from .parts import BYTES, Bytes, Component, Layout, bodies, files_of, header, read_layouts, size_of, write_pieces
+from .raw import sized_rows
 
 END = "# data section follows"
 # Types of numbers.
@@ -118,31 +120,81 @@ def values(lattice: Lattice, data: bytes) -> np.ndarray:
     return flat.astype("f8").reshape(lattice.nz, lattice.ny, lattice.nx, lattice.components)
 
 
-def read_amira(spark: SparkSession, path: str) -> DataFrame:
-    """(path, t, i, component, values array of doubles): a row per grid row of each component, of all files at path.
+def layout(path: str, parts: list) -> Layout | None:
+    """Where a lattice of binary values lies in its file; None if values are text, which has to be read from its beginning."""
+
+    def parse(body: bytes) -> tuple[Lattice, int]:
+        head, data = split(body)
+        if len(data) < 64 and len(body) < size_of(parts):
+            raise ValueError("the tag behind the header may go on")
+        return parse_header(head), len(body) - len(data)
+
+    lattice, begin = header(parts, parse)
+    kind = np.dtype(lattice.order + TYPES[lattice.kind])
+    need, have = lattice.count * kind.itemsize, size_of(parts) - begin
+    if lattice.encoding != "binary" or 3 * have >= 4 * need > 0:  # as long as Base64 of the values would be
+        return None
+    if have < need:
+        raise ValueError(f"{path}: {have} bytes of values; the header says {need}")
+    item = lattice.components * kind.itemsize
+    row = lattice.nx * item
+    return Layout(path, (lattice.nz, lattice.ny, lattice.nx), [Component(parts, begin + c * kind.itemsize, lattice.ny * row, row, item, kind.str) for c in range(lattice.components)])
 
-    Files are read side by side; a file is read by one task.
-    """
 
+def read_lattices(spark: SparkSession, path: str, most: int = BYTES) -> list[tuple[int, DataFrame]]:
+    """(components, rows) of the files at path, those with as many components together: (path, t, i, c0, c1, ...: arrays of doubles), a row per grid row.
+
+    path is a file, a pattern of files, or what write_amira() has written.  Files of binary values are split by rows, at ``most`` bytes; one of text values is read by one task.
+    """
+    binary: dict[int, list[Layout]] = {}
+    texts: dict[int, list] = {}
+    for name, parts in files_of(spark, path):
+        found = layout(name, parts)
+        if found:
+            binary.setdefault(len(found.components), []).append(found)
+        else:
+            lattice = header(parts, lambda b: parse_header(split(b)[0]))
+            texts.setdefault(lattice.components, []).append((name, parts))
+    out = []
+    for n in sorted({*binary, *texts}):
+        names = [f"c{k}" for k in range(n)]
+        made = [read_layouts(spark, binary[n], names, most=most)] if n in binary else []
+        if n in texts:
+            listed = spark.createDataFrame([(name, [tuple(p) for p in parts]) for name, parts in texts[n]], "path string, parts array<struct<uri:string,at:long,size:long>>")
+            made.append(listed.repartition(len(texts[n]), "path").mapInPandas(_read_text(names), "path string, t int, i int, " + ", ".join(f"{c} array<double>" for c in names)))
+        out.append((n, union_all(made)))
+    return out
+
+
+def _read_text(names: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for name, body in zip(b["path"], b["content"], strict=True):
-                head, data = split(bytes(body))
+            for name, parts in zip(b["path"], b["parts"], strict=True):
+                parts = [(p["uri"], p["at"], p["size"]) if isinstance(p, dict) else tuple(p) for p in parts]
+                source = Bytes(parts)
+                head, data = split(source.read(0, size_of(parts)))
+                source.close()
                 v = values(parse_header(head), data)
                 for t in range(v.shape[0]):
-                    keys = [(i, c) for i in range(v.shape[1]) for c in range(v.shape[3])]
-                    yield pd.DataFrame({"path": name, "t": t, "i": [i for i, _ in keys], "component": [c for _, c in keys], "values": [v[t, i, :, c].tolist() for i, c in keys]})
+                    yield pd.DataFrame({"path": name, "t": t, "i": range(v.shape[1]), **{c: v[t, :, :, k].tolist() for k, c in enumerate(names)}})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, t int, i int, component int, values array<double>")
+    return run
 
 
-def read_amira_field(spark: SparkSession, path: str) -> DataFrame:
+def read_amira(spark: SparkSession, path: str, most: int = BYTES) -> DataFrame:
+    """(path, t, i, component, values array of doubles): a row per grid row of each component, of all files at path (see read_lattices())."""
+    made = []
+    for n, rows in read_lattices(spark, path, most):
+        made.append(rows.select("path", "t", "i", F.posexplode(F.array(*(F.col(f"c{k}") for k in range(n)))).alias("component", "values")))
+    return union_all(made)
+
+
+def read_amira_field(spark: SparkSession, path: str, most: int = BYTES) -> DataFrame:
     """(path, t, i, j, u, v) of lattices of two components: frames along the slowest axis."""
-    rows = read_amira(spark, path)
-    at = lambda c, n: rows.filter(F.col("component") == c).select("path", "t", "i", F.col("values").alias(n))
-    both = at(0, "u").join(at(1, "v"), ["path", "t", "i"])
-    return both.select("path", "t", "i", F.posexplode(F.arrays_zip("u", "v")).alias("j", "z")).select("path", "t", "i", "j", "z.u", "z.v")
+    rows = [r for n, r in read_lattices(spark, path, most) if n == 2]
+    if not rows:
+        raise ValueError(f"no lattice of two components at {path}")
+    return rows[0].select("path", "t", "i", F.posexplode(F.arrays_zip("c0", "c1")).alias("j", "z")).select("path", "t", "i", "j", F.col("z.c0").alias("u"), F.col("z.c1").alias("v"))
 
 
 def component(rows: DataFrame, number: int, name: str = "u") -> DataFrame:
@@ -150,13 +202,13 @@ def component(rows: DataFrame, number: int, name: str = "u") -> DataFrame:
     return rows.filter(F.col("component") == number).select("t", "i", F.posexplode("values").alias("j", name))
 
 
-def write_amira(field: DataFrame, grid: Grid, path: str, encoding: str = "binary") -> None:
-    """A field (t, i, j, u, v) as one lattice of floats at path, a grid row at a time through the driver; encoding binary (little-endian) or ascii."""
-    from .raw import output
-
+def write_amira(field: DataFrame, grid: Grid, path: str, encoding: str = "binary", most: int = BYTES) -> None:
+    """A field (t, i, j, u, v) as one lattice of floats at path, in parts (see parts.py) of about ``most`` bytes; encoding binary (little-endian) or ascii."""
     head = f"# AmiraMesh {'ASCII' if encoding == 'ascii' else 'BINARY-LITTLE-ENDIAN'} 2.1\n\ndefine Lattice {grid.W} {grid.H} {grid.T}\n\nLattice {{ float[2] Data }} @1\n\n# Data section follows\n@1\n"
-    with output(field.sparkSession, path) as write:
-        write(head.encode())
-        for r in packed_rows(field, ["u", "v"]).orderBy("t", "i").toLocalIterator():
-            pair = np.stack([r["u"], r["v"]], 1).astype("<f4")
-            write(pair.tobytes() if encoding == "binary" else (" ".join(map(repr, pair.ravel().astype(float).tolist())) + "\n").encode())
+
+    def body(x: np.ndarray) -> list[bytes]:
+        pairs = x.transpose(0, 2, 1).astype("<f4")
+        return [r.tobytes() if encoding == "binary" else (" ".join(map(repr, r.ravel().astype(float).tolist())) + "\n").encode() for r in pairs]
+
+    rows, frames, height = sized_rows(field, ["u", "v"])
+    write_pieces(bodies(rows, ["u", "v"], body), frames * height, path, (8 if encoding == "binary" else 40) * grid.W, head.encode(), most=most)

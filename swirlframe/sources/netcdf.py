@@ -6,15 +6,15 @@ The format of version 4, which is HDF5, needs a library and is not read.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..grid import Grid
+from .parts import BYTES, Component, Layout, bodies, files_of, header, read_layouts, write_pieces
+from .raw import sized_rows
 
 # Numbers of types, tags of lists.
 TYPES = {1: "i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
@@ -77,41 +77,35 @@ class _Header:
         return out
 
 
-def variable(body: bytes, name: str) -> np.ndarray:
-    """A variable's values as doubles; what its _FillValue or missing_value marks, and NaN, becomes 0."""
-    head = _Header(body)
-    if name not in head.variables:
-        raise ValueError(f"no variable {name!r}; there are {sorted(head.variables)}")
-    v = head.variables[name]
-    if v.record:
-        each = int(np.prod(v.shape[1:]))
-        step = head.record_size if len([x for x in head.variables.values() if x.record]) > 1 else each * v.kind.itemsize
-        parts = [np.frombuffer(body, v.kind, each, v.begin + k * step) for k in range(v.shape[0])]
-        flat = np.concatenate(parts) if parts else np.zeros(0, v.kind)
-    else:
-        flat = np.frombuffer(body, v.kind, int(np.prod(v.shape)), v.begin)
-    out = flat.astype("f8")
-    gone = np.isnan(out)
-    for mark in ("_FillValue", "missing_value"):
-        if mark in v.attributes:
-            gone |= flat == v.attributes[mark][0]
-    return np.where(gone, 0.0, out).reshape(v.shape)
-
-
-def read_netcdf_field(spark: SparkSession, path: str, u: str = "u", v: str = "v") -> DataFrame:
-    """(path, t, i, j, u, v) as floats of two variables (frame, row, column) of all files at path; a file is read by one task."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for name, body in zip(b["path"], b["content"], strict=True):
-                x, y = (variable(bytes(body), n).astype("f4") for n in (u, v))
-                if x.ndim != 3 or x.shape != y.shape:
-                    raise ValueError(f"{u} and {v} of {name} are {x.shape} and {y.shape}; (frame, row, column) is needed")
-                for t in range(x.shape[0]):
-                    yield pd.DataFrame({"path": name, "t": t, "i": range(x.shape[1]), "u": list(x[t]), "v": list(y[t])})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = files.mapInPandas(run, "path string, t int, i int, u array<float>, v array<float>")
+def layout(path: str, parts: list, names: list[str]) -> Layout:
+    """Where variables (frame, row, column) lie in a file; what their _FillValue or missing_value marks, and NaN, reads as 0."""
+
+    def parse(body: bytes) -> _Header:
+        return _Header(body)
+
+    if not header(parts, lambda b: b[:3] == b"CDF" and b[3:4] in (b"\x01", b"\x02"), 4):
+        raise ValueError(f"{path} is not a NetCDF file of the classic format")
+    head, comps, shapes = header(parts, parse), [], []
+    for name in names:
+        if name not in head.variables:
+            raise ValueError(f"no variable {name!r} in {path}; there are {sorted(head.variables)}")
+        v = head.variables[name]
+        shapes.append(v.shape)
+        if len(v.shape) != 3:
+            continue
+        row = v.shape[2] * v.kind.itemsize
+        several = len([x for x in head.variables.values() if x.record]) > 1
+        frame = head.record_size if v.record and several else v.shape[1] * row
+        missing = [v.attributes[m][0].item() for m in ("_FillValue", "missing_value") if m in v.attributes]
+        comps.append(Component(parts, v.begin, frame, row, v.kind.itemsize, v.kind.str, missing))
+    if len(comps) < len(names) or len(set(shapes)) > 1:
+        raise ValueError(f"{', '.join(names)} of {path} are {', '.join(map(str, shapes))}; one shape (frame, row, column) is needed")
+    return Layout(path, shapes[0], comps)
+
+
+def read_netcdf_field(spark: SparkSession, path: str, u: str = "u", v: str = "v", most: int = BYTES) -> DataFrame:
+    """(path, t, i, j, u, v) as floats of two variables (frame, row, column) of all files at path (a file, a pattern, or what write_netcdf() has written); files are split by rows, at ``most`` bytes."""
+    rows = read_layouts(spark, [layout(name, parts, [u, v]) for name, parts in files_of(spark, path)], ["u", "v"], "float", most=most)
     return rows.select("path", "t", "i", F.posexplode(F.arrays_zip("u", "v")).alias("j", "z")).select("path", "t", "i", "j", "z.u", "z.v")
 
 
@@ -129,15 +123,13 @@ def _head(names: list[str], frames: int, h: int, w: int, fill: float | None) ->
     return head
 
 
-def write_netcdf(field: DataFrame, grid: Grid, path: str, fill: float | None = None) -> None:
-    """A field (t, i, j, u, v) as one file of the classic format, a frame at a time through the driver; nulls are written as ``fill``."""
-    from .raw import output
+def write_netcdf(field: DataFrame, grid: Grid, path: str, fill: float | None = None, most: int = BYTES) -> None:
+    """A field (t, i, j, u, v) as one file of the classic format, in parts (see parts.py) of about ``most`` bytes; nulls are written as ``fill`` (None: 0).
 
-    frames = field.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("i", "j", "u", "v"))).alias("r")).orderBy("t")
+    A frame is all rows of u, then all rows of v.
+    """
     none = F.lit(fill if fill is not None else 0.0)
-    flat = frames.select("t", *(F.transform(f"r.{c}", lambda x: F.coalesce(x, none)).alias(c) for c in "uv"))
-    with output(field.sparkSession, path) as write:
-        write(_head(["u", "v"], grid.T, grid.H, grid.W, fill))
-        for r in flat.toLocalIterator():
-            for c in "uv":
-                write(np.asarray(r[c], ">f4").tobytes())
+    rows, frames, height = sized_rows(field.withColumns({c: F.coalesce(F.col(c).cast("double"), none) for c in "uv"}), ["u", "v"])
+    each = rows.select("t", "i", F.posexplode(F.array("u", "v")).alias("c", "values"))
+    each = each.select(((F.col("t").cast("long") * 2 + F.col("c")) * height + F.col("i")).alias("at"), "values")
+    write_pieces(bodies(each, ["values"], lambda x: [r.tobytes() for r in x[:, 0].astype(">f4")]), 2 * frames * height, path, 4 * grid.W, _head(["u", "v"], grid.T, grid.H, grid.W, fill), most=most)

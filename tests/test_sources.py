@@ -94,29 +94,98 @@ def test_netcdf(spark, tmp_path):
     back = netcdf.read_netcdf_field(spark, f"{tmp_path}/f.nc").drop("path")
     want = field.selectExpr("t", "i", "j", "cast(coalesce(u, 0) as float) u", "cast(v as float) v")
     assert back.exceptAll(want).count() == 0 and back.count() == g.size
-    body = (tmp_path / "f.nc").read_bytes()
-    with pytest.raises(ValueError):
-        netcdf.variable(body, "w")
-    with pytest.raises(ValueError):
-        netcdf.variable(b"\x89HDF\r\n", "u")
-    # a variable without records, by hand: one dimension of 3, 16-bit numbers
+    body = whole(tmp_path / "f.nc")
+    assert body[:4] == b"CDF\x01" and len(body) % 4 == 0
+    with pytest.raises(ValueError, match="no variable 'w'"):
+        netcdf.read_netcdf_field(spark, f"{tmp_path}/f.nc", "u", "w")
+    (tmp_path / "hdf").write_bytes(b"\x89HDF\r\n")
+    with pytest.raises(ValueError, match="not a NetCDF file"):
+        netcdf.read_netcdf_field(spark, f"{tmp_path}/hdf")
+
+
+def test_netcdf_of_other_writers(spark, tmp_path):
+    """Variables without records, of 16-bit numbers; and one record variable alone, of doubles; with long attributes before them."""
     import struct
 
+    from swirlframe.sources import netcdf
+
     text = lambda s: struct.pack(">i", len(s)) + s.encode() + b"\0" * (-len(s) % 4)
-    head = b"CDF\x01" + struct.pack(">iii", 0, 10, 1) + text("x") + struct.pack(">iii", 3, 0, 0) + struct.pack(">ii", 11, 1) + text("a") + struct.pack(">iiii", 1, 0, 0, 0) + struct.pack(">ii", 3, 8)
-    assert netcdf.variable(head + struct.pack(">i", len(head) + 4) + struct.pack(">hhh", 1, -2, 3), "a").tolist() == [1, -2, 3]
+    dims = lambda *n: struct.pack(">ii", 10, len(n)) + b"".join(text(f"d{k}") + struct.pack(">i", x) for k, x in enumerate(n))
+    note = struct.pack(">ii", 12, 1) + text("history") + struct.pack(">ii", 2, 200_000) + b"x" * 200_000
+    plain = b"CDF\x02" + struct.pack(">i", 0) + dims(2, 3, 4) + note + struct.pack(">ii", 11, 3)
+    of = lambda name, kind, size, begin, attributes=struct.pack(">ii", 0, 0): text(name) + struct.pack(">iiii", 3, 0, 1, 2) + attributes + struct.pack(">iiq", kind, size, begin)
+    mark = struct.pack(">ii", 12, 1) + text("missing_value") + struct.pack(">iih", 3, 1, -7) + b"\0\0"
+    size = len(plain) + len(of("u", 3, 48, 0, mark)) + len(of("v", 3, 48, 0)) + len(text("x") + struct.pack(">ii", 1, 2) + struct.pack(">ii", 0, 0) + struct.pack(">iiq", 6, 32, 0))
+    body = plain + of("u", 3, 48, size, mark) + of("v", 3, 48, size + 48) + text("x") + struct.pack(">ii", 1, 2) + struct.pack(">ii", 0, 0) + struct.pack(">iiq", 6, 32, size + 96)
+    u, v = (np.arange(24) - 9).astype(">i2"), (np.arange(24) * 3).astype(">i2")
+    (tmp_path / "a.nc").write_bytes(body + u.tobytes() + v.tobytes() + bytes(32))
+    got = netcdf.read_netcdf_field(spark, f"{tmp_path}/a.nc", most=16)
+    assert got.rdd.getNumPartitions() == 6
+    assert [(r.u, r.v) for r in got.orderBy("t", "i", "j").collect()] == [(0 if x == -7 else x, y) for x, y in zip(u.tolist(), v.tolist(), strict=True)]
+    with pytest.raises(ValueError, match="one shape"):
+        netcdf.read_netcdf_field(spark, f"{tmp_path}/a.nc", "u", "x")
+    alone = b"CDF\x01" + struct.pack(">i", 3) + dims(0, 1, 2) + struct.pack(">iiii", 0, 0, 11, 1) + text("u") + struct.pack(">iiii", 3, 0, 1, 2) + struct.pack(">ii", 0, 0)
+    x = np.arange(6, dtype=">f8")
+    (tmp_path / "b.nc").write_bytes(alone + struct.pack(">iii", 6, 16, len(alone) + 12) + x.tobytes())
+    assert [r.u for r in netcdf.read_netcdf_field(spark, f"{tmp_path}/b.nc", "u", "u").orderBy("t", "j").collect()] == x.tolist()
+
+
+def whole(path) -> bytes:
+    """A file written in parts."""
+    return b"".join(p.read_bytes() for p in sorted(path.glob("part-*")))
+
+
+def test_one_file_is_many_tasks(spark, tmp_path):
+    """A file is split at any number of bytes, whoever wrote it; what is written in parts is the same file to the byte."""
+    g = Grid(6, 8, 10)
+    field = swirl_field(spark, g).selectExpr("t", "i", "j", "cast(u as float) u", "cast(v as float) v")
+    u, v = (np.array([r[0] for r in field.orderBy("t", "i", "j").select(c).collect()], "<f4") for c in "uv")
+    for c, x in (("u", u), ("v", v)):
+        (tmp_path / f"{c}.bin").write_bytes(x.tobytes())
+        raw.write_raw(field, c, f"{tmp_path}/{c}", most=300)
+        assert whole(tmp_path / c) == x.tobytes() and len(list((tmp_path / c).glob("part-*"))) == 7
+    for names in (("u.bin", "v.bin"), ("u", "v")):
+        got = raw.read_field(spark, *(f"{tmp_path}/{n}" for n in names), g, most=200)
+        assert got.rdd.getNumPartitions() == 20
+        assert got.exceptAll(field.selectExpr("t", "i", "j", "cast(u as double) u", "cast(v as double) v")).count() == 0 and got.count() == g.size
+    assert raw.read_frame(spark, f"{tmp_path}/u", g, 7, most=64).rdd.getNumPartitions() == 3
+    head = "# AmiraMesh BINARY-BIG-ENDIAN 2.1\ndefine Lattice 8 6 10\nParameters { " + "x" * 70_000 + " }\nLattice { float[2] Data } @1\n# Data section follows\n@1\n"
+    (tmp_path / "b.am").write_bytes(head.encode() + np.stack([u, v], 1).astype(">f4").tobytes() + b"\n")
+    amira.write_amira(field, g, f"{tmp_path}/a.am", most=500)
+    for name in ("a.am", "b.am"):
+        rows = amira.read_amira_field(spark, f"{tmp_path}/{name}", most=640)
+        assert rows.rdd.getNumPartitions() == 6
+        assert [r.u for r in rows.orderBy("t", "i", "j").collect()] == u.tolist()
+    assert whole(tmp_path / "a.am").endswith(np.stack([u, v], 1).tobytes()) and whole(tmp_path / "a.am").startswith(b"# AmiraMesh")
+    assert amira.read_amira(spark, f"{tmp_path}/*.am").filter("path like '%b.am'").count() == 120  # a pattern of files
+
+
+def test_parts_that_are_not_whole(spark, tmp_path):
+    """A gap or a row that is there twice raises and leaves the file as it was; a new file replaces the old one's parts."""
+    g = Grid(3, 2, 4)
+    field = swirl_field(spark, g)
+    raw.write_raw(field, "u", f"{tmp_path}/u", "<f8", most=20)
+    before = whole(tmp_path / "u")
+    for bad in (field.filter("not (t = 1 and i = 1)"), field.filter("t <> 2")):
+        with pytest.raises(Exception, match="is not there once|pieces"):
+            raw.write_raw(bad, "u", f"{tmp_path}/u", "<f8", most=20)
+        assert raw.read_rows(spark, f"{tmp_path}/u", g, "u", "<f8").count() == 12
+    raw.write_raw(field.selectExpr("t", "i", "j", "u + 1 as u"), "u", f"{tmp_path}/u", "<f8", most=50)
+    assert np.frombuffer(whole(tmp_path / "u"), "<f8").tolist() == (np.frombuffer(before, "<f8") + 1).tolist()
+    with pytest.raises(ValueError, match="the grid needs"):
+        raw.read_rows(spark, f"{tmp_path}/u", Grid(3, 2, 5), "u", "<f8")
 
 
 def test_image_and_frames(spark, tmp_path):
     g = Grid(3, 5, 4)
     field = swirl_field(spark, g)
     raw.write_image(field, g, f"{tmp_path}/f.vti")
-    text = (tmp_path / "f.vti").read_text()
+    text = whole(tmp_path / "f.vti").decode()
     assert 'WholeExtent="0 4 0 2 0 3"' in text and len(text.split("ascii\">\n")[1].split("</DataArray>")[0].split()) == 2 * g.size
     raw.write_raw(field, "u", f"{tmp_path}/u.bin", "<f8")
     for t in (0, 3):
         got = raw.read_frame(spark, f"{tmp_path}/u.bin", g, t, "<f8").orderBy("i").collect()
-        want = np.fromfile(f"{tmp_path}/u.bin", "<f8").reshape(4, 3, 5)[t]
+        want = np.frombuffer(whole(tmp_path / "u.bin"), "<f8").reshape(4, 3, 5)[t]
         assert [r.u for r in got] == want.tolist()
     with pytest.raises(ValueError):
         raw.read_frame(spark, f"{tmp_path}/u.bin", g, 4, "<f8")
