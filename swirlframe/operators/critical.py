@@ -148,40 +148,73 @@ def curves(zero: DataFrame, grid: Grid, rounds: int = 60) -> DataFrame:
     )
 
 
+def ranked_paths(links: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, first, place, low) of the paths and loops that links (x, y) make: how many links each node is away from the smaller end of
+    its path, ``first``, and the smallest node of the path.  A loop is cut at its smallest node, behind the larger neighbour of that.
+
+    nodes (node) has all of them, alone or not; a node has at most two links.  Each link is walked in both directions: a step looks at
+    where its end has got to, and goes there at once, so the rounds grow with the logarithm of the longest path, and no task sees
+    more of a path than the two steps that it joins.  Raises if ``rounds`` do not suffice.
+    """
+    from ..plans.checkpoints import written
+
+    both = links.select("x", "y").union(links.select("y", "x")).distinct()
+    onward = both.select(F.col("x").alias("y"), F.col("y").alias("_next"))
+    # from x by y on to ``at``, after n links; from there the step (at, via) goes on, or at is the end.  low: the smallest node behind x
+    begun = both.join(onward, "y").groupBy("x", "y").agg(F.min(F.when(F.col("_next") != F.col("x"), F.col("_next"))).alias("via"))
+    # as tables: a checkpoint hands its constraints on, which would double with each round
+    steps = written(begun.select("x", "y", F.col("y").alias("at"), "via", F.lit(1).cast("long").alias("n"), F.col("y").alias("low")), "ranks")
+    before = None
+    for _ in range(rounds):
+        now = tuple(steps.agg(F.count("via"), F.sum(F.when(F.col("via").isNotNull(), F.col("low").cast("decimal(38,0)")))).first())
+        if not now[0] or now == before:  # all have ended, or only loops go on, whose smallest node every step has found
+            break
+        before = now
+        far = steps.select(F.col("x").alias("at"), F.col("y").alias("via"), *(F.col(c).alias("_" + c) for c in ("at", "via", "n", "low")))
+        went = steps.filter("via is not null").join(far, ["at", "via"]).select("x", "y", F.col("_at").alias("at"), F.col("_via").alias("via"), (F.col("n") + F.col("_n")).alias("n"), F.least("low", "_low").alias("low"))
+        steps = written(steps.filter("via is null").unionByName(went), "ranks")
+    else:
+        raise RuntimeError(f"no order after {rounds} rounds")
+    reached = steps.filter("via is null").groupBy(F.col("x").alias("node")).agg(F.min(F.struct(F.col("at").alias("first"), F.col("n").alias("place"))).alias("end"), F.min("low").alias("low"), F.count("*").alias("n"))
+    alone = nodes if not now[0] else nodes.join(steps.filter("via is not null").select(F.col("x").alias("node")).distinct(), "node", "left_anti")
+    own = F.struct(F.col("node").alias("first"), F.lit(0).cast("long").alias("place"))
+    placed = alone.join(reached, "node", "left").withColumn("end", F.when(F.col("n") == 2, F.col("end")).otherwise(F.least(F.coalesce("end", own), own)))
+    out = placed.select("node", "end.first", "end.place", F.least(F.coalesce("low", F.col("node")), F.col("node")).alias("low"))
+    if not now[0]:
+        return out
+    loops = steps.filter("via is not null").select("x", "y", "low")
+    behind = F.max(F.when(F.col("x") == F.col("low"), F.col("y"))).over(Window.partitionBy("x"))
+    opened = loops.filter("x < y").join(loops.withColumn("y", behind).filter("x = low").select("x", "y").distinct(), ["x", "y"], "left_anti")
+    return out.unionByName(ranked_paths(opened, loops.select(F.col("x").alias("node")).distinct(), rounds))
+
+
 def ordered_curves(zero: DataFrame, grid: Grid, rounds: int = 60) -> DataFrame:
-    """(component, place, face, x, y, t): the samples of each trajectory in order along it, from its end with the smaller
-    face (or its smallest face, if it is a loop).
+    """(component, strand, place, face, x, y, t): the samples of each trajectory in order along it, from its end with the smaller
+    face; a loop from its smallest face, by way of that one's smaller neighbour.
 
-    The order within a component is found by a walk, in one task per trajectory: it holds the faces of that one only.
+    strand is the face that it begins with.  In a proper field a component is one strand.  A face with more than two neighbours, which only an
+    improper one has, is a strand alone, and ends the ones that it parts.
     """
-    import pandas as pd
+    from ..plans.checkpoints import cut
 
-    comp = zero_components(zero, grid, rounds)
-    samples = comp.join(zero_samples(zero, grid), "face")
-    g = zero_graph(zero, grid)
-    both = g.union(g.select("y", "x")).groupBy("x").agg(F.collect_set("y").alias("next"))
-    rows = samples.join(both.withColumnRenamed("x", "face"), "face", "left")
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        links = {f: sorted(n) if n is not None else [] for f, n in zip(part.face, part.next, strict=True)}
-        ends = sorted(f for f, n in links.items() if len(n) < 2)
-        left, order = set(links), []
-        for start in [*ends, *sorted(links)]:
-            while start in left:
-                left.discard(start)
-                order.append(start)
-                start = next((n for n in links[start] if n in left), None)
-        part = part.set_index("face").loc[order].reset_index()
-        part["place"] = range(len(part))
-        return part[["component", "place", "face", "x", "y", "t"]]
-
-    return rows.groupBy("component").applyInPandas(walk, "component long, place long, face long, x double, y double, t double")
+    zero = cut(zero.select("t", "i", "j", "tmpl", "a", "b", "c", *SIX))
+    links = cut(zero_graph(zero, grid))
+    samples = zero_samples(zero, grid)
+    degree = links.select("x", "y").union(links.select("y", "x")).groupBy(F.col("x").alias("face")).agg(F.count("*").alias("n"))
+    parting = cut(degree.filter("n > 2").select("face"))
+    proper = parting.isEmpty()
+    paths = links if proper else links.join(parting.withColumnRenamed("face", "x"), "x", "left_anti").join(parting.withColumnRenamed("face", "y"), "y", "left_anti").select("x", "y")
+    ranked = ranked_paths(paths, samples.select(F.col("face").alias("node")), rounds).withColumnsRenamed({"node": "face", "low": "component"})
+    if not proper:
+        ranked = ranked.drop("component").join(zero_components(zero, grid, rounds), "face")
+    return ranked.join(samples, "face").select("component", F.col("first").alias("strand"), "place", "face", "x", "y", "t")
 
 
 def speed(samples: DataFrame) -> DataFrame:
-    """ordered_curves() with the displacement to the sample before."""
-    w = Window.partitionBy("component").orderBy("place")
-    return samples.withColumn("step", F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2)))
+    """ordered_curves() with the displacement to the sample before; null for the first of a strand."""
+    before = samples.select("strand", (F.col("place") + 1).alias("place"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    both = samples.join(before, ["strand", "place"], "left")
+    return both.withColumn("step", F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2))).drop("_x", "_y")
 
 
 def all_zero_faces(field: DataFrame, grid: Grid, templates: list = FACES) -> DataFrame:

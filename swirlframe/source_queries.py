@@ -391,3 +391,18 @@ SQL["cp_curves"] = f"""WITH RECURSIVE {FACES_SQL}, {_tet_sides_sql()},
     SELECT component, count(*) AS n_faces, coalesce(any_value(links), 0) >= count(*) AS is_loop, round(min(t), 6) AS t_first, round(max(t), 6) AS t_last,
            round(arg_min(x, (t, face)), 6) AS x_first, round(arg_min(y, (t, face)), 6) AS y_first, round(arg_max(x, (t, face)), 6) AS x_last, round(arg_max(y, (t, face)), 6) AS y_last
     FROM k LEFT JOIN n USING (component) GROUP BY component"""
+
+SQL["cp_ordered_curves"] = f"""WITH RECURSIVE {FACES_SQL}, {_tet_sides_sql()},
+    w AS (SELECT x, y FROM lk UNION ALL SELECT y, x FROM lk),
+    cc(id, component) USING KEY (id) AS (SELECT face, face FROM z
+        UNION (SELECT u.id, min(v.component) FROM recurring.cc u JOIN w ON w.x = u.id JOIN cc v ON v.id = w.y WHERE v.component < u.component GROUP BY u.id)),
+    dg AS (SELECT id, component, count(w.y) AS n, max(w.y) AS other FROM cc LEFT JOIN w ON w.x = id GROUP BY 1, 2),
+    lp AS (SELECT component FROM dg GROUP BY 1 HAVING min(n) = 2),
+    ct AS (SELECT id AS x, other AS y FROM dg JOIN lp USING (component) WHERE id = component),
+    pw AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM ct WHERE (ct.x = w.x AND ct.y = w.y) OR (ct.x = w.y AND ct.y = w.x))),
+    st AS (SELECT component, min(id) AS face FROM (SELECT id, component FROM cc LEFT JOIN pw ON pw.x = id GROUP BY 1, 2 HAVING count(pw.y) < 2) GROUP BY 1),
+    wk(component, strand, face, was, place) AS (SELECT component, face, face, -1::BIGINT, 0::BIGINT FROM st UNION ALL SELECT component, strand, pw.y, face, place + 1 FROM wk JOIN pw ON pw.x = face AND pw.y <> was),
+    {_SAMPLES_SQL}
+    SELECT component, strand, place, wk.face AS face, round(s.x, 6) AS x, round(s.y, 6) AS y, round(s.t, 6) AS t,
+           round(sqrt((s.x - b.x) ** 2 + (s.y - b.y) ** 2), 6) AS step
+    FROM wk JOIN s ON s.face = wk.face LEFT JOIN s b ON b.face = wk.was"""

@@ -40,6 +40,56 @@ def test_huffman_size_by_hand(spark):
     assert q.QUERIES["huffman_size"](spark, SF).first()[0] == total
 
 
+def test_ranked_paths(spark):
+    """One long chain in a shuffled order of names, short ones, nodes alone, and loops; and more rounds than are allowed."""
+    import random
+
+    from swirlframe.operators.critical import ranked_paths
+
+    rng = random.Random(3)
+    names = rng.sample(range(10**6), 3000)
+    chains = [names[:2500], names[2500:2501], names[2501:2503], names[2503:2800], *([n] for n in names[2800:])]
+    links = [tuple(sorted(p)) for c in chains for p in zip(c, c[1:], strict=False)]
+    rng.shuffle(links)
+    frame = spark.createDataFrame(links, "x long, y long")
+    got = ranked_paths(frame, spark.createDataFrame([(n,) for n in names], "node long"), 14)
+    want = set()
+    for c in chains:
+        c = c if c[0] <= c[-1] else c[::-1]
+        want |= {(n, c[0], k, min(c)) for k, n in enumerate(c)}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == 3000
+    rings = [rng.sample(range(10**6), n) for n in (3, 4, 64, 100)]
+    links = [tuple(sorted(p)) for c in rings for p in zip(c, c[1:] + c[:1], strict=True)] + [(-2, -1)]
+    got = ranked_paths(spark.createDataFrame(links, "x long, y long"), spark.createDataFrame([(n,) for c in [*rings, [-1, -2]] for n in c], "node long"))
+    want = {(-2, -2, 0, -2), (-1, -2, 1, -2)}
+    for c in rings:
+        at = c.index(min(c))
+        c = c[at:] + c[:at]
+        c = c if c[1] < c[-1] else [c[0], *c[:0:-1]]
+        want |= {(n, c[0], k, c[0]) for k, n in enumerate(c)}
+    assert {tuple(r) for r in got.collect()} == want
+    with pytest.raises(RuntimeError):
+        ranked_paths(frame, spark.createDataFrame([(1,)], "node long"), 4)
+
+
+def test_a_loop_in_order(spark):
+    """A loop begins with its smallest face and goes on to the smaller one of its neighbours; a face with three links is alone."""
+    from unittest.mock import patch
+
+    from swirlframe.operators import critical
+
+    loop = [5, 9, 7, 30, 12, 6]
+    star = [(40, 41), (40, 42), (40, 43), (43, 44)]
+    links = [tuple(sorted((a, b))) for a, b in zip(loop, loop[1:] + loop[:1], strict=True)] + star
+    faces = spark.createDataFrame([(f, 0.0, 0.0, 0.0) for f in [*loop, 40, 41, 42, 43, 44, 50]], "face long, x double, y double, t double")
+    comp = spark.createDataFrame([(f, 5) for f in loop] + [(f, 40) for f in range(40, 45)] + [(50, 50)], "face long, component long")
+    none = spark.createDataFrame([], "t int, i int, j int, tmpl int, a long, b long, c long, ua long, va long, ub long, vb long, uc long, vc long")
+    with patch.object(critical, "zero_components", lambda *a: comp), patch.object(critical, "zero_graph", lambda *a: spark.createDataFrame(links, "x long, y long")), patch.object(critical, "zero_samples", lambda *a: faces):
+        got = {(r.strand, r.place): r.face for r in critical.ordered_curves(none, None).collect()}
+    assert [got[5, k] for k in range(6)] == [5, 6, 12, 30, 7, 9]
+    assert {k: v for k, v in got.items() if k[0] >= 40} == {(40, 0): 40, (41, 0): 41, (42, 0): 42, (43, 0): 43, (43, 1): 44, (50, 0): 50}
+
+
 def test_ordered_curves(spark):
     """Samples in order: each face follows one that it is linked with, or begins a new stretch where no neighbour is left."""
     from swirlframe.operators import critical
