@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from swirlframe.plans import components as m
 from swirlframe.plans import skew
+from swirlframe.plans.checkpoints import cut
 
 
 def smallest(links):
@@ -51,7 +52,7 @@ def test_components_of_structs_nulls_and_nothing(spark):
 def test_no_task_has_all_neighbours_of_a_hub(spark, monkeypatch):
     monkeypatch.setattr(skew, "FEW", 50)
     rows = spark.range(1, 2001).select(F.lit(0).cast("long").alias("hi"), F.col("id").alias("lo")).union(spark.range(5000, 5040).select("id", (F.col("id") + 1).alias("lo")))
-    least = m.cut(rows.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")))
+    least = cut(rows.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")))
     out = skew.spread(rows, least, ["hi"], "n", ["lo"], most=0)
     sizes = [r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 2040 and max(sizes) < 1000
