@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..grid import Grid, Scale, bits_above
 from . import kernels as K
-from .streams import CODINGS, joined, split
+from .streams import CODINGS, Shared, Table, joined, split
 
 #: Most blocks of a group.
 BATCH = 128
@@ -47,12 +47,12 @@ def _pack(ids: np.ndarray, codes: np.ndarray, raw: np.ndarray, fit: np.ndarray,
     return pa.Codec("zstd", compression_level=3).compress(body, asbytes=True), len(body)
 
 
-def _unpack(payload: bytes, size: int, many: int, kind: str, coding: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    read = CODINGS[coding][1]
+def _unpack(payload: bytes, size: int, many: int, kind: str, coding: str | Shared) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    read_ids, read_codes = (coding.ids.read, coding.codes.read) if isinstance(coding, Shared) else (CODINGS[coding][1],) * 2
     ids, coded, raw, fit, signs = split(pa.Codec("zstd").decompress(payload, size, asbytes=True))
-    ids = read(ids)
+    ids = read_ids(ids)
     codes = np.zeros((many, len(ids)), np.int64)
-    codes[:, ids > 0] = read(coded).reshape(many, -1)
+    codes[:, ids > 0] = read_codes(coded).reshape(many, -1)
     return ids, codes, np.frombuffer(raw, kind), np.frombuffer(fit, "<f8"), np.unpackbits(np.frombuffer(signs, np.uint8))
 
 
@@ -172,7 +172,7 @@ def encode(field: DataFrame, grid: Grid, scale: Scale, eb: int, predictor: str =
     return rows.withColumn("_g", group).groupBy("_g").applyInPandas(run, CODED)
 
 
-def decode(blocks: DataFrame, grid: Grid, scale: Scale, predictor: str = "lorenzo3d", block: tuple[int, int, int] | None = None, cell: float | None = None, cols: str = "uv", log: bool = False, kind: str = "float", coding: str = "huffman") -> DataFrame:
+def decode(blocks: DataFrame, grid: Grid, scale: Scale, predictor: str = "lorenzo3d", block: tuple[int, int, int] | None = None, cell: float | None = None, cols: str = "uv", log: bool = False, kind: str = "float", coding: str | Shared = "huffman") -> DataFrame:
     """(t, i, j, cols as doubles, <col>fp, lossless): the field of encode()'s blocks; lossless vertices have their original values.
 
     kind: the type of the field that was coded, float or double; the other arguments as for encode().
@@ -224,6 +224,43 @@ def decode(blocks: DataFrame, grid: Grid, scale: Scale, predictor: str = "lorenz
     return blocks.repartition(int(min(width, 10_000)), "bt", "bi", "bj").mapInPandas(run, "t int, i int, j int, " + ", ".join([f"{c} double" for c in cols] + [f"{c}fp long" for c in cols]) + ", lossless boolean")
 
 
+def with_shared_tables(blocks: DataFrame, coding: str = "huffman", most: int = 16) -> tuple[DataFrame, Shared]:
+    """(blocks, tables): blocks of encode() with their streams in codes of one table for all ids and one for all codes, of at most ``most`` bits; decode(..., coding=tables).
+
+    Symbols are counted where the blocks are; of the counts, which are as many as quantisation has symbols (2**17 at most), the driver makes the tables.  blocks is
+    read twice, so it should be a table.
+    """
+    read = CODINGS[coding][1]
+
+    def streams(payload: bytes, size: int) -> list[bytes]:
+        return split(pa.Codec("zstd").decompress(payload, size, asbytes=True))
+
+    def count(batches):
+        for part in batches:
+            for k in (0, 1):
+                found = [read(streams(p, int(n))[k]) for p, n in zip(part["payload"], part["raw_bytes"], strict=True)]
+                sym, n = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+                yield pd.DataFrame({"stream": k, "sym": sym, "n": n})
+
+    counted = blocks.select("payload", "raw_bytes").mapInPandas(count, "stream int, sym long, n long").groupBy("stream", "sym").agg(F.sum("n").alias("n")).limit((1 << 18) + 1).collect()
+    if len(counted) > 1 << 18:
+        raise ValueError("more symbols than quantisation can give")
+    tables = Shared(*(Table.of({r.sym: r.n for r in counted if r.stream == k}, most) for k in (0, 1)))
+
+    def run(batches):
+        for part in batches:
+            out = part.copy()
+            for at, (payload, n) in enumerate(zip(part["payload"], part["raw_bytes"], strict=True)):
+                ids, codes, *rest = streams(payload, int(n))
+                body = joined(tables.ids.write(read(ids)), tables.codes.write(read(codes)), *rest)
+                packed = pa.Codec("zstd", compression_level=3).compress(body, asbytes=True)
+                for c, x in (("payload", packed), ("raw_bytes", len(body)), ("bytes", len(packed))):
+                    out.iat[at, out.columns.get_loc(c)] = x
+            yield out
+
+    return blocks.mapInPandas(run, blocks.schema), tables
+
+
 def statistics(blocks: DataFrame, bytes_per_value: int = 4, components: int = 2) -> DataFrame:
     """(n, n_lossless, lossless_share, max_err, bytes, ratio) of all blocks."""
     s = blocks.agg(*(F.sum(c).alias(c) for c in ("n", "n_lossless", "bytes")), F.max("max_err").alias("max_err"))

@@ -17,6 +17,7 @@ from .grid import Grid, Scale, field_view, fixed_scale, smooth_view, swirl_field
 from .operators import coding, critical, mesh, predict, verify
 from .plans import codec, wavefront
 from .plans.checkpoints import cut, scratch
+from .plans.streams import Shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -660,6 +661,19 @@ _roundtrip("lorenzo2d", True, "smooth_relaxed", 0.002, mesh.FACES[:2], guard="la
 _roundtrip("lorenzo2d", True, "smooth_typed", 0.002, mesh.FACES[:2], guard="typed")
 
 
+@query(_KEPT_SQL.format("true").replace("true AS within", "true AS within, true AS fewer_bytes"))
+def smooth_shared_huffman(spark, sf_dir):
+    """One table for all blocks, written and read as bytes; with it they take fewer bytes than with a table each."""
+    field, g = smooth_view(spark, sf_dir), view_grid(spark, sf_dir)
+    s = fixed_scale(field)
+    bound = codec.bound_for(s, 0.002)
+    own = cut(codec.encode(field, g, s, bound))
+    shared, tables = codec.with_shared_tables(own)
+    shared, head = cut(shared), tables.to_bytes()
+    both = codec.statistics(shared).select((F.col("bytes") + len(head)).alias("b")).crossJoin(codec.statistics(own).select("bytes"))
+    return _checked(field, g, s, bound, shared, codec.decode(shared, g, s, coding=Shared.from_bytes(head))).crossJoin(both.select((F.col("b") < F.col("bytes")).alias("fewer_bytes")))
+
+
 def _in_order(label: str, predictor: str, guard: str = "faces", templates=mesh.FACES, **how):
     """Blocks that predict across their borders, diagonal by diagonal; fewer vertices are lossless than with blocks on their own, and it takes fewer bytes."""
 

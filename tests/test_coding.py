@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -94,3 +96,28 @@ def test_streams_of_codes(spark):
     for width in (1, 2, 4):
         v = [rng.randrange(1 << width) for _ in range(37)]
         assert coding.unpack_bits(coding.pack_bits(v, width), 37, width) == v
+
+
+def test_shared_tables():
+    """Streams and tables come back; codes are as long as the limit allows, and the table-driven reader agrees with reading bit by bit."""
+    from swirlframe.operators.coding import decode_stream
+    from swirlframe.plans.streams import Table, huffman, limited_lengths, unhuffman
+
+    rng = np.random.default_rng(4)
+    skewed = np.round(rng.standard_t(1.5, 20_000) * 4).astype(np.int64)
+    for symbols in (skewed, np.array([7] * 9), np.arange(-300, 300), np.zeros(0, np.int64), np.array([5, -(2**30)]), np.repeat(np.arange(40), 2 ** np.minimum(np.arange(40), 12))):
+        assert unhuffman(huffman(symbols)).tolist() == symbols.tolist()
+        kinds, n = np.unique(symbols, return_counts=True)
+        for most in (9, 16, 40):
+            table = Table.of(dict(zip(kinds.tolist(), n.tolist(), strict=True)), most)
+            assert table.lengths.max(initial=0) <= max(most, (len(kinds) - 1).bit_length() + 1) and (len(kinds) < 2 or sum(2.0 ** -x for x in table.lengths.tolist()) <= 1)
+            again = Table.from_bytes(table.to_bytes())
+            assert again.kinds.tolist() == table.kinds.tolist() and again.lengths.tolist() == table.lengths.tolist()
+            part = symbols[:500]
+            body = table.write(part)
+            assert again.read(body).tolist() == part.tolist()
+            if len(kinds) > 1:
+                assert decode_stream(body[4:], len(part), {int(k): (int(x), int(c)) for k, x, c in zip(table.kinds, table.lengths, table.codes, strict=True)}) == part.tolist()
+    with pytest.raises(ValueError):
+        Table.of({1: 2, 3: 4}).write(np.array([2]))
+    assert max(limited_lengths([2**k for k in range(30)], 12)) <= 12

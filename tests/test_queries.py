@@ -6,7 +6,7 @@ from support import SF, spark_rows
 from swirlframe import queries as q
 
 #: Held against their SQL by the driver, and in a smaller form by other tests.
-LONG = {"roundtrip_lorenzo2d", "roundtrip_time_linear", "roundtrip_stride2", "roundtrip_dt2d", "roundtrip_ar2_clamped", "roundtrip_mixed_order", "roundtrip_lorenzo_ar2", "smooth_typed", "smooth_tried", "smooth_types_kept", "smooth_warped", "smooth_mixed_order", "smooth_plane", "smooth_lorenzo_ar2", "smooth_symmetric", "relative_bilinear", "relative_offline_typed"}
+LONG = {"roundtrip_lorenzo2d", "roundtrip_time_linear", "roundtrip_stride2", "roundtrip_dt2d", "roundtrip_ar2_clamped", "roundtrip_mixed_order", "roundtrip_lorenzo_ar2", "smooth_typed", "smooth_tried", "smooth_types_kept", "smooth_warped", "smooth_mixed_order", "smooth_plane", "smooth_lorenzo_ar2", "smooth_symmetric", "relative_bilinear", "relative_offline_typed", "wavefront_lorenzo3d", "wavefront_mixed_order"}
 
 
 def test_bilinear_guard(spark):
