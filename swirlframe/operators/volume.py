@@ -55,35 +55,44 @@ def tetrahedra(field: DataFrame, grid: Grid) -> DataFrame:
     return cubes.select("t", "i", "j", F.explode(F.array(*(one(k, c) for k, c in enumerate(TETRAHEDRA)))).alias("f")).select("t", "i", "j", "f.*")
 
 
-def tie_signs(p: list[tuple[Column, Column, Column]]) -> list[Column]:
-    """The signs (1 or -1) of weights(); a determinant of 0 is decided as if the origin were moved by (e, e*e, e*e*e) for a small e > 0.
+def ties_agree(p: list[tuple[Column, Column, Column]]) -> Column:
+    """Whether the signs (1 or -1) of weights() are one, where a determinant of 0 is decided as if the origin were moved by (e, e*e, e*e*e) for a small e > 0.
 
     det(a - q, b - q, c - q) = det(a, b, c) - q . n with n = b x c + c x a + a x b, so the first of det, -n that isn't 0 tells (for vectors
     on one line: 1).  The sign of a side depends on its three vertices only, so two tetrahedra never both miss a zero on their side, nor both have it.
+    The four sides are elements of an array, so that what is done with each is compiled once; it is meant for the few rows with a tie.
     """
 
     def cross(x, y):
         return (x[1] * y[2] - x[2] * y[1], x[2] * y[0] - x[0] * y[2], x[0] * y[1] - x[1] * y[0])
 
-    a, b, c, d = p
-    out = []
-    for turn, (x, y, z) in zip((-1, 1, -1, 1), ((b, c, d), (a, c, d), (a, b, d), (a, b, c)), strict=True):
+    def sign(side: Column) -> Column:
+        x, y, z = (tuple(side[f"{v}{k}"] for k in range(3)) for v in "xyz")
         normal = [sum(k[1:], k[0]) for k in zip(cross(y, z), cross(z, x), cross(x, y), strict=True)]
-        s = F.lit(turn)
+        turn, s = side["turn"], side["turn"]
         for term in [*(-n for n in reversed(normal)), det3(x, y, z)]:
             s = F.when(term > 0, turn).when(term < 0, -turn).otherwise(s)
-        out.append(s)
-    return out
+        return s
+
+    a, b, c, d = p
+    sides = [F.struct(F.lit(turn).alias("turn"), *(x[k].alias(f"{v}{k}") for v, x in zip("xyz", side, strict=True) for k in range(3))) for turn, side in zip((-1, 1, -1, 1), ((b, c, d), (a, c, d), (a, b, d), (a, b, c)), strict=True)]
+    return F.size(F.array_distinct(F.transform(F.array(*sides), sign))) == 1
 
 
 def with_zero(tets: DataFrame) -> DataFrame:
-    """The tetrahedra that hold a zero (m0 .. m3: weights()): all determinants have one sign, ties decided by tie_signs()."""
-    p = _vectors()
-    m = tets.withColumns({f"m{k}": w for k, w in enumerate(weights(p))})
-    signs = tie_signs(p)
+    """The tetrahedra that hold a zero (m0 .. m3: weights()): all determinants have one sign, ties decided by ties_agree()."""
+    return _weighed(tets).filter(_holds_zero())
+
+
+def _weighed(tets: DataFrame) -> DataFrame:
+    return tets.withColumns({f"m{k}": w for k, w in enumerate(weights(_vectors()))})
+
+
+def _holds_zero() -> Column:
+    """Of _weighed() rows."""
     strict = ((F.col("m0") > 0) & (F.col("m1") > 0) & (F.col("m2") > 0) & (F.col("m3") > 0)) | ((F.col("m0") < 0) & (F.col("m1") < 0) & (F.col("m2") < 0) & (F.col("m3") < 0))
     tied = (F.col("m0") == 0) | (F.col("m1") == 0) | (F.col("m2") == 0) | (F.col("m3") == 0)
-    return m.filter(strict | (tied & (signs[0] == signs[1]) & (signs[1] == signs[2]) & (signs[2] == signs[3])))
+    return strict | (tied & ties_agree(_vectors()))
 
 
 def _axes(tet: int) -> list[int]:
@@ -180,8 +189,7 @@ def vertex_bounds(tets: DataFrame, most: int) -> DataFrame:
 
     At most ``most``; 0 where one of its tetrahedra holds a zero.  Of grids and unstructured meshes alike.
     """
-    signs = tie_signs(_vectors())
-    marked = tets.withColumn("zero", (signs[0] == signs[1]) & (signs[1] == signs[2]) & (signs[2] == signs[3]))
+    marked = _weighed(tets).withColumn("zero", _holds_zero())
     roles = []
     for me in VERTICES:
         order = [n for n in VERTICES if n != me] + [me]
