@@ -11,12 +11,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from positives and unlabelled texts."""
     from .quality import quality_scores
 
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document lie in windows of the benchmark."""
     from .decontaminate import contamination
 
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -30,18 +32,21 @@ def benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later occurrences of three lines in a row, as covered stretches of lines."""
     from .line_dedup import repeated_lines
 
     return repeated_lines(table(spark, sf_dir, "documents"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, and whether its score is too low for its length to be relied on."""
     from .language import identify
 
     return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in sequences of 4096 tokens."""
     import public_tokenizers
 
     from .packing import pack_documents
@@ -50,6 +55,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that attacks the template, formatted and read back."""
     from .chat import read_back, segments
 
     talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -60,24 +66,28 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of two-word shingles overlap by 0.8 or more."""
     from .near_dedup import near_groups
 
     return near_groups(table(spark, sf_dir, "documents"), k=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which license texts each document holds, by containment of their shingles."""
     from .licenses import license_scan
 
     return license_scan(table(spark, sf_dir, "documents"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts, and the row of each that stays."""
     from .exact_dedup import exact_groups
 
     return exact_groups(table(spark, sf_dir, "documents"), digest=True)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and passages of 40 words or more that repeat, and which of them go."""
     from .substring_dedup import repeated_passages
 
     return repeated_passages(table(spark, sf_dir, "documents"), least=40, passage=40)
