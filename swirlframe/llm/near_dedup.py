@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrowtext as X
-from .shared import components, cut, only, sized, spread, text_key, without, without_rows, written
+from .shared import bit_map, components, cut, looked_up, only, place, sized, spread, text_key, without, without_rows, written
 
 TREES, DEPTH, SMALL = 20, 4, 32
 ROW_BITS = 12  # at most so many rows (as a power of two) are handled at once; shingle hashes keep the other 52 bits
@@ -128,16 +128,19 @@ def _alike(percent: int) -> Column:
     return size & (reduce(lambda p, q: p + q, differ) <= 24)
 
 
-def node_pairs(members: DataFrame, about: DataFrame, depth: int, percent: int, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+def node_pairs(members: DataFrame, about: DataFrame, depth: int, percent: int, small: int = SMALL, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs, large): candidate pairs (a, b) with a < b, and the members of nodes that are large at the last level.
 
-    members: id and k1..k<depth>, a row for each tree; about: id, n and sketch.
+    members: id and k1..k<depth>, a row for each tree; about: id, n and sketch.  bits: members go on to the join with the sizes of their nodes only
+    if their bit is set in a map of 2**bits bits of the keys that members share; for keys of which most are of one member.
     """
     pair = [F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")]
     found, rows = [], members
     for d in range(1, depth + 1):
         key = f"k{d}"
         sizes = cut(rows.groupBy(key).agg(F.count("*").alias("_size")).filter("_size > 1"))
+        if bits:
+            rows = looked_up(rows, cut(bit_map(sizes.select(key), bits)), place(bits, F.col(key)), "_shared").filter("_shared").drop("_shared")
         rows = spread(rows, sizes, [key], "_size", ["id"], most=0)
         rows = written(rows.join(about, "id") if d == 1 else rows, "nodes")
         few = rows.filter(F.col("_size") <= small)

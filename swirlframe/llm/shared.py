@@ -13,6 +13,8 @@ __all__ = ["bit_map", "components", "cut", "fresh", "held_out", "looked_up", "on
 
 #: Most ids that are broadcast at once (8 bytes each, about 50 MB as a hash table); beyond it a shuffle join is used.
 BROADCAST_IDS = 1_000_000
+#: Bits (as a power of two) of the map of keys that are too many to be broadcast.
+MAP_BITS = 24
 
 
 def held_out(doc_id: str | Column) -> Column:
@@ -32,7 +34,14 @@ def without(docs: DataFrame, ids: DataFrame, key: str | list[str] = "doc_id") ->
 def _less(rows: DataFrame, gone: DataFrame, same) -> DataFrame:
     gone = cut(gone.distinct())
     most = BROADCAST_IDS if len(gone.columns) == 1 else BROADCAST_IDS // 8  # rows of several columns are as much wider
-    return rows.join(F.broadcast(gone) if gone.count() <= most else gone, same, "left_anti")
+    if gone.count() <= most:
+        return rows.join(F.broadcast(gone), same, "left_anti")
+    if not isinstance(same, list):
+        return rows.join(gone, same, "left_anti")
+    # of the others only rows whose bit is set are shuffled
+    some = fresh(rows, "_some")
+    marked = looked_up(rows, cut(bit_map(gone.select(same), MAP_BITS)), place(MAP_BITS, *(F.col(c) for c in same)), some)
+    return marked.filter(~F.col(some)).drop(some).unionByName(marked.filter(some).drop(some).join(gone, same, "left_anti"))
 
 
 def only(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -50,7 +50,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copies = spread(found.select("id", "c1", "c2"), classes, ["c1", "c2"], "_many", ["id"]).filter("id <> rep").select("id", "c1", "c2")
     single = without(found, copies, ["id", "c1", "c2"])
     members = single.select("id", F.explode("keys").alias("k1"))
-    pairs, large = node_pairs(members, single.select("id", "n", *SKETCH), 1, percent)
+    pairs, large = node_pairs(members, single.select("id", "n", *SKETCH), 1, percent, bits=BITS)
     _, labels = link_components(lines, pairs, large, k, percent)
     # paragraphs with an equal one, and paragraphs linked with another
     of_class = cut(classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", "_many", F.coalesce("component", "rep").alias("of_class")))
