@@ -138,42 +138,143 @@ def sampled(points: DataFrame, frames: DataFrame, grid: Grid, cols: tuple[str, .
     return summed.select("p.*", *((F.col(f"{c}0") + F.col(f"{c}1") + F.col(f"{c}2") + F.col(f"{c}3")).alias(f"{c}_at") for c in cols))
 
 
-def advected(field: DataFrame, grid: Grid, factor: int, dt_dx: float = 1.0, dt_dy: float = 1.0) -> DataFrame:
+def _tile_halos(field: DataFrame, tile: int, cy: float, cx: float) -> DataFrame:
+    """(t, ti, tj, hy, hx): how many rows and columns around a tile its traces may need, at most a tile's: the largest move in it and the eight around it."""
+    keys = ("t", F.floor(F.col("i") / tile).cast("int").alias("ti"), F.floor(F.col("j") / tile).cast("int").alias("tj"))
+    moves = field.groupBy(*keys).agg(F.max(F.abs("v") * F.lit(cy)).alias("dy"), F.max(F.abs("u") * F.lit(cx)).alias("dx"))
+    most = _around(moves).groupBy("t", "ti", "tj").agg(F.max("dy").alias("dy"), F.max("dx").alias("dx"))
+    whole = moves.select("t", "ti", "tj").join(most, ["t", "ti", "tj"])
+    return whole.select("t", "ti", "tj", *(F.least(F.ceil(d) + 2, F.lit(tile)).cast("int").alias(h) for d, h in (("dy", "hy"), ("dx", "hx"))))
+
+
+def _around(tiles: DataFrame) -> DataFrame:
+    """Each tile nine times: for itself and for each place around it; (oi, oj) is the tile it is."""
+    near = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
+    rest = [c for c in tiles.columns if c not in ("t", "ti", "tj")]
+    return tiles.withColumn("_n", near).select("t", (F.col("ti") + F.col("_n.a")).alias("ti"), (F.col("tj") + F.col("_n.b")).alias("tj"), F.col("ti").alias("oi"), F.col("tj").alias("oj"), *rest)
+
+
+def _tile_rows(field: DataFrame, halos: DataFrame, tile: int) -> DataFrame:
+    """(t, ti, tj, i, j, u, v): the rows of each tile and its halo, in pieces: arrays of u and v from column j on; t is the frame after."""
+    cut_at = F.floor(F.col("j") / tile).cast("int")
+    pieces = field.groupBy("t", "i", cut_at.alias("oj")).agg(F.array_sort(F.collect_list(F.struct("j", "u", "v"))).alias("r"))
+    pieces = pieces.withColumn("oi", F.floor(F.col("i") / tile).cast("int"))
+    wants = _around(halos)  # a tile with its halo, once for each tile that it may read
+    wants = wants.select("t", F.col("ti").alias("oi"), F.col("tj").alias("oj"), F.col("oi").alias("ti"), F.col("oj").alias("tj"), "hy", "hx")
+    both = pieces.join(wants, ["t", "oi", "oj"]).filter((F.col("i") >= F.col("ti") * tile - F.col("hy")) & (F.col("i") < (F.col("ti") + 1) * tile + F.col("hy")))
+    first = F.col("oj") * tile
+    low = F.greatest(first, F.col("tj") * tile - F.col("hx"))
+    high = F.least(first + F.size("r"), (F.col("tj") + 1) * tile + F.col("hx"))
+    part = F.slice("r", low - first + 1, high - low)
+    some = both.filter(high > low).select((F.col("t") + 1).alias("t"), "ti", "tj", "i", low.alias("j"), part.alias("r"))
+    return some.select("t", "ti", "tj", "i", "j", F.col("r.u").alias("u"), F.col("r.v").alias("v"))
+
+
+def advected(field: DataFrame, grid: Grid, factor: int, dt_dx: float = 1.0, dt_dy: float = 1.0, cells: float | None = None, tile: int = 128) -> DataFrame:
     """(t, i, j, u, v, u_pred, v_pred) for t >= 1: each vertex traced back along the last frame's velocity by the midpoint rule and sampled there.
 
-    field is fixed point; a velocity of factor moves dt_dx columns a frame.  As a trace may lead anywhere in the last frame, a frame is a row
-    here, and each is joined with the one before: N values are shuffled, whatever the samples are.
+    field is fixed point; a velocity of factor moves dt_dx columns and dt_dy rows a frame.  With ``cells``, vertices whose own move is longer
+    take Euler steps of at most so many cells instead, at most 32 steps.  Ends and steps stay within the grid.
+
+    Vertices are traced in tiles, with as much of the last frame around them as the moves there ask for, at most a tile on each side.  A trace that
+    leaves it is handed to the tile where it is, in rounds, and goes on there, so that no group has more than nine tiles, however far traces lead; a
+    group takes the traces of one tile of origin only, so many traces into one tile are several groups.
     """
     import numpy as np
     import pyarrow as pa
 
+    from ..plans.checkpoints import cut
+
     h, w, cx, cy = grid.H, grid.W, dt_dx / factor, dt_dy / factor
-    packed = field.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("i", "j", "u", "v"))).alias("r")).select("t", F.col("r.u").alias("u"), F.col("r.v").alias("v"))
-    last = packed.select((F.col("t") + 1).alias("t"), F.col("u").alias("u0"), F.col("v").alias("v0"))
-
-    def sampled_at(plane, y, x):
-        y, x = np.clip(y, 0.0, h - 1.0), np.clip(x, 0.0, w - 1.0)
-        i, j = np.floor(y).astype(np.int64), np.floor(x).astype(np.int64)
-        k, m, fy, fx = np.minimum(i + 1, h - 1), np.minimum(j + 1, w - 1), y - i, x - j
-        # weights and additions in the order of sampled()
-        return (1.0 - fx) * (1.0 - fy) * plane[i, j] + fx * (1.0 - fy) * plane[i, m] + (1.0 - fx) * fy * plane[k, j] + fx * fy * plane[k, m]
-
-    def run(batches):
-        rows, cols = (a.astype(np.float64) for a in np.mgrid[0:h, 0:w])
-        for b in batches:
-            for n in range(b.num_rows):
-                u, v = (b.column(c)[n].values.to_numpy().astype(np.float64).reshape(h, w) for c in ("u0", "v0"))
-                y, x = rows - 0.5 * v * cy, cols - 0.5 * u * cx
-                y, x = rows - sampled_at(v, y, x) * cy, cols - sampled_at(u, y, x) * cx
-                found = [sampled_at(p, y, x).ravel() for p in (u, v)]
-                up, vp = (pa.array((np.sign(p) * np.floor(np.abs(p) + 0.5)).astype(np.int64)) for p in found)
-                one = lambda a: pa.ListArray.from_arrays(pa.array([0, h * w], pa.int32()), a)
-                yield pa.RecordBatch.from_arrays([b.column("t").slice(n, 1), *(one(b.column(c)[n].values) for c in ("u", "v")), one(up), one(vp)], ["t", "u", "v", "u_pred", "v_pred"])
-
-    names = ["u", "v", "u_pred", "v_pred"]
-    made = packed.join(last, "t").mapInArrow(run, "t int, " + ", ".join(f"{c} array<long>" for c in names))
-    flat = made.select("t", F.posexplode(F.arrays_zip(*names)).alias("n", "z"))
-    return flat.select("t", F.floor(F.col("n") / w).cast("int").alias("i"), (F.col("n") % w).cast("int").alias("j"), *(F.col(f"z.{c}").alias(c) for c in names))
+    keys = ["t", "ti", "tj", "oi", "oj"]
+    names = ["t", "i", "j", "u", "v", "y", "x", "n", "s", "u_pred", "v_pred"]
+
+    def run(points: pa.Table, rows: pa.Table) -> pa.Table:
+        if not points.num_rows or not rows.num_rows:  # no frame before
+            return pa.table({c: pa.array([], kinds[c]) for c in names})
+        size = np.diff(rows.column("u").combine_chunks().offsets.to_numpy())
+        i0, j0 = (rows.column(c).to_numpy().astype(np.int64) for c in "ij")
+        top, left = i0.min(), j0.min()
+        bottom, right = i0.max(), (j0 + size).max() - 1
+        at = np.repeat(i0 - top, size), np.repeat(j0 - left - np.cumsum(size) + size, size) + np.arange(size.sum())
+        planes = []
+        for c in "uv":
+            p = np.zeros((bottom - top + 1, right - left + 1))
+            p[at] = rows.column(c).combine_chunks().flatten().to_numpy()
+            planes.append(p)
+        i, j = (points.column(c).to_numpy().astype(np.float64) for c in "ij")
+        y, x = (points.column(c).to_numpy().copy() for c in "yx")
+        n, s = (points.column(c).to_numpy().copy() for c in "ns")
+
+        def seen(y, x):
+            return (np.floor(y) >= top) & (np.floor(x) >= left) & (np.minimum(np.floor(y) + 1, h - 1) <= bottom) & (np.minimum(np.floor(x) + 1, w - 1) <= right)
+
+        def sampled_at(y, x):
+            a, b = np.floor(y).astype(np.int64), np.floor(x).astype(np.int64)
+            fy, fx = y - a, x - b
+            k, m, a, b = np.minimum(a + 1, h - 1) - top, np.minimum(b + 1, w - 1) - left, a - top, b - left
+            # weights and additions in the order of sampled()
+            return [(1.0 - fx) * (1.0 - fy) * p[a, b] + fx * (1.0 - fy) * p[a, m] + (1.0 - fx) * fy * p[k, b] + fx * fy * p[k, m] for p in planes]
+
+        fresh = np.flatnonzero(n == 0)
+        if len(fresh):
+            here = sampled_at(y[fresh], x[fresh])
+            far = np.maximum(np.abs(here[0]) * cx, np.abs(here[1]) * cy)
+            n[fresh] = 1 if cells is None else np.clip(np.ceil(far / cells), 1, 32)
+        steps = np.where(n == 1, 2, n)
+        while True:
+            go = np.flatnonzero((s < steps) & seen(y, x))
+            if not len(go):
+                break
+            u, v = sampled_at(y[go], x[go])
+            one = n[go] == 1
+            part = np.where(one, np.where(s[go] == 0, 0.5, 1.0), 1.0)
+            by, bx = (np.where(one, part * c, c / n[go]) for c in (cy, cx))
+            y[go] = np.clip(np.where(one, i[go], y[go]) - v * by, 0.0, h - 1.0)
+            x[go] = np.clip(np.where(one, j[go], x[go]) - u * bx, 0.0, w - 1.0)
+            s[go] += 1
+        end = (s == steps) & seen(y, x)
+        found = [np.zeros(len(n), np.int64) for _ in planes]
+        for p, value in zip(found, sampled_at(y[end], x[end]), strict=True):
+            p[end] = (np.sign(value) * np.floor(np.abs(value) + 0.5)).astype(np.int64)
+        out = dict(zip(names, [*(points.column(c) for c in names[:5]), pa.array(y), pa.array(x), pa.array(n), pa.array(s), *(pa.array(p, mask=~end) for p in found)], strict=True))
+        return pa.table({c: out[c].cast(kinds[c]) for c in names})
+
+    kinds = {c: pa.int32() if c in ("t", "i", "j", "n", "s") else pa.float64() if c in "yx" else pa.int64() for c in names}
+    schema = ", ".join(f"{c} {'int' if c in ('t', 'i', 'j', 'n', 's') else 'double' if c in 'yx' else 'long'}" for c in names)
+    of = lambda c: F.floor(F.col(c) / tile).cast("int")
+    wide = [F.col(c).cast("long").alias(c) for c in "uv"]
+    field = field.select("t", "i", "j", *wide)
+    halos = _tile_halos(field, tile, cy, cx)
+
+    rows = _tile_rows(field, halos, tile).toDF("t", "ti", "tj", "i", "j", "u", "v")
+
+    def in_tiles(points: DataFrame) -> DataFrame:
+        return points.toDF(*points.columns).select("*", of("y").alias("ti"), of("x").alias("tj"), of("i").alias("oi"), of("j").alias("oj"))
+
+    zero = F.lit(0).cast("int")
+    start = field.filter("t > 0").select("t", "i", "j", "u", "v", F.col("i").cast("double").alias("y"), F.col("j").cast("double").alias("x"), zero.alias("n"), zero.alias("s"))
+    own = rows.select("*", F.col("ti").alias("oi"), F.col("tj").alias("oj"))
+    out = in_tiles(start).groupBy(*keys).cogroup(own.groupBy(*keys)).applyInArrow(run, schema)
+    result = ["t", "i", "j", "u", "v", "u_pred", "v_pred"]
+    # the sum of a trace's moves is at most the largest move of its frame, so within a tile's width none leaves its halo
+    far = field.agg(F.max(F.greatest(F.abs("v") * F.lit(cy), F.abs("u") * F.lit(cx)))).first()[0] or 0.0
+    if far + 2 <= tile:
+        return out.select(*result)
+    parts = []
+    while True:
+        out = cut(out)
+        parts.append(out.filter("u_pred is not null").select(*result))
+        away = out.filter("u_pred is null").drop("u_pred", "v_pred")
+        if away.isEmpty():
+            break
+        keyed = in_tiles(away)
+        asked = keyed.select(*keys).distinct().toDF(*keys)
+        out = keyed.groupBy(*keys).cogroup(rows.join(asked, ["t", "ti", "tj"]).groupBy(*keys)).applyInArrow(run, schema)
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
 
 
 def plane_regression(field: DataFrame, col: str, block: int) -> DataFrame:

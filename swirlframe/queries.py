@@ -368,6 +368,29 @@ def advect_sample(spark, sf_dir):
     return predict.advected(p, g, s.factor).select("t", "i", "j", "u_pred", "v_pred")
 
 
+#: Steps of the walk in SQL: one row a vertex and step, midpoint walks in two steps, others in n.
+_WALK_SQL = f"""{FIELD}, pv AS (SELECT t + 1 AS t, i, j, u::DOUBLE AS u, v::DOUBLE AS v FROM p),
+    c AS (SELECT 8.0::DOUBLE / (1::BIGINT << shift) AS c FROM sc),
+    n AS (SELECT p.t, p.i, p.j, greatest(1, least(32, ceil(greatest(abs(pv.u), abs(pv.v)) * c / 2.0)))::INT AS n, c FROM p JOIN pv USING (t, i, j), c),
+    wk AS (SELECT t, i, j, n, c, 0 AS s, i::DOUBLE AS y, j::DOUBLE AS x FROM n
+      UNION ALL
+      SELECT o.t, o.i, o.j, n, c, s + 1, greatest(0, least(24, CASE WHEN n = 1 THEN o.i - sv * (CASE WHEN s = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END * c) ELSE y - sv * (c / n) END)),
+             greatest(0, least(31, CASE WHEN n = 1 THEN o.j - su * (CASE WHEN s = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END * c) ELSE x - su * (c / n) END))
+      FROM (SELECT o.*, (1 - fx) * (1 - fy) * a.u + fx * (1 - fy) * b.u + (1 - fx) * fy * g.u + fx * fy * d.u AS su, (1 - fx) * (1 - fy) * a.v + fx * (1 - fy) * b.v + (1 - fx) * fy * g.v + fx * fy * d.v AS sv
+            FROM (SELECT *, floor(y)::INT AS i0, floor(x)::INT AS j0, least(floor(y)::INT + 1, 24) AS i1, least(floor(x)::INT + 1, 31) AS j1, y - floor(y) AS fy, x - floor(x) AS fx FROM wk WHERE s < greatest(n, 2)) o
+            JOIN pv a ON a.t = o.t AND a.i = i0 AND a.j = j0 JOIN pv b ON b.t = o.t AND b.i = i0 AND b.j = j1
+            JOIN pv g ON g.t = o.t AND g.i = i1 AND g.j = j0 JOIN pv d ON d.t = o.t AND d.i = i1 AND d.j = j1) o),
+    e AS (SELECT t, i, j, n, y, x FROM wk WHERE s = greatest(n, 2)),
+    {_sample_sql("e", "z", "o.t, o.i, o.j")}"""
+
+
+@query(f"WITH RECURSIVE {_WALK_SQL} SELECT t, i, j, round(su)::BIGINT AS u_pred, round(sv)::BIGINT AS v_pred FROM z")
+def advect_substeps(spark, sf_dir):
+    """Moves of up to eight cells, in steps of at most two, traced over tiles of four by four, which some leave."""
+    p, g, s = fixed(spark, sf_dir)
+    return predict.advected(p, g, s.factor, 8.0, 8.0, cells=2.0, tile=4).select("t", "i", "j", "u_pred", "v_pred")
+
+
 def _modes(spark, sf_dir):
     p, g, s = fixed(spark, sf_dir)
     return predict.block_modes(predict.predicted(p, "lorenzo3d"), predict.advected(p, g, s.factor), 8)

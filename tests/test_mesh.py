@@ -135,3 +135,16 @@ def test_zeros_on_sides_of_tetrahedra(spark):
         assert volume.with_zero(volume.tetrahedra(field, Grid(4, 4, 4))).count() == 1, zero
         points = volume.volume_points(field, Grid(4, 4, 4)).collect()
         assert [(round(2 * p.z, 9), round(2 * p.y, 9), round(2 * p.x, 9)) for p in points] == [zero]
+
+
+@pytest.mark.parametrize("move, cells", [(0.5, None), (9.0, None), (9.0, 2.0)])
+def test_advection_is_the_same_over_any_tiles(spark, move, cells):
+    """Short moves stay in the halo of a tile; long ones go from tile to tile, in one step or many; a frame without one before has no row."""
+    from swirlframe.operators import predict
+
+    g = Grid(11, 14, 3)
+    scale = fixed_scale(swirl_field(spark, g))
+    f = to_fixed(swirl_field(spark, g), scale)
+    whole, tiles = (sorted(map(tuple, predict.advected(f, g, scale.factor, move, move, cells=cells, tile=size).collect())) for size in (64, 3))
+    assert whole == tiles and len(whole) == 2 * 11 * 14
+    assert predict.advected(f.filter("t = 0"), g, scale.factor, move, move, cells=cells, tile=3).count() == 0
