@@ -3,14 +3,15 @@
 Trusted positives and unlabelled text give a linear classifier over dense shape features of
 whole texts, by minimising the non-negative unbiased risk (Kiryo et al. 2017)
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
-with the logistic loss.  Only the fit works on a sample, of at most POSITIVES and UNLABELLED
-rows, the ones whose hashed ids are smallest; the scores take all rows.  The unlabelled sample is of the whole
-corpus, and the class prior is estimated on it, so labels need not cover the corpus evenly.
+with the logistic loss, over all rows: there is no sample.  The loss of the two signs differs by the logit
+itself, so the risk is convex where its second part is above zero, and Newton's method finds its minimum in a few passes,
+each of which sums gradient and curvature where the rows are.  Unlabelled is the whole corpus that may be learned from,
+and the class prior is estimated on it, so labels need not cover the corpus evenly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ from pyspark.sql import types as T
 from . import arrowtext as X
 from .shared import cut, held_out
 
-#: Most rows that the classifier is fitted on.
-POSITIVES, UNLABELLED = 8_000, 16_000
+#: Passes over the learning rows that a fit takes at most.
+PASSES = 24
 THRESHOLD = 0.3
 _UPPER = X._table(lambda b: 0x41 <= b <= 0x5A)
 _LETTER = X._table(lambda b: 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80)
@@ -36,11 +37,24 @@ _LINE = X._table(lambda b: b == 0x0A)
 #: Shares in 0..1; each also enters through saturating steps, so that a junk part of a long text counts.
 SHARES = ["upper", "digit", "stop", "symbol", "bang", "bar", "line", "other", "repeat", "again", "common", "shouted", "odd_end"]
 STEPS = [20.0, 200.0]
+BASE = len(SHARES) + 4
 SIZE = len(SHARES) * (1 + len(STEPS)) + 4
 
 
 def features(texts) -> np.ndarray:
     """(rows, SIZE) dense features of texts; all zero for empty ones."""
+    return stepped(shapes(texts))
+
+
+def stepped(base: np.ndarray) -> np.ndarray:
+    """(rows, SIZE): shapes() with the steps of their shares."""
+    base = base.astype(np.float64)
+    share = base[:, : len(SHARES)]
+    return np.concatenate([share, *(np.minimum(1, share * s) for s in STEPS), base[:, len(SHARES) :]], 1)
+
+
+def shapes(texts) -> np.ndarray:
+    """(rows, BASE): shares and sizes of texts."""
     data, offs = X.flat(texts)
     n = np.diff(offs).astype(np.float64)
     some = np.maximum(n, 1)
@@ -78,67 +92,146 @@ def features(texts) -> np.ndarray:
     shares = [np.where(n > 0, x, 0) for x in shares]
     mean = np.where(count > 0, (n - count) / at_least, 0)
     rest = [np.log1p(n) / 10, np.log1p(count) / 10, mean / 10, np.log1p(X.segment_sums(_LINE[data].astype(np.int64), offs)) / 5]
-    return np.stack([*shares, *(np.minimum(1, x * s) for s in STEPS for x in shares), *rest], 1)
+    return np.stack([*shares, *rest], 1).astype(np.float32)
 
 
 def shape_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, features array of doubles), a row per row of docs."""
+    """(id, features array of floats: shapes()), a row per row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in X.slices(batches, "_text"):
             for i in range(0, part.num_rows, 4096):
                 p = part.slice(i, 4096)
-                f = features(p.column(1))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * SIZE), pa.array(f.ravel()))
+                f = shapes(p.column(1))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * BASE), pa.array(f.ravel()))
                 yield pa.RecordBatch.from_arrays([p.column(0), lists], [id_col, "features"])
 
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("features", T.ArrayType(T.DoubleType()))]))
+    return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("features", T.ArrayType(T.FloatType()))]))
+
+
+Sums = Callable[[Callable[[np.ndarray], np.ndarray]], tuple[np.ndarray, np.ndarray]]
+
+
+def _of_arrays(positive: np.ndarray, unlabelled: np.ndarray) -> Sums:
+    return lambda part: (part(positive), part(unlabelled))
+
+
+def _of_rows(rows: DataFrame) -> Sums:
+    """Sums over (features, positive boolean): tasks add up what ``part`` says of their rows, Spark adds up the tasks place by place."""
+
+    def sums(part):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = [None, None]
+            for b in batches:
+                x, mark = b.column(0).flatten().to_numpy().reshape(-1, BASE), b.column(1).to_numpy(zero_copy_only=False)
+                for k in (0, 1):
+                    some = x[mark == (k == 0)]
+                    for i in range(0, len(some), 8192):
+                        got = part(stepped(some[i : i + 8192]))
+                        total[k] = got if total[k] is None else total[k] + got
+            for k, v in enumerate(total):
+                if v is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k, np.int32)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], ["k", "at", "v"])
+
+        size = len(part(np.zeros((0, SIZE))))
+        out = np.zeros((2, size))
+        for r in rows.mapInArrow(run, "k int, at int, v double").groupBy("k", "at").agg(F.sum("v").alias("v")).collect():  # 2 * size rows
+            out[r.k, r.at] = r.v
+        return out[0], out[1]
 
+    return sums
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.02, decay: float = 1e-4) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
-    """(weights, bias, centre, scale) of a linear logit that minimises the non-negative PU risk, by Adam on all rows.
 
-    When the part of the risk from negatives falls below zero, the step goes against its gradient instead.
+def spread_of(sums: Sums) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centre, scale, (positives, unlabelled rows)) of all rows."""
+    p, u = sums(lambda x: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]))
+    n, d = p[0] + u[0], (len(p) - 1) // 2
+    centre = (p + u)[1 : d + 1] / max(n, 1)
+    scale = np.sqrt(np.maximum((p + u)[d + 1 :] / max(n, 1) - centre * centre, 0)) + 1e-6
+    return centre, scale, np.array([p[0], u[0]])
+
+
+def minimised(sums: Sums, centre: np.ndarray, scale: np.ndarray, prior: float, decay: float = 1e-4, passes: int = PASSES) -> tuple[np.ndarray, float]:
+    """(weights, bias) of a linear logit over standardised features that minimises the non-negative PU risk, by Newton's method.
+
+    Each step minimises a quadratic model of the risk whose second part keeps its bend at zero: ``side`` is the weight of that part, 1 where it is
+    above zero, 0 below, and between at the bend.  A step is halved until the risk is less.
     """
-    both = np.concatenate([positive, unlabelled])
-    centre, scale = both.mean(0), both.std(0) + 1e-6
-    p, u = (positive - centre) / scale, (unlabelled - centre) / scale
-    w, b = np.zeros(p.shape[1]), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    half = 1 / np.maximum(len(p), 1), 1 / np.maximum(len(u), 1)
-    for t in range(1, steps + 1):
-        zp, zu = p @ w + b, u @ w + b
-        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp = prior * (sp - 1) * half[0]  # of prior * R_p(+)
-        gn_u, gn_p = su * half[1], -prior * sp * half[0]  # of R_u(-) - prior * R_p(-)
-        if negative < 0:
-            gp, gn_u, gn_p = np.zeros_like(gp), -gn_u, -gn_p
-        g = np.concatenate([p.T @ (gp + gn_p) + u.T @ gn_u + decay * w, [(gp + gn_p).sum() + gn_u.sum()]])
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return w, float(b), centre, scale
-
-
-def pool_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among unlabelled rows, from scores of both: the least ratio of the parts above a threshold.
-
-    Above a threshold that no negative reaches the ratio is the share (best bin estimation, Garg et al. 2021).
+    d = len(centre)
+
+    def risk(w: np.ndarray):
+        def part(x):
+            x = np.concatenate([(x - centre) / scale, np.ones((len(x), 1))], 1)
+            z = x @ w
+            q = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            return np.concatenate([[len(x), np.logaddexp(0, z).sum()], x.sum(0), q @ x, ((x * (q * (1 - q))[:, None]).T @ x).ravel()])
+
+        p, u = sums(part)
+        p, u = p / max(p[0], 1), u / max(u[0], 1)
+        mean, (at_p, at_u) = p[2 : d + 3], (v[d + 3 : 2 * d + 4] for v in (p, u))
+        bend_p, bend_u = (v[2 * d + 4 :].reshape(d + 1, d + 1) for v in (p, u))
+        keep = decay * np.append(w[:d], 0)
+        negative = u[1] - prior * p[1]
+        value = prior * (p[1] - mean @ w) + max(negative, 0) + keep @ w / 2
+        return value, negative, prior * (at_p - mean) + keep, at_u - prior * at_p, prior * bend_p, bend_u
+
+    def step_from(state, side: float) -> tuple[np.ndarray, float]:
+        _, negative, first, second, bend_p, bend_u = state
+        bend = (1 - side) * bend_p + side * bend_u + np.diag(np.append(np.full(d, decay), 1e-6))
+        x, y = np.linalg.solve(bend, np.stack([first, second], 1)).T
+        side = float(np.clip((negative - second @ x) / max(second @ y, 1e-12), 0, 1))
+        return x + side * y, side
+
+    w = np.append(np.zeros(d), np.log(prior / (1 - prior)))
+    state = risk(w)
+    (step, side), size = step_from(state, 1.0), 1.0
+    for _ in range(passes - 1):
+        tried = risk(w - size * step)
+        if tried[0] > state[0]:
+            size /= 2
+            if size < 1e-3:
+                break
+            continue
+        gain, w, state = state[0] - tried[0], w - size * step, tried
+        if size == 1 and gain < 1e-7:
+            break
+        (step, side), size = step_from(state, side), min(1.0, 2 * size)
+    return w[:d], float(w[d])
+
+
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, decay: float = 1e-4, passes: int = PASSES) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """(weights, bias, centre, scale): minimised() over arrays."""
+    sums = _of_arrays(positive, unlabelled)
+    centre, scale, _ = spread_of(sums)
+    return *minimised(sums, centre, scale, prior, decay, passes), centre, scale
+
+
+def pool_prior(sums: Sums, w: np.ndarray, bins: int = 4096) -> float:
+    """The share of positives among unlabelled rows, from their scores x @ w: the least ratio of the parts above a threshold.
+
+    Above a threshold that no negative reaches the ratio is the share (best bin estimation, Garg et al. 2021).  Thresholds are edges of
+    equal bins between the least and the largest score that lie within four deviations of the positives, and keep a tenth of the positives.
     """
-    at = np.quantile(positive, np.linspace(0, 0.9, 91))
-    p, u = (1 - np.searchsorted(np.sort(x), at) / len(x) for x in (positive, unlabelled))
-    slack = np.sqrt(np.log(20) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(len(unlabelled)))
-    best = int(np.argmin((u + slack) / p))
-    return min(max(float(u[best] / p[best]), 0.01), 0.99)
+    p, _ = sums(lambda x: np.array([len(x), (x @ w).sum(), ((x @ w) ** 2).sum()]))
+    mean = p[1] / max(p[0], 1)
+    wide = 4 * np.sqrt(max(p[2] / max(p[0], 1) - mean * mean, 0)) + 1e-9
+    edges = np.linspace(mean - wide, mean + wide, bins + 1)
+    p, u = sums(lambda x: np.bincount(np.searchsorted(edges, x @ w, "right"), minlength=bins + 2).astype(np.float64))
+    n_p, n_u = p.sum(), u.sum()
+    above_p, above_u = (1 - np.cumsum(x)[:-1] / x.sum() for x in (p, u))
+    some = above_p >= 0.1
+    above_p, above_u = above_p[some], above_u[some]
+    slack = np.sqrt(np.log(20) / 2) * (1 / np.sqrt(n_p) + 1 / np.sqrt(n_u))
+    best = int(np.argmin((above_u + slack) / above_p))
+    return min(max(float(above_u[best] / above_p[best]), 0.01), 0.99)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: id, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
-    Learns from rows that are not held out (by id): rows of label 1 are trusted positives, and other rows,
-    with or without a label, are the unlabelled text.  The prior is estimated on the unlabelled sample,
+    Learns from rows that are not held out (by id) and have one: those of label 1 are trusted positives, and all of them,
+    with or without a label, are the unlabelled text.  The prior is estimated on it,
     kept within 0.01 and 0.99.  Ids with several labels take the largest; null
     labels are none.  Null texts score as empty ones; without any positive all scores are the share
     of label 1 among labelled learning rows.
@@ -146,33 +239,23 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     spark = docs.sparkSession
     found = cut(shape_features(docs, id_col, text_col))
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("_label"))
-    learning = cut(found.filter(F.col(id_col).isNotNull()).join(known, id_col).select(id_col, "features", "_label", F.xxhash64(id_col).alias("_at")))
-    n, ones = learning.agg(F.count("*"), F.sum((F.col("_label") == 1).cast("long"))).first()
-    prior = min(max((ones or 0) / n, 0.01), 0.99) if n else 0.5
-    half = F.pmod("_at", F.lit(2)) == 0  # positives and unlabelled rows are different rows
-
-    def sample(rows: DataFrame, most: int) -> np.ndarray:
-        got = rows.orderBy("_at", id_col).limit(most).select("features").toArrow().column(0).combine_chunks()
-        return got.flatten().to_numpy().reshape(-1, SIZE)
-
-    positive = sample(learning.filter((F.col("_label") == 1) & half), POSITIVES)
-    pool = found.filter(F.col(id_col).isNotNull() & ~held_out(id_col)).withColumn("_at", F.xxhash64(id_col))
-    pool = pool.filter(~half)
-    # of twice as many rows as are wanted, so that one task does not read the corpus
-    share = min(1.0, 2 * UNLABELLED / max(pool.count(), 1))
-    unlabelled = sample(pool.filter(F.col("_at") <= int(share * (2**64 - 1)) - 2**63) if share < 1 else pool, UNLABELLED)
-    if len(positive) and len(unlabelled):
-        w, b, centre, scale = fit_nnpu(positive, unlabelled, 0.5)
-        prior = pool_prior(*((x - centre) / scale @ w for x in (positive, unlabelled)))
-        w, b, centre, scale = fit_nnpu(positive, unlabelled, prior)
+    learning = found.filter(F.col(id_col).isNotNull() & ~held_out(id_col))
+    labelled = cut(learning.join(known, id_col).select("features", (F.col("_label") == 1).alias("positive")))
+    sums = _of_rows(learning.select("features", F.lit(False).alias("positive")).unionByName(labelled.filter("positive")))
+    centre, scale, (ones, pool) = spread_of(sums)
+    if ones and pool:
+        w, _ = minimised(sums, centre, scale, 0.5)
+        w, b = minimised(sums, centre, scale, pool_prior(sums, w / scale))
     else:
+        n = labelled.count()
+        prior = min(max(ones / n, 0.01), 0.99) if n else 0.5
         w, b, centre, scale = np.zeros(SIZE), float(np.log(prior / (1 - prior))), np.zeros(SIZE), np.ones(SIZE)
     weight, bias = w / scale, b - float((w * centre / scale).sum())
     sent = spark.sparkContext.broadcast(weight)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            z = part.column(1).flatten().to_numpy().reshape(-1, SIZE) @ sent.value + bias
+            z = stepped(part.column(1).flatten().to_numpy().reshape(-1, BASE)) @ sent.value + bias
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], [id_col, "score"])
 
     scored = found.mapInArrow(run, T.StructType([found.schema[0], T.StructField("score", T.DoubleType())]))

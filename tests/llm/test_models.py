@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -162,7 +163,7 @@ def test_nnpu_risk_is_least():
     rng = np.random.default_rng(1)
     p, u = rng.normal(1, 1, (200, 2)), rng.normal(0, 1.5, (400, 2))
     prior, decay = 0.3, 1e-4
-    w, b, c, s = quality.fit_nnpu(p, u, prior, steps=4000, rate=0.01, decay=decay)
+    w, b, c, s = quality.fit_nnpu(p, u, prior, decay=decay)
 
     def risk(w, b):  # the definition, over all rows
         zp, zu = (p - c) / s @ w + b, (u - c) / s @ w + b
@@ -184,6 +185,35 @@ def test_nnpu_finds_the_side():
     assert ((z > 0) == (np.arange(1000) < 500)).mean() > 0.93
 
 
+def test_quality_is_the_fit_over_all_rows(spark):
+    """The whole operator against the same risk minimised over arrays of all learning rows, by gradient steps of its definition."""
+    rng = random.Random(4)
+    junk = lambda: prose(rng, 30) + " " + " ".join(rng.choice(["$$$", "BUY!!!", "|||"]) for _ in range(rng.randint(0, 20)))
+    rows = [(i, junk() if i % 3 == 0 else prose(rng, 40)) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 300, 2)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs(spark, rows), labels).collect()}
+    kept = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    x = quality.features(pa.array([t for _, t in rows]))
+    u, p = x[kept], x[[i for i in kept if i % 2 == 0 and i % 3]]
+    sums = quality._of_arrays(p, u)
+    centre, scale, n = quality.spread_of(sums)
+    assert tuple(n) == (len(p), len(u)) and np.allclose(centre, np.concatenate([p, u]).mean(0))
+    first, _ = quality.minimised(sums, centre, scale, 0.5)
+    prior = quality.pool_prior(sums, first / scale)
+    w, b, _, _ = quality.fit_nnpu(p, u, prior)
+    want = 1 / (1 + np.exp(-((x - centre) / scale @ w + b)))
+    assert max(abs(got[i] - want[i]) for i in got) < 1e-3
+
+    def risk(w, b):
+        zp, zu = ((a - centre) / scale @ w + b for a in (p, u))
+        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        return prior * np.logaddexp(0, -zp).mean() + max(0.0, negative) + 5e-5 * (w @ w)
+
+    least, noise = risk(w, b), np.random.default_rng(2)
+    near = [risk(w + noise.normal(0, t, len(w)), b + noise.normal(0, t)) for t in (0.001, 0.01, 0.1) for _ in range(200)]
+    assert min(near) >= least - 1e-4
+
+
 @pytest.mark.parametrize("text", ["", "a", "THE!! CAT!!", "x " * 50, "é" * 100])
 def test_features_are_finite(text):
     f = quality.features(pa.array([text, None]))
@@ -195,8 +225,8 @@ def test_unlabelled_documents_enter(spark, monkeypatch):
     junk = lambda: " ".join(rng.choice(["$$$", "BUY!!!", "|||", "###", "WIN!!!"]) for _ in range(80))
     rows = [(i, junk() if i % 2 else prose(rng, 80)) for i in range(1200)]
     labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(1200) if i % 2 == 0 and i < 600 or i % 40 == 1], "doc_id long, quality int")  # of junk, few have a label
-    seen, fit = [], quality.fit_nnpu
-    monkeypatch.setattr(quality, "fit_nnpu", lambda p, u, prior: seen.append((len(u), prior)) or fit(p, u, prior))
+    seen, fit = [], quality.minimised
+    monkeypatch.setattr(quality, "minimised", lambda sums, c, s, prior: seen.append((quality.spread_of(sums)[2][1], prior)) or fit(sums, c, s, prior))
     got = quality.quality_scores(docs(spark, rows), labels).collect()
-    assert seen[-1][0] > 400 and abs(seen[-1][1] - 0.5) < 0.1
+    assert seen[-1][0] == spark.range(1200).filter(~held_out("id")).count() and abs(seen[-1][1] - 0.5) < 0.1
     assert sum(r.predicted == 1 - r.doc_id % 2 for r in got) >= 0.98 * len(rows)
