@@ -8,8 +8,9 @@ Kneser-Ney probabilities of orders 4 to 1 are stored in sorted arrays of keys wi
 per language.  The language with the lowest mean cross-entropy per letter is chosen; a text whose
 cross-entropy is beyond a limit, calibrated on the learning rows of that language, is rejected.
 
-The models have to fit into each worker: 4 bytes for a key and language.  Of a language with more than MOST keys, which
-no alphabet reaches, those that are least frequent are left to the lower orders.
+Models of at most SENT counts are sent to each worker as arrays.  Beyond that nothing of them leaves the executors: each order is a table, the
+probabilities of all keys that occur in the texts are looked up by joins, order by order, and summed up by row.  Both ways give the same
+results up to rounding, and no key is left out.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrowtext as X
-from .shared import cut, held_out, text_key, without_rows
+from .shared import cut, held_out, spread, text_key, without_rows
 
 ORDER, UNIT = 4, 16
 UNKNOWN = "und"
-#: Keys of order 4 of one language that are kept.
-MOST = 1 << 24
+#: Most counts (keys of order 4 by language, 20 bytes each) that are sent to the driver, and as a model to the workers.
+SENT = 1 << 22
 _PRIVATE, _PRIVATE_SIZE = 0xE000, 6400
 
 
@@ -187,9 +188,6 @@ class KneserNey:
         keys, counts = [], []
         for l in range(len(languages)):
             k, c = key[lang == l].view(np.uint64), n[lang == l]
-            if len(k) > MOST:
-                some = np.argsort(-c, kind="stable")[:MOST]
-                k, c = k[some], c[some]
             order = np.argsort(k)
             keys.append(k[order]), counts.append(c[order].astype(np.float64))
         # a lower order counts the different units before each of its keys
@@ -214,17 +212,21 @@ class KneserNey:
         return mean, np.where(letters > 0, count, 0)
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> KneserNey:
-    """Models of all non-null values of lang_col, from all rows; null texts teach nothing."""
+def learned(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], DataFrame]:
+    """(languages, their key_counts()): of all non-null values of lang_col, from all rows; null texts teach nothing."""
     languages = sorted(r[0] for r in docs.select(lang_col).filter(F.col(lang_col).isNotNull()).distinct().collect())
-    found = key_counts(docs, languages, text_col, lang_col).toArrow()
-    return KneserNey(languages, *(found.column(c).to_numpy() for c in ("lang", "key", "n")))
+    return languages, cut(key_counts(docs, languages, text_col, lang_col))
+
+
+def evidence(n):
+    """How many independent letters n letters in a row are worth to the score: fewer, and more of more."""
+    return n**0.75
 
 
 def scores(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
     """One row per row of docs: id, extra columns, lang_pred, score, entropy (of lang_pred), n_keys.
 
-    score is the probability of lang_pred if up to 32 letters of this mean cross-entropy are seen.
+    score is the probability of lang_pred, where n letters of this mean cross-entropy count as evidence(n).
     lang_pred is "und", with score 0 and no entropy, for null texts and texts without a letter, and
     if no language was learned.  Ties go to the language that sorts first.
     """
@@ -243,7 +245,7 @@ def scores(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col:
             if has.any():
                 best[has] = mean[has].argmin(1)
                 low[has] = mean[has].min(1)
-                gap = (mean[has] - low[has][:, None]) * np.minimum(count[has], 32)[:, None]
+                gap = (mean[has] - low[has][:, None]) * evidence(count[has])[:, None]
                 share[has] = 1 / np.exp(-gap).sum(1)
             rest = [part.column(j) for j in range(part.num_columns) if j != i]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(names[best].tolist(), pa.string()), pa.array(share), pa.array(low, mask=~has), pa.array(count.astype(np.int64))], [id_col, *extra, "lang_pred", "score", "entropy", "n_keys"])
@@ -253,6 +255,85 @@ def scores(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, T.StructType([*rows.schema[:-1], *(T.StructField(*x) for x in more)]))
 
 
+def _order(counts: DataFrame, order: int, asked: DataFrame, below: DataFrame | None, languages: int) -> DataFrame:
+    """(lang, key, p): the probability of each asked key in each language by the counts (lang, key, n) of this order, and the order below."""
+    ones = {r.lang: r for r in counts.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).collect()}  # a row a language
+    share = [0.5 if l not in ones or not ones[l].one else min(max(ones[l].one / (ones[l].one + 2 * ones[l].two), 0.05), 0.95) for l in range(languages)]
+    d = F.element_at(F.array(*map(F.lit, share)), F.col("lang") + 1)
+    above = F.shiftrightunsigned("key", UNIT)
+    contexts = counts.groupBy("lang", above.alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    rows = asked.select("key", F.explode(F.array(*(F.lit(l) for l in range(languages)))).alias("lang"), above.alias("context"), F.col("key").bitwiseAND(_units_mask(order - 1)).alias("low"))
+    found = rows.join(contexts, ["lang", "context"], "left").join(counts, ["lang", "key"], "left")
+    lower = F.lit(2.0**-UNIT)
+    if below is not None:
+        found, lower = found.join(below.select("lang", F.col("key").alias("low"), F.col("p").alias("lower")), ["lang", "low"]), F.col("lower")
+    own = F.coalesce(F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("total"), F.lit(0.0))
+    return found.select("lang", "key", (own + F.coalesce(d * F.col("kinds") / F.col("total"), F.lit(1.0)) * lower).alias("p"))
+
+
+def _units_mask(order: int) -> int:
+    return (1 << UNIT * order) - 1
+
+
+def key_logs(asked: DataFrame, counts: DataFrame, languages: int) -> DataFrame:
+    """(key, logs): the log of the probability of each asked key (distinct) in each language, as KneserNey.logs() has it, by tables of all orders.
+
+    A context and a lower key have at most 2**16 asked keys, so no key of these joins is larger than that, for each language.
+    """
+    levels, keys = [counts], [asked.select("key")]
+    for o in range(ORDER - 1, 0, -1):
+        shorter = F.col("key").bitwiseAND(_units_mask(o)).alias("key")
+        levels.insert(0, cut(levels[0].select("lang", shorter).groupBy("lang", "key").agg(F.count("*").alias("n"))))
+        keys.insert(0, cut(keys[0].select(shorter).distinct()))
+    below = None
+    for o, (level, some) in enumerate(zip(levels, keys, strict=True), 1):
+        below = cut(_order(level, o, some, below, languages))
+    by_language = F.array_sort(F.collect_list(F.struct("lang", F.log("p").alias("log"))))
+    return below.groupBy("key").agg(by_language.alias("r")).select("key", F.col("r.log").alias("logs"))
+
+
+def scores_by_tables(docs: DataFrame, languages: list[str], counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
+    """scores() without a model in memory: the keys of each row are joined with key_logs(); frequent keys are dealt over tasks."""
+    from pyspark import TaskContext
+
+    extra = extra or []
+    rest = [id_col, *extra]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for part in X.slices(batches, "_text", 1 << 20):
+            i = part.schema.get_field_index("_text")
+            keys, first, letters = letter_keys(part.column(i))
+            of = np.repeat(np.arange(part.num_rows), np.diff(first))
+            kept = letters[of] > 0
+            order = np.lexsort((keys[kept], of[kept]))
+            k, r = keys[kept][order], of[kept][order]
+            head = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])])) if len(k) else np.zeros(0, np.int64)
+            times = np.diff(np.append(head, len(k)))
+            offs = pa.array(np.searchsorted(r[head], np.arange(part.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offs, pa.array(x)) for x in (k[head].view(np.int64), times.astype(np.int64))]
+            number = pa.array(np.where(letters > 0, np.diff(first), 0).astype(np.int64))
+            others = [part.column(j) for j in range(part.num_columns) if j != i]
+            yield pa.RecordBatch.from_arrays([*others, pa.array(np.arange(row, row + part.num_rows)), number, *lists], [*rest, "_row", "n_keys", "_keys", "_times"])
+            row += part.num_rows
+
+    rows = docs.select(F.col(id_col), *extra, F.col(text_col).alias("_text"))
+    longs = T.ArrayType(T.LongType())
+    more = [("_row", T.LongType()), ("n_keys", T.LongType()), ("_keys", longs), ("_times", longs)]
+    keyed = cut(rows.mapInArrow(run, T.StructType([*rows.schema[:-1], *(T.StructField(*x) for x in more)])))
+    each = keyed.select("_row", F.explode(F.arrays_zip("_keys", "_times")).alias("k")).select("_row", F.col("k._keys").alias("key"), F.col("k._times").alias("times"))
+    asked = cut(each.groupBy("key").agg(F.count("*").alias("n")))
+    logs = cut(key_logs(asked, counts, len(languages)).join(asked, "key"))
+    parts = [F.sum(F.col("times") * F.col("logs")[l]).alias(f"_{l}") for l in range(len(languages))]
+    sums = spread(each, logs, ["key"], "n", ["_row"]).groupBy("_row").agg(*parts)
+    mean = F.array(*(-F.col(f"_{l}") / F.col("n_keys") for l in range(len(languages))))
+    found = keyed.drop("_keys", "_times").join(sums, "_row", "left").withColumn("_mean", F.when(F.col("n_keys") > 0, mean)).withColumn("entropy", F.array_min("_mean"))
+    name = F.element_at(F.array(*map(F.lit, languages)), F.array_position("_mean", F.col("entropy")).cast("int"))
+    weight = evidence(F.col("n_keys").cast("double"))
+    odds = F.aggregate("_mean", F.lit(0.0), lambda a, m: a + F.exp((F.col("entropy") - m) * weight))
+    return found.select(*rest, F.when(F.col("n_keys") > 0, name).otherwise(UNKNOWN).alias("lang_pred"), F.coalesce(1 / odds, F.lit(0.0)).alias("score"), "entropy", "n_keys")
+
+
 def calibrated_limits(found: DataFrame, quantile: float = 0.999, slack: float = 1.5) -> DataFrame:
     """(lang_pred, most): beyond which entropy a text is rejected; ``slack`` times the quantile of the learning rows of that language (_lang)."""
     return found.filter("not held_out and entropy is not null and _lang = lang_pred").groupBy("lang_pred").agg((F.percentile_approx("entropy", quantile, 10_000) * slack).alias("most"))
@@ -263,10 +344,16 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     rejected: lang_pred is "und", or the entropy is beyond the calibrated limit of lang_pred (no learning row of it: no limit).
     """
-    model = train(docs.filter(~held_out(id_col)), text_col, lang_col)
+    languages, counts = learned(docs.filter(~held_out(id_col)), text_col, lang_col)
     extra = extra or []
     rows = docs.select(id_col, text_col, *extra, F.col(lang_col).alias("_lang"))
-    found = cut(scores(rows, model, id_col, text_col, [*extra, "_lang"]).withColumn("held_out", held_out(id_col)))
+    if counts.count() <= SENT:
+        sent = counts.toArrow()
+        model = KneserNey(languages, *(sent.column(c).to_numpy() for c in ("lang", "key", "n")))
+        found = scores(rows, model, id_col, text_col, [*extra, "_lang"])
+    else:
+        found = scores_by_tables(rows, languages, counts, id_col, text_col, [*extra, "_lang"])
+    found = cut(found.withColumn("held_out", held_out(id_col)))
     limits = F.broadcast(calibrated_limits(found))  # a row per language
     beyond = F.col("entropy").isNull() | F.coalesce(F.col("entropy") > F.col("most"), F.lit(False))
     return found.join(limits, "lang_pred", "left").select(*found.drop("_lang").columns, beyond.alias("rejected"))

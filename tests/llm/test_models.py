@@ -109,11 +109,23 @@ def test_scripts_do_not_mix(spark):
     assert got[1000].rejected and got[1001].lang_pred == "und" and got[1001].rejected
 
 
-def test_rare_keys_go_where_there_are_too_many(monkeypatch):
-    k, n = np.arange(1, 101, dtype=np.int64) << 3, np.arange(1, 101)
-    monkeypatch.setattr(language, "MOST", 40)
-    m = language.KneserNey(["xx"], np.zeros(100, int), k, n)
-    assert len(m.top.keys) == 40 and np.isfinite(m.logs(k.view(np.uint64))).all()
+def test_models_as_tables_give_the_same_rows(spark, monkeypatch):
+    """With models too large to be sent, and with all joins shuffled: odd rows, repeated rows, texts in scripts that no language has."""
+    from swirlframe.plans import skew
+
+    more = [(10_000 + i if i is not None else None, t, None) for i, t in odd_rows()] + [(20_000, "中😀文 aba", None), (20_000, "中😀文 aba", None)]
+    d = _corpus(spark).union(docs(spark, more)).select("doc_id", "text", "lang")
+
+    def rows():
+        return sorted((str(r.doc_id), r.n_keys, r.lang_pred, r.held_out, r.rejected, round(r.score, 3), round(r.entropy or -1, 4)) for r in language.identify(d).collect())
+
+    sent = rows()
+    monkeypatch.setattr(language, "SENT", -1)
+    assert rows() == sent and len(sent) == d.count()
+    monkeypatch.setattr(skew, "BROADCAST", 0)
+    monkeypatch.setattr(skew, "FEW", 50)
+    monkeypatch.setattr(skew, "SHARE", 10**9)
+    assert rows() == sent
 
 
 def test_rejected_rows_go_by_text(spark):
