@@ -245,9 +245,14 @@ def advected(field: DataFrame, grid: Grid, factor: int, dt_dx: float = 1.0, dt_d
     of = lambda c: F.floor(F.col(c) / tile).cast("int")
     wide = [F.col(c).cast("long").alias(c) for c in "uv"]
     field = field.select("t", "i", "j", *wide)
-    halos = _tile_halos(field, tile, cy, cx)
 
-    rows = _tile_rows(field, halos, tile).toDF("t", "ti", "tj", "i", "j", "u", "v")
+    single = h <= tile and w <= tile
+    if single:  # a frame is a tile, without a halo
+        whole = field.groupBy("t", "i").agg(F.array_sort(F.collect_list(F.struct("j", "u", "v"))).alias("r"))
+        rows = whole.select(F.col("t") + 1, F.lit(0), F.lit(0), "i", F.col("r.j")[0], "r.u", "r.v")
+    else:
+        rows = _tile_rows(field, _tile_halos(field, tile, cy, cx), tile)
+    rows = rows.toDF("t", "ti", "tj", "i", "j", "u", "v")
 
     def in_tiles(points: DataFrame) -> DataFrame:
         return points.toDF(*points.columns).select("*", of("y").alias("ti"), of("x").alias("tj"), of("i").alias("oi"), of("j").alias("oj"))
@@ -258,8 +263,8 @@ def advected(field: DataFrame, grid: Grid, factor: int, dt_dx: float = 1.0, dt_d
     out = in_tiles(start).groupBy(*keys).cogroup(own.groupBy(*keys)).applyInArrow(run, schema)
     result = ["t", "i", "j", "u", "v", "u_pred", "v_pred"]
     # the sum of a trace's moves is at most the largest move of its frame, so within a tile's width none leaves its halo
-    far = field.agg(F.max(F.greatest(F.abs("v") * F.lit(cy), F.abs("u") * F.lit(cx)))).first()[0] or 0.0
-    if far + 2 <= tile:
+    far = 0.0 if single else field.agg(F.max(F.greatest(F.abs("v") * F.lit(cy), F.abs("u") * F.lit(cx)))).first()[0] or 0.0
+    if single or far + 2 <= tile:
         return out.select(*result)
     parts = []
     while True:
