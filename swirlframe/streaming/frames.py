@@ -1,7 +1,7 @@
 """Frame streams: a row is a whole frame, (t, u array, v array) of fixed-point values in order of (i, j).
 
-What needs one frame only is stateless.  What needs the frame before keeps it as state, per
-field, and holds frames that come early until the ones before them are there.
+What needs one frame only is stateless.  What needs the frame before keeps it as state, per field
+and segment of frames, and holds frames that come early until the ones before them are there.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from ..grid import Grid
 from ..plans.kernels import has_zero
 
 SCHEMA = "field string, t int, u array<long>, v array<long>"
+#: Frames that share a state: those of one segment wait for each other, whatever has come of the others.
+SEGMENT = 256
 
 
 def frames(fixed: DataFrame, name: str = "field") -> DataFrame:
@@ -49,15 +51,23 @@ def layer_counts(stream: DataFrame, grid: Grid) -> DataFrame:
     return stream.mapInPandas(run, "field string, t int, n long")
 
 
+def by_segment(rows: DataFrame, length: int) -> DataFrame:
+    """rows with seg, t div ``length``; the last frame of a segment is there for the next one too, which begins by looking back at it."""
+    home = F.floor(F.col("t") / length).cast("int")
+    return rows.withColumn("seg", F.explode(F.when((F.col("t") + 1) % length == 0, F.array(home, home + 1)).otherwise(F.array(home))))
+
+
 def frame_changes(stream: DataFrame, first: int = 0, ahead: int = 1024) -> DataFrame:
-    """(field, t, sum_abs, max_abs) of the change from frame t - 1 to t, in order of t whatever the order of arrival.
+    """(field, t, sum_abs, max_abs) of the change from frame t - 1 to t, in order of t within a segment whatever the order of arrival.
 
-    Frame ``first`` is compared with zeros.  A frame that was handled already is ignored.  State: the last
-    frame, and those that came before their turn, by at most ``ahead`` frames: beyond that the query fails, as no frame may be lost.
+    Frame ``first`` is compared with zeros.  A frame that was handled already is ignored.  State, of each segment of SEGMENT frames:
+    the last frame, and those that came before their turn, by at most ``ahead`` frames: beyond that the query fails, as no frame may be
+    lost.  A segment waits for none but its own frames and the one before, so files may come in any order.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        due, last, early = state.get if state.exists else (first, b"", [])
+        begin = key[1] * SEGMENT
+        due, last, early = state.get if state.exists else (max(first, begin - 1), b"", [])
         waiting = dict(early)
         for p in parts:
             for t, u, v in zip(p["t"], p["u"], p["v"], strict=True):
@@ -66,17 +76,20 @@ def frame_changes(stream: DataFrame, first: int = 0, ahead: int = 1024) -> DataF
         out = []
         while due in waiting:
             now = waiting.pop(due)
-            x, y = (np.frombuffer(b, "<i8") for b in (now, last or bytes(len(now))))
-            d = np.abs(x - y)
-            out.append((key[0], due, int(d.sum()), int(d.max(initial=0))))
+            if due >= begin:
+                x, y = (np.frombuffer(b, "<i8") for b in (now, last or bytes(len(now))))
+                d = np.abs(x - y)
+                out.append((key[0], due, int(d.sum()), int(d.max(initial=0))))
             last, due = now, due + 1
+        if due == begin + SEGMENT:
+            last = b""
         if waiting and max(waiting) > due + ahead:
             raise ValueError(f"frame {max(waiting)} of {key[0]} came more than {ahead} frames before its turn")
         state.update((due, last, sorted(waiting.items())))
         yield pd.DataFrame(out, columns=["field", "t", "sum_abs", "max_abs"])
 
     kept = "due int, last binary, early array<struct<t:int,both:binary>>"
-    return stream.groupBy("field").applyInPandasWithState(run, "field string, t int, sum_abs long, max_abs long", kept, "append", GroupStateTimeout.NoTimeout)
+    return by_segment(stream, SEGMENT).groupBy("field", "seg").applyInPandasWithState(run, "field string, t int, sum_abs long, max_abs long", kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def run_to_end(out: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
