@@ -1,6 +1,6 @@
 """The codec on a stream of frames: blocks come out as soon as their frames are there.
 
-A frame is cut into the tiles of the block grid, each with the row and column before it; a tile's state is
+A frame is cut into the tiles of the block grid, each with the row and column before it; a tile's state, in each segment of frames, is
 the frames of the block that is due, and the last one of the block before.  As a block's last frame, row and column are lossless
 where another block follows, a block needs no frame behind it, and its rows are those of plans.codec.encode().
 The scale is given beforehand, as a stream's largest value is not known.
@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..grid import Grid, Scale
 from ..plans.codec import _NAMES, CODED, _checked, _Coder
+from .frames import SEGMENT, by_segment
 
 SCHEMA = "field string, t int, u array<float>, v array<float>"
 _TILE = "field string, bi int, bj int, t int, u binary, v binary"
@@ -55,11 +56,13 @@ def encode_stream(frames: DataFrame, plane: tuple[int, int], scale: Scale, eb: i
     """(field, and the columns of codec.encode()) of a stream or table of frames (field, t, u, v), t from 0, in any order.
 
     plane: rows and columns of a frame; total: the number of frames, if it is known: then the last block may be shorter, else only whole blocks
-    come out.  A frame that comes again is ignored.  A frame may come up to ``ahead`` frames before its block is due; the query fails beyond
-    that, as state must not grow without bound and no frame may be lost.
+    come out.  A frame that comes again is ignored.  A frame may come up to ``ahead`` frames before its block is due in its segment (whole blocks
+    of about SEGMENT frames); the query fails beyond that, as state must not grow without bound and no frame may be lost.  Segments wait for none but
+    their own frames and the one before, so files may come in any order.
     """
     _checked(predictor, guard, "uv", coding)
     (h, w), (b0, b1, b2) = plane, block
+    per = max(1, SEGMENT // b0)
     coder = _Coder((total, h, w), block, scale.factor, eb, predictor, 1 / scale.factor, 0.003, guard, "uv", "<f4", False, 1, coding)
 
     def block_row(bt: int, bi: int, bj: int, have: dict[int, tuple[bytes, bytes]]) -> tuple:
@@ -76,18 +79,21 @@ def encode_stream(frames: DataFrame, plane: tuple[int, int], scale: Scale, eb: i
         return coder(np.array([[bt * b0], [bi * b1], [bj * b2]]), real, there)[0]
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        name, bi, bj = key
-        due, ts, us, vs = state.get if state.exists else (0, [], [], [])
+        name, bi, bj, seg = key
+        due, ts, us, vs = state.get if state.exists else (seg * per, [], [], [])
+        end = (seg + 1) * per
         have = {t: (bytes(u), bytes(v)) for t, u, v in zip(ts, us, vs, strict=True)}
         for p in parts:
             for t, u, v in zip(p["t"], p["u"], p["v"], strict=True):
-                if t >= due * b0:
+                if t >= due * b0 - 1:
                     have.setdefault(int(t), (bytes(u), bytes(v)))
         out = []
-        while (total is None or due * b0 < total) and all(t in have for t in range(due * b0, (due + 1) * b0 if total is None else min((due + 1) * b0, total))):
+        while due < end and (total is None or due * b0 < total) and all(t in have for t in range(max(due * b0 - 1, 0), (due + 1) * b0 if total is None else min((due + 1) * b0, total))):
             out.append((name, *block_row(due, int(bi), int(bj), have)))
             due += 1
             have = {t: x for t, x in have.items() if t >= due * b0 - 1}
+        if due == end:
+            have = {}
         if have and max(have) >= (due + 1) * b0 + ahead:
             raise ValueError(f"frame {max(have)} of {name} came more than {ahead} frames before its turn")
         kept = sorted(have)
@@ -95,7 +101,7 @@ def encode_stream(frames: DataFrame, plane: tuple[int, int], scale: Scale, eb: i
         yield pd.DataFrame(out, columns=["field", *_NAMES])
 
     kept = "due int, t array<int>, u array<binary>, v array<binary>"
-    grouped = tiles(frames, plane, (b1, b2)).groupBy("field", "bi", "bj")
+    grouped = by_segment(tiles(frames, plane, (b1, b2)), per * b0).groupBy("field", "bi", "bj", "seg")
     if frames.isStreaming:
         return grouped.applyInPandasWithState(run, f"field string, {CODED}", kept, "append", GroupStateTimeout.NoTimeout)
 

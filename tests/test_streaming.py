@@ -54,3 +54,28 @@ def test_encoder_on_a_stream(spark, tmp_path):
     assert open_.select("bt").distinct().count() == 2
     with pytest.raises(Exception, match="before its turn"):
         en.encode_stream(en.real_frames(field.filter("t > 0")), (9, 10), s, eb, block, ahead=2).collect()
+
+
+def test_a_long_stream_in_any_order(spark, tmp_path):
+    """Files that come long before those before them: more frames than may wait in one state."""
+    from swirlframe.plans import codec
+    from swirlframe.streaming import encoder as en
+
+    rows = [("f", t, [t, -t, 2 * t, t % 7], [t % 5, 0, t, 1]) for t in range(1400)]
+    flat = [r[2] + r[3] for r in rows]
+    for part in (rows[1300:], rows[:700], rows[700:1300]):
+        spark.createDataFrame(part, fr.SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    got = fr.run_to_end(fr.frame_changes(fr.read_frames(spark, f"{tmp_path}/in", 1)), f"{tmp_path}/out", f"{tmp_path}/state")
+    change = [[abs(x - y) for x, y in zip(now, before)] for now, before in zip(flat, [[0] * 8, *flat])]
+    assert sorted((r.t, r.sum_abs, r.max_abs) for r in got.collect()) == [(t, sum(d), max(d)) for t, d in enumerate(change)]
+
+    g, block = Grid(3, 4, 600), (5, 3, 4)
+    field = swirl_field(spark, g, "focus", drift=0.01).selectExpr("t", "i", "j", "cast(u as float) u", "cast(v as float) v")
+    s = fixed_scale(field)
+    eb = codec.bound_for(s, 0.05)
+    frames = en.real_frames(field)
+    for part in ("t >= 550", "t < 300", "t >= 300 and t < 550"):
+        frames.filter(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/real")
+    coded = en.encode_stream(en.read_real_frames(spark, f"{tmp_path}/real", 1), (3, 4), s, eb, block, 600)
+    got, want = fr.run_to_end(coded, f"{tmp_path}/coded", f"{tmp_path}/state2").drop("field"), codec.encode(field, g, s, eb, block=block)
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count() == 120
