@@ -52,3 +52,29 @@ def test_what_does_not_go(spark):
     for how in ({"guard": "legacy"}, {"predictor": "advect"}, {"predictor": "time_linear", "block": (1, 2, 2)}):
         with pytest.raises(ValueError):
             wavefront.encode(field, g, s, 1 << 20, **how)
+
+
+@pytest.mark.parametrize(("predictor", "back"), [("lorenzo3d", 1), ("mixed_order", 2)])
+def test_segments_go_through_their_stages_at_once(spark, monkeypatch, predictor, back):
+    """A longer field takes no more stages; only the last frames of a segment become lossless, and no face changes its verdict."""
+    from swirlframe.grid import to_fixed
+    from swirlframe.operators import verify
+
+    written, read = [], wavefront._read
+    monkeypatch.setattr(wavefront, "_read", lambda spark, out, stages: (written.append(max(stages)), read(spark, out, stages))[1])
+    block, most = (3, 4, 5), []
+    for frames in (13, 25):
+        g = Grid(7, 9, frames)
+        field = _field(spark, g)
+        s = fixed_scale(field)
+        eb = codec.bound_for(s, 0.05)
+        written.clear()
+        rows = wavefront.decode(wavefront.encode(field, g, s, eb, predictor, block, segment=2), g, s, predictor, block, segment=2).cache()
+        assert rows.count() == g.size
+        most.append(max(written))
+        ends = [t for t in range(frames - 1) if (t // 3 % 2, t % 3 >= 3 - back) == (1, True) and t // 6 * 6 + 6 < frames]
+        assert rows.filter(F.col("t").isin(ends) & ~F.col("lossless")).count() == 0 and rows.filter(~F.col("t").isin(ends) & ~F.col("lossless")).count() > g.size // 4
+        both = to_fixed(field, s).join(rows.select("t", "i", "j", F.col("ufp").alias("du"), F.col("vfp").alias("dv")), ["t", "i", "j"])
+        assert both.filter((F.abs(F.col("u") - F.col("du")) > eb) | (F.abs(F.col("v") - F.col("dv")) > eb)).count() == 0
+        assert verify.marked_faces(both, g).filter("ori <> dec").count() == 0
+    assert most[0] == most[1]
