@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CONFUSION = "region string, index int, tp long, tn long, fp long, fn long"
+#: Frames whose points are a file.
+FRAMES = 64
 
 
 def write_counts(counts: DataFrame, path: str) -> None:
@@ -35,12 +37,15 @@ def confusion_sums(confusion: DataFrame) -> DataFrame:
 
 
 def write_points(points: DataFrame, path: str) -> None:
-    """Critical points as Parquet, by frame, so that a frame is read alone."""
-    points.write.mode("overwrite").partitionBy("t").parquet(path)
+    """Critical points as Parquet, a file for each FRAMES frames and in their order, so that few files are made and a frame is read alone."""
+    rows = points.withColumn("frames", F.floor(F.col("t") / FRAMES).cast("int"))
+    rows.repartition("frames").sortWithinPartitions("frames", "t").write.mode("overwrite").partitionBy("frames").parquet(path)
 
 
-def read_points(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_points(spark: SparkSession, path: str, frame: int | None = None) -> DataFrame:
+    """The points of write_points(), of all frames or of one."""
+    rows = spark.read.parquet(path)
+    return (rows if frame is None else rows.filter((F.col("frames") == frame // FRAMES) & (F.col("t") == frame))).drop("frames")
 
 
 def write_polydata(samples: DataFrame, path: str) -> None:

@@ -189,3 +189,14 @@ def test_image_and_frames(spark, tmp_path):
         assert [r.u for r in got] == want.tolist()
     with pytest.raises(ValueError):
         raw.read_frame(spark, f"{tmp_path}/u.bin", g, 4, "<f8")
+
+
+def test_points_of_many_frames_are_few_files(spark, tmp_path):
+    from swirlframe.sources import reports
+
+    points = spark.range(1000).repartition(5).selectExpr("cast(id div 5 as int) t", "id simplex_id", "id * 0.5 x")
+    reports.write_points(points, f"{tmp_path}/points")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{tmp_path}/points")
+    assert files.count() <= 4
+    assert sorted(tuple(r) for r in reports.read_points(spark, f"{tmp_path}/points").select(points.columns).collect()) == sorted(tuple(r) for r in points.collect())
+    assert sorted(r.simplex_id for r in reports.read_points(spark, f"{tmp_path}/points", 70).collect()) == list(range(350, 355))
