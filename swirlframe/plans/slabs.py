@@ -112,3 +112,101 @@ def components(faces: DataFrame, grid: Grid, rounds: int = 60) -> DataFrame:
     between = rows.filter("shared").groupBy("face").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
     found = connected(between.select("a", "b"), rounds)
     return rows.join(found.withColumnRenamed("id", "label"), "label", "left").withColumn("component", F.coalesce("component", "label"))
+
+
+def _ranked_within(n: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(end, place, length) of 0 to n - 1, of which none has more than two links: the smaller end of its path, how many links it is away from that, and the path's.
+
+    A loop begins at its smallest number and goes on to that one's smaller neighbour; its length is 0.
+    """
+    here, there = np.r_[x, y], np.r_[y, x]
+    order = np.lexsort((there, here))
+    here, there = here[order], there[order]
+    many = np.bincount(here, minlength=n)
+    near = np.full((n, 2), -1)
+    near[here, np.arange(len(here)) - np.repeat(np.cumsum(many) - many, many)] = there
+    # a step 2 * v + k goes from v to near[v, k], and on from there, until a path ends
+    at = near.ravel()
+    goes = at >= 0
+    went = np.where(near[at, 0] == np.repeat(np.arange(n), 2), 1, 0)
+    on = np.where(goes & (near[at, went] >= 0), 2 * at + went, -1)
+    steps = goes.astype(np.int64)
+    at = np.where(goes, at, np.repeat(np.arange(n), 2))
+    for _ in range(int(2 * n).bit_length() + 1):
+        more = on >= 0
+        if not more.any():
+            break
+        to = on[more]
+        steps[more], at[more], on[more] = steps[more] + steps[to], at[to], on[to]
+    at, steps, loop = at.reshape(-1, 2), steps.reshape(-1, 2), (on.reshape(-1, 2) >= 0).any(1)
+    low = at.argmin(1)[:, None]
+    end, place, length = np.take_along_axis(at, low, 1)[:, 0], np.take_along_axis(steps, low, 1)[:, 0], steps.sum(1)
+    length[loop] = 0
+    seen = np.zeros(n, bool)
+    for v in np.flatnonzero(loop):  # ascending, so the first of a loop is its smallest
+        was, k, first = v, 0, v
+        now = near[v, 0]
+        while not seen[v]:
+            seen[v], end[v], place[v] = True, first, k
+            was, v, k = v, now, k + 1
+            now = near[v, 1] if near[v, 0] == was else near[v, 0]
+    return end, place, length
+
+
+def chains(faces: DataFrame, grid: Grid) -> DataFrame:
+    """(face, x, y, off, w) of zero faces (face) none of which has more than two links; faces without links have no row.
+
+    Paths that end within a slab, and loops: off is the place of face from x, and y the smallest face.  Others are cut into stretches (x, y) of w links (face is null), with the
+    faces within them (w is null), off links behind x.  The ends of a path, its smallest face, and the neighbours of these are ends of stretches.
+    """
+    tets, each = _tetrahedra(grid), 12 * grid.plane * frames_of(grid)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        face = np.sort(part["face"].to_numpy(np.int64))
+        x, y = links_within(face, tets)
+        linked, pair = np.unique(np.r_[x, y], return_inverse=True)
+        face, n = face[linked], len(linked)
+        x, y = pair[: len(x)], pair[len(x) :]
+        least = least_within(n, x, y)
+        end, place, length = _ranked_within(n, x, y)
+        order = np.lexsort((place, end))
+        face, least, end, place, length = face[order], face[least[order]], face[end[order]], place[order], length[order]
+        shared = (face % each < 12 * grid.plane) & (face % 12 < 2) & (face >= each)
+        begins = np.flatnonzero(place == 0)
+        chain = np.cumsum(place == 0) - 1
+        last = np.r_[begins[1:], n] - 1 if n else begins
+        whole = ((length == 0) | ~(shared[begins] | shared[last])[chain]) if n else np.zeros(0, bool)
+        at_least = place[face == least][chain] if n else place
+        stop = (place <= 1) | (place >= length - 1) | (np.abs(place - at_least) <= 1)
+        number = np.arange(n)
+        before = np.maximum.accumulate(np.where(stop, number, 0)) if n else number
+        behind = np.minimum.accumulate(np.where(stop, number, n)[::-1])[::-1] if n else number
+        inner = ~whole & ~stop
+        to = np.flatnonzero(~whole & stop & (place > 0))
+        since = before[to - 1]
+        return pd.DataFrame({
+            "face": np.r_[face[whole], face[inner], np.zeros(len(to), np.int64)],
+            "x": np.r_[end[whole], face[before[inner]], face[since]],
+            "y": np.r_[least[whole], face[behind[inner]], face[to]],
+            "off": np.r_[place[whole], (place - place[before])[inner], np.zeros(len(to), np.int64)],
+            "w": np.r_[np.full(whole.sum(), -1), np.zeros(inner.sum(), np.int64), place[to] - place[since]],
+        })
+
+    made = by_slab(faces.select("face"), grid).groupBy("slab").applyInPandas(run, "face long, x long, y long, off long, w long")
+    whole, link = F.col("w") < 0, F.col("w") > 0
+    return made.select(F.when(~link, F.col("face")).alias("face"), "x", "y", "off", F.when(link | whole, F.col("w")).alias("w"))
+
+
+def ranked(faces: DataFrame, grid: Grid, rounds: int = 60) -> DataFrame:
+    """(node, first, place, low), as critical.ranked_paths(), of zero faces (face) that have links; only stretches between slabs go through its rounds."""
+    from ..operators.critical import ranked_paths
+    from .checkpoints import written
+
+    rows = written(chains(faces, grid), "chains")
+    stretches = rows.filter("w > 0").select("x", "y", "w")
+    ends = written(ranked_paths(stretches, stretches.select(F.col("x").alias("node")).union(stretches.select("y")).distinct(), rounds), "ranks")
+    begin, end = (ends.select(F.col("node").alias(c), F.col("first").alias("first_" + c), F.col("place").alias("place_" + c), F.col("low").alias("low_" + c)) for c in "xy")
+    both = stretches.join(begin, "x").join(end, "y").select("x", "y", F.col("first_x").alias("first"), F.col("place_x").alias("place"), F.when(F.col("place_x") < F.col("place_y"), 1).otherwise(-1).alias("way"), F.col("low_x").alias("low"))
+    within = rows.filter("w is null").join(both, ["x", "y"]).select(F.col("face").alias("node"), "first", (F.col("place") + F.col("way") * F.col("off")).alias("place"), "low")
+    whole = rows.filter("w < 0").select(F.col("face").alias("node"), F.col("x").alias("first"), F.col("off").alias("place"), F.col("y").alias("low"))
+    return ends.select("node", "first", "place", "low").unionByName(within).unionByName(whole)

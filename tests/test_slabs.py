@@ -4,6 +4,7 @@ import pytest
 from support import SF, spark_rows
 
 from swirlframe import queries as q
+from swirlframe.operators import critical
 from swirlframe.plans import components, slabs
 
 
@@ -20,3 +21,13 @@ def test_only_what_slabs_share_is_connected(spark, monkeypatch):
     monkeypatch.setattr(slabs, "FACES_AT_ONCE", 12 * 800 * 5)
     assert q.QUERIES["cp_curves"](spark, SF).count() > 0
     assert 0 < seen[0] < q.QUERIES["cp_links"](spark, SF).count() / 20
+
+
+@pytest.mark.parametrize("frames", [1, 5])
+def test_order_by_slabs(spark, duck, monkeypatch, frames):
+    """Stretches between slabs are ranked, and what lies within them is put in its place; loops over several slabs too."""
+    seen, ranked = [], critical.ranked_paths
+    monkeypatch.setattr(critical, "ranked_paths", lambda links, *a: (seen.append(links.count()), ranked(links, *a))[1])
+    monkeypatch.setattr(slabs, "FACES_AT_ONCE", 12 * 800 * frames)
+    assert spark_rows(q.QUERIES["cp_ordered_curves"](spark, SF)) == duck(q.SQL["cp_ordered_curves"])
+    assert 0 < seen[0] and (frames == 1 or seen[0] < q.QUERIES["cp_links"](spark, SF).count() / 2)
