@@ -159,7 +159,7 @@ _SIZES_SQL = _COMPONENTS_SQL.replace("SELECT component, count(*) AS n_faces FROM
 def polydata_file(spark, sf_dir):
     """Trajectories as VTK lines: how many have how many points."""
     at = f"{scratch(spark, 'curves')}.vtp"
-    reports.write_polydata(critical.ordered_curves(*_zero(spark, sf_dir)), at)
+    reports.write_polydata(critical.ordered_curves(*_zero(spark, sf_dir)), at, parts=True)
     return reports.read_polydata(spark, at).groupBy("line").agg(F.count("*").alias("n_points")).groupBy("n_points").agg(F.count("*").alias("n"))
 
 

@@ -7,12 +7,15 @@ Writing: rows (at, body) are the pieces of a file, in order of ``at``.  A task w
 the tasks that succeeded in MANIFEST; what other attempts left is deleted.  ``cat path/part-*`` is the file; the readers here take a folder of
 parts for the file that it stands for.
 
+Values as text (read_text()) are split at any byte: the values of each range are counted first.
+
 Files are opened through pyarrow, by URI: any store that it reaches.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
@@ -301,3 +304,124 @@ def bodies(rows: DataFrame, cols: list[str], make) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(make(x), pa.binary())], ["at", "body"])
 
     return rows.select("at", *cols).mapInArrow(run, "at long, body binary")
+
+
+# --- values as text -----------------------------------------------------------------------------------
+
+#: Bytes of text that are split into values at once.
+TEXT = 1 << 20
+_SPACE = re.compile(rb"\s")
+
+
+@dataclass
+class Text:
+    """Numbers apart by white space, from byte begin to byte end of a file: rows of ``width`` of them, ``rows`` in all (None: as many as there are)."""
+
+    name: str
+    parts: list
+    begin: int
+    end: int
+    width: int
+    rows: int | None = None
+    kind: str = "f8"
+
+
+def ranges(spans: list[tuple[int, int]], most: int) -> list[tuple[int, int, int]]:
+    """(number of a span, begin, end): spans of bytes in pieces of ``most``."""
+    return [(k, at, min(at + most, end)) for k, (begin, end) in enumerate(spans) for at in range(begin, end, most)]
+
+
+def by_range(spark: SparkSession, pieces: list, run, schema: str) -> DataFrame:
+    """run(piece) gives Arrow batches; a task for each piece."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield from run(pieces[k])
+
+    return spark.range(0, len(pieces), 1, max(1, len(pieces))).mapInArrow(each, schema)
+
+
+def _edge(source: Bytes, text: Text, at: int) -> int:
+    """``at``, or the end of the value that it is within: a value belongs to the range in which it begins."""
+    if at <= text.begin or at >= text.end:
+        return min(max(at, text.begin), text.end)
+    at -= 1
+    while at < text.end:
+        body = source.read(at, min(256, text.end - at))
+        found = _SPACE.search(body)
+        if found:
+            return at + found.start()
+        at += len(body)
+    return text.end
+
+
+def _words(source: Bytes, text: Text, begin: int, end: int) -> Iterator[list[bytes]]:
+    """The values that begin in a range, some at once."""
+    at = _edge(source, text, begin)
+    while begin < end:
+        begin = min(begin + TEXT, end)
+        stop = _edge(source, text, begin)
+        yield source.read(at, stop - at).split()
+        at = stop
+
+
+def read_text(spark: SparkSession, texts: list[Text], most: int = BYTES) -> DataFrame:
+    """(path, at, values array of doubles): the rows of numbers that are text, at counting those of a file.
+
+    Ranges of about ``most`` bytes are counted by a task each, so that the place of each one's first value is known; then a task reads the rows that
+    begin in its range.  The driver gets a number a range.
+    """
+    pieces = ranges([(x.begin, x.end) for x in texts], most)
+
+    def count(piece: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
+        k, begin, end = piece
+        source = Bytes(texts[k].parts)
+        n = sum(map(len, _words(source, texts[k], begin, end)))
+        source.close()
+        yield pa.RecordBatch.from_pydict({"k": [k], "begin": [begin], "n": [n]}, pa.schema([("k", pa.int64()), ("begin", pa.int64()), ("n", pa.int64())]))
+
+    counted = {(r.k, r.begin): r.n for r in by_range(spark, pieces, count, "k long, begin long, n long").collect()}
+    known, total = [], [0] * len(texts)
+    for k, begin, end in pieces:
+        known.append((k, begin, end, total[k], total[k] + counted[k, begin]))
+        total[k] += counted[k, begin]
+    for x, n in zip(texts, total, strict=True):
+        if n < x.width * (x.rows or 0) or x.rows is None and n % x.width:
+            raise ValueError(f"{x.name}: {n} values; the header says {x.width * x.rows if x.rows is not None else f'rows of {x.width}'}")
+
+    def rows(piece: tuple[int, int, int, int, int]) -> Iterator[pa.RecordBatch]:
+        k, begin, _, low, high = piece
+        text, width = texts[k], texts[k].width
+        first, last = -(-low // width), -(-high // width)
+        last = last if text.rows is None else min(last, text.rows)
+        if first >= last:
+            return
+        source, held, skip = Bytes(text.parts), np.zeros(0), first * width - low
+        for words in _words(source, text, begin, text.end):
+            words, skip = words[skip:], max(0, skip - len(words))
+            held = np.concatenate([held, np.array(words, "f8").astype(text.kind).astype("f8")])
+            n = min(len(held) // width, last - first)
+            if n:
+                out = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(held[: n * width]))
+                yield pa.RecordBatch.from_arrays([pa.array([text.name] * n, pa.string()), pa.array(np.arange(first, first + n)), out], ["path", "at", "values"])
+                held, first = held[n * width :], first + n
+            if first >= last:
+                break
+        source.close()
+
+    return by_range(spark, known, rows, "path string, at long, values array<double>")
+
+
+def find_in(spark: SparkSession, parts: list, pattern: bytes, longest: int = 1 << 16, most: int = BYTES) -> list[tuple[int, bytes]]:
+    """(place, match) of a pattern of at most ``longest`` bytes that occurs few times in a file: a task looks through a range."""
+    size = size_of(parts)
+
+    def look(piece: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
+        _, begin, end = piece
+        source = Bytes(parts)
+        found = [(begin + m.start(), m.group()) for m in re.finditer(pattern, source.read(begin, min(end + longest, size) - begin)) if begin + m.start() < end]
+        source.close()
+        yield pa.RecordBatch.from_arrays([pa.array([at for at, _ in found], pa.int64()), pa.array([m for _, m in found], pa.binary())], ["at", "found"])
+
+    return sorted((r.at, bytes(r.found)) for r in by_range(spark, ranges([(0, size)], most), look, "at long, found binary").collect())

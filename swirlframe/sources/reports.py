@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..grid import union_all
+from ..plans.checkpoints import written
+from .parts import BYTES, Text, find_in, parts_of, read_text, write_pieces
+
 CONFUSION = "region string, index int, tp long, tn long, fp long, fn long"
 #: Frames whose points are a file.
 FRAMES = 64
+#: Lines of text that are a piece of a file.
+LINES = 1000
 
 
 def write_counts(counts: DataFrame, path: str) -> None:
@@ -48,39 +56,68 @@ def read_points(spark: SparkSession, path: str, frame: int | None = None) -> Dat
     return (rows if frame is None else rows.filter((F.col("frames") == frame // FRAMES) & (F.col("t") == frame))).drop("frames")
 
 
-def write_polydata(samples: DataFrame, path: str) -> None:
-    """VTK PolyData XML of ordered trajectories (component, place, x, y, t): points and lines, a partition at a time through the driver."""
+def _numbered(rows: DataFrame, *order: str) -> tuple[DataFrame, int]:
+    """(rows with at, n): places in an order, from 0: those within a sorted partition, behind the rows of the partitions before."""
+    marked = written(rows.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_row", 33)
+    begins, n = [], 0
+    for r in marked.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():  # a row for each partition
+        begins.append((r.part, n))
+        n += r.n
+    begins = rows.sparkSession.createDataFrame(begins, "part long, begin long")
+    joined = marked.withColumn("part", part).join(F.broadcast(begins), "part")
+    return joined.withColumn("at", F.col("begin") + F.col("_row").bitwiseAND((1 << 33) - 1)).drop("part", "begin", "_row"), n
+
+
+def _pieces(lines: DataFrame, first: int) -> DataFrame:
+    """(at, body): lines (at, value), LINES of them a piece, of which the first one is ``first``."""
+    joined = lines.groupBy(F.floor(F.col("at") / LINES).alias("piece")).agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("r"))
+    return joined.select((F.col("piece") + first).alias("at"), F.encode(F.concat(F.concat_ws("\n", "r.value"), F.lit("\n")), "UTF-8").alias("body"))
+
+
+def write_polydata(samples: DataFrame, path: str, parts: bool = False, most: int = BYTES) -> None:
+    """VTK PolyData XML of ordered trajectories (component, place, x, y, t): points and lines; one file, whose pieces go through the driver, or in parts (see parts.py) that tasks write."""
     from .raw import output
 
-    rows = samples.select("component", "place", "x", "y", "t").orderBy("component", "place")
-    sizes = samples.groupBy("component").agg(F.count("*").alias("n")).orderBy("component")
-    n_points, n_lines = samples.count(), sizes.count()
-    with output(samples.sparkSession, path) as write:
-        put = lambda *lines: write(("\n".join(lines) + "\n").encode())
-        put('<?xml version="1.0"?>', '<VTKFile type="PolyData" version="0.1" byte_order="LittleEndian">', "<PolyData>", f'<Piece NumberOfPoints="{n_points}" NumberOfLines="{n_lines}">')
-        put('<Points><DataArray type="Float64" NumberOfComponents="3" format="ascii">')
-        for r in rows.toLocalIterator():
-            put(f"{r.x:.9g} {r.y:.9g} {r.t:.9g}")
-        put("</DataArray></Points>", '<Lines><DataArray type="Int64" Name="connectivity" format="ascii">')
-        for k in range(0, n_points, 1000):
-            put(" ".join(map(str, range(k, min(k + 1000, n_points)))))
-        put("</DataArray>", '<DataArray type="Int64" Name="offsets" format="ascii">')
-        end = 0
-        for r in sizes.toLocalIterator():
-            end += r.n
-            put(str(end))
-        put("</DataArray></Lines>", "</Piece>", "</PolyData>", "</VTKFile>")
-
-
-def read_polydata(spark: SparkSession, path: str) -> DataFrame:
-    """(line, place, x, y, t) of a file of write_polydata(), which is read as a whole: a report of a size for viewing."""
-    import xml.etree.ElementTree as ET
-
-    root = ET.fromstring(spark.read.text(path, wholetext=True).first()[0])
-    arrays = {a.get("Name"): a.text.split() for a in root.iter("DataArray")}
-    points = list(map(float, arrays[None]))
-    out, first = [], 0
-    for line, end in enumerate(map(int, arrays["offsets"])):
-        out += [(line, k - first, *points[3 * int(c) : 3 * int(c) + 3]) for k, c in enumerate(arrays["connectivity"][first:end], first)]
-        first = end
-    return spark.createDataFrame(out, "line int, place int, x double, y double, t double")
+    spark = samples.sparkSession
+    points, n_points = _numbered(written(samples.select("component", "place", *(F.col(c).cast("double").alias(c) for c in "xyt")), "samples"), "component", "place")
+    ends, n_lines = _numbered(points.groupBy("component").agg((F.max("at") + 1).alias("end")), "end")
+    tag = lambda at, *lines: spark.createDataFrame([(at, ("\n".join(lines) + "\n").encode())], "at long, body binary")
+    count = lambda n: -(-n // LINES)
+    head = ('<?xml version="1.0"?>', '<VTKFile type="PolyData" version="0.1" byte_order="LittleEndian">', "<PolyData>", f'<Piece NumberOfPoints="{n_points}" NumberOfLines="{n_lines}">', '<Points><DataArray type="Float64" NumberOfComponents="3" format="ascii">')
+    own = count(n_points)  # pieces of points, and of connectivity
+    from_, to = F.col("id") * LINES, F.least((F.col("id") + 1) * LINES, F.lit(n_points)) - 1
+    made = union_all([
+        tag(0, *head),
+        _pieces(points.select("at", F.format_string("%.9g %.9g %.9g", "x", "y", "t").alias("value")), 1),
+        tag(1 + own, "</DataArray></Points>", '<Lines><DataArray type="Int64" Name="connectivity" format="ascii">'),
+        spark.range(own).select((F.col("id") + 2 + own).alias("at"), F.encode(F.concat(F.concat_ws(" ", F.sequence(from_, to).cast("array<string>")), F.lit("\n")), "UTF-8").alias("body")),
+        tag(2 + 2 * own, "</DataArray>", '<DataArray type="Int64" Name="offsets" format="ascii">'),
+        _pieces(ends.select("at", F.col("end").cast("string").alias("value")), 3 + 2 * own),
+        tag(3 + 2 * own + count(n_lines), "</DataArray></Lines>", "</Piece>", "</PolyData>", "</VTKFile>"),
+    ])
+    if parts:
+        return write_pieces(made, 4 + 2 * own + count(n_lines), path, 36 * LINES, most=most)
+    with output(spark, path) as write:
+        for r in made.orderBy("at").toLocalIterator():
+            write(r.body)
+
+
+def read_polydata(spark: SparkSession, path: str, most: int = BYTES) -> DataFrame:
+    """(line, place, x, y, t) of a file of write_polydata(), one or in parts, read by ranges of ``most`` bytes."""
+    parts = parts_of(spark, path)
+    tags = find_in(spark, parts, rb"</?DataArray[^>]*>", most=most)
+    spans = {}
+    for (at, opened), (end, _) in zip(tags[::2], tags[1::2], strict=True):
+        name = re.search(rb'Name="([^"]*)"', opened)
+        spans[name and name.group(1).decode()] = at + len(opened), end
+    rows = lambda name, width: read_text(spark, [Text(path, parts, *spans[name], width)], most)
+    value = F.col("values")[0].cast("long")
+    points = rows(None, 3).select(F.col("at").alias("point"), *(F.col("values")[k].alias(c) for k, c in enumerate("xyt")))
+    ends = rows("offsets", 1).select(F.col("at").alias("line"), value.alias("end"))
+    begins = ends.select((F.col("line") + 1).alias("line"), F.col("end").alias("begin"))
+    lines = ends.join(begins, "line", "left").withColumn("begin", F.coalesce("begin", F.lit(0).cast("long"))).filter("begin < end")
+    some = lines.select("line", "begin", "end", F.explode(F.sequence("begin", F.col("end") - 1, F.lit(LINES))).alias("low"))  # a long line is many rows
+    places = some.select("line", "begin", F.explode(F.sequence("low", F.least(F.col("low") + LINES, F.col("end")) - 1)).alias("at"))
+    found = places.join(rows("connectivity", 1).select("at", value.alias("point")), "at").join(points, "point")
+    return found.select(F.col("line").cast("int").alias("line"), (F.col("at") - F.col("begin")).cast("int").alias("place"), "x", "y", "t")

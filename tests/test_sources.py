@@ -200,3 +200,20 @@ def test_points_of_many_frames_are_few_files(spark, tmp_path):
     assert files.count() <= 4
     assert sorted(tuple(r) for r in reports.read_points(spark, f"{tmp_path}/points").select(points.columns).collect()) == sorted(tuple(r) for r in points.collect())
     assert sorted(r.simplex_id for r in reports.read_points(spark, f"{tmp_path}/points", 70).collect()) == list(range(350, 355))
+
+
+def test_polydata_in_parts(spark, tmp_path):
+    """Trajectories of more points than a piece has, written and read by many tasks; in parts and as one file they are the same bytes."""
+    from swirlframe.sources import reports
+
+    curve = spark.range(2500).selectExpr("if(id < 7, 3L, if(id < 2480, 5L, id)) component", "id place", "id * 0.5 x", "-id * 0.25 y", "id * 1e-7 t").repartition(3)
+    reports.write_polydata(curve, f"{tmp_path}/parts.vtp", parts=True, most=40_000)
+    reports.write_polydata(curve, f"{tmp_path}/one.vtp")
+    assert whole(tmp_path / "parts.vtp") == (tmp_path / "one.vtp").read_bytes() and len(list((tmp_path / "parts.vtp").glob("part-*"))) > 3
+    for name, most in (("parts.vtp", 5000), ("one.vtp", 1 << 20)):
+        back = reports.read_polydata(spark, f"{tmp_path}/{name}", most)
+        assert [tuple(r) for r in back.groupBy("line").count().filter("line < 3").orderBy("line").collect()] == [(0, 7), (1, 2473), (2, 1)]
+        got = back.orderBy("line", "place").collect()
+        assert [r.x for r in got] == [k * 0.5 for k in range(2500)] and abs(got[2100].t - 2.1e-4) < 1e-12 and got[2100].place == 2093
+    reports.write_polydata(curve.limit(0), f"{tmp_path}/none.vtp", parts=True)
+    assert reports.read_polydata(spark, f"{tmp_path}/none.vtp").count() == 0
