@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..grid import Grid, union_all
-from .parts import BYTES, Bytes, Component, Layout, bodies, files_of, header, read_layouts, size_of, write_pieces
+from .parts import BYTES, Bytes, Component, Layout, Text, bodies, files_of, header, read_layouts, read_text, size_of, write_pieces
 from .raw import sized_rows
 
 END = "# data section follows"
@@ -120,8 +120,8 @@ def values(lattice: Lattice, data: bytes) -> np.ndarray:
     return flat.astype("f8").reshape(lattice.nz, lattice.ny, lattice.nx, lattice.components)
 
 
-def layout(path: str, parts: list) -> Layout | None:
-    """Where a lattice of binary values lies in its file; None if values are text, which has to be read from its beginning."""
+def found(parts: list) -> tuple[Lattice, int]:
+    """(lattice, where its values begin)."""
 
     def parse(body: bytes) -> tuple[Lattice, int]:
         head, data = split(body)
@@ -129,7 +129,13 @@ def layout(path: str, parts: list) -> Layout | None:
             raise ValueError("the tag behind the header may go on")
         return parse_header(head), len(body) - len(data)
 
-    lattice, begin = header(parts, parse)
+    return header(parts, parse)
+
+
+def layout(path: str, parts: list) -> Layout | None:
+    """Where a lattice of binary values lies in its file; None if values are text."""
+
+    lattice, begin = found(parts)
     kind = np.dtype(lattice.order + TYPES[lattice.kind])
     need, have = lattice.count * kind.itemsize, size_of(parts) - begin
     if lattice.encoding != "binary" or 3 * have >= 4 * need > 0:  # as long as Base64 of the values would be
@@ -144,21 +150,31 @@ def layout(path: str, parts: list) -> Layout | None:
 def read_lattices(spark: SparkSession, path: str, most: int = BYTES) -> list[tuple[int, DataFrame]]:
     """(components, rows) of the files at path, those with as many components together: (path, t, i, c0, c1, ...: arrays of doubles), a row per grid row.
 
-    path is a file, a pattern of files, or what write_amira() has written.  Files of binary values are split by rows, at ``most`` bytes; one of text values is read by one task.
+    path is a file, a pattern of files, or what write_amira() has written.  Files of binary and ASCII values are split by rows, at ``most`` bytes; one in Base64 is read by one task.
     """
     binary: dict[int, list[Layout]] = {}
+    ascii_: dict[int, dict[str, tuple[Lattice, Text]]] = {}
     texts: dict[int, list] = {}
     for name, parts in files_of(spark, path):
-        found = layout(name, parts)
-        if found:
-            binary.setdefault(len(found.components), []).append(found)
+        made = layout(name, parts)
+        if made:
+            binary.setdefault(len(made.components), []).append(made)
+            continue
+        lattice, begin = found(parts)
+        if lattice.encoding == "ascii":
+            text = Text(name, parts, begin, size_of(parts), lattice.nx * lattice.components, lattice.ny * lattice.nz, TYPES[lattice.kind])
+            ascii_.setdefault(lattice.components, {})[name] = lattice, text
         else:
-            lattice = header(parts, lambda b: parse_header(split(b)[0]))
             texts.setdefault(lattice.components, []).append((name, parts))
     out = []
-    for n in sorted({*binary, *texts}):
+    for n in sorted({*binary, *ascii_, *texts}):
         names = [f"c{k}" for k in range(n)]
         made = [read_layouts(spark, binary[n], names, most=most)] if n in binary else []
+        if n in ascii_:
+            heights = spark.createDataFrame([(name, lattice.ny) for name, (lattice, _) in ascii_[n].items()], "path string, ny int")
+            rows = read_text(spark, [text for _, text in ascii_[n].values()], most).join(F.broadcast(heights), "path")
+            each = [F.expr(f"filter(values, (_, m) -> m % {n} = {k})").alias(c) for k, c in enumerate(names)]
+            made.append(rows.select("path", F.expr("cast(at div ny as int)").alias("t"), F.expr("cast(at % ny as int)").alias("i"), *each))
         if n in texts:
             listed = spark.createDataFrame([(name, [tuple(p) for p in parts]) for name, parts in texts[n]], "path string, parts array<struct<uri:string,at:long,size:long>>")
             made.append(listed.repartition(len(texts[n]), "path").mapInPandas(_read_text(names), "path string, t int, i int, " + ", ".join(f"{c} array<double>" for c in names)))

@@ -202,6 +202,21 @@ def test_points_of_many_frames_are_few_files(spark, tmp_path):
     assert sorted(r.simplex_id for r in reports.read_points(spark, f"{tmp_path}/points", 70).collect()) == list(range(350, 355))
 
 
+def test_text_values_are_split_at_any_byte(spark, tmp_path):
+    """Values as text are read by many tasks, whatever a range cuts: a value, a row, the white space between."""
+    g = Grid(3, 5, 4)
+    field = swirl_field(spark, g)
+    amira.write_amira(field, g, f"{tmp_path}/a.am", "ascii", most=400)
+    want = sorted(tuple(r) for r in field.selectExpr("t", "i", "j", "cast(cast(u as float) as double) u", "cast(cast(v as float) as double) v").collect())
+    for most in (7, 64, 1000):
+        rows = amira.read_amira_field(spark, f"{tmp_path}/a.am", most=most).drop("path")
+        assert rows.rdd.getNumPartitions() >= 700 // most
+        assert sorted(tuple(r) for r in rows.collect()) == want
+    (tmp_path / "short.am").write_bytes(b"# AmiraMesh ASCII 2.1\ndefine Lattice 2 2 2\nLattice { float[2] Data } @1\n# Data section follows\n@1\n" + b"1 2 3\n" * 5)
+    with pytest.raises(ValueError, match="15 values; the header says 16"):
+        amira.read_amira_field(spark, f"{tmp_path}/short.am", most=8)
+
+
 def test_polydata_in_parts(spark, tmp_path):
     """Trajectories of more points than a piece has, written and read by many tasks; in parts and as one file they are the same bytes."""
     from swirlframe.sources import reports
