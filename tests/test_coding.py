@@ -121,3 +121,34 @@ def test_shared_tables():
     with pytest.raises(ValueError):
         Table.of({1: 2, 3: 4}).write(np.array([2]))
     assert max(limited_lengths([2**k for k in range(30)], 12)) <= 12
+
+
+def test_byte_pairs_of_slices(spark, monkeypatch):
+    """Texts are counted some bytes at once, wherever that cuts them; working memory does not grow with a batch."""
+    import tracemalloc
+    from collections import Counter
+
+    import pyarrow as pa
+
+    texts = [("a", "aab"), ("b", ""), (None, "héllo" * 3), ("a", None), ("b", "x"), ("a", "b" * 40)]
+    want: Counter = Counter()
+    for name, text in texts:
+        body = (text or "").encode()
+        want.update((name, b, s) for b, s in zip([-1, *body], body, strict=False))
+    taken = {}
+    frame = spark.createDataFrame(texts, "g string, s string")
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, run, out: taken.setdefault("run", run) and self.selectExpr("g", "1 before", "1 sym", "1L n"))
+    coding.byte_pairs(frame, "g", "s")
+    monkeypatch.undo()
+    for at_once in (1, 7, 1 << 20):
+        monkeypatch.setattr(coding, "BYTES_AT_ONCE", at_once)
+        got: Counter = Counter()
+        for b in taken["run"](iter([pa.RecordBatch.from_pydict({"g": [g for g, _ in texts], "s": [s for _, s in texts]})])):
+            for r in b.to_pylist():
+                got[r["g"], r["before"], r["sym"]] += r["n"]
+        assert got == want
+    large = pa.RecordBatch.from_pydict({"g": ["a"] * 100, "s": ["xyz" * 70_000] * 100})  # 21 MB
+    tracemalloc.start()
+    assert sum(sum(b.column(3).to_pylist()) for b in taken["run"](iter([large]))) == 21_000_000
+    assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    tracemalloc.stop()
