@@ -1,9 +1,11 @@
 import itertools
+import random
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from swirlframe.grid import Grid, bits_above, fixed_scale, neighbours, swirl_field, to_fixed
 from swirlframe.operators import critical, mesh, verify
@@ -148,3 +150,21 @@ def test_advection_is_the_same_over_any_tiles(spark, move, cells):
     whole, tiles = (sorted(map(tuple, predict.advected(f, g, scale.factor, move, move, cells=cells, tile=size).collect())) for size in (64, 3))
     assert whole == tiles and len(whole) == 2 * 11 * 14
     assert predict.advected(f.filter("t = 0"), g, scale.factor, move, move, cells=cells, tile=3).count() == 0
+
+
+def test_bilinear_stages(spark):
+    """Zeros in stages are those of bilinear_zero(), to the bit, and no expression holds others many times; ties and degenerate cells included."""
+    from swirlframe.functions import triangles
+
+    rng = random.Random(5)
+    some = [[rng.choice([-2.0, -1.0, 0.0, 1.0, 3.0]) for _ in range(8)] for _ in range(300)] + [[rng.uniform(-1, 1) for _ in range(8)] for _ in range(300)]
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(some)], "id int, " + ", ".join(f"{c}{k} double" for c in "uv" for k in range(4)))
+    u, v = (tuple(F.col(f"{c}{k}") for k in range(4)) for c in "uv")
+    want = df.select("*", F.explode(triangles.bilinear_zero(u, v)).alias("z")).select("id", "z.x", "z.y", triangles.bilinear_type(u, v, F.col("z.x"), F.col("z.y")).alias("type"))
+    got = df
+    for cols, keep in triangles.bilinear_stages():
+        assert all(len(str(e)) < 400 for e in cols.values())
+        got = got.withColumns(cols)
+        got = got if keep is None else got.filter(keep)
+    rows = sorted(map(tuple, got.select("id", "_x", "_y", "_type").collect()))
+    assert rows == sorted(map(tuple, want.collect())) and len(rows) > 100
