@@ -168,3 +168,19 @@ def test_bilinear_stages(spark):
         got = got if keep is None else got.filter(keep)
     rows = sorted(map(tuple, got.select("id", "_x", "_y", "_type").collect()))
     assert rows == sorted(map(tuple, want.collect())) and len(rows) > 100
+
+
+def test_vertex_bounds_by_roles(spark):
+    """The bounds of a tetrahedron's four vertices are tetrahedron_bound() with each of them put last."""
+    from swirlframe.operators import volume
+
+    rng = random.Random(3)
+    tets = [[k, *(4 * k + m for m in range(4)), *(rng.choice([-5, -1, 0, 1, 2, 7]) if k % 2 else rng.randint(-400_000, 400_000) for _ in range(12))] for k in range(300)]
+    df = spark.createDataFrame(tets, "tid long, a long, b long, c long, d long, " + ", ".join(f"{x}{n} long" for n in "abcd" for x in "uvw"))
+    want = []
+    zero = {r.tid for r in volume.with_zero(df).select("tid").collect()}
+    for me in "abcd":
+        order = [n for n in "abcd" if n != me] + [me]
+        turned = df.select("tid", F.col(me).alias("pid"), *(F.col(x + old).alias(x + new) for new, old in zip("abcd", order, strict=True) for x in "uvw"))
+        want += [(r.pid, 0 if r.tid in zero else min(r.eb, 1 << 17)) for r in turned.select("tid", "pid", volume.tetrahedron_bound().alias("eb")).collect()]
+    assert sorted(map(tuple, volume.vertex_bounds(df, 1 << 17).select("pid", "required_eb").collect())) == sorted(want)
