@@ -170,6 +170,18 @@ def test_bilinear_stages(spark):
     assert rows == sorted(map(tuple, want.collect())) and len(rows) > 100
 
 
+def test_unstructured_meshes_of_any_size(spark, monkeypatch):
+    """Tasks grow in number with a mesh, not in rows."""
+    from swirlframe.operators import volume
+
+    tets = spark.range(4000).selectExpr("id div 4 tid", "cast(id % 4 as int) pos", "id div 4 + id % 4 pid")
+    data = spark.range(1003).selectExpr("id pid", "id * 2 u", "id * 3 v", "-id w")
+    monkeypatch.setattr(volume, "ROWS", 100)
+    made = volume.unstructured(tets, data)
+    assert made.rdd.getNumPartitions() == 40
+    assert sorted((r.tid, r.a, r.ub, r.wd) for r in made.collect()) == [(k, k, 2 * (k + 1), -(k + 3)) for k in range(1000)]
+
+
 def test_vertex_bounds_by_roles(spark):
     """The bounds of a tetrahedron's four vertices are tetrahedron_bound() with each of them put last."""
     from swirlframe.operators import volume
