@@ -139,3 +139,22 @@ def test_relative_and_rotated(spark):
     assert both.filter("(u - x) * (u - x) + (v - y) * (v - y) > 0.0051").count() == 0
     kept = codec.kept_after_rotation(field, back, g, fixed_scale(field)).first()
     assert kept.n > 500 and kept.lost + kept.new <= 0.02 * kept.n
+
+
+def test_guards_are_asked_for_what_is_open_only(monkeypatch):
+    """Lossless vertices are not tried, nor are bounds that are already known; what is tried all the same would take most of the time."""
+    from swirlframe.plans import kernels as K
+
+    n, (nt, nh, nw) = 6, (2, 4, 4)
+    halo = np.random.default_rng(2).integers(-(1 << 20), 1 << 20, (n, 2, nt + 2, nh + 2, nw + 2))
+    fixed = np.zeros((n, nt, nh, nw), bool)
+    fixed[:, :, -1], fixed[:4, :, :, -1] = True, True
+    asked = []
+    was = K.TriedGuard.bound
+    monkeypatch.setattr(K.TriedGuard, "bound", lambda self, flat, exists, at, now, *rest: asked.append(len(now[0])) or was(self, flat, exists, at, now, *rest))
+    inner = (..., slice(1, -1), slice(1, -1), slice(1, -1))
+    ids, _, done = K.encode(halo[inner].copy(), halo, np.ones(halo[:, 0].shape, bool), fixed, 1 << 12, "lorenzo2d", K.Motion(1.0, np.full(n, nh), np.full(n, nw)), None, "tried")
+    assert sum(asked) == (~fixed).sum() and (ids[fixed] == 0).all() and (done[:, :][np.broadcast_to(fixed[:, None], done.shape)] == halo[inner][np.broadcast_to(fixed[:, None], done.shape)]).all()
+    tried = []
+    best = K._tried(3, 8, 12, [(1,), (-1,)], lambda some, move: tried.append(len(some)) or np.array([move[0] <= (8, 2, 0)[k] for k in some]))
+    assert best.tolist() == [8, 2, 0] and sum(tried) <= 3 + 1 + 2 + 2 + 1 + 1
