@@ -127,6 +127,33 @@ def test_bilinear_cells_with_two_zeros(spark):
     assert got == [(0.25, 0.25), (0.75, 0.75)]
 
 
+def test_bilinear_cells_with_a_constant_side(spark):
+    """Sides with equal corners, as decoding gives: a zero is where the other two corners and the side face each other, and nowhere else."""
+    rng = random.Random(6)
+    cells, want = [], {}
+    # what relative_bilinear decoded two cells to, all of whose corners are on one side of a line
+    cells.append([(-0.2301608591283948, 0.1834723600176604), (-0.1478986144065857, -0.08682018518447876), (-0.2301608591283948, 0.1834723600176604), (0.04086851328611374, 0.06357480585575104)])
+    cells.append([(-0.06885365488843005, -0.14262059286424034), (-0.09226844805673692, -0.03775041758806529), (-0.06885365488843005, -0.10084798835115007), (-0.09226844805673692, -0.21354861015315904)])
+    want = {0: 0, 1: 0}
+    for side in ((0, 1), (2, 3), (0, 2), (1, 3)):
+        for _ in range(50):
+            cell = [(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(4)]
+            cell[side[1]] = c = cell[side[0]]
+            a, b = (cell[k] for k in range(4) if k not in side)
+            ca, cb = a[0] * c[1] - a[1] * c[0], b[0] * c[1] - b[1] * c[0]
+            s = ca / (ca - cb)  # where the opposite side is parallel to c
+            want[len(cells)] = int(0 <= s < 1 and sum(((1 - s) * x + s * y) * z for x, y, z in zip(a, b, c, strict=True)) < 0)
+            cells.append(cell)
+    rows = [(t, k // 2, k % 2, *c) for t, cell in enumerate(cells) for k, c in enumerate(cell)]
+    field = spark.createDataFrame(rows, "t int, i int, j int, u double, v double")
+    got = critical.bilinear_points(field, Grid(2, 2, len(cells))).collect()
+    assert {t: sum(r.t == t for r in got) for t in want} == want and 20 < sum(want.values()) < 150
+    for r in got:
+        x, y = r.x, r.y
+        w = [(1 - x) * (1 - y), x * (1 - y), (1 - x) * y, x * y]
+        assert all(abs(sum(z * c[k] for z, c in zip(w, cells[r.t], strict=True))) < 1e-9 for k in (0, 1))
+
+
 def test_zeros_on_sides_of_tetrahedra(spark):
     """A linear field of whole numbers whose zero is a vertex, on an edge, on a side or within: one tetrahedron has it, wherever it is."""
     from swirlframe.operators import volume
