@@ -332,14 +332,18 @@ def ranges(spans: list[tuple[int, int]], most: int) -> list[tuple[int, int, int]
 
 
 def by_range(spark: SparkSession, pieces: list, run, schema: str) -> DataFrame:
-    """run(piece) gives Arrow batches; a task for each piece."""
+    """run(piece) gives Arrow batches; a task for each piece.
+
+    The numbers of pieces are an RDD, whose size Spark does not know: it would take what is read for as small as a range of these, and broadcast it in joins.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in batch.column(0).to_pylist():
                 yield from run(pieces[k])
 
-    return spark.range(0, len(pieces), 1, max(1, len(pieces))).mapInArrow(each, schema)
+    numbers = spark.sparkContext.parallelize([(k,) for k in range(len(pieces))], max(1, len(pieces)))
+    return spark.createDataFrame(numbers, "id long").mapInArrow(each, schema)
 
 
 def _edge(source: Bytes, text: Text, at: int) -> int:

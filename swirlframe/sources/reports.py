@@ -104,7 +104,7 @@ def write_polydata(samples: DataFrame, path: str, parts: bool = False, most: int
 
 
 def read_polydata(spark: SparkSession, path: str, most: int = BYTES) -> DataFrame:
-    """(line, place, x, y, t) of a file of write_polydata(), one or in parts, read by ranges of ``most`` bytes."""
+    """(line, place, x, y, t) of a file of write_polydata(), one or in parts, read by ranges of ``most`` bytes; in order of line and place (which Spark leaves out where sums follow)."""
     parts = parts_of(spark, path)
     tags = find_in(spark, parts, rb"</?DataArray[^>]*>", most=most)
     spans = {}
@@ -120,4 +120,4 @@ def read_polydata(spark: SparkSession, path: str, most: int = BYTES) -> DataFram
     some = lines.select("line", "begin", "end", F.explode(F.sequence("begin", F.col("end") - 1, F.lit(LINES))).alias("low"))  # a long line is many rows
     places = some.select("line", "begin", F.explode(F.sequence("low", F.least(F.col("low") + LINES, F.col("end")) - 1)).alias("at"))
     found = places.join(rows("connectivity", 1).select("at", value.alias("point")), "at").join(points, "point")
-    return found.select(F.col("line").cast("int").alias("line"), (F.col("at") - F.col("begin")).cast("int").alias("place"), "x", "y", "t")
+    return found.select(F.col("line").cast("int").alias("line"), (F.col("at") - F.col("begin")).cast("int").alias("place"), "x", "y", "t").orderBy("line", "place")

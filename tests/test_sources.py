@@ -232,3 +232,14 @@ def test_polydata_in_parts(spark, tmp_path):
         assert [r.x for r in got] == [k * 0.5 for k in range(2500)] and abs(got[2100].t - 2.1e-4) < 1e-12 and got[2100].place == 2093
     reports.write_polydata(curve.limit(0), f"{tmp_path}/none.vtp", parts=True)
     assert reports.read_polydata(spark, f"{tmp_path}/none.vtp").count() == 0
+
+
+def test_what_is_read_as_text_is_not_taken_for_small(spark, tmp_path):
+    """Values of a file may be many, whatever the number of its ranges: Spark's estimate broadcasts none of them, and none goes through the driver."""
+    from swirlframe.sources import reports
+
+    curve = spark.range(60).selectExpr("id div 7 component", "id place", "id * 0.5 x", "0D y", "0D t")
+    reports.write_polydata(curve, f"{tmp_path}/c.vtp", parts=True, most=500)
+    back = reports.read_polydata(spark, f"{tmp_path}/c.vtp", 200)
+    plan = back._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and "Broadcast" not in plan and back.count() == 60
