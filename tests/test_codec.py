@@ -158,3 +158,19 @@ def test_guards_are_asked_for_what_is_open_only(monkeypatch):
     tried = []
     best = K._tried(3, 8, 12, [(1,), (-1,)], lambda some, move: tried.append(len(some)) or np.array([move[0] <= (8, 2, 0)[k] for k in some]))
     assert best.tolist() == [8, 2, 0] and sum(tried) <= 3 + 1 + 2 + 2 + 1 + 1
+
+
+def test_blocks_of_one_frame(spark):
+    """A guard of faces within frames sees no frame that follows, so blocks of one frame are coded in all frames; without a guard no border is lossless."""
+    g = Grid(9, 10, 4)
+    field = swirl_field(spark, g, "focus").cache()
+    s = fixed_scale(field)
+    eb, block = codec.bound_for(s, 0.3), (1, 5, 5)
+    for guard in ("layers", "typed"):
+        coded = codec.encode(field, g, s, eb, "lorenzo2d", block, guard=guard).cache()
+        per = coded.groupBy("bt").agg(F.sum("n").alias("n"), F.sum("n_lossless").alias("l"), F.max("max_err").alias("e")).collect()
+        assert len(per) == 4 and all(r.l < 0.6 * r.n and 0 < r.e <= eb for r in per)
+        d = codec.decode(coded, g, s, "lorenzo2d", block, kind="double")
+        fixed = to_fixed(field, s).join(d.select("t", "i", "j", F.col("ufp").alias("du"), F.col("vfp").alias("dv")), ["t", "i", "j"])
+        assert fixed.count() == g.size and verify.marked_faces(fixed, g).filter("tmpl <= 2 and ori <> dec").count() == 0
+    assert codec.statistics(codec.encode(field, g, s, eb, "lorenzo2d", block, guard="none")).first().n_lossless == 0
