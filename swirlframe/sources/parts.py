@@ -1,10 +1,10 @@
-"""Files of fixed layout, read and written by many tasks: a data source of Spark's Python API.
+"""Files of fixed layout, read and written by many tasks: a data source of Spark's Python API, and Arrow functions.
 
 Reading: an array in a file is a few numbers (Layout): where its values begin, and how far apart frames, rows and columns lie.  So any range of
 grid rows is a range of bytes, and partitions are ranges of rows, however large a file is.
 
-Writing: rows (at, body) are the pieces of a file, in order of ``at``.  A task writes ranges of them as parts, and the commit lists the parts of
-the tasks that succeeded in MANIFEST; what other attempts left is deleted.  ``cat path/part-*`` is the file; the readers here take a folder of
+Writing: rows (at, body) are the pieces of a file, in order of ``at``.  A task writes ranges of them as parts and returns their names, and the driver
+lists those of the tasks that succeeded in MANIFEST; what other attempts left is deleted.  ``cat path/part-*`` is the file; the readers here take a folder of
 parts for the file that it stands for.
 
 Values as text (read_text()) are split at any byte: the values of each range are counted first.
@@ -18,14 +18,14 @@ import json
 import re
 import uuid
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..plans.checkpoints import qualified
 
@@ -195,68 +195,57 @@ class _Reader(DataSourceReader):
             source.close()
 
 
-@dataclass
-class _Done(WriterCommitMessage):
-    """(number, name, bytes, rows) of the parts of a task."""
-
-    parts: list = field(default_factory=list)
-
-
-class _Writer(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.uri, self.head, self.foot = options["path"], bytes.fromhex(options["head"]), bytes.fromhex(options["foot"])
-        self.width, self.rows = int(options["width"]), int(options["rows"])
-
-    def write(self, batches: Iterator[pa.RecordBatch]) -> _Done:
-        files, path = open_uri(self.uri)
-        files.create_dir(path, recursive=True)
-        done, sink, now = [], None, None  # now: number, name, bytes, rows
-        for batch in batches:
-            for number, at, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now is None or number != now[0]:
-                    if sink:
-                        sink.close()
-                        done.append(tuple(now))
-                    now = [number, f"part-{number + 1:011d}-{uuid.uuid4().hex[:12]}", 0, 0]
-                    sink = files.open_output_stream(f"{path}/{now[1]}", compression=None, buffer_size=1 << 20)
-                if at != number * self.width + now[3]:
-                    raise ValueError(f"{self.uri}: piece {number * self.width + now[3]} is not there once")
-                sink.write(body)
-                now[2] += len(body)
-                now[3] += 1
-        if sink:
-            sink.close()
-            done.append(tuple(now))
-        return _Done(done)
-
-    def commit(self, messages: list[_Done | None]) -> None:
-        files, path = open_uri(self.uri)
-        files.create_dir(path, recursive=True)
-        parts = sorted(p for m in messages if m for p in m.parts)
-        if [p[0] for p in parts] != list(range(len(parts))) or sum(p[3] for p in parts) != self.rows:
-            raise ValueError(f"{self.uri}: {sum(p[3] for p in parts)} of {self.rows} pieces")
-        listed = [(p[1], p[2]) for p in parts]
-        for name, body, place in (("part-00000000000-head", self.head, 0), ("part-99999999999-foot", self.foot, len(listed) + 1)):
-            if body:
-                with files.open_output_stream(f"{path}/{name}", compression=None) as f:
-                    f.write(body)
-                listed.insert(place, (name, len(body)))
-        with files.open_output_stream(f"{path}/{MANIFEST}.new", compression=None) as f:
-            f.write(json.dumps(listed).encode())
-        files.move(f"{path}/{MANIFEST}.new", f"{path}/{MANIFEST}")
-        keep = {MANIFEST, *(name for name, _ in listed)}
-        for info in files.get_file_info(pa.fs.FileSelector(path)):
-            if info.base_name.startswith("part-") and info.base_name not in keep:
-                files.delete_file(info.path)
-
-    def abort(self, messages: list[_Done | None]) -> None:
-        files, path = open_uri(self.uri)
-        for name in (p[1] for m in messages if m for p in m.parts):
-            files.delete_file(f"{path}/{name}")
+_PARTS = "number long, name string, bytes long, rows long"
+
+
+def _write(batches: Iterator[pa.RecordBatch], uri: str, width: int) -> Iterator[pa.RecordBatch]:
+    """Writes pieces (number of a part, at, body) that come in order, and gives the parts (see _PARTS)."""
+    files, path = open_uri(uri)
+    files.create_dir(path, recursive=True)
+    done, sink = [], None  # done: number, name, bytes, rows
+    for batch in batches:
+        for number, at, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if not done or number != done[-1][0]:
+                if sink:
+                    sink.close()
+                done.append([number, f"part-{number + 1:011d}-{uuid.uuid4().hex[:12]}", 0, 0])
+                sink = files.open_output_stream(f"{path}/{done[-1][1]}", compression=None, buffer_size=1 << 20)
+            now = done[-1]
+            if at != number * width + now[3]:
+                raise ValueError(f"{uri}: piece {number * width + now[3]} is not there once")
+            sink.write(body)
+            now[2] += len(body)
+            now[3] += 1
+    if sink:
+        sink.close()
+    columns = list(zip(*done, strict=True)) or [[]] * 4
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 1 else pa.int64()) for k, c in enumerate(columns)], [c.split()[0] for c in _PARTS.split(", ")])
+
+
+def _commit(parts: list[tuple], rows: int, uri: str, head: bytes, foot: bytes) -> None:
+    """Makes parts (see _PARTS) the file at ``uri``, if they have all its pieces."""
+    files, path = open_uri(uri)
+    files.create_dir(path, recursive=True)
+    parts = sorted(parts)
+    if [p[0] for p in parts] != list(range(len(parts))) or sum(p[3] for p in parts) != rows:
+        raise ValueError(f"{uri}: {sum(p[3] for p in parts)} of {rows} pieces")
+    listed = [(p[1], p[2]) for p in parts]
+    for name, body, place in (("part-00000000000-head", head, 0), ("part-99999999999-foot", foot, len(listed) + 1)):
+        if body:
+            with files.open_output_stream(f"{path}/{name}", compression=None) as f:
+                f.write(body)
+            listed.insert(place, (name, len(body)))
+    with files.open_output_stream(f"{path}/{MANIFEST}.new", compression=None) as f:
+        f.write(json.dumps(listed).encode())
+    files.move(f"{path}/{MANIFEST}.new", f"{path}/{MANIFEST}")
+    keep = {MANIFEST, *(name for name, _ in listed)}
+    for info in files.get_file_info(pa.fs.FileSelector(path)):
+        if info.base_name.startswith("part-") and info.base_name not in keep:
+            files.delete_file(info.path)
 
 
 class Parts(DataSource):
-    """The two directions; what they need to know is in options, which read_layouts() and write_pieces() give."""
+    """What it needs to know is in options, which read_layouts() gives."""
 
     @classmethod
     def name(cls) -> str:
@@ -268,11 +257,6 @@ class Parts(DataSource):
     def reader(self, schema) -> _Reader:
         return _Reader(self.options)
 
-    def writer(self, schema, overwrite: bool) -> _Writer:
-        if not overwrite:
-            raise ValueError("a file is replaced, never appended to")
-        return _Writer(self.options)
-
 
 def read_layouts(spark: SparkSession, layouts: list[Layout], names: list[str], kind: str = "double", frames: tuple[int, int] | None = None, most: int = BYTES) -> DataFrame:
     """(path, t, i, and an array of each component, called ``names``) of files: a row for each grid row of frames first to last - 1 (None: all)."""
@@ -285,13 +269,15 @@ def read_layouts(spark: SparkSession, layouts: list[Layout], names: list[str], k
 def write_pieces(pieces: DataFrame, rows: int, path: str, each: int, head: bytes = b"", foot: bytes = b"", most: int = BYTES) -> None:
     """pieces (at, body), at from 0 to rows - 1 and once each, as the file at ``path``, in parts of about ``most`` bytes; each: about the bytes of a piece.
 
-    A gap, or a piece that is there twice, raises, and the file that was there before stays.
+    A gap, or a piece that is there twice, raises, and the file that was there before stays.  Tasks write it in an Arrow function: to write by a data source
+    of the Python API the driver keeps six more Python processes, 200 MB, until it ends.
     """
-    spark = pieces.sparkSession
-    spark.dataSource.register(Parts)
+    uri = qualified(pieces.sparkSession, path)
     width = max(1, most // max(each, 1))
     numbered = pieces.select(F.floor(F.col("at") / width).cast("long").alias("number"), F.col("at").cast("long").alias("at"), "body")
-    numbered.repartition("number").sortWithinPartitions("number", "at").write.format(NAME).mode("overwrite").options(path=qualified(spark, path), head=head.hex(), foot=foot.hex(), width=str(width), rows=str(rows)).save()
+    sorted_ = numbered.repartition("number").sortWithinPartitions("number", "at")
+    made = sorted_.mapInArrow(lambda batches: _write(batches, uri, width), _PARTS).collect()  # a row for each part
+    _commit([tuple(r) for r in made], rows, uri, head, foot)
 
 
 def bodies(rows: DataFrame, cols: list[str], make) -> DataFrame:

@@ -243,3 +243,20 @@ def test_what_is_read_as_text_is_not_taken_for_small(spark, tmp_path):
     back = reports.read_polydata(spark, f"{tmp_path}/c.vtp", 200)
     plan = back._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("SortMergeJoin") == 3 and "Broadcast" not in plan and back.count() == 60
+
+
+def test_files_are_written_without_processes_beside_the_driver(spark, tmp_path):
+    """The driver of a data source of the Python API keeps processes that plan and commit writes; parts that fail leave the file as it was."""
+    import psutil
+
+    from swirlframe.sources import parts
+
+    pieces = spark.range(7).selectExpr("id at", "encode(string(id), 'UTF-8') body")
+    parts.write_pieces(pieces, 7, f"{tmp_path}/f", 1, b"<", b">", most=3)
+    for wrong in (pieces.filter("at <> 4"), pieces.union(pieces.filter("at = 5")), pieces.filter("at < 6")):
+        with pytest.raises(Exception, match="piece"):
+            parts.write_pieces(wrong, 7, f"{tmp_path}/f", 1, b"<", b">", most=3)
+    source = parts.Bytes(of := parts.parts_of(spark, f"{tmp_path}/f"))
+    assert source.read(0, parts.size_of(of)) == b"<0123456>" and len(of) == 5
+    running = [" ".join(p.cmdline()) for p in psutil.Process().children(recursive=True)]
+    assert not [x for x in running if "write_into_data_source" in x or "commit_data_source_write" in x]
